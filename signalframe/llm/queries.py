@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, neardup, quality
 from .kernels import read
 
 
@@ -17,7 +17,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).drop("longest", "item_id", "item_word", "doc_word")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op7_quality_rules": op7_quality_rules,
 }
