@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, quality
+from . import decontaminate, neardup, pieces, quality
 from .kernels import read
 
 
@@ -21,7 +21,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.Pieces.load())
+
+
 QUERIES = {
+    "op9_sentencepiece": op9_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op7_quality_rules": op7_quality_rules,
