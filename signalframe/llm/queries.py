@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pieces, quality
+from . import decontaminate, neardup, pieces, pii, quality
 from .kernels import read
 
 
@@ -25,7 +25,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), pieces.Pieces.load())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op3_pii": op3_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -49,3 +54,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
+
+
+def _pii_sql() -> str:
+    """The contract's patterns as they stand, run by RE2; the added kinds with word boundaries."""
+    octet = "(CAST(x AS HUGEINT) <= 255)"
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "local_phone": r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({digits})[i] AS INT) WHEN CAST(reverse({digits})[i] AS INT) > 4 THEN 2 * CAST(reverse({digits})[i] AS INT) - 9 ELSE 2 * CAST(reverse({digits})[i] AS INT) END)) % 10 = 0"
+    bare = "replace(v, ' ', '')"
+    mod97 = f"list_reduce(list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: CAST(CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT)), lambda a, b: (CASE WHEN b < 10 THEN a * 10 ELSE a * 100 END + b) % 97, CAST(0 AS BIGINT)) = 1"
+    words = {k.name: k.context for k in pii.KINDS}
+    near = lambda k: f"regexp_matches(right(a, 40) || chr(10) || left(b, 40), '(?i)(?:^|[^a-z])(?:{words[k]})')"
+    valid = {
+        "email": "true", "ip": f"len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INT) > 255)) = 0",
+        "card": f"len({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 9 AND 15", "iban": mod97, "ssn": near("ssn"), "local_phone": near("local_phone"),
+    }
+    parts = []
+    for i, (k, p) in enumerate(patterns.items()):
+        q = p.replace("'", "''")
+        parts.append(
+            f"SELECT r, {i} AS o, '{k}' AS kind, s, s + len(v) AS e FROM (SELECT r, m[i] AS v, p[i] AS a, p[i + 1] AS b, len(array_to_string(p[1:i], '')) + len(array_to_string(m[1:i-1], '')) AS s "
+            f"FROM (SELECT r, m, string_split_regex(t, '{q}') AS p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, t, regexp_extract_all(t, '{q}') AS m FROM d))) WHERE {valid[k]}"
+        )
+    line = "kind || ':' || s || ':' || e"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg({line}, ',' ORDER BY o, s) FILTER (o < 4) AS base, string_agg({line}, ',' ORDER BY o, s) AS spans FROM f GROUP BY r)
+SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+SQL["op3_pii"] = _pii_sql()
