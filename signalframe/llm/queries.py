@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, pieces, pii, quality
+from . import decontaminate, langid, neardup, pieces, pii, quality
 from .kernels import read
 
 
@@ -29,7 +30,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def held_out(doc_id):
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_pii": op3_pii,
     "op9_sentencepiece": op9_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
