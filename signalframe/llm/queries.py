@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, pieces, pii, quality
+from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards
 from .kernels import read
 
 
@@ -41,7 +41,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(read(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_sharding": op8_sharding,
+    "op10_license_scan": op10_license_scan,
     "op1_language_id": op1_language_id,
     "op3_pii": op3_pii,
     "op9_sentencepiece": op9_sentencepiece,
