@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards
-from .kernels import read
+from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards, warc
+from .kernels import Scratch, read
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), f"{scratch.root}/archive")
+    records = scratch.keep(warc.read_records(spark, f"{scratch.root}/archive", payloads=False), "records")
+    return warc.digest(warc.assemble(records))
+
+
 QUERIES = {
+    "op6_warc": op6_warc,
     "op8_sharding": op8_sharding,
     "op10_license_scan": op10_license_scan,
     "op1_language_id": op1_language_id,
@@ -78,6 +86,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m FROM p WHERE strlen(h) >= 100 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
 
 def _pii_sql() -> str:
     """The contract's patterns as they stand, run by RE2; the added kinds with word boundaries."""
