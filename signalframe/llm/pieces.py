@@ -14,10 +14,11 @@ very long segments are handled one by one in time linear in their length; extra
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import SpanHash, chunks, distinct, flat
@@ -25,6 +26,7 @@ from .kernels import SpanHash, chunks, distinct, flat
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 MARK = "▁"
+CHUNK = 1 << 20  # bytes of text that walk the trie together
 LONG = 192  # bytes; longer segments go one by one
 
 
@@ -251,7 +253,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids")
 
     def run(batches, names, own):
         for batch in batches:
-            for part, buf, offs in chunks(batch, text):
+            for part, buf, offs in chunks(batch, text, CHUNK):
                 got, at = own.encode(buf, offs)
                 by = np.concatenate([[0], np.cumsum(own.is_byte[got])])[at]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), _list(got, at), pa.array(np.diff(by).astype(np.int64))], [*names, ids, "n_byte_pieces"])
@@ -279,9 +281,22 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded
 
 
 def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Encode, decode and compare: ``doc_id, n_bytes, n_pieces, n_byte_pieces, ids, decoded_sha256, exact``."""
-    both = decode(encode(docs.select("doc_id", "text"), pieces), pieces)
-    return both.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"),
-    )
+    """Encode, decode and compare in one pass: ``doc_id, n_bytes, n_pieces, n_byte_pieces, ids, decoded_sha256, exact``."""
+    held = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches):
+        own = held.value
+        for batch in batches:
+            for part, buf, offs in chunks(batch, "text", CHUNK):
+                ids, at = own.encode(buf, offs)
+                by = np.concatenate([[0], np.cumsum(own.is_byte[ids])])[at]
+                out, ends = own.decode(ids, at)
+                raw, given = out.tobytes(), buf.tobytes()
+                texts = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                same = [x == given[a:b] for x, a, b in zip(texts, offs[:-1].tolist(), offs[1:].tolist())]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "n_bytes": pa.array(np.diff(offs)), "n_pieces": pa.array(np.diff(at)), "n_byte_pieces": pa.array(np.diff(by).astype(np.int64)), "ids": _list(ids, at),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "exact": pa.array(same, pa.bool_()),
+                })
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, n_byte_pieces long, ids array<int>, decoded_sha256 string, exact boolean")
