@@ -6,7 +6,7 @@
    other class retains say that a class has something of its own, so each class is entered only under the first
    ``prefix`` retained values in order of rarity.  Two sets that reach the threshold must meet in such a list: for
    sets within the sketch that is the prefix filter theorem; for larger sets the overlap of the sketches is at least
-   ``k - prefix + 1`` but for a chance below 1e-5 at the very threshold, and far below that above it.
+   ``k - prefix(k) + 1`` but for a chance below 1e-5 at the very threshold, and far below that above it.
 3. Classes that share lists form a coarse cluster.  Within clusters, pairs are tried by the estimate from the k smallest
    values of their sketches' union and then verified on the full sets; pairs that are connected already are skipped.
    A large cluster is dealt out as pairs of blocks of bounded bytes, so that no task holds more than two blocks.
@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, grouped_order, groups, map_chunks, mix, spans, windows
+from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, grouped_order, groups, map_chunks, mix, small, spans, windows
 
 SHINGLE = 5
 PERCENT = 85
 K = 64
-PREFIX = 25  # of k retained values; see above
-EXACT = 54  # sets up to this size have partners within the sketch as well, where the theorem's prefix holds
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+BITS = 1 << 25
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = SHINGLE):
@@ -113,7 +112,7 @@ def _explode(batches):
         node = batch.column("node").to_numpy()
         for a in range(0, len(of), 1 << 18):
             own = of[a : a + (1 << 18)]
-            yield pa.RecordBatch.from_pydict({"node": node[own], "size": batch.column("n_shingles").to_numpy()[own], "value": np.frombuffer(buf.tobytes(), "<i8")[a : a + (1 << 18)]})
+            yield pa.RecordBatch.from_pydict({"node": node[own], "value": np.frombuffer(buf.tobytes(), "<i8")[a : a + (1 << 18)]})
 
 
 def _block(table: pa.Table, percent: int, k: int):
@@ -194,12 +193,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     classes = scratch.keep(
         full.groupBy(F.col("ha").alias("node"), "hb").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
-    values = classes.select("node", "n_shingles", "sketch").mapInArrow(_explode, "node long, size long, value long")
+    values = classes.select("node", "sketch").mapInArrow(_explode, "node long, value long")
     spread = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    common = values.join(spread, "value").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    common = values.join(spread, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    common = common.join(classes.select("node", F.col("n_shingles").alias("size")), "node")
     # a class has at most k retained values, so the list is bounded; its values that nobody shares come first in order of rarity
     own = F.least("size", F.lit(k)) - F.size("held")
-    reach = F.when(F.col("size") <= EXACT * k // K, F.floor(F.col("size") * (100 - percent) / 100) + 1).otherwise(PREFIX * k // K)
+    reach = F.when(F.col("size") <= percent * k // 100, F.floor(F.col("size") * (100 - percent) / 100) + 1).otherwise(prefix(k, percent))
     entered = common.select("node", F.explode(F.slice("held", F.lit(1), F.greatest(F.lit(0), reach - own).cast("int"))).alias("v")).select("node", "v.value")
     entered = scratch.keep(entered, "entered")
     hubs = entered.groupBy("value").agg(F.min("node").alias("hub"))
@@ -215,24 +215,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def prefix(k: int, percent: int) -> int:
+    """How many of k retained values a class is entered under: k - c + 1, where c is the overlap of two sketches at the threshold, less 4.9 standard deviations.
+
+    Sets of up to ``percent`` hundredths of k have all partners within the sketch as well; there the theorem's prefix holds."""
+    share = percent / 100
+    return min(k, int(np.ceil(k - (k * share - 4.9 * np.sqrt(k * share * (1 - share))))) + 1)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits, whatever the input, with a bit for the hash of each id: what it lacks needn't be shuffled."""
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
+    words = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, U64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(U64)
+    return out
+
+
+def seen(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = np.mod(hashes, BITS)
+    return (bitmap[place >> 6] >> (place & 63).astype(U64)) & U64(1) == 1
+
+
 def _verified(docs, classes, clusters, scratch, percent, width, k, block_bytes):
     """Links between classes of a cluster that hold on the full sets, at most one for each class and block pair."""
     member = clusters.join(classes.select("node", "hb", "first", "n_shingles"), "node")
     totals = member.groupBy("root").agg(F.sum(8 * F.col("n_shingles")).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
     member = scratch.keep(member.join(totals, "root").select("node", "hb", "first", "root", "blocks"), "members")
-    wanted = member.select(F.col("first").alias("_first"), F.col("node").alias("_node"), F.col("hb").alias("_hb"), "root", "blocks")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")))
-
-    def full(batch, buf, offs):
-        hashes, at = shingle_sets(buf, offs, width)
+    bitmap = id_bitmap(member.select("first"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def full(batch, buf, offs, bits):
+        maybe = pa.array(seen(bits, batch.column("_id_hash").to_numpy()))
+        part = batch.filter(maybe)
+        if not part.num_rows:
+            return None
+        hashes, at = shingle_sets(*flat(part.column("text")), width)
         a, b = _node(*fingerprints(hashes, at))
-        same = (a.to_numpy() == batch.column("_node").to_numpy()) & (b.to_numpy() == batch.column("_hb").to_numpy())
         raw, edges = hashes.astype("<i8").tobytes(), at * 8
-        sets = pa.array([raw[x:y] if ok else None for x, y, ok in zip(edges.tolist(), edges[1:].tolist(), same.tolist())], pa.binary())
-        out = {"node": a, "root": batch.column("root"), "blocks": batch.column("blocks"), "set": sets}
-        return pa.RecordBatch.from_pydict(out).filter(pa.array(same))
+        return {"node": a, "hb": b, "doc_id": part.column("doc_id"), "set": pa.array([raw[x:y] for x, y in zip(edges.tolist(), edges[1:].tolist())], pa.binary())}
 
-    sets = map_chunks(texts, full, "node long, root long, blocks int, set binary")
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_id_hash"))
+    sets = map_chunks(hashed, full, "node long, hb long, doc_id long, set binary", setup=lambda: held.value)
+    sets = sets.withColumnRenamed("doc_id", "first_id").join(member, ["node", "hb"]).filter(F.col("first_id").eqNullSafe(F.col("first"))).select("node", "root", "blocks", "set")
     sets = sets.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     low, high = F.least("side", F.col("other")), F.greatest("side", F.col("other"))
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", low.alias("p"), high.alias("q"), "side", "node", "set")
@@ -259,4 +284,4 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest ``doc_id``; documents without words stay."""
     verdict = near_duplicates(docs, **settings).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_of"))
     gone = verdict.groupBy("_id").agg(F.first("_of").alias("_of")).select("_id")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(small(Scratch(docs.sparkSession, "neardup").keep(gone, "gone"), 500_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
