@@ -1,20 +1,47 @@
-"""The corpus pipeline: stages that each read what the one before wrote."""
+"""The corpus pipeline: stages that each read what the one before wrote.
+
+Quality rules, near duplicates, benchmark decontamination, redaction of personal data, SentencePiece ids.  All but the last
+return the columns of ``documents``; the last returns ``doc_id``, the piece ids and the proof of the round trip.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import quality
+from signalframe.llm import decontaminate, neardup, pieces, pii, quality
 from signalframe.llm.kernels import Scratch, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
     return quality.keep_quality(docs)
 
 
-STAGES = [("quality", quality_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return neardup.keep_first(docs, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.remove(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become piece ids."""
+    return pieces.round_trip(docs, pieces.Pieces.load())
+
+
+STAGES = [
+    ("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("sentencepiece", sentencepiece_stage),
+]
 
-ORACLE_SQL = None  # perplexity and token ids are beyond SQL; see tests/llm
+ORACLE_SQL = None  # perplexity and Viterbi are beyond SQL; see tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
