@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards, warc
+from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, warc
 from .kernels import Scratch, read
 
 
@@ -56,7 +56,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.assemble(records))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc": op6_warc,
     "op8_sharding": op8_sharding,
     "op10_license_scan": op10_license_scan,
