@@ -38,6 +38,11 @@ def long(stereo: DataFrame) -> DataFrame:
     return stereo.select("n", F.posexplode(F.array("l", "r")).alias("channel", "x"))
 
 
+def takes(samples: DataFrame, frames: int = 65536) -> DataFrame:
+    """A long recording dealt out as takes of so many frames, each a recording of its own: ``recording, channel, n, x``."""
+    return samples.select(F.floor(F.col("n") / frames).cast("long").alias("recording"), "channel", (F.col("n") % frames).alias("n"), "x")
+
+
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mono, one recording per user: ``recording, n, x``."""
     e = table(spark, sf_dir, "events")
@@ -54,7 +59,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit decision list: ``clip_id, source_id, timeline_start, length, gain``."""
     o = number(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "rank")
     return o.select(
-        F.col("o_orderkey").alias("clip_id"), (F.col("o_custkey") % 8).alias("source_id"), (F.col("rank") * 37).alias("timeline_start"), (50 + F.col("o_orderkey") % 100).alias("length"),
+        F.col("o_orderkey").alias("clip_id"), F.col("o_custkey").alias("source_id"), (F.col("rank") * 37).alias("timeline_start"), (50 + F.col("o_orderkey") % 100).alias("length"),
         (1 + (F.col("o_custkey") % 5) / 10.0).alias("gain"),
     )
 

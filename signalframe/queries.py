@@ -16,7 +16,7 @@ SQL: dict = {}
 LINE = """line AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS n, (l_discount - 0.05) * 10 AS l, (l_tax - 0.04) * 12.5 AS r FROM lineitem),
 long AS (SELECT n, 0 AS channel, l AS x FROM line UNION ALL SELECT n, 1, r FROM line)"""
 EVENT = "ev AS (SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, (value - 250) / 250 AS x FROM events)"
-CLIPS = "clips AS (SELECT o_orderkey AS clip_id, o_custkey % 8 AS source_id, (row_number() OVER (ORDER BY o_orderkey) - 1) * 37 AS timeline_start, 50 + o_orderkey % 100 AS length, 1 + (o_custkey % 5) / 10.0 AS gain FROM orders)"
+CLIPS = "clips AS (SELECT o_orderkey AS clip_id, o_custkey AS source_id, (row_number() OVER (ORDER BY o_orderkey) - 1) * 37 AS timeline_start, 50 + o_orderkey % 100 AS length, 1 + (o_custkey % 5) / 10.0 AS gain FROM orders)"
 DFT = """w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM range(64) t(i)), fr AS (SELECT vec_id AS frame, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 mags AS (SELECT frame, bin, sqrt(re * re + im * im) AS mag FROM (SELECT frame, bin, sum(x * w * cos(2 * pi() * ((fr.i * bin) % 64) / 64)) AS re, sum(x * w * sin(2 * pi() * ((fr.i * bin) % 64) / 64)) AS im FROM fr JOIN w ON fr.i = w.i, range(33) b(bin) GROUP BY frame, bin))"""
 
@@ -256,18 +256,20 @@ def _(spark, sf_dir):
 
 @query(
     "j2_clips_in_blocks",
-    f"WITH {CLIPS}, b AS (SELECT block FROM range(0, 64) t(block)) SELECT block, count(*) AS clips, round(sum(gain), 6) AS gain FROM clips JOIN b ON timeline_start < (block + 1) * 4096 AND timeline_start + length > block * 4096 GROUP BY block",
+    f"WITH {CLIPS}, b AS (SELECT block FROM range(0, (SELECT max(timeline_start + length) // 4096 + 1 FROM clips)) t(block)) SELECT block, count(*) AS clips, round(sum(gain), 6) AS gain FROM clips JOIN b ON timeline_start < (block + 1) * 4096 AND timeline_start + length > block * 4096 GROUP BY block",
 )
 def _(spark, sf_dir):
-    j = timeline.overlapping(model.clips(spark, sf_dir), spark.range(64).withColumnRenamed("id", "block"), 4096)
+    clips = model.clips(spark, sf_dir)
+    last = clips.agg(F.max(F.col("timeline_start") + F.col("length"))).first()[0] or 0
+    j = timeline.overlapping(clips, spark.range(last // 4096 + 1).withColumnRenamed("id", "block"), 4096)
     return rounded(j.groupBy("block").agg(F.count("*").alias("clips"), F.sum("gain").alias("gain")))
 
 
-RENDER = f"""{CLIPS}, {EVENT}, src AS (SELECT (recording % 8) AS source_id, n, x FROM ev WHERE recording BETWEEN 1 AND 6)"""
+RENDER = f"""{CLIPS}, {EVENT}, src AS (SELECT recording AS source_id, n, x FROM ev)"""
 
 
 def _sources(spark, sf_dir):
-    return model.event_signal(spark, sf_dir).filter("recording BETWEEN 1 AND 6").select((F.col("recording") % 8).alias("source_id"), "n", "x")
+    return model.event_signal(spark, sf_dir).select(F.col("recording").alias("source_id"), "n", "x")
 
 
 @query(
@@ -390,3 +392,55 @@ def _(spark, sf_dir):
 
 
 TWO_PI = 2 * math.pi
+
+
+# --- filters, dynamics, repair, containers: state or transforms beyond SQL; known answers are in tests/
+
+
+def _users(spark, sf_dir):
+    return model.event_signal(spark, sf_dir).withColumn("channel", F.lit(0))
+
+
+def _sections() -> dict[str, tuple]:
+    from .operators import filters
+
+    return {k: filters.design(k, 8000.0, 1000.0, 0.9, 6.0) for k in filters.KINDS}
+
+
+_C = ", ".join(f"('{k}', {', '.join(f'{float(v)!r}::DOUBLE' for v in s)})" for k, s in _sections().items())
+
+
+@query(
+    "f1_f2_filter_response",
+    f"""WITH c(name, b0, b1, b2, a1, a2) AS (VALUES {_C}), g AS (SELECT *, CAST(i AS INT) AS i2, pi() * i / 64 AS w FROM c, range(1, 60) t(i)),
+v AS (SELECT name, i2, pow(b0 + b1 * cos(w) + b2 * cos(2 * w), 2) + pow(b1 * sin(w) + b2 * sin(2 * w), 2) AS u, pow(1 + a1 * cos(w) + a2 * cos(2 * w), 2) + pow(a1 * sin(w) + a2 * sin(2 * w), 2) AS d FROM g)
+SELECT name, i2 AS i, round(i2 * 8000.0::DOUBLE / 2 / 64, 6) AS hz, round(CASE WHEN u > 0 THEN greatest(-200, 10 * log10(u / d)) ELSE -200 END, 5) + 0.0::DOUBLE AS gain_db FROM v WHERE NOT (name IN ('notch') AND i2 = 16)""",
+)
+def _(spark, sf_dir):
+    from .operators import filters
+
+    r = filters.response(spark, _sections(), 8000.0, 64).filter("i BETWEEN 1 AND 59 AND NOT (name = 'notch' AND i = 16)")
+    return r.select("name", "i", F.round("hz", 6).alias("hz"), (F.round("gain_db", 5) + F.lit(0.0)).alias("gain_db"))
+
+
+def _register():
+    from .operators import filters, repair
+    from .sources import containers
+
+    mono = lambda s, d: model.takes(model.long(_line(s, d)))
+    more = {
+        "f3_biquad": lambda s, d: filters.apply_sections(_users(s, d), [filters.design("low_pass", 8000.0, 1000.0)]),
+        "f4_butterworth": lambda s, d: filters.apply_sections(_users(s, d), filters.butterworth("high_pass", 8000.0, 500.0, 6)),
+        "f5_parametric_eq": lambda s, d: filters.parametric_eq(_users(s, d), 8000.0, [{"kind": "peaking", "hz": 900.0, "gain_db": 4.0}, {"kind": "low_shelf", "hz": 200.0, "gain_db": -3.0, "enabled": False}]),
+        "f8_compressor": lambda s, d: filters.compress(_users(s, d), 8000.0), "f9_expander": lambda s, d: filters.expand(_users(s, d), 8000.0), "f10_gate": lambda s, d: filters.gate(_users(s, d), 8000.0),
+        "f11_limiter": lambda s, d: filters.limit(_users(s, d), 8000.0, -6.0), "m4_true_peak": lambda s, d: filters.true_peak(_mono(s, d)), "m10_filter_bank": lambda s, d: filters.filter_bank(mono(s, d), 8000.0),
+        "m22_sweep": lambda s, d: filters.sweep(s, 8000.0, 1.0), "r15_resample": lambda s, d: filters.resample(_users(s, d), 8000.0, 11025.0), "r6_denoise": lambda s, d: repair.denoise(mono(s, d), 0, 4000),
+        "r4_attenuate_region": lambda s, d: repair.attenuate(mono(s, d), 8000.0, 0.5, 1.0, 500.0, 1500.0, -24.0), "r7_dereverb": lambda s, d: repair.dereverb(mono(s, d), 8000.0), "r10_declick": lambda s, d: repair.declick(mono(s, d)),
+        "r11_declip": lambda s, d: repair.declip(mono(s, d)), "r12_dehum": lambda s, d: repair.dehum(mono(s, d), 8000.0), "r13_stretch": lambda s, d: repair.stretch(mono(s, d), 1.25),
+        "k1_write_wav": lambda s, d: containers.write_wav(_users(s, d), 8000, "s16").select("recording", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256")),
+    }
+    for name, fn in more.items():
+        QUERIES[name] = (lambda f: lambda spark, sf_dir: rounded(f(spark, sf_dir)))(fn)
+
+
+_register()
