@@ -77,9 +77,9 @@ def fit_prediction(x: np.ndarray, order: int) -> np.ndarray:
     return a
 
 
-def interpolate(x: np.ndarray, missing: np.ndarray, order: int) -> np.ndarray:
-    """Fill the missing samples so that the prediction error is least."""
-    a = np.concatenate([[1.0], -fit_prediction(np.where(missing, 0, x), order)])
+def interpolate(x: np.ndarray, missing: np.ndarray, order: int, trusted: bool = False) -> np.ndarray:
+    """Fill the missing samples so that the prediction error is least; ``trusted``: what stands there serves for the fit."""
+    a = np.concatenate([[1.0], -fit_prediction(x if trusted else np.where(missing, 0, x), order)])
     gaps = np.flatnonzero(missing)
     n = len(x)
     rows = np.arange(order, n)
@@ -131,16 +131,22 @@ def declip(samples: DataFrame, tolerance: float = 0.001, least: int = 2, most: i
         if peak == 0:
             return x
         flat = np.abs(x) >= peak * (1 - tolerance)
-        out = x.copy()
+        out, fill = x.copy(), np.zeros(len(x), bool)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], flat.astype(int), [0]])))
         for i, j in zip(edges[::2], edges[1::2]):
-            if least <= j - i <= most and i >= order and j + order <= len(x):
-                lo, hi = max(0, i - 4 * order), min(len(x), j + 4 * order)
-                miss = np.zeros(hi - lo, bool)
-                miss[i - lo : j - lo] = True
-                got = interpolate(out[lo:hi], miss, order)[miss]
-                sign = np.sign(x[i])
-                out[i:j] = sign * np.maximum(np.abs(x[i:j]), got * sign)
+            fill[i:j] = least <= j - i <= most
+        for s in range(0, len(x), 1024):  # the tops of a block are filled together
+            own = slice(max(0, s - order), min(len(x), s + 1024 + order))
+            miss = fill[own].copy()
+            miss[:order] = miss[-order:] = False
+            if not miss.any():
+                continue
+            got = out[own].copy()
+            for _ in range(3):  # the fit gets better as the tops grow
+                got = interpolate(got, miss, order, trusted=True)
+                sign = np.sign(x[own])
+                got = np.where(miss, sign * np.maximum(np.abs(x[own]), got * sign), got)
+            out[own] = got
         top = np.abs(out).max()
         return out if keep_level or top <= 1 else out * (10 ** (-0.1 / 20) / top)
 
