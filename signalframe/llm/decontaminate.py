@@ -97,6 +97,8 @@ def search(codes: np.ndarray, order: np.ndarray, query: np.ndarray, deepest: int
         high = bound(low, hi, want, depth, True)
         go = high > low
         alive, lo, hi = alive[go], low[go], high[go]
+        if not len(alive):
+            return
         yield depth + 1, alive, lo, hi
 
 
