@@ -109,3 +109,75 @@ def track_pitch(frames: DataFrame, rate: float, hop: int, **settings) -> DataFra
             yield pd.DataFrame({"recording": pdf["recording"], "frame": pdf["frame"], "seconds": [(f * hop + len(s) / 2) / rate for f, s in zip(pdf["frame"], pdf["samples"])], "hz": [g[0] if g[2] else None for g in got], "confidence": [g[1] for g in got], "voiced": [g[2] for g in got]})
 
     return frames.select("recording", "frame", "samples").mapInPandas(run, "recording long, frame long, seconds double, hz double, confidence double, voiced boolean")
+
+
+def tempo(envelope: np.ndarray, frame_rate: float, low: float = 60.0, high: float = 200.0) -> dict:
+    """Beats per minute of an onset envelope: concentration, autocorrelation under a log-Gaussian prior, then a beat grid by phase and least squares."""
+    none = {"valid": False, "bpm": None, "confidence": 0.0, "beats": []}
+    e = np.asarray(envelope, float)
+    if len(e) < 8 or e.sum() <= 0:
+        return none
+    top = np.sort(e)[::-1][: max(1, len(e) // 10)].sum() / e.sum()
+    if top < 0.55:
+        return none
+    lags = np.arange(max(1, int(frame_rate * 60 / high)), min(len(e) // 4, int(np.ceil(frame_rate * 60 / low))) + 1)
+    if len(lags) < 3:
+        return none
+    soft = np.convolve(e, [0.25, 0.5, 0.25], "same")  # periods that fall between frames keep their peak
+    zero = float(soft @ soft) / len(e)
+    r = np.array([float(soft[:-k] @ soft[k:]) / (len(e) - k) for k in lags]) / zero
+    prior = np.exp(-0.5 * (np.log2(frame_rate * 60 / lags / np.sqrt(low * high)) / 0.9) ** 2)
+    i = int(np.argmax(r * prior))
+    if r[i] < 0.15:
+        return none | {"confidence": float(max(r[i], 0))}
+    lag = float(lags[i])
+    if 0 < i < len(lags) - 1 and r[i - 1] - 2 * r[i] + r[i + 1] < 0:
+        lag += 0.5 * (r[i - 1] - r[i + 1]) / (r[i - 1] - 2 * r[i] + r[i + 1])
+    at = lambda p: np.interp(p, np.arange(len(e)), e)
+    phase = max(np.arange(0, lag, 0.125), key=lambda p: at(np.arange(p, len(e), lag)).sum())
+    for _ in range(2):
+        k = np.arange(int((len(e) - 1 - phase) / lag) + 1)
+        peaks, weight = [], []
+        for p in phase + k * lag:
+            a, b = max(0, int(p - 0.25 * lag)), min(len(e), int(p + 0.25 * lag) + 1)
+            peaks.append(a + int(np.argmax(e[a:b])) if b > a else p)
+            weight.append(e[a:b].max() if b > a else 0.0)
+        w, y = np.array(weight), np.array(peaks, float)
+        near = np.abs(y - (phase + k * lag)) <= 0.25 * lag
+        w = w * near
+        if (w > 0).sum() < 2:
+            return none
+        mk, my = (w @ k) / w.sum(), (w @ y) / w.sum()
+        spread = w @ (k - mk) ** 2
+        if spread > 0:
+            lag = float((w * (k - mk)) @ (y - my) / spread)
+            phase = float(my - lag * mk)
+        phase = phase % lag if phase < 0 else phase
+    beats = np.arange(phase, len(e), lag)
+    return {"valid": len(beats) >= 2, "bpm": 60 * frame_rate / lag, "confidence": float(r[i]), "beats": (beats / frame_rate).tolist()}
+
+
+def track_tempo(onsets: DataFrame, frame_rate: float, **settings) -> DataFrame:
+    """``recording, valid, bpm, confidence, beats`` of ``onsets(recording, frame, onset)``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = tempo(pdf.sort_values("frame")["onset"].to_numpy(), frame_rate, **settings)
+        return pd.DataFrame({"recording": [pdf["recording"].iloc[0]], **{k: [v] for k, v in got.items()}})
+
+    return onsets.groupBy("recording").applyInPandas(run, "recording long, valid boolean, bpm double, confidence double, beats array<double>")
+
+
+def deconvolve(recorded: np.ndarray, sweep: np.ndarray, rate: float, start: float, end: float, keep: int = 0) -> np.ndarray:
+    """Impulse response from a recorded exponential sweep: convolve with the reversed sweep whose level falls with frequency, peak-normalised through itself."""
+    if len(recorded) < len(sweep):
+        raise ValueError("the recording is shorter than the sweep")
+    t = np.arange(len(sweep)) / rate
+    inverse = sweep[::-1] * np.exp(-t * np.log(end / start) / (len(sweep) / rate))
+
+    def convolve(a, b):
+        n = 1 << int(len(a) + len(b)).bit_length()
+        return np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[: len(a) + len(b) - 1]
+
+    inverse = inverse / np.abs(convolve(sweep, inverse)).max()
+    out = convolve(recorded, inverse)[len(sweep) - 1 :]
+    return out[:keep] if keep else out

@@ -146,3 +146,15 @@ def denoise_gain(mags: DataFrame, profile: DataFrame, over: float = 1.5, reducti
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n != "FLOOR_DB"]
+
+
+def provenance(spectrum: DataFrame, rate: float, size: int, per_octave: int = 16, floor_hz: float = 500.0, drop_db: float = 35.0) -> DataFrame:
+    """Where a spectrum ends: the last of the log-spaced steps above max - drop, the fall over the next quarter octave, and whether it is steep."""
+    step = F.floor(F.log2(F.col("bin") * rate / size / floor_hz) * per_octave).cast("long")
+    steps = spectrum.filter((F.col("bin") > 0) & (F.col("bin") * rate / size >= floor_hz)).groupBy(step.alias("step")).agg(F.avg("average_db").alias("level"))
+    top = steps.agg((F.max("level") - drop_db).alias("least"))
+    last = steps.join(F.broadcast(top)).filter("level >= least").agg(F.max("step").alias("last"))  # one row
+    j = steps.join(F.broadcast(last))
+    before = F.max(F.when(F.col("step") == F.col("last"), F.col("level")))
+    after = F.max(F.when(F.col("step") == F.col("last") + per_octave // 4, F.col("level")))
+    return j.agg((floor_hz * F.pow(F.lit(2.0), (F.max("last") + 1) / per_octave)).alias("cutoff_hz"), (before - after).alias("drop_db")).withColumn("steep", F.coalesce(F.col("drop_db") >= drop_db, F.lit(False)))

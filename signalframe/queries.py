@@ -444,3 +444,42 @@ def _register():
 
 
 _register()
+
+
+@query("m14_tempo")
+def _(spark, sf_dir):
+    e = model.event_signal(spark, sf_dir).select("recording", F.col("n").alias("frame"), F.greatest(F.lit(0.0), F.col("x")).alias("onset"))
+    return measure.track_tempo(e, 8.0).select("recording", "valid", F.round("bpm", 4).alias("bpm"), F.round("confidence", 6).alias("confidence"), F.size("beats").alias("n_beats"))
+
+
+@query("m18_provenance")
+def _(spark, sf_dir):
+    spec = spectral.average_spectrum(spectral.dft(model.frames(spark, sf_dir), 64), 64)
+    return rounded(spectral.provenance(spec, 8000.0, 64))
+
+
+@query(
+    "k7_csv_report",
+    f"WITH {EVENT} SELECT recording || ',' || printf('%.3f', max(abs(x))) || ',' || printf('%.3f', {db_sql('sqrt(avg(x * x))')}) AS line FROM ev GROUP BY recording",
+)
+def _(spark, sf_dir):
+    from .plans import reports
+
+    e = model.event_signal(spark, sf_dir)
+    r = e.groupBy("recording").agg(F.max(F.abs("x")).alias("peak"), model.db(F.sqrt(F.avg(F.col("x") * F.col("x")))).alias("rms_db"))
+    return reports.csv_lines(r)
+
+
+@query("k8_k9_session")
+def _(spark, sf_dir):
+    """Save the timeline as sessions of a thousand order keys and load them again: the clips come back as they were."""
+    from .plans import session
+
+    clips = model.clips(spark, sf_dir).withColumn("source_start", F.lit(0).cast("long")).withColumn("session_id", F.floor(F.col("clip_id") / 1000))
+    sources = clips.select("session_id", "source_id").distinct().selectExpr("session_id", "source_id", "cast(source_id AS string) AS name", "'' AS path", "100L AS frame_count", "8000.0D AS source_sample_rate", "1 AS source_channels")
+    markers = clips.groupBy("session_id").agg(F.min("timeline_start").alias("position")).selectExpr("session_id", "position", "0L AS length", "'start' AS label")
+    saved = session.save(spark, sources, clips, markers, 8000.0, 1)
+    return session.load(saved)["clips"].select("clip_id", "source_id", "source_start", "length", "timeline_start", F.round("gain", 6).alias("gain"))
+
+
+SQL["k8_k9_session"] = f"WITH {CLIPS} SELECT clip_id, source_id, 0::BIGINT AS source_start, length, timeline_start, round(gain::DOUBLE, 6) AS gain FROM clips"
