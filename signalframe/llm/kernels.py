@@ -160,13 +160,13 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def map_chunks(df: DataFrame, fn: Callable, schema: str, column: str = "text", setup: Callable | None = None) -> DataFrame:
+def map_chunks(df: DataFrame, fn: Callable, schema: str, column: str = "text", setup: Callable | None = None, most: int = CHUNK_BYTES) -> DataFrame:
     """``fn(batch, buf, offs[, what setup() gave])`` over every chunk; it returns a RecordBatch, a dict of columns or None."""
 
     def run(batches):
         own = [setup()] if setup else []
         for batch in batches:
-            for part, buf, offs in chunks(batch, column):
+            for part, buf, offs in chunks(batch, column, most):
                 out = fn(part, buf, offs, *own)
                 if isinstance(out, dict):
                     out = pa.RecordBatch.from_pydict(out)

@@ -36,6 +36,8 @@ LEAST = 400
 W, Q = 24, 8
 LEVELS = 3  # ranks over 1, 2 and 4 blocks
 J_BITS, ROW_BITS = 22, 22
+CHUNK = 3 << 18  # bytes of text at once; several 8-byte values stand for each
+SPANS = 4_000  # families whose windows are written out at once
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, hashes: SpanHash) -> np.ndarray:
@@ -148,10 +150,10 @@ def _pack(texts: DataFrame, ids: DataFrame) -> DataFrame:
         raw = buf.tobytes()
         return {"row": batch.column("row").take(pa.array(ok)), "packed": pa.array([own[1].compress(raw[offs[i] : offs[i + 1]]) for i in ok.tolist()], pa.binary())}
 
-    return map_chunks(texts.withColumn("hash", F.xxhash64("row")), run, "row long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)))
+    return map_chunks(texts.withColumn("hash", F.xxhash64("row")), run, "row long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)), most=CHUNK)
 
 
-def _unpacked(batches, most=2 << 20):
+def _unpacked(batches, most=CHUNK):
     """Chunks of texts again: (batch, buffer, offsets)."""
     d = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -202,8 +204,8 @@ def _window_rows(least):
             info = np.frombuffer(data.tobytes(), "<i8").reshape(-1, 3)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at) // 24)
             n = info[:, 1] - info[:, 0] + 1
-            for a in range(0, len(n), 20_000):
-                k = n[a : a + 20_000]
+            for a in range(0, len(n), SPANS):
+                k = n[a : a + SPANS]
                 of = np.repeat(np.arange(a, a + len(k)), k)
                 start = info[of, 0] + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 place = offs[doc[of]] + start
@@ -232,7 +234,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     scratch = Scratch(spark, "repeats")
     texts = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     own = texts.select("doc_id", "row", "text")
-    ranks = prefix_doubling(map_chunks(own, lambda *a: _blocks(*a, least), "pos long, rank long"), scratch)
+    ranks = prefix_doubling(map_chunks(own, lambda *a: _blocks(*a, least), "pos long, rank long", most=CHUNK), scratch)
     part, at = F.shiftright("pos", ROW_BITS + J_BITS), F.shiftright("pos", J_BITS).bitwiseAND((1 << ROW_BITS) - 1)
     ranks = ranks.select((F.shiftleft(part, 33) + at).alias("row"), F.col("pos").bitwiseAND((1 << J_BITS) - 1).alias("j"), "level")
     levels = scratch.keep(_joined(ranks, "levels", "j", "level", kind="int"), "levels")
@@ -246,7 +248,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     open_ = wholes.join(mixed, "anchor").select("row", "low", "high", F.least("n", F.lit(2)).alias("weight"))
     spans = scratch.keep(_joined(open_, "spans", "low", "high", "weight"), "spans")
     windows = _pack(own, spans.select("row")).join(spans, "row").mapInArrow(_window_rows(least), "row long, start long, h long, weight long")
-    bare = map_chunks(own, lambda *a: _bare_rows(*a, least), "row long, start long, h long, weight long")
+    bare = map_chunks(own, lambda *a: _bare_rows(*a, least), "row long, start long, h long, weight long", most=CHUNK)
     windows = scratch.keep(windows.union(bare), "windows")
     again = windows.groupBy("h").agg(F.sum("weight").alias("w"), F.min("weight").alias("one")).filter("w > 1 AND one = 1").select("h")
     single = windows.filter("weight = 1").join(again, "h").select("row", "start", (F.col("start") + least).alias("end"))
@@ -302,6 +304,6 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
         for batch, buf, offs in _unpacked(batches):
             yield _results(batch.column("doc_id"), buf, offs, batch.column("marks"))
 
-    direct = map_chunks(hashed, untouched, RESULT, setup=lambda: held.value)
-    texts = map_chunks(hashed, maybe, "row long, doc_id long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)))
+    direct = map_chunks(hashed, untouched, RESULT, setup=lambda: held.value, most=CHUNK)
+    texts = map_chunks(hashed, maybe, "row long, doc_id long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)), most=CHUNK)
     return direct.union(texts.join(marks, "row", "left").mapInArrow(cut, RESULT))
