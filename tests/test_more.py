@@ -56,3 +56,28 @@ def test_reports(spark):
     df = spark.createDataFrame([('a "b", c', 1.23456, None)], "file string, integrated double, lra double")
     assert reports.csv_lines(df).first()["line"] == '"a ""b"", c",1.235,'
     assert reports.json_lines(df).first()["json"] == '{"file":"a \\"b\\", c","integrated":1.235,"lra":null}'
+
+
+def test_bands_add_up_flat():
+    from signalframe.operators import advanced
+
+    impulse = np.zeros(20000)
+    impulse[0] = 1
+    h = np.abs(np.fft.rfft(sum(advanced.split_bands(impulse, 48000, [200.0, 2000.0, 8000.0]))))
+    assert 20 * np.log10(h.max() / h.min()) < 1e-5
+
+
+def test_exact_peak():
+    from signalframe.operators import advanced
+
+    x = np.sin(2 * np.pi * 0.25 * np.arange(20000) + np.pi / 4)
+    assert advanced.exact_peak(x) == pytest.approx(1, abs=0.02) and advanced.exact_peak(x[:100]) == np.abs(x[:100]).max()
+
+
+def test_dither_stays_within_two_steps(spark):
+    from signalframe.operators import advanced
+
+    x = 0.5 * np.sin(np.arange(500) / 9)
+    df = spark.createDataFrame([(0, 0, i, float(v)) for i, v in enumerate(x)], "recording long, channel int, n long, x double")
+    got = np.array([r["x"] for r in advanced.dither(df, 8).orderBy("n").collect()])
+    assert np.abs(got - x).max() <= 1.5 / 128 and np.allclose(got * 128, np.round(got * 128))
