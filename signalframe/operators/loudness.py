@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +111,9 @@ def loudness_range(points: DataFrame) -> DataFrame:
 
 
 def programme(samples: DataFrame, rate: float, weighted: bool = True) -> DataFrame:
-    """Integrated loudness, range and the loudest windows of each recording."""
-    points = series(sub_blocks(samples, rate, weighted), rate)
+    """Integrated loudness, range and the loudest windows of each recording.
+
+    Three aggregations read the points (ten small rows a second), so they are persisted rather than filtered three times."""
+    points = series(sub_blocks(samples, rate, weighted), rate).persist(StorageLevel.MEMORY_AND_DISK)
     tops = points.groupBy("recording").agg(F.max("momentary").alias("max_momentary"), F.max("short_term").alias("max_short_term"))
     return tops.join(integrated(points), "recording", "left").join(loudness_range(points), "recording", "left")
