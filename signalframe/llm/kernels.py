@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
