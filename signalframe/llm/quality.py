@@ -1,16 +1,16 @@
 """Quality rules: repetition and length rules, then bands of character n-gram perplexity for each language.
 
-The model is an interpolated modified Kneser-Ney model of the byte n-grams (up to ``order``) inside words, one for
-each value of ``lang``.  Spark counts it over every word of every text; each task sends the counts of its distinct
-n-grams.  It is stored as sorted arrays of 64-bit hashes with log probabilities and back-off weights beside them,
-and is broadcast: ``max_entries`` proves the bound (beyond it the rarest n-grams of the highest order are pruned by a
-minimum count that is derived from the histogram of all counts, as usual for pruned Kneser-Ney models).
+The model is an interpolated modified Kneser-Ney model of the byte n-grams (``order``) of whole texts, from START to END and
+across words, one for each value of ``lang``.  Spark counts every byte of every text; each task sends the counts of its
+distinct n-grams.  Discounts and probabilities come from all counts by joins; no n-gram is left out.  As the texts that are
+scored are those that were counted, every n-gram is known and no back-off is needed.  The log probabilities are broadcast
+in blocks of about ``block`` n-grams by hash; a task holds some text and reads the blocks one after another.
 
 A document is rejected where its mean log perplexity lies more than ``width`` robust standard deviations (from the
 quartiles of all scored documents of its language, read off an exact histogram) off the median.
 
 Defined cases: a null or blank text has no words and no perplexity and fails the base rules; a null ``lang`` is a
-language of its own; repeated rows and equal texts are counted and judged as often as they occur; an empty table gives
+language of its own; bytes 0 to 2 count as byte 3; repeated rows and equal texts are counted and judged as often as they occur; an empty table gives
 an empty result; extra columns are ignored by ``quality_rules`` and kept by ``keep_quality``.
 """
 
@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import (
-    ALNUM, LOWER, NON_SPACE, U64, Scratch, SpanHash, distinct, map_chunks, mix, per_doc, small, spans, table, windows,
+    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, mix, per_doc, small, spans, table, windows,
 )
 
-ORDER = 5
-MAX_ENTRIES = 4_000_000
+ORDER = 6
+BLOCK = 4_000_000  # n-grams of a broadcast block
+HOLD = 12 << 20  # bytes of text that are scored at once where there are several blocks
+FLUSH = 1_500_000
 WIDTH = 6.0
 BIN = 0.005
-LONGEST = 64  # bytes of a word that n-grams are taken from; a longer run of bytes is scored as words of this length
 SYMBOLS = table(b"#*$%&|<>")
 START, END = 1, 2
 METRICS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
@@ -39,65 +40,72 @@ def _langs(column) -> np.ndarray:
     return np.array([x if x is not None else "" for x in column.to_pylist()], dtype=object)
 
 
-def _lang_salt(langs: np.ndarray) -> np.ndarray:
-    from zlib import crc32
-
-    return np.array([crc32(x.encode()) for x in langs], dtype=U64) << U64(32)
+def _salts(batch) -> np.ndarray:
+    langs = _langs(batch.column("lang"))
+    known = {x: _hash(x) for x in set(langs)}
+    return np.array([known[x] for x in langs], U64)
 
 
-def _words(buf, offs, salt):
-    """Distinct words of a chunk as byte rows padded by START and END: (matrix, lengths, words' classes, class sizes, doc word offsets)."""
-    low = LOWER[buf]
-    starts, ends = spans(ALNUM[low], offs)
-    while len(starts) and (ends - starts).max() > LONGEST:  # cut long runs into pieces
-        long = ends - starts > LONGEST
-        rest = np.stack([starts[long] + LONGEST, ends[long]], 1)
-        ends = ends.copy()
-        ends[long] = starts[long] + LONGEST
-        starts, ends = np.concatenate([starts, rest[:, 0]]), np.concatenate([ends, rest[:, 1]])
-        by = np.argsort(starts, kind="stable")
-        starts, ends = starts[by], ends[by]
-    word_offs = np.searchsorted(starts, offs)
-    docs = np.repeat(np.arange(len(offs) - 1), np.diff(word_offs))
-    first, cls, sizes = distinct(mix(SpanHash(low)(starts, ends) ^ salt[docs]))
-    return low, starts[first], ends[first], docs[first], cls, sizes, word_offs
-
-
-def _grams(low, starts, ends, order):
-    """For each byte of the words and their END: the packed n-gram that ends there (up to ``order`` bytes, START included), its length, its word."""
-    length = ends - starts + 1
-    word = np.repeat(np.arange(len(starts)), length)
-    at = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
-    source = np.minimum(starts[word] + at, max(len(low) - 1, 0))
-    byte = np.where(at == length[word] - 1, END, low[source] if len(low) else 0).astype(U64)
-    byte[(byte == START) | (byte == 0)] = 3
-    packed, have = byte.copy(), np.ones(len(word), np.int64)
+def _grams(buf, offs, order):
+    """For each byte of the texts and their END: the packed n-gram that ends there (``order`` bytes, fewer near START); offsets and documents of the places."""
+    n = len(offs) - 1
+    size = np.diff(offs) + 2
+    begin = np.cumsum(size) - size
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
+    at = np.arange(len(doc)) - begin[doc]
+    text = np.ones(len(doc), bool)
+    text[begin] = text[begin + size - 1] = False
+    byte = np.full(len(doc), START, np.uint8)
+    byte[begin + size - 1] = END
+    byte[text] = np.maximum(LOWER[buf], END + 1)
+    wide = byte.astype(U64)
+    packed = wide.copy()
     for back in range(1, order):
-        there = at >= back
-        shifted = np.zeros(len(byte), U64)
-        shifted[back:] = byte[:-back]
-        value = np.where(there, shifted, np.where(at == back - 1, U64(START), U64(0)))
-        packed |= value << U64(8 * back)
-        have += at >= back - 1
-    return packed, np.minimum(have, order), word
-
-
-def _count(batch, buf, offs, order=ORDER):
-    salt = _lang_salt(langs := _langs(batch.column("lang")))
-    low, starts, ends, docs, cls, sizes, _ = _words(buf, offs, salt)
-    if not len(starts):
-        return None
-    packed, _, word = _grams(low, starts, ends, order)
-    names, code = np.unique(langs.astype(str), return_inverse=True)
-    key = mix(packed ^ (code[docs[word]].astype(U64) << U64(48)))
-    first, cls, _ = distinct(key)
-    total = np.bincount(cls, weights=sizes[word], minlength=len(first)).astype(np.int64)
-    return {"lang": pa.array(names[code[docs[word[first]]]]), "gram": pa.array(packed[first].astype(np.int64)), "n": pa.array(total)}
+        packed[back:] |= np.where(at[back:] >= back, wide[:-back], U64(0)) << U64(8 * back)
+    ok = at > 0
+    return packed[ok], np.append(begin - np.arange(n), len(doc) - n), doc[ok]
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """How often each n-gram that ends at a byte of a word occurs in each language, over all texts."""
-    part = map_chunks(docs.select("text", "lang"), lambda *a: _count(*a, order=order), "lang string, gram long, n long")
+    """How often each n-gram that ends at a byte of a text or its END occurs in each language, over all texts; a task adds up what it sees."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def merged():
+            keys, grams, lang, n = (np.concatenate(x) for x in zip(*held))
+            first, cls, _ = distinct(keys)
+            return keys[first], grams[first], lang[first], np.bincount(cls, n, len(first)).astype(np.int64)
+
+        def out():
+            _, grams, lang, n = held[0]
+            return pa.RecordBatch.from_pydict({"lang": pa.array(np.array(names, object)[lang], pa.string()), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(n)})
+
+        names, index = [], {}
+        for batch in batches:
+            for part, buf, offs in chunks(batch, "text"):
+                langs = _langs(part.column("lang"))
+                for x in langs:
+                    if x not in index:
+                        index[x] = len(names)
+                        names.append(x)
+                code = np.array([index[x] for x in langs], np.int32)
+                grams, _, doc = _grams(buf, offs, order)
+                keys = _key(grams, _salts(part)[doc])
+                first, _, n = distinct(keys)
+                held.append((keys[first], grams[first], code[doc[first]], n))
+                size += len(first)
+                if size > FLUSH:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            held = [merged()]
+            yield out()
+
+    part = docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -185,23 +193,79 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES, scratch: Scratch | None = None) -> KneserNey:
-    """Count over all texts, prune to the bound if need be, and build the arrays on the driver (at most ``max_entries`` rows)."""
+def _hash(lang: str) -> U64:
+    from hashlib import blake2b
+
+    return U64(int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
+def _key(grams: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return mix(mix(grams + U64(0x632BE59BD9B4E019)) ^ salt)
+
+
+def probabilities(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
+    """``lang, gram, logp``: the log probability of the last byte of every n-gram of ``counts``, by joins; the same model as ``KneserNey``.
+
+    Levels go from the highest order down, probabilities from the lowest up; discounts come from all counts of a level.
+    """
+    low = lambda n: (1 << (8 * n)) - 1
+    size = F.lit(1)
+    for n in range(1, order):
+        size = F.when(F.col("gram") > low(n), n + 1).otherwise(size)
+    sized = counts.withColumn("size", size)
+    levels = {order: sized.filter(F.col("size") == order).select("lang", "gram", F.col("n").alias("c"))}
+    for n in range(order - 1, 0, -1):
+        both = levels[n + 1].select("lang", F.col("gram").bitwiseAND(F.lit(low(n))).alias("gram"), F.lit(1).cast("long").alias("c")).union(sized.filter(F.col("size") == n).select("lang", "gram", "n"))
+        levels[n] = scratch.keep(both.groupBy("lang", "gram").agg(F.sum("c").alias("c")), f"level-{n}")
+    below, parts = None, []
+    for n in range(1, order + 1):
+        seen = levels[n].groupBy("lang").agg(*(F.greatest(F.lit(1), F.sum((F.col("c") == i).cast("long"))).alias(f"n{i}") for i in (1, 2, 3, 4)))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        off = [F.least(F.lit(i * 0.95), F.greatest(F.lit(0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"))).alias(f"d{i}") for i in (1, 2, 3)]
+        own = levels[n].join(small(scratch.keep(seen.select("lang", *off), f"off-{n}")), "lang")
+        own = own.select("lang", "gram", "c", F.shiftright("gram", 8).alias("ctx"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+        own = own.join(own.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("back")), ["lang", "ctx"])
+        if below is None:
+            own = own.withColumn("low", F.lit(1 / 256.0))
+        else:
+            own = own.withColumn("rest", F.col("gram").bitwiseAND(F.lit(low(n - 1)))).join(below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low")), ["lang", "rest"])
+        own = own.select("lang", "gram", ((F.col("c") - F.col("cut") + F.col("back") * F.col("low")) / F.col("total")).alias("p"))
+        below = scratch.keep(own, f"p-{n}")
+        parts.append(below if n == order else below.filter(F.shiftright("gram", 8 * (n - 1)) == START))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.select("lang", "gram", F.log("p").cast("float").alias("logp"))
+
+
+def fit(docs: DataFrame, order: int = ORDER, block: int = BLOCK, scratch: Scratch | None = None) -> list:
+    """Broadcast blocks of the model of all texts: sorted keys and log probabilities, about ``block`` n-grams each, none left out."""
+    if order > 7:
+        raise ValueError("an n-gram has 7 bytes at most")
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     counts = scratch.keep(gram_counts(docs, order), "counts")
-    least, left = 1, max_entries
-    sizes = counts.groupBy(F.least("n", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect()  # at most 10,000 rows
-    for c, n in sizes:
-        left -= n
-        if left < 0:
-            least = c + 1
-            break
-    rows = counts.filter(F.col("n") >= least).toArrow()
-    scratch.drop("counts")
-    return KneserNey(rows.column("lang").to_pylist(), rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
-
-
-def _measure(batch, buf, offs, model=None):
+    n = max(1, -(-counts.count() // block))
+    found = probabilities(counts, order, scratch)
+    if n > 1:
+        found = found.withColumn("block", F.expr(f"pmod(xxhash64(lang, gram), {n})")).repartitionByRange("block").sortWithinPartitions("block")
+        found = scratch.keep(found, "model")
+    out = []
+    for i in range(n):
+        rows = (found.filter(F.col("block") == i) if n > 1 else found).select("lang", "gram", "logp").toArrow()
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        langs = langs.combine_chunks() if hasattr(langs, "combine_chunks") else langs
+        salt = np.array([_hash(x) for x in langs.dictionary.to_pylist()], U64)
+        keys = _key(rows.column("gram").to_numpy().astype(U64), salt[langs.indices.to_numpy()] if len(salt) else np.zeros(0, U64))
+        by = np.argsort(keys)
+        out.append(docs.sparkSession.sparkContext.broadcast((keys[by], rows.column("logp").to_numpy()[by])))
+        del rows, langs, keys
+    for name in ("counts", "model", *(f"{k}-{i}" for k in ("level", "off", "p") for i in range(1, order + 1))):
+        scratch.drop(name)
+    return out
+
+
+def _measure(batch, buf, offs):
+    """The base measures of a chunk and what its perplexities need: (columns, keys of distinct n-grams, their classes, offsets, valid)."""
     starts, ends = spans(NON_SPACE[buf], offs)
     word_offs = np.searchsorted(starts, offs)
     docs = np.repeat(np.arange(len(offs) - 1), np.diff(word_offs))
@@ -234,26 +298,49 @@ def _measure(batch, buf, offs, model=None):
         "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_words": pa.array(np.diff(word_offs)), "word_chars": pa.array(per_doc(letters, offs)),
         "n_symbols": pa.array(per_doc(SYMBOLS[buf], offs)), "n_dup_lines": pa.array(dup_lines.astype(np.int64)), "n_repeat_words": pa.array(per_doc(inside[: len(starts)], word_offs)),
     }
-    langs = _langs(batch.column("lang"))
-    low, s, e, of, cls, _, word_offs = _words(buf, offs, _lang_salt(langs))
-    ppl, valid = np.zeros(n), np.diff(word_offs) > 0
-    if len(s) and model is not None:
-        index = {x: i for i, x in enumerate(model.names)}
-        code = np.array([index.get(x, len(index)) for x in langs])
-        packed, have, word = _grams(low, s, e, model.order)
-        words = np.bincount(word, model.score(packed, have, code[of[word]]), len(s))
-        sums = np.concatenate([[0.0], np.cumsum(words[cls])])
-        size = np.concatenate([[0], np.cumsum((e - s + 1)[cls])])
-        count = size[word_offs[1:]] - size[word_offs[:-1]]
-        ppl = -(sums[word_offs[1:]] - sums[word_offs[:-1]]) / np.maximum(count, 1)
-    out["log_ppl"] = pa.array(np.round(ppl, 4), mask=~valid)
-    return out
-
-
-def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """Base measures and the mean log perplexity of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    return map_chunks(docs.select("doc_id", "text", "lang"), _measure, METRICS, setup=lambda: held.value)
+    return out, np.diff(word_offs) > 0
+
+
+def _perplexity(at: np.ndarray, logp: np.ndarray, cls: np.ndarray, valid: np.ndarray) -> pa.Array:
+    sums = np.concatenate([[0.0], np.cumsum(logp[cls], dtype=np.float64)])
+    ppl = -(sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
+    return pa.array(np.round(ppl, 4), mask=~valid)
+
+
+def measure(docs: DataFrame, model: list, order: int = ORDER, hold: int = HOLD) -> DataFrame:
+    """Base measures and the mean log perplexity of every document of the texts that the model was counted over."""
+
+    def load(block):  # a block of many isn't kept: the next one takes its place
+        return block.value if len(model) == 1 else block.load_from_path(block._path)
+
+    def score(held):
+        for block in model:
+            keys, logs = load(block)
+            for _, own, logp, *_ in held:
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = keys[at] == own
+                    logp[hit] = logs[at[hit]]
+        for out, _, logp, cls, at, valid in held:
+            yield pa.RecordBatch.from_pydict(out | {"log_ppl": _perplexity(at, logp, cls, valid)})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part, buf, offs in chunks(batch, "text"):
+                out, valid = _measure(part, buf, offs)
+                grams, at, doc = _grams(buf, offs, order)
+                keys = _key(grams, _salts(part)[doc])
+                first, cls, _ = distinct(keys)
+                held.append((out, keys[first], np.full(len(first), -np.log(256), np.float32), cls.astype(np.int32), at, valid))
+                size += len(buf)
+                if len(model) == 1 or size > hold:
+                    yield from score(held)
+                    held, size = [], 0
+        if held:
+            yield from score(held)
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, METRICS)
 
 
 def bands(metrics: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -267,11 +354,13 @@ def bands(metrics: DataFrame, width: float = WIDTH) -> DataFrame:
     return q.select("lang", (F.col("q2") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
 
 
-def quality_rules(docs: DataFrame, width: float = WIDTH, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def quality_rules(docs: DataFrame, width: float = WIDTH, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """One row per document: its measures, ``log_ppl`` with its language's band, ``base_failed`` and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(docs, order, max_entries, scratch)
-    metrics = scratch.keep(measure(docs, model), "metrics")
+    model = fit(docs, order, block, scratch)
+    metrics = scratch.keep(measure(docs, model, order), "metrics")
+    for x in model:
+        x.destroy()
     return _judged(metrics, small(scratch.keep(bands(metrics, width), "bands")))
 
 

@@ -314,3 +314,27 @@ def test_licenses(docs, none, spark):
         want[(k, name, score, tuple(names))] += 1
     assert multi(licenses.scan(df), "doc_id", "license", "score", "licenses") == want
     assert licenses.scan(none).count() == 0
+
+
+def test_quality_keeps_every_gram(spark, docs):
+    scratch = kernels.Scratch(spark, "t")
+    counts = scratch.keep(quality.gram_counts(docs, 4), "counts")
+    rows = counts.collect()
+    texts = Counter()
+    for r in ROWS:
+        s = b"\1" + (r[1] or "").lower().encode() + b"\2" if (r[1] or "").isascii() else None
+        for i in range(1, len(s) if s else 0):
+            texts[(r[2] or "", s[max(0, i - 3) : i + 1])] += 1
+    got = {(r["lang"], r["gram"].to_bytes(8, "big").lstrip(b"\0")): r["n"] for r in rows}
+    assert all(got[k[0], k[1].replace(b"\0", b"\3")] >= n for k, n in texts.items())
+    model = quality.KneserNey([r["lang"] for r in rows], np.array([r["gram"] for r in rows], np.uint64), np.array([r["n"] for r in rows]), order=4)
+    found = quality.probabilities(counts, 4, scratch).collect()
+    assert {(r["lang"], r["gram"]) for r in found} == {(r["lang"], r["gram"]) for r in rows} and len(found) == len(rows)
+    grams = np.array([r["gram"] for r in found], np.uint64)
+    have = np.array([len(r["gram"].to_bytes(8, "big").lstrip(b"\0")) for r in found])
+    assert [r["logp"] for r in found] == pytest.approx(model.score(grams, have, np.array([model.names.index(r["lang"]) for r in found])).tolist(), abs=1e-5)
+
+
+def test_quality_blocks(docs):
+    one, many = (multi(quality.quality_rules(docs, block=n), "doc_id", "log_ppl", "kept") for n in (1 << 20, 2000))
+    assert one == many
