@@ -29,8 +29,8 @@ ORDER = 6
 BLOCK = 4_000_000  # n-grams of a broadcast block
 HOLD = 12 << 20  # bytes of text that are scored at once where there are several blocks
 FLUSH = 1_500_000
-WIDTH = 6.0
-BIN = 0.005
+WIDTH = 3.5
+BIN = 0.001
 SYMBOLS = table(b"#*$%&|<>")
 START, END = 1, 2
 METRICS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
@@ -350,7 +350,7 @@ def bands(metrics: DataFrame, width: float = WIDTH) -> DataFrame:
     cum = bins.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
     at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) + 0.5) * BIN
     q = cum.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.05)) * width
+    spread = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(BIN)) * width
     return q.select("lang", (F.col("q2") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
 
 

@@ -338,3 +338,14 @@ def test_quality_keeps_every_gram(spark, docs):
 def test_quality_blocks(docs):
     one, many = (multi(quality.quality_rules(docs, block=n), "doc_id", "log_ppl", "kept") for n in (1 << 20, 2000))
     assert one == many
+
+
+def test_quality_sees_word_order(spark):
+    rng = random.Random(6)
+    text = "the quick brown fox jumps over a lazy dog while seven wise owls watch from old trees by our river bank " * 5
+    mixed = text.split()
+    rng.shuffle(mixed)
+    df = spark.createDataFrame([(i, text if i else " ".join(mixed), "en") for i in range(30)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert got[0]["log_ppl"] > got[1]["log_ppl"] + 0.1
+    assert not got[0]["log_ppl"] <= got[0]["high"] and got[1]["log_ppl"] <= got[1]["high"]
