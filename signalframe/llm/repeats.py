@@ -4,9 +4,10 @@ Suffixes are ranked at anchors only: places whose ``Q``-byte hash is the smalles
 place is an anchor depends on the bytes around it alone, so equal passages have equal anchors, about one in 2 W + 1 bytes.
 
 1. An anchor's rank is its block (the bytes up to the next anchor).  Spark joins position-rank pairs at offsets 1, 2, ...
-   and reranks them by the smallest position of each pair; what is unique drops out in every round.
+   and reranks them by a hash of each pair; what is unique drops out in every round.
 2. A window of ``least`` bytes belongs to its first anchor that lies ``W`` bytes or more inside.  A family of windows (one
-   anchor) can only repeat where the blocks that all its windows hold have repeated ranks.
+   anchor) can only repeat where the blocks that all its windows hold have repeated ranks; one whose windows hold no block
+   in common always may.
 3. Families that survive are compared as a whole (the bytes of all their windows).  Where that is unique but other
    families have the same anchor, their windows are compared one by one; so are windows without any anchor.
 4. Every byte of a window that occurs again is removed.
@@ -15,8 +16,7 @@ So each comparison is exact up to 64-bit hashes, whatever the anchors are; they
 and only where a fixed-size bitmap of rows says that they may be needed.
 
 Defined cases: null texts are empty; texts shorter than ``least`` keep all; rows that share a ``doc_id`` are documents of their
-own (and copies of each other); an empty table gives an empty result.  Documents may have up to 2**22 anchors (about
-200 MB) and input partitions up to 2**22 rows; more raises an error.
+own (and copies of each other); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from .neardup import id_bitmap, seen
 LEAST = 400
 W, Q = 24, 8
 LEVELS = 3  # ranks over 1, 2 and 4 blocks
-J_BITS, ROW_BITS = 22, 22
 CHUNK = 3 << 18  # bytes of text at once; several 8-byte values stand for each
 SPANS = 4_000  # families whose windows are written out at once
 
@@ -101,42 +100,51 @@ class Families:
         return np.flatnonzero((np.cumsum(valid) > 0) & (np.cumsum(cover) == 0))
 
 
-def _pos(row: np.ndarray, j: np.ndarray) -> np.ndarray:
-    part, at = row >> 33, row & ((1 << 33) - 1)
-    if len(j) and (j.max() >= 1 << J_BITS or at.max() >= 1 << ROW_BITS or part.max() >= 1 << (63 - J_BITS - ROW_BITS)):
-        raise ValueError("a document has too many anchors, or a partition too many rows")
-    return (part << (ROW_BITS + J_BITS)) | (at << J_BITS) | j
-
-
 def _blocks(batch, buf, offs, least):
     f = Families(buf, offs, least)
     ok = f.next >= 0
     row = batch.column("row").to_numpy()
-    return {"pos": pa.array(_pos(row[f.doc[ok]], f.j[ok])), "rank": pa.array((f.block[ok] >> U64(1)).astype(np.int64))}
+    return {"row": pa.array(row[f.doc[ok]]), "j": pa.array(f.j[ok]), "rank": pa.array((f.block[ok] >> U64(1)).astype(np.int64))}
+
 
+def _family_columns(f, ok, row, offs, least):
+    a, low, high, doc = f.at[ok], f.low[ok], f.high[ok], f.doc[ok]
+    return {
+        "row": pa.array(row[doc]), "low": pa.array((low - offs[doc]).astype(np.int64)), "high": pa.array((high - offs[doc]).astype(np.int64)),
+        "anchor": pa.array(f.hashes(a - W, a + W + Q).astype(np.int64)), "whole": pa.array((f.hashes(low, high + least) + (a - low).astype(U64) * U64(0xD1B54A32D192ED03)).astype(np.int64)),
+    }
 
-def _bare_rows(batch, buf, offs, least):
+
+def _direct(batch, buf, offs, least):
+    """What can repeat without a repeated block: windows without an anchor (``start, h``) and families that hold no block (``low, high, anchor, whole``)."""
     f = Families(buf, offs, least)
     at = f.bare(offs, least)
     doc = np.searchsorted(offs, at, "right") - 1
-    return {"row": pa.array(batch.column("row").to_numpy()[doc]), "start": pa.array(at - offs[doc]), "h": pa.array(f.hashes(at, at + least).astype(np.int64)), "weight": pa.array(np.ones(len(at), np.int64))}
+    row = batch.column("row").to_numpy()
+    out = _family_columns(f, f.some & (f.held == 0), row, offs, least)
+    n, k = len(at), len(out["row"])
+    out = {c: pa.concat_arrays([pa.nulls(n, pa.int64()), x]) for c, x in out.items()}
+    out["row"] = pa.concat_arrays([pa.array(row[doc], pa.int64()), out["row"].slice(n)])
+    out["start"] = pa.concat_arrays([pa.array(at - offs[doc], pa.int64()), pa.nulls(k, pa.int64())])
+    out["h"] = pa.concat_arrays([pa.array(f.hashes(at, at + least).astype(np.int64)), pa.nulls(k, pa.int64())])
+    return {c: out[c] for c in ("row", "start", "h", "low", "high", "anchor", "whole")}
 
 
 def _rerank(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions whose keys occur again, with the smallest such position as their rank."""
-    classes = pairs.groupBy(*keys).agg(F.min("pos").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return pairs.join(classes, keys).select("pos", F.col("least").alias("rank"))
+    """Positions whose keys occur again, with a 64-bit hash of the keys as their rank."""
+    classes = pairs.groupBy(*keys).count().filter("count > 1").drop("count")
+    return pairs.join(classes, keys).select("row", "j", F.xxhash64(*keys).alias("rank"))
 
 
 def prefix_doubling(blocks: DataFrame, scratch: Scratch, levels: int = LEVELS) -> DataFrame:
-    """``pos, level``: the largest level (2**level blocks) at which the sequence from a position occurs again."""
+    """``row, j, level``: the largest level (2**level blocks) at which the sequence from a position occurs again."""
     now = scratch.keep(_rerank(blocks, ["rank"]), "rank-0")
-    deepest = now.select("pos", F.lit(0).alias("level"))
+    deepest = now.select("row", "j", F.lit(0).alias("level"))
     for k in range(1, levels):
-        ahead = now.select((F.col("pos") - (1 << (k - 1))).alias("pos"), F.col("rank").alias("ahead"))
-        now = scratch.keep(_rerank(now.join(ahead, "pos"), ["rank", "ahead"]), f"rank-{k}")
-        deepest = deepest.union(now.select("pos", F.lit(k).alias("level")))
-    return deepest.groupBy("pos").agg(F.max("level").alias("level"))
+        ahead = now.select("row", (F.col("j") - (1 << (k - 1))).alias("j"), F.col("rank").alias("ahead"))
+        now = scratch.keep(_rerank(now.join(ahead, ["row", "j"]), ["rank", "ahead"]), f"rank-{k}")
+        deepest = deepest.union(now.select("row", "j", F.lit(k).alias("level")))
+    return deepest.groupBy("row", "j").agg(F.max("level").alias("level"))
 
 
 def _pack(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -180,17 +188,13 @@ def _family_rows(levels_packed, least):
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at) // 8)
             level[begin[owner] + info[:, 0]] = info[:, 1]
             n = np.minimum(f.held, 1 << (LEVELS - 1))
-            need = np.where(f.held > 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), -1)
+            need = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
             here = np.arange(len(f.at))
-            back = np.minimum(here + np.maximum(f.held - (1 << np.maximum(need, 0)), 0), len(f.at))
-            ok = f.some & ((need < 0) | ((level[here] >= need) & (level[back] >= need)))
+            back = np.minimum(here + np.maximum(f.held - (1 << need), 0), len(f.at))
+            ok = f.some & (f.held > 0) & (level[here] >= need) & (level[back] >= need)
             if not ok.any():
                 continue
-            a, low, high, doc = f.at[ok], f.low[ok], f.high[ok], f.doc[ok]
-            yield pa.RecordBatch.from_pydict({
-                "row": pa.array(batch.column("row").to_numpy()[doc]), "low": pa.array((low - offs[doc]).astype(np.int64)), "high": pa.array((high - offs[doc]).astype(np.int64)),
-                "anchor": pa.array(f.hashes(a - W, a + W + Q).astype(np.int64)), "whole": pa.array((f.hashes(low, high + least) + (a - low).astype(U64) * U64(0xD1B54A32D192ED03)).astype(np.int64)),
-            })
+            yield pa.RecordBatch.from_pydict(_family_columns(f, ok, batch.column("row").to_numpy(), offs, least))
 
     return run
 
@@ -234,12 +238,13 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     scratch = Scratch(spark, "repeats")
     texts = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     own = texts.select("doc_id", "row", "text")
-    ranks = prefix_doubling(map_chunks(own, lambda *a: _blocks(*a, least), "pos long, rank long", most=CHUNK), scratch)
-    part, at = F.shiftright("pos", ROW_BITS + J_BITS), F.shiftright("pos", J_BITS).bitwiseAND((1 << ROW_BITS) - 1)
-    ranks = ranks.select((F.shiftleft(part, 33) + at).alias("row"), F.col("pos").bitwiseAND((1 << J_BITS) - 1).alias("j"), "level")
+    ranks = prefix_doubling(map_chunks(own, lambda *a: _blocks(*a, least), "row long, j long, rank long", most=CHUNK), scratch)
     levels = scratch.keep(_joined(ranks, "levels", "j", "level", kind="int"), "levels")
     packed = _pack(own, levels.select("row")).join(levels, "row")
-    families = scratch.keep(packed.mapInArrow(_family_rows(None, least), "row long, low long, high long, anchor long, whole long"), "families")
+    direct = map_chunks(own, lambda *a: _direct(*a, least), "row long, start long, h long, low long, high long, anchor long, whole long", most=CHUNK)
+    direct = scratch.keep(direct, "direct")
+    families = packed.mapInArrow(_family_rows(None, least), "row long, low long, high long, anchor long, whole long")
+    families = scratch.keep(families.union(direct.filter("start IS NULL").select(*families.columns)), "families")
     for k in range(LEVELS):
         scratch.drop(f"rank-{k}")
     wholes = families.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "low", "high")).alias("f"))
@@ -248,7 +253,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     open_ = wholes.join(mixed, "anchor").select("row", "low", "high", F.least("n", F.lit(2)).alias("weight"))
     spans = scratch.keep(_joined(open_, "spans", "low", "high", "weight"), "spans")
     windows = _pack(own, spans.select("row")).join(spans, "row").mapInArrow(_window_rows(least), "row long, start long, h long, weight long")
-    bare = map_chunks(own, lambda *a: _bare_rows(*a, least), "row long, start long, h long, weight long", most=CHUNK)
+    bare = direct.filter("start IS NOT NULL").select("row", "start", "h", F.lit(1).cast("long").alias("weight"))
     windows = scratch.keep(windows.union(bare), "windows")
     again = windows.groupBy("h").agg(F.sum("weight").alias("w"), F.min("weight").alias("one")).filter("w > 1 AND one = 1").select("h")
     single = windows.filter("weight = 1").join(again, "h").select("row", "start", (F.col("start") + least).alias("end"))

@@ -349,3 +349,22 @@ def test_quality_sees_word_order(spark):
     got = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
     assert got[0]["log_ppl"] > got[1]["log_ppl"] + 0.1
     assert not got[0]["log_ppl"] <= got[0]["high"] and got[1]["log_ppl"] <= got[1]["high"]
+
+
+def test_repeats_without_blocks(spark):
+    """Copies with one anchor or none: no block is there to repeat."""
+    rng = random.Random(8)
+    low = [("-" * 200 + f"a line of its own {i}" + "-" * 200) for i in range(12)] + ["a" * 300 + "b" + "a" * 300, " " * 400 + "short line here\n"]
+    low += ["".join(rng.choice("ab") * rng.randint(60, 200) for _ in range(5)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(low * 2)] + [(99, "x" + low[0] + "y"), (100, words(rng, 200))]
+    texts = [t.encode() for _, t in rows]
+    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = Counter()
+    for (k, _), t in zip(rows, texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\1" * 400
+        want[(k, len(t), sum(gone))] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert multi(repeats.dedup(df), "doc_id", "n_bytes", "n_removed") == want
