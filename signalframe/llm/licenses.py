@@ -1,15 +1,20 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-The whole text and every line of it are candidates.  A candidate of ``a`` bigrams can reach ``threshold`` only against a
+The whole text, every line of it and every window of a template's number of words, at each word and across lines, are candidates.  A candidate of ``a`` bigrams can reach ``threshold`` only against a
 template of ``b`` bigrams with ``threshold / (2 - threshold) <= a / b <= (2 - threshold) / threshold``; these bounds
-leave out nearly all of them before any bigram is compared.  Bigrams count as often as they occur.
+leave out nearly all texts and lines before any bigram is compared.  Windows are compared all at once: an occurrence of a
+bigram counts in the windows that hold it and fewer than the template's number of it before it, so differences at the ends
+of these windows add up to what each window shares.  Of windows in a row that match, the best stands for all.  Bigrams
+count as often as they occur.
 
 Defined cases: a null or blank text has no match (null licence, score 0); ties go to the template that sorts first, then
-the earliest place; repeated rows are judged each by itself; extra columns are ignored.
+the earliest place; repeated rows are judged each by itself; matches that overlap
+are one place; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 import numpy as np
@@ -37,6 +42,11 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Licences whose full text is a template too (files of ``licence_texts``).
+FULL = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+for _name in FULL:
+    TEMPLATES[_name].append(pkgutil.get_data(__package__, f"licence_texts/{_name}.txt").decode())
+
 MATCHES = "doc_id long, license string, score double, start long, end long, n_matches long, licenses array<string>"
 
 
@@ -58,6 +68,9 @@ class Templates:
         self.sizes = np.array([c.sum() for _, c in self.parts])
         self.low, self.high = self.sizes * threshold / (2 - threshold), self.sizes * (2 - threshold) / threshold
         self.any = np.unique(np.concatenate([g for g, _ in self.parts])) if self.parts else np.zeros(0, U64)
+        self.counts = np.zeros((len(self.parts), len(self.any)), np.int32)  # how often each template has each bigram
+        for t, (g, c) in enumerate(self.parts):
+            self.counts[t, np.searchsorted(self.any, g)] = c
 
 
 def dice(a: tuple, b: tuple) -> float:
@@ -67,6 +80,32 @@ def dice(a: tuple, b: tuple) -> float:
     return float(2 * np.minimum(a[1][x], b[1][y]).sum() / total) if total else 0.0
 
 
+def _slide(place, gram, own: Templates, t: int, n: int) -> np.ndarray | None:
+    """What the window of a template's size shares with it from each of ``n`` bigrams on, or None if none can match."""
+    size, count = int(own.sizes[t]), own.counts[t][gram]
+    ok = count > 0
+    place, gram, count = place[ok], gram[ok], count[ok]
+    need = max(1, int(np.ceil(own.threshold * size - 1e-9)))
+    if len(place) < need or (place[need - 1 :] - place[: len(place) - need + 1]).min() >= size:
+        return None
+    order = np.argsort(gram, kind="stable")
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    before = at - count  # the occurrence that fills the template's number
+    same = (before >= 0) & (gram[order[np.maximum(before, 0)]] == gram)
+    begin = np.maximum(place - size + 1, np.where(same, place[order[np.maximum(before, 0)]] + 1, 0))
+    edges = np.bincount(np.maximum(begin, 0), minlength=n + 1) - np.bincount(place + 1, minlength=n + 1)
+    return np.cumsum(edges)[:n]
+
+
+def _places(spans: list) -> int:
+    """How many runs of overlapping spans there are."""
+    n, last = 0, -1
+    for a, b in sorted(spans):
+        n, last = n + (a >= last), max(last, b)
+    return n
+
+
 def _scan(batch, buf, offs, own: Templates):
     low = LOWER[buf]
     starts, ends = spans(ALNUM[low], offs)
@@ -76,7 +115,9 @@ def _scan(batch, buf, offs, own: Templates):
     known = np.zeros(len(pairs) + 1, np.int64)
     if len(pairs) and len(own.any):
         at = np.minimum(np.searchsorted(own.any, pairs), len(own.any) - 1)
-        known[1:] = np.cumsum(own.any[at] == pairs)
+        held = own.any[at] == pairs
+        known[1:] = np.cumsum(held)
+        place, gram = np.flatnonzero(held), at[held]
     breaks = np.flatnonzero(buf == 10)
     begin = np.concatenate([np.sort(np.concatenate([offs[:-1], breaks + 1])), offs[:-1]])
     stop = np.concatenate([np.sort(np.concatenate([breaks, offs[1:]])), offs[1:]])
@@ -97,10 +138,24 @@ def _scan(batch, buf, offs, own: Templates):
             score = dice(grams, own.parts[t])
             if score >= own.threshold:
                 found[doc[i]].append((-round(score, 6), own.names[t], int(begin[i] - offs[doc[i]]), int(stop[i] - offs[doc[i]])))
+    word_offs = np.searchsorted(starts, offs)
+    for t in range(len(own.parts)) if len(pairs) and len(own.any) else ():
+        size = int(own.sizes[t])
+        shared = _slide(place, gram, own, t, len(pairs)) if size else None
+        if shared is None:
+            continue
+        s = np.flatnonzero(shared / size >= own.threshold)
+        of = np.searchsorted(word_offs, s, "right") - 1
+        ok = s + size < word_offs[of + 1]
+        s, of = s[ok], of[ok]
+        for run in np.split(np.arange(len(s)), np.flatnonzero((np.diff(s) > 1) | (np.diff(of) > 0)) + 1) if len(s) else ():
+            i = run[shared[s[run]].argmax()]
+            d = of[i]
+            found[d].append((-round(float(shared[s[i]] / size), 6), own.names[t], int(starts[s[i]] - offs[d]), int(ends[s[i] + size] - offs[d])))
     best = [min(x) if x else None for x in found]
     return {
         "doc_id": batch.column("doc_id"), "license": pa.array([x and x[1] for x in best], pa.string()), "score": pa.array([-x[0] if x else 0.0 for x in best]), "start": pa.array([x and x[2] for x in best], pa.int64()),
-        "end": pa.array([x and x[3] for x in best], pa.int64()), "n_matches": pa.array([len({m[2:] for m in x}) for x in found], pa.int64()), "licenses": pa.array([sorted({m[1] for m in x}) for x in found], pa.list_(pa.string())),
+        "end": pa.array([x and x[3] for x in best], pa.int64()), "n_matches": pa.array([_places([m[2:] for m in x]) for x in found], pa.int64()), "licenses": pa.array([sorted({m[1] for m in x}) for x in found], pa.list_(pa.string())),
     }
 
 
@@ -115,16 +170,22 @@ def brute(text: str | None, texts: dict[str, list[str]] = TEMPLATES, threshold:
 
     def grams(x):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in x))
-        return Counter(zip(w, w[1:]))
-
-    hits = []
-    for part in [text or "", *(text or "").split("\n")]:
-        g = grams(part)
-        for name in sorted(texts):
-            for t in texts[name]:
-                k = grams(t)
-                total = sum(g.values()) + sum(k.values())
-                score = 2 * sum((g & k).values()) / total if total else 0
-                if g and score >= threshold:
-                    hits.append((-round(score, 6), name))
+        return list(zip(w, w[1:]))
+
+    hits, whole = [], grams(text or "")
+    parts = [Counter(grams(x)) for x in [text or "", *(text or "").split("\n")]]
+    for name in sorted(texts):
+        for k in (Counter(grams(t)) for t in texts[name]):
+            size = sum(k.values())
+            scores = [2 * sum((g & k).values()) / (sum(g.values()) + size) for g in parts if g]
+            now, shared = Counter(), 0
+            for i, g in enumerate(whole):
+                now[g] += 1
+                shared += now[g] <= k[g]
+                if i >= size:
+                    shared -= now[whole[i - size]] <= k[whole[i - size]]
+                    now[whole[i - size]] -= 1
+                if i >= size - 1:
+                    scores.append(shared / size)
+            hits += [(-round(x, 6), name) for x in scores if x >= threshold]
     return (min(hits)[1], -min(hits)[0], sorted({n for _, n in hits})) if hits else (None, 0.0, [])

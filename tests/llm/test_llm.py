@@ -368,3 +368,24 @@ def test_repeats_without_blocks(spark):
         want[(k, len(t), sum(gone))] += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert multi(repeats.dedup(df), "doc_id", "n_bytes", "n_removed") == want
+
+
+def test_licenses_wrapped_and_embedded(spark):
+    import textwrap
+
+    rng = random.Random(9)
+    before, after = words(rng, 80), words(rng, 120)
+    texts, want = [], []
+    for name, own in licenses.TEMPLATES.items():
+        for t in own:
+            texts += ["\n".join(textwrap.wrap(t, 30)), f"{before} {t} {after}", f"{before}\n" + "\n".join(textwrap.wrap(t, 70)) + f"\n{after}"]
+            want += [name] * 3
+    twice = licenses.TEMPLATES["MIT"][0]
+    texts += [f"{before} {twice} {after} {twice}", before + after, "in source and binary forms " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["license"], got[i]["score"], got[i]["licenses"]) == licenses.brute(t)
+        assert i >= len(want) or want[i] in got[i]["licenses"]
+    n = len(want)
+    assert got[n]["n_matches"] == 2 and got[n]["start"] == len(before.encode()) + 1 and got[n + 1]["license"] is None
