@@ -4,9 +4,8 @@ A known word adds its log frequency in each language.  An unseen word falls back
 longest order downwards: the first order at which any of its n-grams is known scores it by their mean log frequency.
 
 Spark counts words and n-grams over all training texts; a task adds up what it sees before it sends anything.  The model
-keeps the most frequent entries: ``max_rows`` (key, language) rows of each sort prove the size of what is collected and
-broadcast.  Where there are more, a minimum count that follows from the histogram of all counts leaves out the rarest; words
-left out are unseen words and back off.
+keeps them all.  It is broadcast in blocks by hash of about ``block`` values (keys by languages); where a sort has several, a
+task takes more text at once and reads the blocks one after another.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts first;
 rows with a null ``lang`` aren't learned from; rows with a null ``doc_id`` are held out; without any training text all
@@ -21,10 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Scratch, SpanHash, chunks, distinct, flat, mix, spans, table
+from .kernels import CHUNK_BYTES, U64, Scratch, SpanHash, chunks, distinct, flat, mix, spans, table
 
 ORDER = 4
-MAX_ROWS = 600_000
+BLOCK = 4_000_000  # values (keys by languages) of a broadcast block
+HOLD = 6 << 20  # bytes of text that are looked up at once where there are several blocks
 ALPHA = 0.5
 FLUSH = 1_500_000
 #: ASCII letters and all that lies beyond ASCII may be part of a word.
@@ -130,78 +130,82 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """Sorted keys of words and n-grams with a row of log frequencies for each."""
-
-    def __init__(self, sort, key, lang, n, order=ORDER, alpha=ALPHA):
-        self.order = order
-        self.names = sorted(set(lang))
-        index = {x: i for i, x in enumerate(self.names)}
-        code = np.array([index[x] for x in lang], np.int64)
-        self.keys, self.logs = [], []
-        for s in range(order + 1):
-            own = sort == s
-            keys, at = np.unique(key[own].astype(U64), return_inverse=True)
-            total = np.zeros((len(keys), len(self.names)))
-            total[at, code[own]] = n[own]
-            self.keys.append(keys)
-            self.logs.append(np.log((total + alpha) / (total.sum(0) + alpha * max(len(keys), 1))).astype(np.float32))
+    """Blocks of sorted keys of words and n-grams with a row of log frequencies for each: for each sort a list of broadcasts."""
+
+    def __init__(self, names, blocks, order=ORDER):
+        self.names, self.blocks, self.order = names, blocks, order
 
     def words(self, buf, starts, ends) -> np.ndarray:
         """Each word's scores in all languages."""
         out = np.zeros((len(starts), len(self.names)), np.float32)
-        found, at = self._look(0, SpanHash(buf)(starts, ends))
-        out[found] = self.logs[0][at[found]]
+        found, logs = self._look(0, SpanHash(buf)(starts, ends))
+        out[found] = logs[found]
         left = np.flatnonzero(~found)
         for k in range(self.order, 0, -1):
             if not len(left):
                 break
             chars, word, _ = _codepoints(buf, starts[left], ends[left])
             g, of = _grams(chars, word, k)
-            found, at = self._look(k, g)
-            of, at = of[found], at[found]
+            found, logs = self._look(k, g)
+            of, logs = of[found], logs[found]
             known = np.bincount(of, minlength=len(left))
             for j in range(len(self.names)):
-                out[left, j] = np.bincount(of, self.logs[k][at, j], len(left)) / np.maximum(known, 1)
+                out[left, j] = np.bincount(of, logs[:, j], len(left)) / np.maximum(known, 1)
             left = left[known == 0]
         return out
 
     def _look(self, sort, h):
-        keys = self.keys[sort]
-        if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[at] == h, at
-
-
-def fit(docs: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> Model:
+        """Which keys are known, and each one's row."""
+        found, out = np.zeros(len(h), bool), np.zeros((len(h), len(self.names)), np.float32)
+        for block in self.blocks[sort]:
+            # a block of many isn't kept: the next one takes its place
+            keys, logs = block.value if len(self.blocks[sort]) == 1 else block.load_from_path(block._path)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
+            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            out[hit] = logs[at[hit]]
+            found |= hit
+        return found, out
+
+
+def fit(docs: DataFrame, order: int = ORDER, block: int = BLOCK, alpha: float = ALPHA) -> Model:
     """A model of ``docs(text, lang)``; rows with a null language are left out."""
-    scratch = Scratch(docs.sparkSession, "langid")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "langid")
     kept = scratch.keep(counts(docs.filter("lang IS NOT NULL AND text IS NOT NULL"), order), "counts")
-    word = F.col("sort") == 0
-    # at most 20,000 rows, whatever the input
-    sizes = kept.groupBy(word.alias("word"), F.least("n", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    least = {True: 1, False: 1}
-    for w in least:
-        left = max_rows
-        for x in (x for x in sizes if x["word"] == w):
-            left -= x["count"]
-            if left < 0:
-                least[w] = x["c"] + 1
-                break
-    rows = kept.filter(F.when(word, F.col("n") >= least[True]).otherwise(F.col("n") >= least[False])).toArrow()
+    sums = kept.groupBy("sort", "lang").agg(F.sum("n").alias("n")).collect()  # a row for each sort and language
+    n_keys = {x["sort"]: x["n"] for x in kept.groupBy("sort", "key").agg(F.lit(1)).groupBy("sort").agg(F.count("*").alias("n")).collect()}
+    names = sorted({x["lang"] for x in sums})
+    total = np.zeros((order + 1, len(names)))
+    for x in sums:
+        total[x["sort"], names.index(x["lang"])] = x["n"]
+    parts = {s: max(1, -(-n_keys.get(s, 0) * len(names) // block)) for s in range(order + 1)}
+    if max(parts.values()) > 1:
+        n = F.element_at(F.array(*(F.lit(parts[s]) for s in range(order + 1))), F.col("sort") + 1)
+        kept = scratch.keep(kept.withColumn("block", F.pmod(F.xxhash64("key"), n)).repartitionByRange("sort", "block").sortWithinPartitions("sort", "block"), "model")
+    blocks = []
+    for s in range(order + 1):
+        blocks.append([])
+        for i in range(parts[s]):
+            rows = kept.filter(F.col("sort") == s)
+            rows = (rows.filter(F.col("block") == i) if "block" in kept.columns else rows).select("key", "lang", "n").toArrow()
+            keys, at = np.unique(rows.column("key").to_numpy().astype(U64), return_inverse=True)
+            n = np.zeros((len(keys), len(names)))
+            n[at, pc.index_in(rows.column("lang"), pa.array(names, pa.string())).to_numpy()] = rows.column("n").to_numpy()
+            logs = np.log((n + alpha) / (total[s] + alpha * max(n_keys.get(s, 0), 1))).astype(np.float32)
+            blocks[s].append(spark.sparkContext.broadcast((keys, logs)))
     scratch.drop("counts")
-    return Model(rows.column("sort").to_numpy(), rows.column("key").to_numpy(), rows.column("lang").to_pylist(), rows.column("n").to_numpy(), order)
+    scratch.drop("model")
+    return Model(names, blocks, order)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` columns ``doc_id`` with ``lang_pred`` and ``score`` from the whole text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    most = CHUNK_BYTES if all(len(x) == 1 for x in model.blocks) else HOLD
 
     def run(batches):
-        own = held.value
         for batch in batches:
-            for part, _, _ in chunks(batch, "text"):
-                yield _predict(part, own)
+            for part, _, _ in chunks(batch, "text", most):
+                yield _predict(part, model)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

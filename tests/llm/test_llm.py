@@ -389,3 +389,11 @@ def test_licenses_wrapped_and_embedded(spark):
         assert i >= len(want) or want[i] in got[i]["licenses"]
     n = len(want)
     assert got[n]["n_matches"] == 2 and got[n]["start"] == len(before.encode()) + 1 and got[n + 1]["license"] is None
+
+
+def test_language_keeps_every_row(docs):
+    one, many = (multi(langid.predict(docs, langid.fit(docs, block=n)), "doc_id", "lang_pred", "score") for n in (1 << 20, 60))
+    assert one == many
+    model = langid.fit(docs, block=60)
+    counted = langid.counts(docs.filter("lang IS NOT NULL AND text IS NOT NULL")).select("sort", "key").distinct().count()
+    assert sum(len(b.value[0]) for x in model.blocks for b in x) == counted and len(model.blocks[0]) > 1
