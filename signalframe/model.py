@@ -38,9 +38,9 @@ def long(stereo: DataFrame) -> DataFrame:
     return stereo.select("n", F.posexplode(F.array("l", "r")).alias("channel", "x"))
 
 
-def takes(samples: DataFrame, frames: int = 65536) -> DataFrame:
-    """A long recording dealt out as takes of so many frames, each a recording of its own: ``recording, channel, n, x``."""
-    return samples.select(F.floor(F.col("n") / frames).cast("long").alias("recording"), "channel", (F.col("n") % frames).alias("n"), "x")
+def whole(samples: DataFrame) -> DataFrame:
+    """One recording of all frames: ``recording, channel, n, x``."""
+    return samples.select(F.lit(0).cast("long").alias("recording"), "channel", "n", "x")
 
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:

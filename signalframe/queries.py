@@ -427,7 +427,7 @@ def _register():
     from .operators import filters, repair
     from .sources import containers
 
-    mono = lambda s, d: model.takes(model.long(_line(s, d)))
+    mono = lambda s, d: model.whole(model.long(_line(s, d)))
     more = {
         "f3_biquad": lambda s, d: filters.apply_sections(_users(s, d), [filters.design("low_pass", 8000.0, 1000.0)]),
         "f4_butterworth": lambda s, d: filters.apply_sections(_users(s, d), filters.butterworth("high_pass", 8000.0, 500.0, 6)),
@@ -488,16 +488,16 @@ SQL["k8_k9_session"] = f"WITH {CLIPS} SELECT clip_id, source_id, 0::BIGINT AS so
 def _register_advanced():
     from .operators import advanced
 
-    takes = lambda s, d: model.takes(model.long(_line(s, d)))
+    signal = lambda s, d: model.whole(model.long(_line(s, d)))
 
     def contour(s, d):
-        x = takes(s, d)
+        x = signal(s, d)
         return advanced.contour(loudness.series(loudness.sub_blocks(x, model.RATE), model.RATE), x, model.RATE)
 
     more = {
-        "m3_loudness_contour": contour, "m5_exact_true_peak": lambda s, d: advanced.exact_true_peak(takes(s, d)), "m20_room_by_band": lambda s, d: advanced.room_by_band(_users(s, d), 8000.0),
-        "f15_multiband": lambda s, d: advanced.multiband_compress(takes(s, d), 8000.0), "f16_deess": lambda s, d: advanced.deess(takes(s, d), 8000.0, 3000.0), "r5_heal": lambda s, d: advanced.heal(takes(s, d), 8000.0, 0.1, 0.2, 500.0, 1500.0),
-        "r14_pitch_shift": lambda s, d: advanced.pitch_shift(takes(s, d), 8000.0, 3.0), "p15_dither": lambda s, d: advanced.dither(takes(s, d), 16),
+        "m3_loudness_contour": contour, "m5_exact_true_peak": lambda s, d: advanced.exact_true_peak(signal(s, d)), "m20_room_by_band": lambda s, d: advanced.room_by_band(_users(s, d), 8000.0),
+        "f15_multiband": lambda s, d: advanced.multiband_compress(signal(s, d), 8000.0), "f16_deess": lambda s, d: advanced.deess(signal(s, d), 8000.0, 3000.0), "r5_heal": lambda s, d: advanced.heal(signal(s, d), 8000.0, 0.1, 0.2, 500.0, 1500.0),
+        "r14_pitch_shift": lambda s, d: advanced.pitch_shift(signal(s, d), 8000.0, 3.0), "p15_dither": lambda s, d: advanced.dither(signal(s, d), 16),
     }
     for name, fn in more.items():
         QUERIES[name] = (lambda f: lambda spark, sf_dir: rounded(f(spark, sf_dir)))(fn)

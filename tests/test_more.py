@@ -81,3 +81,12 @@ def test_dither_stays_within_two_steps(spark):
     df = spark.createDataFrame([(0, 0, i, float(v)) for i, v in enumerate(x)], "recording long, channel int, n long, x double")
     got = np.array([r["x"] for r in advanced.dither(df, 8).orderBy("n").collect()])
     assert np.abs(got - x).max() <= 1.5 / 128 and np.allclose(got * 128, np.round(got * 128))
+
+
+def test_line_queries_never_cut_the_recording(spark, monkeypatch):
+    from signalframe import queries
+
+    long_signal = lambda s, d: s.range(70_000).selectExpr("id AS n", "sin(id * 0.3D) AS l", "cos(id * 0.3D) AS r")
+    monkeypatch.setattr(queries, "_line", long_signal)
+    got = queries.QUERIES["m5_exact_true_peak"](spark, "").collect()
+    assert {r["recording"] for r in got} == {0} and len(got) == 2
