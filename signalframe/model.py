@@ -1,7 +1,7 @@
 """Signals from the driver's tables, as DataFrames in the engine's shapes.
 
 The long form is ``samples(recording, channel, n, x)``.  Sample order is a column, never the order of rows.
-Numbering rows takes no single-task window: ``number`` counts in range partitions and adds offsets.
+Numbering rows takes no single-task window: ``number`` counts in range partitions, written once, and adds offsets.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 RATE = 8000.0
 FLOOR_DB = -200.0
 
@@ -18,24 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def number(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    """0-based position in the order of ``keys``: range partitions are numbered in parallel, then shifted by the sizes of those before."""
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.expr("_id & 8589934591"))
+    """0-based position in the order of ``keys``: range partitions are written once with each row's place in them, then shifted by the sizes of those before.
+
+    Both the sizes and the rows come from the written table, so a second sampling of range bounds can't tear them apart."""
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = Scratch(df.sparkSession, "number").keep(ranged, "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select(F.col("_part").alias("_of"), (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # one row per partition
-    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn(name, F.col("_at") + F.col("_before")).drop("_id", "_part", "_at", "_of", "_before")
+    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_of", "_before")
 
 
 def line_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stereo: ``n, l, r``."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    d = number(table(spark, sf_dir, "lineitem").select(*keys, "l_discount", "l_tax"), keys)
-    return d.select("n", ((F.col("l_discount") - 0.05) * 10).alias("l"), ((F.col("l_tax") - 0.04) * 12.5).alias("r"))
+    return _line(number(table(spark, sf_dir, "lineitem").select(*keys, "l_discount", "l_tax"), keys), "n")
+
+
+def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same signal without positions, for measures that don't depend on the order: ``l, r``."""
+    return _line(table(spark, sf_dir, "lineitem"))
+
+
+def _line(d: DataFrame, *more: str) -> DataFrame:
+    return d.select(*more, ((F.col("l_discount") - 0.05) * 10).alias("l"), ((F.col("l_tax") - 0.04) * 12.5).alias("r"))
 
 
 def long(stereo: DataFrame) -> DataFrame:
     """``n, channel, x`` from ``n, l, r``."""
-    return stereo.select("n", F.posexplode(F.array("l", "r")).alias("channel", "x"))
+    kept = [c for c in ("n",) if c in stereo.columns]
+    return stereo.select(*kept, F.posexplode(F.array("l", "r")).alias("channel", "x"))
 
 
 def whole(samples: DataFrame) -> DataFrame:

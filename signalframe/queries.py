@@ -49,7 +49,7 @@ st AS (SELECT max(c) AS frames, {db_sql('max(peak)')} AS peak_db, {db_sql('sqrt(
 
 @query("a1_signal_statistics", f"WITH {LINE}, {STATS} SELECT frames, round(peak_db, 6) AS sample_peak_db, round(rms_db, 6) AS rms_db, round(dc, 6) AS dc_offset, round(crest, 6) AS crest_db FROM st")
 def _(spark, sf_dir):
-    return rounded(statistics.signal_statistics(model.long(_line(spark, sf_dir))))
+    return rounded(statistics.signal_statistics(model.long(model.line_values(spark, sf_dir))))
 
 
 _T = ", ".join(f"('{n}', {a}, {b}, {c})" for n, a, b, c in statistics.TARGETS)
@@ -62,7 +62,7 @@ SELECT round(rms_db, 6) AS lufs_in, round(peak_db, 6) AS peak_in, target, round(
 round(lufs - rms_db, 6) AS gain_to_target, round(least(lufs - rms_db, ceiling - peak_db), 6) AS conform_gain FROM st, t""",
 )
 def _(spark, sf_dir):
-    s = statistics.signal_statistics(model.long(_line(spark, sf_dir))).select(F.col("rms_db").alias("lufs_in"), F.col("sample_peak_db").alias("peak_in"))
+    s = statistics.signal_statistics(model.long(model.line_values(spark, sf_dir))).select(F.col("rms_db").alias("lufs_in"), F.col("sample_peak_db").alias("peak_in"))
     return rounded(statistics.compliance(s, statistics.targets(spark)))
 
 
@@ -72,12 +72,12 @@ def _(spark, sf_dir):
 SELECT round(lr / sqrt(ll * rr), 6) AS correlation, round(10 * log10(ss / mm), 6) AS width_db, round(10 * log10(rr / ll), 6) AS balance_db, round(10 * log10(mm / ((ll + rr) / 2)), 6) AS mono_loss_db FROM t""",
 )
 def _(spark, sf_dir):
-    return rounded(statistics.stereo_field(_line(spark, sf_dir)))
+    return rounded(statistics.stereo_field(model.line_values(spark, sf_dir)))
 
 
 @query("a4_effective_bits", f"WITH {LINE}, u AS (SELECT bit_or(CAST(abs(round(greatest(-1.0, least(1.0, x)) * 8388608)) AS BIGINT)) AS v FROM long) SELECT CAST(CASE WHEN v = 0 THEN 0 ELSE 24 - bit_count((v & -v) - 1) END AS INT) AS effective_bits FROM u")
 def _(spark, sf_dir):
-    return statistics.effective_bits(model.long(_line(spark, sf_dir)))
+    return statistics.effective_bits(model.long(model.line_values(spark, sf_dir)))
 
 
 @query("p5_p7_channel_edits", f"WITH {LINE}, c AS (SELECT count(*) AS f FROM line) SELECT f - 1 - n AS n, CAST(1 - channel AS INT) AS channel, round(-x, 6) + 0.0::DOUBLE AS x FROM long, c")
@@ -121,7 +121,7 @@ def _(spark, sf_dir):
 
 @query("p15_k5_quantise", f"WITH {LINE} SELECT channel, v, count(*) AS c FROM (SELECT channel, greatest(-128, least(127, CAST(round(round(x, 6) * 128) AS BIGINT))) AS v FROM long) GROUP BY channel, v")
 def _(spark, sf_dir):
-    return model.long(_line(spark, sf_dir)).groupBy("channel", channels.quantise(F.round("x", 6), 8).alias("v")).agg(F.count("*").alias("c"))
+    return model.long(model.line_values(spark, sf_dir)).groupBy("channel", channels.quantise(F.round("x", 6), 8).alias("v")).agg(F.count("*").alias("c"))
 
 
 @query(

@@ -192,5 +192,12 @@ def test_streaming_equals_batch(spark, tmp_path):
 
 
 def test_number(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    assert model.number(df, ["k"]).filter("n <> k").count() == 0
+    """Places and values stay together however the rows are dealt: the sizes of the partitions come from the rows themselves."""
+    df = spark.range(600_000).select((F.col("id") * 7919 % 600_000).alias("k"), F.rand(3).alias("v"), F.col("id").cast("string").alias("w"))
+    for parts in ("4", "37"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = model.number(df, ["k"]).select("n", "k", "v")
+        row = got.agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.sum((F.col("n") != F.col("k")).cast("int")).alias("wrong"), F.count("v").alias("v")).first()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert (row.c, row.d, row.wrong, row.v) == (600_000, 600_000, 0, 600_000)
