@@ -114,7 +114,7 @@ def _pii_sql() -> str:
     octet = "(CAST(x AS HUGEINT) <= 255)"
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "local_phone": r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "secret": pii.SECRET, "local_phone": r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
     }
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({digits})[i] AS INT) WHEN CAST(reverse({digits})[i] AS INT) > 4 THEN 2 * CAST(reverse({digits})[i] AS INT) - 9 ELSE 2 * CAST(reverse({digits})[i] AS INT) END)) % 10 = 0"
@@ -124,7 +124,7 @@ def _pii_sql() -> str:
     near = lambda k: f"regexp_matches(right(a, 40) || chr(10) || left(b, 40), '(?i)(?:^|[^a-z])(?:{words[k]})')"
     valid = {
         "email": "true", "ip": f"len(list_filter(string_split(v, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INT) > 255)) = 0",
-        "card": f"len({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 9 AND 15", "iban": mod97, "ssn": near("ssn"), "local_phone": near("local_phone"),
+        "card": f"len({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"len({digits}) BETWEEN 9 AND 15", "iban": mod97, "ssn": near("ssn"), "secret": "true", "local_phone": near("local_phone"),
     }
     parts = []
     for i, (k, p) in enumerate(patterns.items()):
@@ -135,8 +135,8 @@ def _pii_sql() -> str:
         )
     line = "kind || ':' || s || ':' || e"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}),
-g AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg({line}, ',' ORDER BY o, s) FILTER (o < 4) AS base, string_agg({line}, ',' ORDER BY o, s) AS spans FROM f GROUP BY r)
-SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+g AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, string_agg({line}, ',' ORDER BY o, s) FILTER (o < 4) AS base, string_agg({line}, ',' ORDER BY o, s) AS spans, count(*) AS n_spans FROM f GROUP BY r)
+SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans FROM d LEFT JOIN g USING (r)"""
 
 
 SQL["op3_pii"] = _pii_sql()
