@@ -7,14 +7,16 @@ Chunks hold ``CHUNK_BYTES`` of text at most; a longer document is a chunk by its
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, scratch_root  # noqa: F401
+
 CHUNK_BYTES = 3 << 19
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -207,37 +209,42 @@ def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield full()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is set (tests) one on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-        root = f"file://{tempfile.gettempdir()}/signalframe-scratch"
-    return root.rstrip("/")
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A broadcast hint only where the (kept) table has so few rows; otherwise Spark's own choice of join."""
+    return F.broadcast(df) if len(df.limit(most + 1).take(most + 1)) <= most else df
 
-class Scratch:
-    """Tables in the shared folder that cut lineage, so that a lost executor costs a reread and no recomputation."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name that no column of the table begins with (Spark's names don't tell cases apart)."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem += "_"
+    return stem
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], count: str, total: int, parts: int = 1000) -> DataFrame:
+    """``many`` joined to ``one`` (unique keys, ``count`` rows of ``many`` each), with hot keys apart.
 
+    At most ``parts`` keys can hold more than ``total / parts`` rows each; these are broadcast, all others shuffled."""
+    hot = F.col(count) * parts > max(total, 1)
+    few, rest = F.broadcast(one.filter(hot)), one.filter(~hot)
+    return many.join(few, keys).unionByName(many.join(few.select(*keys), keys, "left_anti").join(rest, keys))
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def with_rows(df: DataFrame, columns: list[str], scratch: Scratch, name: str = "row", most_files: int = 100_000) -> DataFrame:
+    """``columns`` and a number of each row that every scan gives again, however the files are split.
 
-def small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """A broadcast hint only where the (kept) table has so few rows; otherwise Spark's own choice of join."""
-    return F.broadcast(df) if len(df.limit(most + 1).take(most + 1)) <= most else df
+    For a table read from files it is made of the file's place in order and the row's place in the file; any other table
+    (or one of more than ``most_files`` files, whose list the driver would hold) is written once with its numbers."""
+    try:
+        placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        files = [r[0] for r in placed.select("_file").distinct().limit(most_files + 1).collect()]
+    except AnalysisException:
+        files = None
+    if files is None or len(files) > most_files:
+        return scratch.keep(df.select(*columns).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    order = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "_file string, _order long")
+    return placed.join(F.broadcast(order), "_file").select(*columns, (F.shiftleft("_order", 40) + F.col("_index")).alias(name))

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import fresh
+
 NEAR = 40
 THRESHOLD = 0.5
 BLOCK = 64
@@ -105,16 +107,9 @@ def _running(lengths: Column) -> Column:
     return F.flatten(F.transform(blocks, inside))
 
 
-def _fresh(docs: DataFrame, stem: str) -> str:
-    """A name that no column of the table begins with (Spark's names don't tell cases apart)."""
-    while any(c.lower().startswith(stem) for c in docs.columns):
-        stem += "_"
-    return stem
-
-
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, text: str = "text", out_name: str = "spans") -> DataFrame:
     """``docs`` with ``spans``: kind, start and end (code points, end exclusive), score and value, by kind, then start."""
-    own = _fresh(docs, "_pii")
+    own = fresh(docs, "_pii")
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     pre = {k.name: (F.contains(t, F.lit("@")) if k.trigger == "@" else t.rlike(k.trigger)) for k in kinds}
@@ -154,7 +149,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with each span (or union of overlapping spans) replaced by its kind in angle brackets, and ``n_chars`` to match."""
-    spans = _fresh(docs, "_found")
+    spans = fresh(docs, "_found")
     found = find(docs, kinds, out_name=spans).withColumn(spans, F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

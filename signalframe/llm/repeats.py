@@ -25,17 +25,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Scratch, SpanHash, chunks, flat, map_chunks
+from .kernels import U64, Scratch, SpanHash, chunks, flat, map_chunks, with_rows
 from .neardup import id_bitmap, seen
 
 LEAST = 400
 W, Q = 24, 8
 LEVELS = 3  # ranks over 1, 2 and 4 blocks
 CHUNK = 3 << 18  # bytes of text at once; several 8-byte values stand for each
+SHARED = 16  # beside a level: another row has the sequence too
 SPANS = 4_000  # families whose windows are written out at once
 
 
@@ -131,20 +133,20 @@ def _direct(batch, buf, offs, least):
 
 
 def _rerank(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions whose keys occur again, with a 64-bit hash of the keys as their rank."""
-    classes = pairs.groupBy(*keys).count().filter("count > 1").drop("count")
-    return pairs.join(classes, keys).select("row", "j", F.xxhash64(*keys).alias("rank"))
+    """Positions whose keys occur again, with a 64-bit hash of the keys as their rank and whether another row has them."""
+    classes = pairs.groupBy(*keys).agg(F.count("*").alias("n"), (F.min("row") < F.max("row")).alias("shared")).filter("n > 1").drop("n")
+    return pairs.join(classes, keys).select("row", "j", F.xxhash64(*keys).alias("rank"), "shared")
 
 
 def prefix_doubling(blocks: DataFrame, scratch: Scratch, levels: int = LEVELS) -> DataFrame:
-    """``row, j, level``: the largest level (2**level blocks) at which the sequence from a position occurs again."""
+    """``row, j, level, shared``: the largest level (2**level blocks) at which the sequence from a position occurs again, and whether at the last one it does in another row."""
     now = scratch.keep(_rerank(blocks, ["rank"]), "rank-0")
-    deepest = now.select("row", "j", F.lit(0).alias("level"))
+    deepest = now.select("row", "j", F.lit(0).alias("level"), (F.col("shared") & F.lit(levels == 1)).alias("shared"))
     for k in range(1, levels):
         ahead = now.select("row", (F.col("j") - (1 << (k - 1))).alias("j"), F.col("rank").alias("ahead"))
-        now = scratch.keep(_rerank(now.join(ahead, ["row", "j"]), ["rank", "ahead"]), f"rank-{k}")
-        deepest = deepest.union(now.select("row", "j", F.lit(k).alias("level")))
-    return deepest.groupBy("row", "j").agg(F.max("level").alias("level"))
+        now = scratch.keep(_rerank(now.drop("shared").join(ahead, ["row", "j"]), ["rank", "ahead"]), f"rank-{k}")
+        deepest = deepest.union(now.select("row", "j", F.lit(k).alias("level"), (F.col("shared") & F.lit(k == levels - 1)).alias("shared")))
+    return deepest.groupBy("row", "j").agg(F.max("level").alias("level"), F.max("shared").alias("shared"))
 
 
 def _pack(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def _family_rows(levels_packed, least):
             data, at = flat(known)
             info = np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2)
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at) // 8)
-            level[begin[owner] + info[:, 0]] = info[:, 1]
+            level[begin[owner] + info[:, 0]] = info[:, 1] & (SHARED - 1)
             n = np.minimum(f.held, 1 << (LEVELS - 1))
             need = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
             here = np.arange(len(f.at))
@@ -233,13 +235,13 @@ def _joined(values: DataFrame, name: str, *cols: str, kind: str = "bigint") -> D
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(texts with ``row, doc_id, text``, marks ``row, start, end``): the byte ranges of windows that occur again."""
+    """(texts with ``row, doc_id, text``; ``row, marks, n_shared_blocks``): the byte ranges of windows that occur again, packed; places that share 4 blocks with another row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    texts = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    own = texts.select("doc_id", "row", "text")
+    own = with_rows(docs, ["doc_id", "text"], scratch).select("doc_id", "row", "text")
     ranks = prefix_doubling(map_chunks(own, lambda *a: _blocks(*a, least), "row long, j long, rank long", most=CHUNK), scratch)
-    levels = scratch.keep(_joined(ranks, "levels", "j", "level", kind="int"), "levels")
+    flagged = ranks.select("row", "j", (F.col("level") + F.when(F.col("shared"), SHARED).otherwise(0)).alias("level"))
+    levels = scratch.keep(_joined(flagged, "levels", "j", "level", kind="int"), "levels")
     packed = _pack(own, levels.select("row")).join(levels, "row")
     direct = map_chunks(own, lambda *a: _direct(*a, least), "row long, start long, h long, low long, high long, anchor long, whole long", most=CHUNK)
     direct = scratch.keep(direct, "direct")
@@ -258,11 +260,18 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     again = windows.groupBy("h").agg(F.sum("weight").alias("w"), F.min("weight").alias("one")).filter("w > 1 AND one = 1").select("h")
     single = windows.filter("weight = 1").join(again, "h").select("row", "start", (F.col("start") + least).alias("end"))
     whole = families.join(wholes.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("row", F.col("low").alias("start"), (F.col("high") + least).alias("end"))
-    marks = scratch.keep(_joined(single.union(whole), "marks", "start", "end"), "marks")
-    return own, marks
+    marks = _joined(single.union(whole), "marks", "start", "end")
+    return own, scratch.keep(marks.join(levels.mapInArrow(_shared, "row long, n_shared_blocks long").filter("n_shared_blocks > 0"), "row", "full"), "marks")
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def _shared(batches):
+    for batch in batches:
+        data, at = flat(batch.column("levels"))
+        sums = np.concatenate([[0], np.cumsum(np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2)[:, 1] >= SHARED)])[at // 8]
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "n_shared_blocks": pa.array(np.diff(sums).astype(np.int64))})
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_blocks long"
 
 
 def _cut(buf, offs, marks):
@@ -281,14 +290,17 @@ def _cut(buf, offs, marks):
     return [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], gone, begins
 
 
-def _results(ids, buf, offs, marks):
+def _results(ids, buf, offs, marks, shared):
     kept, gone, begins = _cut(buf, offs, marks)
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offs]).astype(np.int64)
-    return pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(np.diff(offs)), "n_removed": pa.array(sums(gone)), "n_spans": pa.array(sums(begins)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
+    return pa.RecordBatch.from_pydict({"doc_id": ids, "n_bytes": pa.array(np.diff(offs)), "n_removed": pa.array(sums(gone)), "n_spans": pa.array(sums(begins)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "n_shared_blocks": pa.compute.fill_null(shared, 0)})
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """What is left of every document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    """What is left of every document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+
+    ``n_shared_blocks`` counts the anchors whose next four blocks (some 200 bytes) another document holds as well, so it also
+    tells of passages that are too short to go."""
     own, marks = repeated(docs, least)
     held = docs.sparkSession.sparkContext.broadcast(id_bitmap(marks.select("row")))
     hashed = own.withColumn("hash", F.xxhash64("row"))
@@ -296,7 +308,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def untouched(batch, buf, offs, bits):
         part = batch.filter(pa.array(~seen(bits, batch.column("hash").to_numpy())))
         none = pa.array([b""] * part.num_rows, pa.binary())
-        return _results(part.column("doc_id"), *flat(part.column("text")), none)
+        return _results(part.column("doc_id"), *flat(part.column("text")), none, pa.nulls(part.num_rows, pa.int64()))
 
     def maybe(batch, buf, offs, bits):
         ok = seen(bits[0], batch.column("hash").to_numpy())
@@ -307,7 +319,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def cut(batches):
         for batch, buf, offs in _unpacked(batches):
-            yield _results(batch.column("doc_id"), buf, offs, batch.column("marks"))
+            yield _results(batch.column("doc_id"), buf, offs, batch.column("marks"), batch.column("n_shared_blocks"))
 
     direct = map_chunks(hashed, untouched, RESULT, setup=lambda: held.value, most=CHUNK)
     texts = map_chunks(hashed, maybe, "row long, doc_id long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)), most=CHUNK)
