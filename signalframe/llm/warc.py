@@ -1,7 +1,8 @@
 """WARC archives: writing captures as request, response (or revisit) and metadata records, and assembling them again.
 
 ``write`` makes plain text lines of whole records and lets Spark's text writer put ``CRLF CRLF`` after each, which is just
-how a record ends; the commit protocol then survives lost executors, and gzip makes ``.gz`` archives.  ``read_records``
+how a record ends; the commit protocol then survives lost executors, and gzip makes ``.gz`` archives (a member for each
+archive, not for each record: Spark has no writer of bytes).  ``read_records``
 streams through archives by ``Content-Length``, so payloads may hold anything, also what looks like a record.  ``assemble``
 joins requests and metadata to their response through ``WARC-Concurrent-To`` and gives one nested row per capture.
 
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import small
+from .kernels import Scratch, small, with_rows
 
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
-PER_FILE = 20_000  # records
+FILE_BYTES = 64 << 20  # of an archive before compression; a reader holds one at a time
+SIZES = (1 << 15, 1 << 20)  # of payloads that are written together
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 CRLF = "\r\n"
@@ -40,20 +42,31 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def decisions(pages: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     """``pages`` with row, payload, digest, and for revisits the row and page that they refer to."""
-    rows = pages.select(
-        "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("row")
+    rows = with_rows(pages, ["page_id", "url", "html"], scratch)
+    rows = rows.select(
+        "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20]", "%20").alias("url"), F.coalesce("html", F.lit("")).alias("payload"), "row"
     ).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     large = rows.filter(F.octet_length("payload") >= least)
     first = large.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select(F.col("digest").alias("_d"), F.col("f.page_id").alias("first_page"), F.col("f.row").alias("first_row"))
+    first = scratch.keep(first.select(F.col("digest").alias("_d"), F.col("f.page_id").alias("first_page"), F.col("f.row").alias("first_row")), "first")
     again = (F.col("digest") == F.col("_d")) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     return rows.join(small(first, 100_000), again, "left").drop("_d")
 
 
+def _sized(rows: DataFrame) -> list[tuple[DataFrame, int]]:
+    """The rows by size of payload, and how many pages of each size make an archive of ``FILE_BYTES`` at most (or one page)."""
+    size, out, low = F.octet_length("payload"), [], -1
+    for high in SIZES:
+        out.append((rows.filter((size > low) & (size <= high)), max(1, FILE_BYTES // (high + 4096))))
+        low = high
+    return [*out, (rows.filter(size > low), 1)]
+
+
 def write(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) -> None:
-    rows = decisions(pages, least)
+    """Archives below ``path``: gzip files of a warcinfo record and some pages' request, response or revisit, and metadata records."""
+    rows = decisions(pages, Scratch(pages.sparkSession, "warc"), least)
     uri, response, payload = F.col("url"), _urn("response", F.col("row")), F.col("payload")
     revisit = F.col("first_row").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF + CRLF))
@@ -69,7 +82,12 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) ->
         _record([*beside("request"), ("Content-Type", F.lit("application/http; msgtype=request"))], ask), _record(head, F.when(revisit, http).otherwise(F.concat(http, payload))),
         _record([*beside("metadata"), ("Content-Type", F.lit("application/warc-fields"))], about),
     )
-    rows.select(F.explode(records).alias("value")).write.mode("overwrite").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    info = _record([("WARC-Type", F.lit("warcinfo")), ("WARC-Record-ID", _urn("warcinfo", F.col("row"))), ("WARC-Date", F.lit(date)), ("Content-Type", F.lit("application/warc-fields"))], F.lit(f"software: signalframe{CRLF}format: WARC File Format 1.1{CRLF}"))
+    for k, (part, n) in enumerate(_sized(rows)):
+        # a file's first page brings the warcinfo record: the writer cuts after as many records, so places in a task tell where files begin
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        lines = part.withColumn("_first", place % n == 0).select(F.explode(F.when(F.col("_first"), F.concat(F.array(info), records)).otherwise(records)).alias("value"))
+        lines.write.mode("overwrite").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * n + 1).text(f"{path}/size-{k}")
 
 
 def parse(stream):
@@ -88,7 +106,7 @@ def _row(headers: dict, block: bytes, keep: bool) -> dict:
     kind, payload, fields, digest, size = headers.get("warc-type"), None, {}, headers.get("warc-payload-digest"), None
     if kind in ("request", "response", "revisit") and headers.get("content-type", "").startswith("application/http"):
         payload = block.partition(b"\r\n\r\n")[2]
-    elif kind == "metadata":
+    elif kind in ("metadata", "warcinfo"):
         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").splitlines()) if k.strip()}
     else:
         payload = block
@@ -125,7 +143,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True, per_batc
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
