@@ -9,7 +9,7 @@
    ``k - prefix(k) + 1`` but for a chance below 1e-5 at the very threshold, and far below that above it.
 3. Classes that share lists form a coarse cluster.  Within clusters, pairs are tried by the estimate from the k smallest
    values of their sketches' union and then verified on the full sets; pairs that are connected already are skipped.
-   A large cluster is dealt out as pairs of blocks of bounded bytes, so that no task holds more than two blocks.
+   A large cluster is dealt out as pairs of blocks of bounded bytes and numbers of sets, so that no task holds more than two blocks.
 4. Connected components of the verified links give each document the smallest ``doc_id`` that it reaches.
 
 Defined cases: texts that are null or without words have an empty set, link with nothing and are their own component;
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, grouped_order, groups, map_chunks, mix, small, spans, windows
+from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, grouped_order, groups, map_chunks, mix, small, spans, windows
 
 SHINGLE = 5
 PERCENT = 85
 K = 64
 BLOCK_BYTES = 1 << 20
+BLOCK_SETS = 1000
 BITS = 1 << 25
 
 
@@ -155,9 +156,13 @@ def _block(table: pa.Table, percent: int, k: int):
         good = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
         if split:
             good &= side[:, None] != side[None, :]
-        for i in range(n):
-            for j in np.flatnonzero(good[i, i + 1 :]).tolist():
-                join(i, i + 1 + j)
+        np.fill_diagonal(good, True)
+        while True:  # the smallest place that a set's links reach, until nothing changes
+            least = np.where(good, root[None, :], n).min(1)
+            least = least[least]
+            if np.array_equal(least, root):
+                break
+            root = least
     return node, np.array([find(i) for i in range(n)])
 
 
@@ -240,7 +245,8 @@ def seen(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _verified(docs, classes, clusters, scratch, percent, width, k, block_bytes):
     """Links between classes of a cluster that hold on the full sets, at most one for each class and block pair."""
     member = clusters.join(classes.select("node", "hb", "first", "n_shingles"), "node")
-    totals = member.groupBy("root").agg(F.sum(8 * F.col("n_shingles")).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("int"))
+    totals = member.groupBy("root").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"), F.count("*").alias("sets"))
+    totals = totals.select("root", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks"))
     member = scratch.keep(member.join(totals, "root").select("node", "hb", "first", "root", "blocks"), "members")
     bitmap = id_bitmap(member.select("first"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -282,6 +288,6 @@ def _verified(docs, classes, clusters, scratch, percent, width, k, block_bytes):
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest ``doc_id``; documents without words stay."""
-    verdict = near_duplicates(docs, **settings).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_of"))
-    gone = verdict.groupBy("_id").agg(F.first("_of").alias("_of")).select("_id")
-    return docs.join(small(Scratch(docs.sparkSession, "neardup").keep(gone, "gone"), 500_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = fresh(docs, "_duplicate")
+    gone = near_duplicates(docs, **settings).filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(small(Scratch(docs.sparkSession, "neardup").keep(gone, "gone"), 500_000), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
