@@ -1,14 +1,18 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task builds, for one shard of documents after another, a suffix array over words by prefix doubling, and
-binary-searches every suffix of every benchmark item in it: the interval is narrowed word by word, so that each
+binary-searches the suffixes of the benchmark items in it: the interval is narrowed word by word, so that each
 benchmark suffix gets its longest verbatim match with all places.  Reaching ``window`` words (or the whole of a shorter
 item) makes the words of every such place hits.
 
-The benchmark goes to the executors in blocks of ``block_bytes`` of text at most (a proven bound); with more blocks the
-documents are read once for each block and the results are combined by document row.
+A suffix can only match where its first ``window`` words (or its whole short item) stand.  So each shard first looks its own
+windows up in the benchmark's sorted window hashes: work in proportion to the documents, whatever the benchmark's size.
+The texts that hold some go into the suffix array, and the suffixes that begin there are searched.
 
-Defined cases: null or wordless texts have no words and no hits; null or wordless items match nothing; items with the same
+The benchmark goes to the executors in blocks of ``block_bytes`` of text at most (a proven bound).  A task holds one block at
+a time; with more blocks it reads them one after another for each shard.
+
+Defined cases: a match of fewer than ``window`` words that isn't a whole item is none, so ``longest`` is 0 there; null or wordless texts have no words and no hits; null or wordless items match nothing; items with the same
 text are all reported; rows that share a ``doc_id`` are judged each by itself; an empty benchmark contaminates nothing.
 """
 
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, U64, SpanHash, flat, grouped_order, map_chunks, spans
+from .kernels import ALNUM, LOWER, U64, SpanHash, _powers, flat, grouped_order, map_chunks, mix, spans
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -67,9 +71,9 @@ def suffix_array(codes: np.ndarray, deepest: int) -> np.ndarray:
     return order
 
 
-def search(codes: np.ndarray, order: np.ndarray, query: np.ndarray, deepest: int):
-    """For each suffix of ``query``: the interval at every depth, narrowed by binary search.  Yields (depth, suffixes, lo, hi) of the suffixes that reach it."""
-    alive = np.flatnonzero(query != 0)
+def search(codes: np.ndarray, order: np.ndarray, query: np.ndarray, deepest: int, suffixes: np.ndarray):
+    """For each of the ``suffixes`` of ``query``: the interval at every depth, narrowed by binary search.  Yields (depth, suffixes, lo, hi) of those that reach it."""
+    alive = suffixes
     lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), len(order), np.int64)
     padded = np.append(codes, np.zeros(deepest + 1, codes.dtype))
     ended = np.append(query, np.zeros(deepest + 1, query.dtype))
@@ -116,71 +120,109 @@ def word_codes(buf: np.ndarray, offs: np.ndarray):
 
 
 class Benchmark:
-    """The words of the items of a block, concatenated, and where each item lies."""
+    """The words of the items of a block, concatenated, where each item lies, and the window hashes by their number of words."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
         buf, offs = flat(pa.array(texts, pa.large_string()))
         self.codes, self.counts = word_codes(buf, offs)
         self.ids = np.array(ids, dtype=object)
         self.begins = np.cumsum(self.counts + 1) - (self.counts + 1)
         self.item = np.repeat(np.arange(len(self.counts)), self.counts + 1)
-        self.left = self.begins[self.item] + self.counts[self.item] - np.arange(len(self.codes))  # words up to the item's end
+        self.deepest = int(self.counts.max(initial=0))
+        # the depth that makes a hit: the window, or the whole of a shorter item from its first word
+        place = np.arange(len(self.codes)) - self.begins[self.item]
+        left = self.counts[self.item] - place
+        self.need = np.where((self.counts[self.item] >= window) & (left >= window), window, np.where((place == 0) & (left > 0) & (left < window), left, -1))
+        self.starts, self.keys = {}, {}
+        for n in np.unique(self.need[self.need > 0]).tolist():
+            at = np.flatnonzero(self.need == n)
+            h = window_hashes(self.codes, n)[at]
+            by = np.argsort(h, kind="stable")
+            self.starts[n], self.keys[n] = at[by], h[by]
+
+
+def window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` codes from each place on (what reaches past the end counts as zeros)."""
+    power, inverse = _powers(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(codes) * power[: len(codes)], dtype=U64)])
+    end = np.minimum(np.arange(len(codes)) + n, len(codes))
+    return mix((sums[end] - sums[:-1]) * inverse[: len(codes)])
+
+
+def _candidates(codes: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the benchmark whose window stands in the shard, and the places where some window stands."""
+    suffixes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, keys in bench.keys.items():
+        h = window_hashes(codes, n)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == h)
+        if len(hit):
+            places.append(hit)
+            found = np.unique(h[hit])
+            at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+            suffixes.append(bench.starts[n][found[at] == keys])
+    return np.unique(np.concatenate(suffixes)), np.concatenate(places)
 
 
 def _match(buf, offs, blocks, window):
     """What every text of a chunk shares with the benchmark: counts, hit counts, item rows, longest match and its place."""
-    codes, counts = word_codes(buf, offs)
+    all_codes, counts = word_codes(buf, offs)
     n = len(counts)
-    begins = np.cumsum(counts + 1) - (counts + 1)
-    doc = np.repeat(np.arange(n), counts + 1)
-    edges, items = np.zeros(len(codes) + 1, np.int64), [[] for _ in range(n)]
+    all_begins = np.cumsum(counts + 1) - (counts + 1)
+    all_doc = np.repeat(np.arange(n), counts + 1)
+    n_hit, items = np.zeros(n, np.int64), [[] for _ in range(n)]
     longest, best_item, item_word, doc_word = np.zeros(n, np.int64), np.full(n, None, object), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    order = None
+    hits = np.zeros(len(all_codes) + 1, np.int64)
     for load in blocks:
         bench = load()
-        if len(codes) == n or not bench.counts.any():
+        suffixes, places = _candidates(all_codes, bench)
+        if not len(suffixes):
             continue
-        if order is None or len(blocks) > 1:
-            order = suffix_array(codes, int(bench.counts.max()))
-        # the depth that makes a hit: the window, or the whole of a shorter item from its first word
-        need = np.where(bench.counts[bench.item] >= window, window, np.where(np.arange(len(bench.codes)) == bench.begins[bench.item], bench.counts[bench.item], -1))
+        held = np.zeros(n, bool)
+        held[all_doc[places]] = True
+        own = np.flatnonzero(held[all_doc])  # places of the texts that hold a window
+        codes, doc = all_codes[own], all_doc[own]
+        order = suffix_array(codes, bench.deepest)
         found = []
 
-        def settle(suffix, a, b, depth):
-            """The places in order[a:b] match this suffix for ``depth`` words and no further."""
-            places = order[a:b]
-            places = places[depth > longest[doc[places]]]
-            if len(places):
-                d, first = np.unique(doc[places], return_index=True)
+        def settle(suffix, at, depth):
+            """The places match this suffix for ``depth`` words and no further."""
+            at = own[at]
+            at = at[depth > longest[all_doc[at]]]
+            if len(at):
+                d, first = np.unique(all_doc[at], return_index=True)
                 i = bench.item[suffix]
-                longest[d], best_item[d], item_word[d], doc_word[d] = depth, bench.ids[i], suffix - bench.begins[i], places[first] - begins[d]
+                longest[d], best_item[d], item_word[d], doc_word[d] = depth, bench.ids[i], suffix - bench.begins[i], at[first] - all_begins[d]
 
         before = (np.zeros(0, np.int64),) * 3
-        for depth, suffix, lo, hi in search(codes, order, bench.codes, int(bench.counts.max())):
-            hit = need[suffix] == depth
+        last = 0
+        for depth, suffix, lo, hi in search(codes, order, bench.codes, bench.deepest, suffixes):
+            hit = bench.need[suffix] == depth
             for s, a, b in zip(suffix[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                places = order[a:b]
-                edges[places] += 1
-                edges[places + depth] -= 1
-                found.append(np.stack([doc[places], np.full(b - a, bench.item[s])], 1))
+                at = order[a:b]
+                hits[own[at]] += 1
+                hits[own[at] + depth] -= 1
+                found.append(np.stack([doc[at], np.full(b - a, bench.item[s])], 1))
+                if depth < window:
+                    settle(s, at, depth)
             if depth > window and len(before[0]):
                 at = np.searchsorted(suffix, before[0])
                 gone = (at == len(suffix)) | (suffix[np.minimum(at, len(suffix) - 1)] != before[0])
                 for s, a, b, x, y in zip(*(v.tolist() for v in before), np.where(gone, before[2], lo[np.minimum(at, len(lo) - 1)]).tolist(), np.where(gone, before[2], hi[np.minimum(at, len(hi) - 1)]).tolist()):
                     if a < x:
-                        settle(s, a, x, depth - 1)
+                        settle(s, order[a:x], depth - 1)
                     if y < b:
-                        settle(s, y, b, depth - 1)
+                        settle(s, order[y:b], depth - 1)
             if depth >= window:
                 before = (suffix, lo, hi)
                 last = depth
         for s, a, b in zip(*(v.tolist() for v in before)):
-            settle(s, a, b, last)
+            settle(s, order[a:b], last)
         if found:
             for d, i in np.unique(np.concatenate(found), axis=0).tolist():
                 items[d].append(bench.ids[i])
-    hits = (np.cumsum(edges[:-1]) > 0).astype(np.int64)
-    n_hit = np.add.reduceat(hits, begins) if n else np.zeros(0, np.int64)
+    inside = (np.cumsum(hits[:-1]) > 0).astype(np.int64)
+    n_hit = np.add.reduceat(inside, all_begins) if n else n_hit
     return counts.astype(np.int64), n_hit, items, longest, best_item, item_word, doc_word
 
 
@@ -193,17 +235,17 @@ def _rows(batch, buf, offs, blocks, window):
     }
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> list:
     """Broadcast blocks of the items, each with at most so many bytes of text (or one item)."""
     sc, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
     for i, text in benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).toLocalIterator():
         if ids and size + len(text) > block_bytes:
-            out.append(sc.broadcast(Benchmark(ids, texts)))
+            out.append(sc.broadcast(Benchmark(ids, texts, window)))
             ids, texts, size = [], [], 0
         ids.append(i if i is not None else "")
         texts.append(text)
         size += len(text.encode())
-    out.append(sc.broadcast(Benchmark(ids, texts)))
+    out.append(sc.broadcast(Benchmark(ids, texts, window)))
     return out
 
 
@@ -225,7 +267,7 @@ def _loaders(held):
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, hit words, the items found, and the longest verbatim match with its place in item and document."""
-    held = blocks_of(benchmark, block_bytes)
+    held = blocks_of(benchmark, block_bytes, window)
     return map_chunks(docs.select("doc_id", "text"), lambda batch, buf, offs, own: _rows(batch, buf, offs, own, window), MATCHES, setup=_loaders(held))
 
 
@@ -235,7 +277,7 @@ def contaminated(n_hit, n_words):
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, with all their columns, in one pass without a shuffle."""
-    held = blocks_of(benchmark, block_bytes)
+    held = blocks_of(benchmark, block_bytes, window)
 
     def keep(batch, buf, offs, own):
         counts, n_hit, *_ = _match(buf, offs, own, window)
