@@ -266,6 +266,69 @@ def test_shards_gather_large_groups(spark):
     assert spread >= 5  # of the 6.7 shards that the group needs
 
 
+def test_shards_leave_no_small_group_cut(spark):
+    """Where single documents leave room, every group ends whole on one shard, through rounds alone."""
+    df = spark.createDataFrame([(i, f"g{i % 90}" if i < 270 else f"t{i}") for i in range(640)], "doc_id long, text string").repartition(4)
+    got = shards.shard(df)
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {40}
+    assert shards.cut_links(got).first() == (270, 0)
+
+
+def test_shards_against_plain_python(spark):
+    """The rounds in plain Python, from the same start and with the same order of who is let in."""
+    text = lambda i: "hot" if i % 3 == 0 else f"g{i % 17}" if i % 3 == 1 and i < 150 else f"t{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(203)], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in shards.shard(docs).collect()}
+    h = F.xxhash64("row")
+    base = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.sha2(F.col("text").cast("binary"), 256).alias("group"), F.pmod(h, F.lit(16)).alias("start"), F.pmod(h, F.lit(256)).alias("cell")).collect()
+    ties = {(r["group"], r["shard"]): r["h"] for r in spark.createDataFrame([(g, s) for g in {r["group"] for r in base} for s in range(16)], "group string, shard int").select("group", "shard", F.xxhash64("group", "shard").alias("h")).collect()}
+    order = {r["row"]: (r["cell"], r["row"]) for r in base}
+    group, members = {r["row"]: r["group"] for r in base}, Counter(r["group"] for r in base)
+    place = {r["row"]: r["start"] for r in base if members[r["group"]] > 1}
+    capacity = [203 // 16 + (s < 203 % 16) for s in range(16)]
+
+    def poured(rows, free):
+        slots = [s for s in range(16) for _ in range(free[s])]
+        return dict(zip(sorted(rows, key=order.get), slots))
+
+    over = [r for s in range(16) for r in sorted((r for r in place if place[r] == s), key=order.get)[capacity[s] :]]
+    if over:
+        stay = Counter(place[r] for r in place if r not in set(over))
+        place |= poured(over, [c - stay[s] for s, c in enumerate(capacity)])
+    still = i = 0
+    while still < 2:
+        i += 1
+        used, held = Counter(place.values()), Counter((group[r], s) for r, s in place.items())
+        room = [c - used[s] for s, c in enumerate(capacity)]
+        movers = {}
+        for g in {g for g, _ in held}:
+            parts = [(n, ties[g, s], s) for (x, s), n in held.items() if x == g]
+            able = [p for p in parts if i % 2 or room[p[2]] > 0]
+            if len(parts) > 1 and able:
+                best = max(able)
+                for p in parts:
+                    if p[:2] < best[:2]:
+                        movers.setdefault((p[2], best[2]), []).extend(r for r in place if group[r] == g and place[r] == p[2])
+        allowed = shards.quotas({k: len(v) for k, v in movers.items()}, room)
+        for (a, b), n in allowed.items():
+            for r in sorted(movers[a, b], key=order.get)[:n]:
+                place[r] = b
+        still = 0 if allowed else still + 1
+    used = Counter(place.values())
+    place |= poured([r["row"] for r in base if r["row"] not in place], [c - used[s] for s, c in enumerate(capacity)])
+    want = {}
+    for s in range(16):
+        for k, r in enumerate(sorted((r for r in place if place[r] == s), key=order.get)):
+            want[r] = (s, k)
+    assert {r["doc_id"]: want[r["row"]] for r in base} == got
+
+
+def test_quotas():
+    assert shards.quotas({(0, 1): 5, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert shards.quotas({(0, 1): 5, (2, 1): 5}, [9, 7, 9]) == {(0, 1): 5, (2, 1): 2}
+    assert shards.quotas({(0, 1): 5}, [0, 0]) == {}
+
+
 def vocabulary():
     names = ["<unk>", "<s>"] + [f"<0x{b:02X}>" for b in range(256)] + ["▁", "▁a", "a", "b", "ab", "▁ab", "c", "abc", "é", "▁▁"]
     return pieces.Pieces(names, [0.0] * 258 + [-3.0, -2.5, -4.0, -4.0, -5.0, -5.5, -4.0, -6.0, -7.0, -9.0], list(range(2, 258)), set(range(258)))
