@@ -1,4 +1,4 @@
-"""Filter design on the driver, filters and dynamics with state in grouped maps (one recording and channel each)."""
+"""Filter design on the driver; filters in blocks that carry their state, dynamics in blocks with a run-up."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .loudness import run_sections
+from ..model import db
+from .blocks import BLOCK, SAMPLES, cascade, cascades, map_blocks, pack
 
 KINDS = ("low_pass", "high_pass", "band_pass", "notch", "all_pass", "peaking", "low_shelf", "high_shelf")
 
@@ -56,6 +58,17 @@ def response(spark: SparkSession, sections: dict[str, tuple], rate: float, point
     return grid.select("name", "i", (F.col("i") * rate / 2 / points).alias("hz"), F.when(up > 0, F.greatest(F.lit(-200.0), 10 * F.log10(up / down))).otherwise(-200.0).alias("gain_db"))
 
 
+def run_up(rate: float, *seconds: float) -> int:
+    """Frames before a block after which nothing is left of what came before them: 30 of the slowest time constant, 0.2 s at least."""
+    return int(math.ceil(rate * max(0.2, 30 * max(seconds))))
+
+
+def _with_run_up(samples: DataFrame, rate: float, times: tuple[float, ...], fn, after: int = 0) -> DataFrame:
+    """``fn`` of each block with its run-up; only the block's own samples stay."""
+    before = run_up(rate, *times)
+    return map_blocks(pack(samples, max(1 << 18, 4 * before), before, after), lambda xs, lo, hi, start: fn(xs)[lo:hi])
+
+
 def _per_channel(samples: DataFrame, fn, extra: str = "") -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
@@ -65,8 +78,8 @@ def _per_channel(samples: DataFrame, fn, extra: str = "") -> DataFrame:
 
 
 def apply_sections(samples: DataFrame, sections: list[tuple]) -> DataFrame:
-    """A cascade over each recording and channel."""
-    return _per_channel(samples, lambda x: run_sections(x, sections))
+    """A cascade over each recording and channel, in blocks that carry its state."""
+    return cascade(samples, sections)
 
 
 def parametric_eq(samples: DataFrame, rate: float, bands: list[dict]) -> DataFrame:
@@ -83,19 +96,12 @@ def filter_bank(samples: DataFrame, rate: float, order: int = 6, thirds: bool =
     centres = [1000 * 10 ** (i / step) for i in k]
     half = 10 ** (0.5 / step)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy(np.float64)
-        out = []
-        for c in centres:
-            if c * half >= rate / 2:
-                out.append(None)
-                continue
-            y = run_sections(x, butterworth("high_pass", rate, c / half, order) + butterworth("low_pass", rate, c * half, order))
-            rms = math.sqrt(float((y**2).mean())) if len(y) else 0.0
-            out.append(max(-200.0, 20 * math.log10(rms)) if rms > 0 else -200.0)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "centre": centres, "level_db": out})
-
-    return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, centre double, level_db double")
+    made = [c for c in centres if c * half < rate / 2]
+    sets = [butterworth("high_pass", rate, c / half, order) + butterworth("low_pass", rate, c * half, order) for c in made]
+    sums = cascades(samples, sets, lambda start, ys: {"centre": pa.array(made), "sq": pa.array([float((y**2).sum()) for y in ys]), "frames": pa.array([len(y) for y in ys])}, "recording long, channel int, centre double, sq double, frames long")
+    levels = sums.groupBy("recording", "channel", "centre").agg(db(F.sqrt(F.sum("sq") / F.sum("frames"))).alias("level_db"))
+    missing = levels.select("recording", "channel").distinct().withColumn("centre", F.explode(F.array(*(F.lit(c) for c in centres if c not in made)).cast("array<double>")))
+    return levels.unionByName(missing.withColumn("level_db", F.lit(None).cast("double")))
 
 
 def _coefficient(seconds: float, rate: float) -> float:
@@ -130,7 +136,7 @@ def compress(samples: DataFrame, rate: float, threshold: float = -20.0, ratio: f
         reduction = follow(compression_curve(_db(np.abs(x)), threshold, ratio, knee), attack, release, rate)
         return x * 10 ** ((makeup - reduction) / 20)
 
-    return _per_channel(samples, run)
+    return _with_run_up(samples, rate, (attack, release), run)
 
 
 def expand(samples: DataFrame, rate: float, threshold: float = -40.0, ratio: float = 2.0, attack: float = 0.001, release: float = 0.1, knee: float = 6.0) -> DataFrame:
@@ -143,7 +149,7 @@ def expand(samples: DataFrame, rate: float, threshold: float = -40.0, ratio: flo
         cut = np.where((np.abs(under) * 2 <= knee) & (knee > 0), bent, np.where(under > 0, slope * under, 0.0))
         return x * 10 ** (-follow(cut, attack, release, rate) / 20)
 
-    return _per_channel(samples, run)
+    return _with_run_up(samples, rate, (0.01, attack, release), run)
 
 
 def gate(samples: DataFrame, rate: float, threshold: float = -50.0, hysteresis: float = 6.0, hold: float = 0.05, depth: float = -80.0, attack: float = 0.001, release: float = 0.1) -> DataFrame:
@@ -174,7 +180,7 @@ def limit(samples: DataFrame, rate: float, ceiling: float = -1.0, ahead: float =
         gain = 10 ** (-follow(most, 0.2 * ahead, release, rate) / 20)
         return x * np.minimum(gain, top / np.maximum(np.abs(x), 1e-30))
 
-    return _per_channel(samples, run)
+    return _with_run_up(samples, rate, (0.2 * ahead, release), run, after=n)
 
 
 def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 24, beta: float = 9.0) -> DataFrame:
@@ -183,22 +189,28 @@ def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 2
     stretch = max(1.0, ratio)
     reach = half * stretch
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy(np.float64)
-        frames = int(math.ceil(len(x) / ratio))
-        pos = np.arange(frames) * ratio
-        taps = np.arange(-int(reach), int(reach) + 1)
-        out = np.zeros(frames)
-        for a in range(0, frames, 4096):
-            p = pos[a : a + 4096]
+    taps = np.arange(-int(reach), int(reach) + 1)
+
+    def run(xs, lo, hi, start):
+        """The output places that read within the block's own samples."""
+        first, last = math.ceil((start + lo) / ratio - 1e-9), math.ceil((start + hi) / ratio - 1e-9)
+        k = np.arange(first, last)
+        out = np.zeros(len(k))
+        for a in range(0, len(k), 4096):
+            p = k[a : a + 4096] * ratio - start
             at = np.floor(p).astype(int)[:, None] + taps
             d = (at - p[:, None]) / stretch
             h = np.where(np.abs(d) < half, np.sinc(d) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (d / half) ** 2))) / np.i0(beta), 0)
-            ok = (at >= 0) & (at < len(x))
-            out[a : a + 4096] = (np.where(ok, x[np.clip(at, 0, max(len(x) - 1, 0))], 0) * h).sum(1) / stretch
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "n": np.arange(frames), "x": out})
+            ok = (at >= 0) & (at < len(xs))
+            out[a : a + 4096] = (np.where(ok, xs[np.clip(at, 0, len(xs) - 1)], 0) * h).sum(1) / stretch
+        return {"n": pa.array(k), "x": pa.array(out)}
 
-    return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, n long, x double")
+    return _rows(pack(samples, BLOCK, int(reach) + 1, int(reach) + 1), run)
+
+
+def _rows(packed: DataFrame, fn) -> DataFrame:
+    """Blocks whose output lies on another grid of ``n``."""
+    return map_blocks(packed, fn, SAMPLES + " ")
 
 
 def true_peak(samples: DataFrame, factor: int = 4, taps: int = 25) -> DataFrame:
@@ -209,12 +221,12 @@ def true_peak(samples: DataFrame, factor: int = 4, taps: int = 25) -> DataFrame:
     proto = np.sinc((i - (n - 1) / 2) / factor) * (0.35875 - 0.48829 * np.cos(a) + 0.14128 * np.cos(2 * a) - 0.01168 * np.cos(3 * a))
     phases = [proto[k::factor] / proto[k::factor].sum() for k in range(factor)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy(np.float64)
-        most = max([float(np.abs(x).max(initial=0.0)), *(float(np.abs(np.convolve(x, p)).max(initial=0.0)) for p in phases if len(x))])
-        return pd.DataFrame({"recording": [pdf["recording"].iloc[0]], "channel": [pdf["channel"].iloc[0]], "true_peak": [most]})
+    def run(xs, lo, hi, start):
+        found = [float(np.abs(xs[lo:hi]).max()), *(float(np.abs(np.convolve(xs, p)[lo : hi + taps - 1]).max()) for p in phases)]
+        return {"true_peak": pa.array([max(found)])}
 
-    return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, true_peak double")
+    by = map_blocks(pack(samples, BLOCK, taps, taps), run, "recording long, channel int, true_peak double")
+    return by.groupBy("recording", "channel").agg(F.max("true_peak").alias("true_peak"))
 
 
 def sweep(spark: SparkSession, rate: float, seconds: float = 5.0, start: float = 20.0, end: float = 20000.0, level: float = 0.5, fade: float = 0.02) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Loudness: K-weighting in a grouped map, then plain aggregation and window frames.
+"""Loudness: K-weighting in blocks, then plain aggregation and window frames.
 
-Sub-blocks of 100 ms are the seam: below it a filter with state runs over each recording and channel; above it all is SQL.
+Sub-blocks of 100 ms are the seam: below it a filter runs in blocks that carry its state; above it all is SQL.
 """
 
 from __future__ import annotations
@@ -8,12 +8,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FLOOR_DB
+from ..scratch import Scratch
+from .blocks import BLOCK, cascades, run_cascade
 
 # The analogue prototypes of the two K-weighting stages (Hz, dB, Q).
 SHELF = (1681.974450955533, 3.999843853973347, 0.7071752369554196)
@@ -38,16 +39,8 @@ def k_weighting(rate: float) -> list[tuple[float, ...]]:
 
 
 def run_sections(x: np.ndarray, sections) -> np.ndarray:
-    """Transposed direct form II, section after section."""
-    y = np.asarray(x, np.float64)
-    for b0, b1, b2, a1, a2 in sections:
-        out, s1, s2 = np.empty_like(y), 0.0, 0.0
-        for i, v in enumerate(y.tolist()):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            out[i] = o
-        y = out
-    return y
+    """Transposed direct form II, section after section, from nothing."""
+    return run_cascade(x, sections)[0]
 
 
 def sub_blocks(samples: DataFrame, rate: float, weighted: bool = True) -> DataFrame:
@@ -56,14 +49,13 @@ def sub_blocks(samples: DataFrame, rate: float, weighted: bool = True) -> DataFr
     if weighted:
         sections = k_weighting(rate)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("n")
-            y = run_sections(pdf["x"].to_numpy(), sections)
-            whole = len(y) // size
-            sq = (y[: whole * size].reshape(whole, size) ** 2).sum(1)
-            return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "sub": np.arange(whole), "sq": sq})
+        def energies(start, ys):
+            whole = len(ys[0]) // size
+            sq = (ys[0][: whole * size].reshape(whole, size) ** 2).sum(1)
+            return {"sub": pa.array(start // size + np.arange(whole)), "sq": pa.array(sq)}
 
-        return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, sub long, sq double")
+        block = max(1, BLOCK // size) * size  # so that no sub-block is cut
+        return cascades(samples, [sections], energies, "recording long, channel int, sub long, sq double", block)
     by = samples.groupBy("recording", "channel", F.floor(F.col("n") / size).cast("long").alias("sub")).agg(F.sum(F.col("x") * F.col("x")).alias("sq"), F.count("*").alias("frames"))
     return by.filter(F.col("frames") == size).drop("frames")
 
@@ -113,7 +105,7 @@ def loudness_range(points: DataFrame) -> DataFrame:
 def programme(samples: DataFrame, rate: float, weighted: bool = True) -> DataFrame:
     """Integrated loudness, range and the loudest windows of each recording.
 
-    Three aggregations read the points (ten small rows a second), so they are persisted rather than filtered three times."""
-    points = series(sub_blocks(samples, rate, weighted), rate).persist(StorageLevel.MEMORY_AND_DISK)
+    Three aggregations read the points (ten small rows a second), so they are written once rather than filtered three times."""
+    points = Scratch(samples.sparkSession, "loudness").keep(series(sub_blocks(samples, rate, weighted), rate), "points")
     tops = points.groupBy("recording").agg(F.max("momentary").alias("max_momentary"), F.max("short_term").alias("max_short_term"))
     return tops.join(integrated(points), "recording", "left").join(loudness_range(points), "recording", "left")
