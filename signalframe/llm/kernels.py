@@ -7,6 +7,8 @@ Chunks hold ``CHUNK_BYTES`` of text at most; a longer document is a chunk by its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p, q = np.full(size, BASE, U64), np.full(size, inverse, U64)
         p[0] = q[0] = 1
         p, q = np.cumprod(p, dtype=U64), np.cumprod(q, dtype=U64)
-        if size > 4 * CHUNK_BYTES:
+        if size > CHUNK_BYTES:  # a rare long text's powers aren't kept
             return p, q
         _pow, _inv = p, q
     return _pow, _inv
@@ -162,6 +164,18 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def lean(fn: Callable) -> Callable:
+    """``fn(batches)`` that gives freed memory back at its end: Python workers live on from task to task, and idle ones count too."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def map_chunks(df: DataFrame, fn: Callable, schema: str, column: str = "text", setup: Callable | None = None, most: int = CHUNK_BYTES) -> DataFrame:
     """``fn(batch, buf, offs[, what setup() gave])`` over every chunk; it returns a RecordBatch, a dict of columns or None."""
 
@@ -175,7 +189,7 @@ def map_chunks(df: DataFrame, fn: Callable, schema: str, column: str = "text", s
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def groups(batches, keys: list[str]) -> Iterator[pa.Table]:

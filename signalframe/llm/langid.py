@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import CHUNK_BYTES, U64, Scratch, SpanHash, chunks, distinct, flat, mix, spans, table
+from .kernels import CHUNK_BYTES, U64, Scratch, SpanHash, chunks, distinct, flat, lean, mix, spans, table
 
 ORDER = 4
-BLOCK = 4_000_000  # values (keys by languages) of a broadcast block
+BLOCK = 2_000_000  # values (keys by languages) of a broadcast block
 HOLD = 6 << 20  # bytes of text that are looked up at once where there are several blocks
 ALPHA = 0.5
 FLUSH = 1_500_000
@@ -125,7 +125,7 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if held.parts:
             yield out()
 
-    part = docs.select("text", "lang").mapInArrow(run, "sort int, key long, lang string, n long")
+    part = docs.select("text", "lang").mapInArrow(lean(run), "sort int, key long, lang string, n long")
     return part.groupBy("sort", "key", "lang").agg(F.sum("n").alias("n"))
 
 
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part, _, _ in chunks(batch, "text", most):
                 yield _predict(part, model)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def _predict(part, model):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, grouped_order, groups, map_chunks, mix, small, spans, windows
+from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, grouped_order, groups, lean, map_chunks, mix, small, spans, windows
 
 SHINGLE = 5
 PERCENT = 85
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     classes = scratch.keep(
         full.groupBy(F.col("ha").alias("node"), "hb").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
-    values = classes.select("node", "sketch").mapInArrow(_explode, "node long, value long")
+    values = classes.select("node", "sketch").mapInArrow(lean(_explode), "node long, value long")
     spread = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     common = values.join(spread, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
     common = common.join(classes.select("node", F.col("n_shingles").alias("size")), "node")
@@ -283,7 +283,7 @@ def _verified(docs, classes, clusters, scratch, percent, width, k, block_bytes):
             if linked.any():
                 yield pa.RecordBatch.from_pydict({"a": node[linked], "b": node[root[linked]]})
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(lean(verify), "a long, b long")
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .kernels import SpanHash, chunks, distinct, flat
+from .kernels import SpanHash, chunks, distinct, flat, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -244,7 +244,7 @@ def _list(ids: np.ndarray, offs: np.ndarray) -> pa.Array:
 def _with(df: DataFrame, columns: list, fn, setup):
     fields = [f for f in df.schema.fields if f.name not in {c.name for c in columns}]
     schema = T.StructType([*fields, *columns])
-    return df.mapInArrow(lambda batches: fn(batches, [f.name for f in fields], setup()), schema)
+    return df.mapInArrow(lean(lambda batches: fn(batches, [f.name for f in fields], setup())), schema)
 
 
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -299,4 +299,4 @@ def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), "exact": pa.array(same, pa.bool_()),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, n_byte_pieces long, ids array<int>, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_pieces long, n_byte_pieces long, ids array<int>, decoded_sha256 string, exact boolean")

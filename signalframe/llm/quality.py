@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import (
-    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, fresh, mix, per_doc, small, spans, table, windows,
+    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, fresh, lean, mix, per_doc, small, spans, table, windows,
 )
 
 ORDER = 6
-BLOCK = 4_000_000  # n-grams of a broadcast block
+BLOCK = 2_000_000  # n-grams of a broadcast block
 HOLD = 12 << 20  # bytes of text that are scored at once where there are several blocks
 FLUSH = 1_500_000
 WIDTH = 3.5
@@ -105,7 +105,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             held = [merged()]
             yield out()
 
-    part = docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    part = docs.select("text", "lang").mapInArrow(lean(run), "lang string, gram long, n long")
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -340,7 +340,7 @@ def measure(docs: DataFrame, model: list, order: int = ORDER, hold: int = HOLD)
         if held:
             yield from score(held)
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, METRICS)
+    return docs.select("doc_id", "text", "lang").mapInArrow(lean(run), METRICS)
 
 
 def bands(metrics: DataFrame, width: float = WIDTH) -> DataFrame:

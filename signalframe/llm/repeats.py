@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Scratch, SpanHash, chunks, flat, map_chunks, with_rows
+from .kernels import U64, Scratch, SpanHash, chunks, flat, lean, map_chunks, with_rows
 from .neardup import id_bitmap, seen
 
 LEAST = 400
@@ -178,7 +178,7 @@ def _unpacked(batches, most=CHUNK):
             a = b
 
 
-def _family_rows(levels_packed, least):
+def _family_rows(least):
     def run(batches):
         for batch, buf, offs in _unpacked(batches):
             f = Families(buf, offs, least)
@@ -245,7 +245,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     packed = _pack(own, levels.select("row")).join(levels, "row")
     direct = map_chunks(own, lambda *a: _direct(*a, least), "row long, start long, h long, low long, high long, anchor long, whole long", most=CHUNK)
     direct = scratch.keep(direct, "direct")
-    families = packed.mapInArrow(_family_rows(None, least), "row long, low long, high long, anchor long, whole long")
+    families = packed.mapInArrow(lean(_family_rows(least)), "row long, low long, high long, anchor long, whole long")
     families = scratch.keep(families.union(direct.filter("start IS NULL").select(*families.columns)), "families")
     for k in range(LEVELS):
         scratch.drop(f"rank-{k}")
@@ -254,7 +254,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     mixed = wholes.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 AND fewest = 1").select("anchor")
     open_ = wholes.join(mixed, "anchor").select("row", "low", "high", F.least("n", F.lit(2)).alias("weight"))
     spans = scratch.keep(_joined(open_, "spans", "low", "high", "weight"), "spans")
-    windows = _pack(own, spans.select("row")).join(spans, "row").mapInArrow(_window_rows(least), "row long, start long, h long, weight long")
+    windows = _pack(own, spans.select("row")).join(spans, "row").mapInArrow(lean(_window_rows(least)), "row long, start long, h long, weight long")
     bare = direct.filter("start IS NOT NULL").select("row", "start", "h", F.lit(1).cast("long").alias("weight"))
     windows = scratch.keep(windows.union(bare), "windows")
     again = windows.groupBy("h").agg(F.sum("weight").alias("w"), F.min("weight").alias("one")).filter("w > 1 AND one = 1").select("h")
@@ -323,4 +323,4 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     direct = map_chunks(hashed, untouched, RESULT, setup=lambda: held.value, most=CHUNK)
     texts = map_chunks(hashed, maybe, "row long, doc_id long, packed binary", setup=lambda: (held.value, zstandard.ZstdCompressor(level=1)), most=CHUNK)
-    return direct.union(texts.join(marks, "row", "left").mapInArrow(cut, RESULT))
+    return direct.union(texts.join(marks, "row", "left").mapInArrow(lean(cut), RESULT))
