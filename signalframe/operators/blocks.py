@@ -79,21 +79,20 @@ def sample_rows(recording: int, channel: int, start: int, x: np.ndarray) -> pa.R
     return pa.RecordBatch.from_pydict({"recording": pa.array(np.full(n, recording)), "channel": pa.array(np.full(n, channel, np.int32)), "n": pa.array(np.arange(start, start + n)), "x": pa.array(np.asarray(x, np.float64))})
 
 
-def map_blocks(packed: DataFrame, fn: Callable, schema: str = SAMPLES, *more: str) -> DataFrame:
-    """``fn(xs, lo, hi, start, *more)`` for each block: its own samples' new values, or with another schema a dict of columns beside recording and channel."""
-    plain = schema == SAMPLES
+def map_blocks(packed: DataFrame, fn: Callable, schema: str | None = None, *more: str) -> DataFrame:
+    """``fn(xs, lo, hi, start, *more)`` for each block: its own samples' new values, or with a schema a dict of columns beside recording and channel."""
 
     def run(batches):
         for batch in batches:
             for xs, (r, c, start, lo, hi, *rest) in zip(values(batch), cells(batch, "recording", "channel", "start", "lo", "hi", *more)):
                 out = fn(xs, lo, hi, start, *rest)
-                if plain:
+                if schema is None:
                     yield sample_rows(r, c, start + lo, out)
                 else:
                     n = len(next(iter(out.values())))
                     yield pa.RecordBatch.from_pydict({"recording": pa.array(np.full(n, r)), "channel": pa.array(np.full(n, c, np.int32)), **out})
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(run, schema or SAMPLES)
 
 
 # --- linear recurrences
@@ -162,7 +161,7 @@ def one_step(sections) -> np.ndarray:
     return out
 
 
-def cascades(samples: DataFrame, sets: list[list[tuple]], finish: Callable, schema: str, size: int = BLOCK) -> DataFrame:
+def cascades(samples: DataFrame, sets: list[list[tuple]], finish: Callable, schema: str | None = None, size: int = BLOCK) -> DataFrame:
     """``finish(start, [filtered by each cascade])`` for every block, with all states carried along each recording: a dict of columns, or samples."""
     dims = [2 * len(s) for s in sets]
     edges = np.concatenate([[0], np.cumsum(dims)]).tolist()
@@ -198,4 +197,4 @@ def cascade(samples: DataFrame, sections: list[tuple], size: int = BLOCK) -> Dat
     """``recording, channel, n, x`` through a cascade of sections."""
     if not sections:
         return samples.select("recording", "channel", "n", "x")
-    return cascades(samples, [sections], lambda start, y: y[0], SAMPLES, size)
+    return cascades(samples, [sections], lambda start, y: y[0], None, size)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..model import db
 from .blocks import BLOCK, SAMPLES, cascade, cascades, map_blocks, pack
 
+LEAST_SPAN = 1 << 18  # frames of a block with a run-up
 KINDS = ("low_pass", "high_pass", "band_pass", "notch", "all_pass", "peaking", "low_shelf", "high_shelf")
 
 
@@ -66,7 +67,7 @@ def run_up(rate: float, *seconds: float) -> int:
 def _with_run_up(samples: DataFrame, rate: float, times: tuple[float, ...], fn, after: int = 0) -> DataFrame:
     """``fn`` of each block with its run-up; only the block's own samples stay."""
     before = run_up(rate, *times)
-    return map_blocks(pack(samples, max(1 << 18, 4 * before), before, after), lambda xs, lo, hi, start: fn(xs)[lo:hi])
+    return map_blocks(pack(samples, max(LEAST_SPAN, 4 * before), before, after), lambda xs, lo, hi, start: fn(xs)[lo:hi])
 
 
 def _per_channel(samples: DataFrame, fn, extra: str = "") -> DataFrame:
@@ -205,12 +206,7 @@ def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 2
             out[a : a + 4096] = (np.where(ok, xs[np.clip(at, 0, len(xs) - 1)], 0) * h).sum(1) / stretch
         return {"n": pa.array(k), "x": pa.array(out)}
 
-    return _rows(pack(samples, BLOCK, int(reach) + 1, int(reach) + 1), run)
-
-
-def _rows(packed: DataFrame, fn) -> DataFrame:
-    """Blocks whose output lies on another grid of ``n``."""
-    return map_blocks(packed, fn, SAMPLES + " ")
+    return map_blocks(pack(samples, BLOCK, int(reach) + 1, int(reach) + 1), run, SAMPLES)
 
 
 def true_peak(samples: DataFrame, factor: int = 4, taps: int = 25) -> DataFrame:

@@ -1,12 +1,26 @@
-"""Short-time spectrum edits and repair, one recording and channel per group."""
+"""Short-time spectrum edits and repair in blocks with halos; only time-stretching takes a channel as a whole.
+
+Blocks begin at multiples of the hop, so that the frames of a block lie where those of the whole recording do, and halos
+hold all that a frame or a smoother looks back to.  What is asked of the whole recording (a noise profile, the peak) is
+aggregated first and joined to the blocks.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .blocks import map_blocks, pack
+
+SIZE, HOP = 1024, 256
+SPAN = 1 << 16
 
-from .filters import _per_channel
+
+def hann(size: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
 
 def stft(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -14,13 +28,12 @@ def stft(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     pad = size - hop
     frames = (pad + len(x) - 1) // hop + 1
     padded = np.concatenate([np.zeros(pad), x, np.zeros(frames * hop + size)])
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop][:frames] * w, axis=1)
+    return np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop][:frames] * hann(size), axis=1)
 
 
 def istft(spec: np.ndarray, size: int, hop: int, length: int) -> np.ndarray:
     """Window again, overlap-add, divide by the windows' squares."""
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    w = hann(size)
     out, norm = np.zeros(len(spec) * hop + size), np.zeros(len(spec) * hop + size)
     for i, f in enumerate(np.fft.irfft(spec, size, axis=1)):
         out[i * hop : i * hop + size] += f * w
@@ -29,35 +42,91 @@ def istft(spec: np.ndarray, size: int, hop: int, length: int) -> np.ndarray:
     return (out / np.maximum(norm, 1e-12))[pad : pad + length]
 
 
-def denoise(samples: DataFrame, noise_from: int, noise_to: int, amount_db: float = 12.0, size: int = 1024, hop: int = 256, over: float = 1.5) -> DataFrame:
+def edit_frames(samples: DataFrame, edit, size: int = SIZE, hop: int = HOP, look_back: int = 0, side: DataFrame | None = None, name: str = "") -> DataFrame:
+    """The STFT of each block through ``edit(spec, frame[, side])``; ``frame`` is the first frame's number in the whole recording.
+
+    ``look_back`` frames before a block are computed too; ``side(recording, channel, name)`` comes to each block as an array."""
+    halo = size + hop
+    packed = pack(samples, SPAN // hop * hop, -(-(halo + look_back * hop) // hop) * hop, halo)
+    if side is not None:
+        packed = packed.join(side, ["recording", "channel"], "left")
+
+    def run(xs, lo, hi, start, *more):
+        return istft(edit(stft(xs, size, hop), start // hop, *more), size, hop, len(xs))[lo:hi]
+
+    return map_blocks(packed, run, None, *([name] if side is not None else []))
+
+
+def noise_profile(samples: DataFrame, noise_from: int, noise_to: int, size: int = SIZE, hop: int = HOP) -> DataFrame:
+    """``recording, channel, noise``: mean magnitudes of a passage that the user has marked."""
+    part = samples.filter((F.col("n") >= noise_from) & (F.col("n") < noise_to)).withColumn("n", F.col("n") - noise_from)
+
+    def run(xs, lo, hi, start):
+        mags = np.abs(stft(xs, size, hop))
+        first = 0 if start + lo == 0 else (lo + size - hop) // hop
+        last = len(mags) if hi == len(xs) else (hi + size - hop) // hop
+        return {"bin": pa.array(np.arange(mags.shape[1])), "total": pa.array(mags[first:last].sum(0)), "frames": pa.array(np.full(mags.shape[1], last - first))}
+
+    by = map_blocks(pack(part, SPAN // hop * hop, -(-size // hop) * hop, size), run, "recording long, channel int, bin long, total double, frames long")
+    by = by.groupBy("recording", "channel", "bin").agg((F.sum("total") / F.sum("frames")).alias("m"))
+    return by.groupBy("recording", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "m"))), lambda v: v["m"]).alias("noise"))
+
+
+def smoothed(gain: np.ndarray, keep: float = 0.55) -> np.ndarray:
+    """Moving mean over three bins (edges shortened), then exponential smoothing over frames from 1."""
+    wide = np.ones(3)
+    gain = np.apply_along_axis(lambda g: np.convolve(g, wide, "same") / np.convolve(np.ones_like(g), wide, "same"), 1, gain)
+    last = np.ones(gain.shape[1])
+    for i in range(len(gain)):
+        last = gain[i] = keep * last + (1 - keep) * gain[i]
+    return gain
+
+
+def denoise(samples: DataFrame, noise_from: int, noise_to: int, amount_db: float = 12.0, size: int = SIZE, hop: int = HOP, over: float = 1.5) -> DataFrame:
     """Spectral subtraction by the mean magnitudes of a noise passage, smoothed over bins and frames."""
+    if noise_to - noise_from < 2 * size:
+        raise ValueError("a noise profile needs two windows")
 
-    def run(x):
-        spec = stft(x, size, hop)
-        noise = np.abs(stft(x[noise_from:noise_to], size, hop)).mean(0)
-        p, n = np.abs(spec) ** 2, (noise * over) ** 2
+    def edit(spec, frame, noise):
+        p, n = np.abs(spec) ** 2, (np.asarray(noise) * over) ** 2
         s = np.maximum(0, p - n)
-        gain = np.where(s + n > 0, s / np.where(s + n > 0, s + n, 1), 1.0)
-        gain = np.apply_along_axis(lambda g: np.convolve(g, np.ones(3), "same") / np.convolve(np.ones_like(g), np.ones(3), "same"), 1, gain)
-        last = np.ones(gain.shape[1])
-        for i in range(len(gain)):
-            last = gain[i] = 0.55 * last + 0.45 * gain[i]
-        return istft(spec * np.maximum(gain, 10 ** (-amount_db / 20)), size, hop, len(x))
+        gain = smoothed(np.where(s + n > 0, s / np.where(s + n > 0, s + n, 1), 1.0))
+        return spec * np.maximum(gain, 10 ** (-amount_db / 20))
+
+    return edit_frames(samples, edit, size, hop, 64, noise_profile(samples, noise_from, noise_to, size, hop), "noise")
+
+
+def feather(at: np.ndarray, low: float, high: float, edge: float) -> np.ndarray:
+    """1 inside [low, high], a raised cosine over ``edge`` outside."""
+    away = np.maximum(np.maximum(low - at, at - high), 0)
+    return np.where(away <= 0, 1.0, np.where(away < edge, 0.5 + 0.5 * np.cos(np.pi * away / edge), 0.0)) if edge > 0 else (away <= 0).astype(float)
 
-    return _per_channel(samples, run)
 
+def attenuate(samples: DataFrame, rate: float, t0: float, t1: float, f0: float, f1: float, gain_db: float, size: int = SIZE, hop: int = HOP, bins: float = 3.0, frames: float = 1.0) -> DataFrame:
+    """Scale a time-frequency region under a raised-cosine mask (three bins and a hop wide by default)."""
+    f = np.arange(size // 2 + 1) * rate / size
+    across = feather(f, f0, f1, bins * rate / size)
 
-def attenuate(samples: DataFrame, rate: float, t0: float, t1: float, f0: float, f1: float, gain_db: float, size: int = 1024, hop: int = 256) -> DataFrame:
-    """Scale a time-frequency region."""
+    def edit(spec, frame):
+        t = ((frame + np.arange(len(spec))) * hop - (size - hop) + size / 2) / rate
+        mask = feather(t, t0, t1, frames * hop / rate)[:, None] * across[None, :]
+        return spec * (1 + mask * (10 ** (gain_db / 20) - 1))
 
-    def run(x):
-        spec = stft(x, size, hop)
-        t = (np.arange(len(spec)) * hop - (size - hop) + size / 2) / rate
-        f = np.arange(spec.shape[1]) * rate / size
-        inside = ((t >= t0) & (t <= t1))[:, None] & ((f >= f0) & (f <= f1))[None, :]
-        return istft(np.where(inside, spec * 10 ** (gain_db / 20), spec), size, hop, len(x))
+    return edit_frames(samples, edit, size, hop)
 
-    return _per_channel(samples, run)
+
+def dereverb(samples: DataFrame, rate: float, removal: float = 1.0, decay: float = 0.8, floor_db: float = -20.0, size: int = SIZE, hop: int = HOP) -> DataFrame:
+    """Subtract a delayed, decayed estimate of late energy in each bin; gains are smoothed over bins and frames."""
+    delay = max(size // hop, int(0.05 * rate / hop))
+
+    def edit(spec, frame):
+        p = np.abs(spec) ** 2
+        late = np.zeros_like(p)
+        late[delay:] = 10 ** (-6 * delay * hop / rate / decay) * removal * p[:-delay] if len(p) > delay else 0
+        gain = smoothed(np.sqrt(np.maximum(0, p - late) / np.maximum(p, 1e-30)))
+        return spec * np.maximum(gain, 10 ** (floor_db / 20))
+
+    return edit_frames(samples, edit, size, hop, delay + 64)
 
 
 def fit_prediction(x: np.ndarray, order: int) -> np.ndarray:
@@ -78,127 +147,185 @@ def fit_prediction(x: np.ndarray, order: int) -> np.ndarray:
 
 
 def interpolate(x: np.ndarray, missing: np.ndarray, order: int, trusted: bool = False) -> np.ndarray:
-    """Fill the missing samples so that the prediction error is least; ``trusted``: what stands there serves for the fit."""
+    """Fill the missing samples so that the prediction error is least; ``trusted``: what stands there serves for the fit.
+
+    The normal equations hold the autocorrelation of the error filter at the gaps' distances: no matrix over the signal."""
     a = np.concatenate([[1.0], -fit_prediction(x if trusted else np.where(missing, 0, x), order)])
     gaps = np.flatnonzero(missing)
-    n = len(x)
-    rows = np.arange(order, n)
-    m = np.zeros((len(rows), n))
-    for k, v in enumerate(a):
-        m[np.arange(len(rows)), rows - k] = v
-    near = np.abs(m[:, gaps]).sum(1) > 0
-    m = m[near]
-    rest = m @ np.where(missing, 0, x)
+    n, known = len(x), np.where(missing, 0, x)
+    error = np.convolve(known, a)[:n]
+    error[:order] = 0  # only places with all their past count
+    right = np.array([a[: min(order, n - 1 - g) + 1] @ error[g : g + min(order, n - 1 - g) + 1] for g in gaps])
+    left = np.zeros((len(gaps), len(gaps)))
+    for i, g in enumerate(gaps):
+        for j in range(i, min(len(gaps), i + order + 1)):
+            d = gaps[j] - g
+            if d > order:
+                break
+            first = max(gaps[j], order)
+            m = min(g + order, n - 1) - first + 1
+            if m > 0:
+                left[i, j] = left[j, i] = a[first - g : first - g + m] @ a[first - gaps[j] : first - gaps[j] + m]
     out = x.copy()
-    out[gaps] = np.linalg.lstsq(m[:, gaps], -rest, rcond=None)[0]
+    out[gaps] = np.linalg.lstsq(left, -right, rcond=None)[0]
+    return out
+
+
+def islands(flags: np.ndarray, merge: int = 0) -> list[tuple[int, int]]:
+    """Runs of true values; runs no more than ``merge`` apart become one."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
+    out: list[tuple[int, int]] = []
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if out and i - out[-1][1] <= merge:
+            out[-1] = (out[-1][0], j)
+        else:
+            out.append((i, j))
     return out
 
 
-def declick(samples: DataFrame, order: int = 32, block: int = 4096, sensitivity: float = 5.0, most: int = 64) -> DataFrame:
-    """Samples whose prediction error stands out in both directions are replaced by interpolation."""
+def declick(samples: DataFrame, order: int = 32, block: int = 4096, sensitivity: float = 5.0, most: int = 64, merge: int = 8) -> DataFrame:
+    """Samples whose prediction error stands out in both directions are replaced by interpolation; runs up to ``merge`` apart are one."""
+    halo = 4 * order
 
     def outliers(e):
         mad = np.sort(np.abs(e))[len(e) // 2] * 1.4826
         return np.abs(e) > sensitivity * mad if mad > 0 else np.zeros(len(e), bool)
 
-    def run(x):
-        out = x.copy()
-        for s in range(0, len(x), block):
-            y = x[s : s + block]
-            if len(y) < 4 * order:
-                continue
-            a = np.concatenate([[1.0], -fit_prediction(y, order)])
-            bad = outliers(np.convolve(y, a)[: len(y)]) & outliers(np.convolve(y[::-1], a)[: len(y)][::-1])
-            bad[:order] = bad[-order:] = False
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], bad.astype(int), [0]])))
-            for i, j in zip(edges[::2], edges[1::2]):
-                i, j = max(order, i - 1), min(len(y) - order, j + 1)
-                if j - i <= most:
-                    lo, hi = max(0, i - 4 * order), min(len(y), j + 4 * order)
-                    miss = np.zeros(hi - lo, bool)
-                    miss[i - lo : j - lo] = True
-                    out[s + lo : s + hi] = interpolate(out[s + lo : s + hi], miss, order)
-        return out
-
-    return _per_channel(samples, run)
+    def run(xs, lo, hi, start):
+        y, out = xs[lo:hi], xs.copy()
+        if len(y) < 4 * order:
+            return y
+        a = np.concatenate([[1.0], -fit_prediction(y, order)])
+        bad = outliers(np.convolve(y, a)[: len(y)]) & outliers(np.convolve(y[::-1], a)[: len(y)][::-1])
+        bad[:order] = bad[-order:] = False
+        for i, j in islands(bad, merge):
+            i, j = lo + max(order, i - 1), lo + min(len(y) - order, j + 1)
+            if 0 < j - i <= most:
+                p, q = max(0, i - halo), min(len(xs), j + halo)
+                miss = np.zeros(q - p, bool)
+                miss[i - p : j - p] = True
+                out[p:q] = interpolate(out[p:q], miss, order)
+        return out[lo:hi]
+
+    return map_blocks(pack(samples, block, halo, halo), run)
+
+
+def peaks(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("recording", "channel").agg(F.max(F.abs("x")).alias("peak"))
 
 
 def declip(samples: DataFrame, tolerance: float = 0.001, least: int = 2, most: int = 512, order: int = 32, keep_level: bool = False) -> DataFrame:
-    """Flat tops at the peak are filled by interpolation that never lies below the clipped value."""
-
-    def run(x):
-        peak = np.abs(x).max(initial=0.0)
-        if peak == 0:
-            return x
-        flat = np.abs(x) >= peak * (1 - tolerance)
-        out, fill = x.copy(), np.zeros(len(x), bool)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], flat.astype(int), [0]])))
-        for i, j in zip(edges[::2], edges[1::2]):
+    """Flat tops at the recording's peak are filled by interpolation that never lies below the clipped value; then the level falls below full scale."""
+    own = 1024
+    halo = most + 2 * order
+
+    def run(xs, lo, hi, start, peak):
+        if not peak:
+            return xs[lo:hi]
+        fill = np.zeros(len(xs), bool)
+        for i, j in islands(np.abs(xs) >= peak * (1 - tolerance)):
             fill[i:j] = least <= j - i <= most
-        for s in range(0, len(x), 1024):  # the tops of a block are filled together
-            own = slice(max(0, s - order), min(len(x), s + 1024 + order))
-            miss = fill[own].copy()
-            miss[:order] = miss[-order:] = False
-            if not miss.any():
-                continue
-            got = out[own].copy()
-            for _ in range(3):  # the fit gets better as the tops grow
-                got = interpolate(got, miss, order, trusted=True)
-                sign = np.sign(x[own])
-                got = np.where(miss, sign * np.maximum(np.abs(x[own]), got * sign), got)
-            out[own] = got
-        top = np.abs(out).max()
-        return out if keep_level or top <= 1 else out * (10 ** (-0.1 / 20) / top)
-
-    return _per_channel(samples, run)
-
-
-def dehum(samples: DataFrame, rate: float, hz: float = 50.0, partials: int = 8) -> DataFrame:
-    """Subtract the least-squares sinusoids of the mains frequency and its partials."""
-
-    def run(x):
-        t = np.arange(len(x)) / rate
-        parts = [k * hz for k in range(1, partials + 1) if k * hz < rate / 2]
-        m = np.stack([f(2 * np.pi * p * t) for p in parts for f in (np.cos, np.sin)], 1)
-        return x - m @ np.linalg.lstsq(m, x, rcond=None)[0]
-
-    return _per_channel(samples, run)
-
-
-def stretch(samples: DataFrame, factor: float, size: int = 2048, hop: int = 256) -> DataFrame:
-    """Time-stretch by a phase vocoder: ``factor`` times as long at the same pitch."""
+        fill[:order] = fill[len(xs) - order :] = False
+        if not fill[lo:hi].any():
+            return xs[lo:hi]
+        got, sign = xs.copy(), np.sign(xs)
+        for _ in range(3):  # the fit gets better as the tops grow
+            got = interpolate(got, fill, order, trusted=True)
+            got = np.where(fill, sign * np.maximum(np.abs(xs), got * sign), got)
+        return got[lo:hi]
+
+    filled = map_blocks(pack(samples, own, halo, halo).join(peaks(samples), ["recording", "channel"]), run, None, "peak")
+    if keep_level:
+        return filled
+    top = filled.groupBy("recording").agg(F.max(F.abs("x")).alias("top"))
+    scale = F.when(F.col("top") > 1, 10 ** (-0.1 / 20) / F.col("top")).otherwise(1.0)
+    return filled.join(top, "recording").select("recording", "channel", "n", (F.col("x") * scale).alias("x"))
+
+
+def hum_power(samples: DataFrame, rate: float, candidates: list[float]) -> DataFrame:
+    """``recording, channel, hz, power``: the signal's power at each candidate frequency, by one pass of sums."""
+    turn = lambda f: 2 * np.pi * f / rate * F.col("n")
+    sums = [x for i, f in enumerate(candidates) for x in (F.sum(F.col("x") * F.cos(turn(f))).alias(f"c{i}"), F.sum(F.col("x") * F.sin(turn(f))).alias(f"s{i}"))]
+    by = samples.groupBy("recording", "channel").agg(F.count("*").alias("frames"), *sums)
+    each = F.array(*(F.struct(F.lit(float(f)).alias("hz"), ((F.col(f"c{i}") * F.col(f"c{i}") + F.col(f"s{i}") * F.col(f"s{i}")) / (F.col("frames") * F.col("frames"))).alias("power")) for i, f in enumerate(candidates)))
+    return by.select("recording", "channel", F.explode(each).alias("v")).select("recording", "channel", "v.*")
+
+
+def hum_search(samples: DataFrame, rate: float, around: tuple[float, ...] = (50.0, 60.0), width: float = 1.0, step: float = 0.1) -> DataFrame:
+    """``recording, channel, hz, power, prominence``: the strongest candidate near a mains frequency, against the candidates' mean."""
+    steps = int(round(width / step))
+    grid = [round(c + k * step, 6) for c in around for k in range(-steps, steps + 1) if 0 < c + k * step < rate / 2]
+    powers = hum_power(samples, rate, grid)
+    best = powers.groupBy("recording", "channel").agg(F.max_by("hz", F.struct(F.round("power", 12), -F.col("hz"))).alias("hz"), F.max("power").alias("power"), F.avg("power").alias("mean"))
+    return best.select("recording", "channel", "hz", "power", F.when(F.col("mean") > 0, F.col("power") / F.col("mean")).alias("prominence"))
+
+
+def dehum(samples: DataFrame, rate: float, hz: float = 50.0, partials: int = 8, block: int = 4096) -> DataFrame:
+    """Subtract the partials of the mains frequency: each one's complex amplitude in overlapping blocks, averaged over the blocks around, overlap-added."""
+    hop, around = block // 4, 4
+    w = hann(block)
+    parts = [k * hz for k in range(1, partials + 1) if k * hz < rate / 2]
+
+    def run(xs, lo, hi, start):
+        size = min(block, len(xs))
+        win = w if size == block else hann(size)
+        starts = sorted({*range(0, max(len(xs) - size, 0) + 1, hop), len(xs) - size})  # the last one is right-aligned
+        out, norm = np.zeros(len(xs)), np.full(len(xs), 1e-12)
+        views = np.stack([xs[s : s + size] * win for s in starts])
+        for s in starts:
+            norm[s : s + size] += win
+        for f in parts:
+            t = np.arange(len(xs)) + start
+            wave = np.exp(-2j * np.pi * f * t / rate)
+            amp = 2 * np.array([v @ wave[s : s + size] for v, s in zip(views, starts)]) / win.sum()
+            amp = np.array([amp[max(0, i - around) : i + around + 1].mean() for i in range(len(amp))])
+            for a, s in zip(amp, starts):
+                out[s : s + size] += win * (a * np.conj(wave[s : s + size])).real
+        return (xs - out / norm)[lo:hi]
+
+    halo = block + (around + 1) * hop
+    return map_blocks(pack(samples, SPAN // hop * hop, -(-halo // hop) * hop, -(-halo // hop) * hop), run)
+
+
+def stretch(samples: DataFrame, factor: float, size: int = 2048, hop: int = HOP) -> DataFrame:
+    """Time-stretch by a phase vocoder with identity phase locking: ``factor`` times as long at the same pitch.
+
+    Phases add up along the whole recording, so a channel is one group here."""
     if not 0.1 <= factor <= 10:
         raise ValueError("the factor must lie between 0.1 and 10")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("n")["x"].to_numpy(np.float64)
-        spec = stft(x, size, hop)
-        frames = max(2, int(round(len(spec) * factor)))
-        at = np.arange(frames) * (len(spec) - 1) / (frames - 1)
-        lo = np.minimum(at.astype(int), max(len(spec) - 2, 0))
-        hi = np.minimum(lo + 1, len(spec) - 1)
-        frac = (at - lo)[:, None]
-        mag = np.abs(spec[lo]) * (1 - frac) + np.abs(spec[hi]) * frac
-        expected = 2 * np.pi * hop * np.arange(spec.shape[1]) / size
-        step = np.angle(spec[hi]) - np.angle(spec[lo]) - expected
-        step = expected + step - 2 * np.pi * np.round(step / (2 * np.pi))
-        phase = np.angle(spec[0]) + np.concatenate([np.zeros((1, spec.shape[1])), np.cumsum(step[:-1], 0)])
-        y = istft(mag * np.exp(1j * phase), size, hop, int(round(len(x) * factor)))
+        y = vocoder(x, factor, size, hop)
         return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "n": np.arange(len(y)), "x": y})
 
     return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, n long, x double")
 
 
-def dereverb(samples: DataFrame, rate: float, removal: float = 1.0, decay: float = 0.8, floor_db: float = -20.0, size: int = 1024, hop: int = 256) -> DataFrame:
-    """Subtract a delayed, decayed estimate of late energy in each bin."""
-
-    def run(x):
-        spec = stft(x, size, hop)
-        p = np.abs(spec) ** 2
-        delay = max(size // hop, int(0.05 * rate / hop))
-        late = np.zeros_like(p)
-        late[delay:] = 10 ** (-6 * delay * hop / rate / decay) * removal * p[:-delay] if len(p) > delay else 0
-        gain = np.sqrt(np.maximum(0, p - late) / np.maximum(p, 1e-30))
-        return istft(spec * np.maximum(gain, 10 ** (floor_db / 20)), size, hop, len(x))
-
-    return _per_channel(samples, run)
+def vocoder(x: np.ndarray, factor: float, size: int, hop: int) -> np.ndarray:
+    spec = stft(x, size, hop)
+    bins = np.arange(spec.shape[1])
+    frames = max(2, int(round(len(spec) * factor)))
+    at = np.arange(frames) * (len(spec) - 1) / (frames - 1)
+    lo = np.minimum(at.astype(int), max(len(spec) - 2, 0))
+    hi = np.minimum(lo + 1, len(spec) - 1)
+    expected = 2 * np.pi * hop * bins / size
+    out = np.empty((frames, len(bins)), complex)
+    phase = np.angle(spec[0])
+    for f in range(frames):
+        a, b, w = spec[lo[f]], spec[hi[f]], at[f] - lo[f]
+        mag = np.abs(a) * (1 - w) + np.abs(b) * w
+        if f:
+            turn = np.angle(b) - np.angle(a) - expected
+            own = phase + expected + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
+            # every bin follows the peak of its region as it stands to it in the input frame
+            top = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] >= mag[2:])) + 1
+            if len(top):
+                edges = [0, *(int(p + np.argmin(mag[p : q + 1])) for p, q in zip(top, top[1:])), len(bins)]
+                lead = np.repeat(top, np.diff(edges))
+                near = np.angle(a if w < 0.5 else b)
+                phase = own[lead] + near - near[lead]
+            else:
+                phase = own
+        out[f] = mag * np.exp(1j * phase)
+    return istft(out, size, hop, int(round(len(x) * factor)))

@@ -201,3 +201,48 @@ def test_number(spark):
         row = got.agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.sum((F.col("n") != F.col("k")).cast("int")).alias("wrong"), F.count("v").alias("v")).first()
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert (row.c, row.d, row.wrong, row.v) == (600_000, 600_000, 0, 600_000)
+
+
+@pytest.mark.parametrize("name", ["cascade", "compress", "limit", "denoise", "dereverb", "attenuate", "dehum", "resample", "true_peak", "exact", "multiband"])
+def test_blocks_change_nothing(spark, name, monkeypatch):
+    """However a recording is cut into blocks, the result is that of one block."""
+    from signalframe.operators import advanced, blocks
+
+    rng = np.random.default_rng(7)
+    x = 0.3 * rng.standard_normal((2, 9000)) + np.sin(np.arange(9000) * 0.05)
+    run = {
+        "cascade": lambda s: blocks.cascade(s, filters.butterworth("low_pass", RATE, 700.0, 4)), "compress": lambda s: filters.compress(s, RATE, attack=0.002, release=0.01), "limit": lambda s: filters.limit(s, RATE, -6.0, release=0.01),
+        "denoise": lambda s: repair.denoise(s, 0, 3000), "dereverb": lambda s: repair.dereverb(s, RATE), "attenuate": lambda s: repair.attenuate(s, RATE, 0.2, 0.6, 300.0, 900.0, -20.0),
+        "dehum": lambda s: repair.dehum(s, RATE, 50.0, 3, 512), "resample": lambda s: filters.resample(s, RATE, 11025.0), "true_peak": filters.true_peak, "exact": advanced.exact_true_peak,
+        "multiband": lambda s: advanced.multiband_compress(s, RATE, (800.0, 2000.0), release=0.01),
+    }[name]
+    s = signal(spark, x).repartition(3).cache()
+    got = []
+    for size in (1 << 16, 2048):
+        for m in (blocks, filters, advanced):
+            monkeypatch.setattr(m, "BLOCK", size)
+        monkeypatch.setattr(repair, "SPAN", size)
+        monkeypatch.setattr(blocks.cascades, "__defaults__", (None, size))
+        monkeypatch.setattr(blocks.cascade, "__defaults__", (size,))
+        monkeypatch.setattr(filters, "LEAST_SPAN", size)
+        out = run(s)
+        got.append(out.orderBy(*[c for c in out.columns if c not in ("x", "true_peak")]).toPandas())
+    a, b = got
+    assert len(a) == len(b) and (name in ("true_peak", "exact") or len(a) >= 18000)
+    value = "true_peak" if "true_peak" in a else "x"
+    assert np.abs(a[value] - b[value]).max() < 1e-9, np.abs(a[value] - b[value]).max()
+
+
+def test_dither_draws_are_the_sequence(spark):
+    from signalframe.operators import advanced
+
+    state, want = advanced.SEED, []
+    for _ in range(3000):
+        state ^= state >> 12
+        state ^= state << 25 & (1 << 64) - 1
+        state ^= state >> 27
+        want.append((state * advanced.SCRAMBLE % (1 << 64) >> 11) / 2**53 - 0.5)
+    assert np.array_equal(advanced.uniforms(0, 3000), want)
+    assert np.array_equal(advanced.uniforms(1234, 1500), want[1234:2734])
+    got = {(r["channel"], r["n"]): r["x"] for r in advanced.dither(signal(spark, np.zeros((2, 50))), 8).collect()}
+    assert all(got[c, n] * 128 == np.round(want[4 * n + 2 * c] + want[4 * n + 2 * c + 1]) for c in (0, 1) for n in range(50))
