@@ -20,36 +20,50 @@ def overlapping(clips: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     return clips.filter("length > 0").select("*", touched).join(blocks, "block")
 
 
-def render(clips: DataFrame, sources: DataFrame, start: int, stop: int) -> DataFrame:
-    """``n, x`` over [start, stop): overlapping clips add up, a missing source is silence, the region starts as zeros.
+def render(clips: DataFrame, sources: DataFrame, start: int, stop: int, shape: str = "linear") -> DataFrame:
+    """``n, x`` over [start, stop): overlapping clips add up under their gains and fades, a missing source is silence, the region starts as zeros.
 
-    ``clips(clip_id, source_id, source_start, timeline_start, length, gain)``, ``sources(source_id, n, x)``."""
-    spark = clips.sparkSession
+    ``clips(clip_id, source_id, source_start, timeline_start, length, gain[, fade_in, fade_out])``, ``sources(source_id, n, x)``.
+    Sources are packed into chunks, a clip meets the chunks that it plays, and only samples that sound are laid out."""
     part = clips.filter((F.col("timeline_start") < stop) & (F.col("timeline_start") + F.col("length") > start) & (F.col("length") > 0))
-    offset = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(start) - F.col("timeline_start")), F.least(F.col("length"), F.lit(stop) - F.col("timeline_start")) - 1)).alias("i")
-    wanted = part.select("source_id", "timeline_start", "gain", "source_start", offset).select("source_id", (F.col("timeline_start") + F.col("i")).alias("n"), (F.col("source_start") + F.col("i")).alias("at"), "gain")
-    played = wanted.join(sources.select("source_id", F.col("n").alias("at"), "x"), ["source_id", "at"])
-    mixed = played.groupBy("n").agg(F.sum(F.col("gain") * F.col("x")).alias("x"))
-    return spark.range(start, stop).withColumnRenamed("id", "n").join(mixed, "n", "left").select("n", F.coalesce("x", F.lit(0.0)).alias("x"))
+    zero = F.lit(0).cast("long")
+    fades = [F.col(c) if c in clips.columns else zero.alias(c) for c in ("fade_in", "fade_out")]
+    first, last = F.floor(F.col("source_start") / BLOCK), F.floor((F.col("source_start") + F.col("length") - 1) / BLOCK)
+    plays = part.select("source_id", "timeline_start", "gain", "source_start", "length", *fades, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("chunk"))
+    chunks = sources.groupBy("source_id", F.floor(F.col("n") / BLOCK).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("xs"))
+    sound = plays.join(chunks, ["source_id", "chunk"]).withColumn("v", F.explode("xs"))
+    offset = F.col("v.n") - F.col("source_start")
+    n = F.col("timeline_start") + offset
+    level = clip_gain(offset, F.col("length"), F.col("gain"), F.col("fade_in"), F.col("fade_out"), shape)
+    played = sound.filter((offset >= 0) & (offset < F.col("length")) & (n >= start) & (n < stop)).select(n.alias("n"), (level * F.col("v.x")).alias("x"))
+    grid = clips.sparkSession.range(start, stop).select(F.col("id").alias("n"), F.lit(0.0).alias("x"))
+    return grid.unionAll(played).groupBy("n").agg(F.sum("x").alias("x"))
+
+
+def duration(clips: DataFrame) -> int:
+    return clips.agg(F.max(F.col("timeline_start") + F.col("length"))).first()[0] or 0
 
 
 def clip_gain(offset, length, gain, fade_in, fade_out, shape: str = "linear"):
-    """Gain at an offset of a clip: its own, times both fades."""
+    """Gain at an offset of a clip: its own, times both fades (a fade-out runs from its start to the clip's end)."""
     rise = F.when((fade_in > 0) & (offset < fade_in), fade(shape, offset / fade_in)).otherwise(1.0)
     left = length - offset
-    fall = F.when((fade_out > 0) & (left < fade_out), fade(shape, left / fade_out)).otherwise(1.0)
+    fall = F.when((fade_out > 0) & (left <= fade_out), fade(shape, left / fade_out)).otherwise(1.0)
     return gain * rise * fall
 
 
 def split_at(clips: DataFrame, position: int) -> DataFrame:
-    """Clips that hold the position strictly inside become two; the right one starts later in its source."""
+    """Clips that hold the position strictly inside become two; the right one starts later in its source, and the fades at the cut go."""
     inside = (F.col("timeline_start") < position) & (F.col("timeline_start") + F.col("length") > position)
     cut = F.lit(position) - F.col("timeline_start")
     piece = lambda a, s, n, k: F.struct(a.alias("timeline_start"), s.alias("source_start"), n.alias("length"), F.lit(k).alias("part"))
     whole = piece(F.col("timeline_start"), F.col("source_start"), F.col("length"), 0)
     two = F.array(piece(F.col("timeline_start"), F.col("source_start"), cut, 0), piece(F.lit(position).cast("long"), F.col("source_start") + cut, F.col("length") - cut, 1))
     keep = [c for c in clips.columns if c not in ("timeline_start", "source_start", "length")]
-    return clips.select(*keep, F.explode(F.when(inside, two).otherwise(F.array(whole))).alias("p")).select(*keep, "p.*")
+    rows = clips.select(*keep, inside.alias("_inside"), F.explode(F.when(inside, two).otherwise(F.array(whole))).alias("p"))
+    inside = F.col("_inside")
+    cleared = [F.when(inside & (F.col("p.part") == {"fade_out": 0, "fade_in": 1}[c]), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) if c in ("fade_in", "fade_out") else F.col(c) for c in keep]
+    return rows.select(*cleared, "p.*")
 
 
 def delete_range(clips: DataFrame, start: int, stop: int, ripple: bool = True) -> DataFrame:
@@ -62,16 +76,17 @@ def delete_range(clips: DataFrame, start: int, stop: int, ripple: bool = True) -
     first = F.greatest(a, F.lit(stop))
     right = piece(first - F.when(b > stop, shift).otherwise(0), F.col("source_start") + (first - a), b - first, 1)
     keep = [c for c in clips.columns if c not in ("timeline_start", "source_start", "length")]
-    return clips.select(*keep, F.explode(F.array(left, right)).alias("p")).filter("p.length > 0").select(*keep, "p.*")
+    spans, cut = (a < start) & (b > stop), (a < stop) & (b > start)
+    rows = clips.select(*keep, spans.alias("_spans"), cut.alias("_cut"), F.explode(F.array(left, right)).alias("p")).filter("p.length > 0")
+
+    def fades(c):
+        """Inside a clip the cut clears fades; at a trimmed edge they can't outlast the clip."""
+        own = F.col("_cut") & (F.col("p.part") == {"fade_out": 0, "fade_in": 1}[c])
+        return F.when(own & F.col("_spans"), F.lit(0).cast("long")).when(own, F.least(F.col(c), F.col("p.length"))).otherwise(F.col(c)).alias(c)
+
+    return rows.select(*(fades(c) if c in ("fade_in", "fade_out") else F.col(c) for c in keep), "p.*")
 
 
 def insert_silence(clips: DataFrame, position: int, length: int) -> DataFrame:
     out = split_at(clips, position)
     return out.withColumn("timeline_start", F.when(F.col("timeline_start") >= position, F.col("timeline_start") + length).otherwise(F.col("timeline_start")))
-
-
-def range_gain(clips: DataFrame, start: int, stop: int, factor: float) -> DataFrame:
-    """Split at both ends, then multiply the clips inside; a gain above 1000 is refused by the caller's check."""
-    out = split_at(split_at(clips, start).withColumnRenamed("part", "first"), stop)
-    inside = (F.col("timeline_start") >= start) & (F.col("timeline_start") + F.col("length") <= stop)
-    return out.withColumn("gain", F.when(inside, F.col("gain") * factor).otherwise(F.col("gain")))

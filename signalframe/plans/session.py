@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -65,3 +65,18 @@ def commit(history: DataFrame, state: DataFrame, label: str, at: int, depth: int
 def snapshot(history: DataFrame, version: int) -> DataFrame:
     """Undo and redo are other versions of the same table."""
     return history.filter(F.col("version") == version).drop("version", "label")
+
+
+def coalesced(edits: DataFrame, depth: int = 128) -> DataFrame:
+    """``version, label, edits`` of ``edits(n, label)``: consecutive edits with one label are one version, and the newest ``depth`` stay.
+
+    A version begins where the label before differs; each edit's version is the number of beginnings up to it, counted in
+    blocks of edits whose sums are added up first."""
+    before = edits.select((F.col("n") + 1).alias("n"), F.col("label").alias("previous"))
+    begins = edits.join(before, "n", "left").withColumn("begin", (~F.col("label").eqNullSafe(F.col("previous")) | (F.col("n") == 0)).cast("long")).withColumn("block", F.floor(F.col("n") / 65536))
+    sums = begins.groupBy("block").agg(F.sum("begin").alias("s"))
+    upto = sums.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("upto"))  # a row for 65,536 edits
+    inside = F.sum("begin").over(Window.partitionBy("block").orderBy("n"))
+    versions = begins.withColumn("inside", inside).join(F.broadcast(upto), "block").groupBy((F.col("upto") + F.col("inside")).alias("version"), "label").agg(F.count("*").alias("edits"))
+    last = versions.agg(F.max("version").alias("last"))
+    return versions.join(F.broadcast(last)).filter(F.col("version") > F.col("last") - depth).select("version", "label", "edits")

@@ -133,9 +133,9 @@ def _(spark, sf_dir):
     return rounded(pyramids.peak_pyramid(model.long(_line(spark, sf_dir))))
 
 
-@query("r19_peak_query", f"WITH {LINE} SELECT channel, (n - 100) * 64 // 4000 AS \"column\", round(min(x), 6) AS min, round(max(x), 6) AS max, round(sqrt(avg(x * x)), 6) AS rms FROM long WHERE n >= 100 AND n < 4100 GROUP BY ALL")
+@query("r19_peak_query", f"WITH {LINE}, c AS (SELECT count(*) AS f FROM line) SELECT channel, n * 64 // f AS \"column\", round(min(x), 6) AS min, round(max(x), 6) AS max, round(sqrt(avg(x * x)), 6) AS rms FROM long, c GROUP BY ALL")
 def _(spark, sf_dir):
-    return rounded(pyramids.peak_query(model.long(_line(spark, sf_dir)), 100, 4100, 64))
+    return rounded(pyramids.peak_query(model.long(_line(spark, sf_dir)), 0, model.table(spark, sf_dir, "lineitem").count(), 64))
 
 
 @query(
@@ -275,11 +275,11 @@ def _sources(spark, sf_dir):
 @query(
     "j1_j3_render",
     f"""WITH {RENDER}, p AS (SELECT timeline_start + s.n AS n, sum(gain * x) AS x FROM clips JOIN src s USING (source_id) WHERE s.n < length GROUP BY 1)
-SELECT g.n, round(coalesce(x, 0), 6) AS x FROM range(1000, 20000) g(n) LEFT JOIN p ON p.n = g.n""",
+SELECT g.n, round(coalesce(x, 0), 6) AS x FROM range(0, (SELECT max(timeline_start + length) FROM clips)) g(n) LEFT JOIN p ON p.n = g.n""",
 )
 def _(spark, sf_dir):
     clips = model.clips(spark, sf_dir).withColumn("source_start", F.lit(0).cast("long"))
-    return rounded(timeline.render(clips, _sources(spark, sf_dir), 1000, 20000))
+    return rounded(timeline.render(clips, _sources(spark, sf_dir), 0, timeline.duration(clips)))
 
 
 @query("j12_missing_sources", f"WITH {RENDER} SELECT clip_id, source_id FROM clips WHERE source_id NOT IN (SELECT source_id FROM src)")
@@ -504,3 +504,5 @@ def _register_advanced():
 
 
 _register_advanced()
+
+from . import queries_edits  # noqa: E402, F401
