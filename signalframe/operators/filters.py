@@ -120,6 +120,67 @@ def follow(levels: np.ndarray, attack: float, release: float, rate: float) -> np
     return out
 
 
+def envelope(samples: DataFrame, rate: float, attack: float = 0.01, release: float = 0.1, rms: bool = False) -> DataFrame:
+    """Envelope of magnitudes, or the root of that of squares."""
+    level = (lambda x: np.sqrt(follow(x * x, attack, release, rate))) if rms else (lambda x: follow(np.abs(x), attack, release, rate))
+    return _with_run_up(samples, rate, (attack, release), level)
+
+
+def most_reduction(before: DataFrame, after: DataFrame, least: float = 1e-20) -> DataFrame:
+    """``recording, channel, most_db``: the deepest cut between two signals, over samples that are not as good as silent."""
+    keys = ["recording", "channel", "n"]
+    j = before.filter(F.abs("x") >= least).select(*keys, "x").join(after.select(*keys, F.col("x").alias("y")), keys)
+    cut = F.when(F.col("y") != 0, -20 * F.log10(F.abs(F.col("y") / F.col("x"))))
+    return j.groupBy("recording", "channel").agg(F.max(cut).alias("most_db"))
+
+
+def linked(samples: DataFrame, amount: float = 1.0, combine: str = "max") -> DataFrame:
+    """``samples`` with ``level``: each channel's magnitude, drawn towards the largest (or mean) of its frame by ``amount``."""
+    if not 0 <= amount <= 1 or combine not in ("max", "mean"):
+        raise ValueError("the amount lies between 0 and 1; channels combine by max or mean")
+    both = samples.groupBy("recording", "n").agg((F.max if combine == "max" else F.avg)(F.abs("x")).alias("both"))
+    own = F.abs("x")
+    return samples.join(both, ["recording", "n"]).withColumn("level", own + amount * (F.col("both") - own)).drop("both")
+
+
+def linked_compress(samples: DataFrame, rate: float, threshold: float = -20.0, ratio: float = 4.0, attack: float = 0.01, release: float = 0.1, knee: float = 6.0, makeup: float = 0.0, amount: float = 1.0, combine: str = "max") -> DataFrame:
+    """A compressor whose channels hear each other, so that the image stays where it is: the reduction follows the linked level."""
+    keys = ["recording", "channel", "n"]
+    levels = linked(samples, amount, combine)
+    cut = _with_run_up(levels.select(*keys, F.col("level").alias("x")), rate, (attack, release), lambda v: follow(compression_curve(_db(v), threshold, ratio, knee), attack, release, rate))
+    return samples.join(cut.withColumnRenamed("x", "cut"), keys).select(*keys, (F.col("x") * F.pow(F.lit(10.0), (makeup - F.col("cut")) / 20)).alias("x"))
+
+
+def on_range(samples: DataFrame, start: int, stop: int, process, run_up_frames: int | None = None, blend: int = 0) -> DataFrame:
+    """``process`` applied to [start, stop) of each recording: it hears the run-up before, and at both ends its output is blended in over ``blend`` frames."""
+    keys = ["recording", "channel", "n"]
+    before = start if run_up_frames is None else min(start, run_up_frames)
+    base = samples.select("recording", F.col("channel").cast("int").alias("channel"), "n", "x")
+    near = base.filter((F.col("n") >= start - before) & (F.col("n") < stop))
+    ends = near.groupBy("recording", "channel").agg((F.max("n") + 1).alias("end"))
+    shifted = near.withColumn("n", F.col("n") - (start - before))
+    done = process(shifted).select("recording", "channel", (F.col("n") + (start - before)).alias("n"), F.col("x").alias("y"))
+    j = base.join(done.filter(F.col("n") >= start), keys, "left").join(ends, ["recording", "channel"], "left")
+    w = F.least(F.lit(1.0), (F.col("n") - start + 1) / (blend + 1.0), (F.col("end") - F.col("n")) / (blend + 1.0)) if blend else F.lit(1.0)
+    return j.select(*keys, F.when(F.col("y").isNotNull(), F.col("x") * (1 - w) + F.col("y") * w).otherwise(F.col("x")).alias("x"))
+
+
+def offline_limit(samples: DataFrame, rate: float, ceiling: float = -1.0, factor: int = 4, ahead: float = 0.005, release: float = 0.1) -> DataFrame:
+    """Limit between the samples too: raise the rate, limit, lower it again and clamp to the ceiling."""
+    up = resample(samples, rate, rate * factor)
+    down = resample(limit(up, rate * factor, ceiling, ahead, release), rate * factor, rate)
+    top = 10 ** (ceiling / 20)
+    keys = ["recording", "channel", "n"]
+    base = samples.select("recording", F.col("channel").cast("int").alias("channel"), "n")
+    return base.join(down, keys, "left").select(*keys, F.greatest(F.lit(-top), F.least(F.lit(top), F.coalesce("x", F.lit(0.0)))).alias("x"))
+
+
+def eq_on_range(samples: DataFrame, rate: float, start: int, stop: int, bands: list[dict], blend: int = 64) -> DataFrame:
+    """An equaliser on a range: a run-up of a quarter second or twenty periods of its lowest band, and blended edges."""
+    lowest = min((b["hz"] for b in bands if b.get("enabled", True)), default=rate)
+    return on_range(samples, start, stop, lambda part: parametric_eq(part, rate, bands), int(rate * max(0.25, 20 / lowest)), blend)
+
+
 def _db(x: np.ndarray) -> np.ndarray:
     return np.where(x > 1e-10, 20 * np.log10(np.maximum(x, 1e-10)), -200.0)
 

@@ -31,22 +31,32 @@ def residual(a: DataFrame, b: DataFrame, lag: int) -> DataFrame:
     return t.select("recording", "frames", g.alias("gain"), F.when(F.col("xx") > 0, db(F.greatest(left, F.lit(0.0)) / F.col("xx"), 10.0)).alias("residual_db"))
 
 
-def null_test(a: DataFrame, b: DataFrame, most: int = 0) -> DataFrame:
-    """Align each pair of recordings, match gain and report the residual."""
+def lags(a: DataFrame, b: DataFrame, most: int = 0) -> DataFrame:
+    """``recording, lag``: how far ``b(recording, n, x)`` lies behind ``a``, by one transform of each pair of recordings."""
 
     def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         x, y = x.sort_values("n")["x"].to_numpy(), y.sort_values("n")["x"].to_numpy()
         if not len(x) or not len(y):
-            return pd.DataFrame({"recording": [], "lag": [], "gain": [], "residual_db": [], "frames": []})
-        lag = best_lag(x, y, most)
-        lo, hi = max(0, -lag), min(len(x), len(y) - lag)
-        p, q = x[lo:hi], y[lo + lag : hi + lag]
-        g = float(p @ q / (q @ q)) if q @ q > 0 else 1.0
-        left, ref = float(((p - g * q) ** 2).sum()), float((p**2).sum())
-        level = max(-200.0, 10 * np.log10(left / ref)) if left > 0 and ref > 0 else -200.0
-        return pd.DataFrame({"recording": [key[0]], "lag": [lag], "gain": [g], "residual_db": [level], "frames": [hi - lo]})
+            return pd.DataFrame({"recording": [], "lag": []})
+        return pd.DataFrame({"recording": [key[0]], "lag": [best_lag(x, y, most)]})
 
-    return a.groupBy("recording").cogroup(b.groupBy("recording")).applyInPandas(run, "recording long, lag long, gain double, residual_db double, frames long")
+    pick = lambda df: df.select("recording", "n", "x").groupBy("recording")
+    return pick(a).cogroup(pick(b)).applyInPandas(run, "recording long, lag long")
+
+
+def null_test(a: DataFrame, b: DataFrame, most: int = 0, align: bool = True, match: bool = True, silent_db: float = -120.0) -> DataFrame:
+    """Align each pair of recordings, match gain, subtract: lag, gain, polarity, frames, residual, its peak and where it is, bit identity and a verdict."""
+    found = lags(a, b, most) if align else a.select("recording").distinct().withColumn("lag", F.lit(0).cast("long"))
+    j = a.select("recording", "n", "x").join(found, "recording").withColumn("at", F.col("n") + F.col("lag"))
+    j = j.join(b.select("recording", F.col("n").alias("at"), F.col("x").alias("y")), ["recording", "at"])
+    t = j.groupBy("recording", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("frames"), F.min((F.col("x") == F.col("y")).cast("int")).alias("same"))
+    gain = F.when((F.col("yy") > 0) & F.lit(match), F.col("xy") / F.col("yy")).otherwise(1.0)
+    t = t.select("recording", "lag", "frames", "xx", gain.alias("gain"), ((F.col("same") == 1) & (F.col("lag") == 0)).alias("identical"))
+    left = F.col("x") - F.col("gain") * F.col("y")
+    e = j.drop("lag").join(t, "recording").groupBy("recording", "lag", "gain", "frames", "xx", "identical").agg(F.sum(left * left).alias("left"), F.max(F.abs(left)).alias("most"), F.max_by("n", F.struct(F.abs(left), -F.col("n"))).alias("worst_n"))
+    level = F.when(F.col("xx") > 0, db(F.col("left") / F.col("xx"), 10.0)).otherwise(-200.0)
+    verdict = F.when(F.col("identical"), "identical").when(level <= silent_db, "null").otherwise("different")
+    return e.select("recording", "lag", "gain", (F.col("gain") < 0).alias("inverted"), "frames", level.alias("residual_db"), db(F.col("most")).alias("peak_residual_db"), "worst_n", "identical", verdict.alias("verdict"))
 
 
 def schroeder(impulse: DataFrame) -> DataFrame:
@@ -111,6 +121,14 @@ def track_pitch(frames: DataFrame, rate: float, hop: int, **settings) -> DataFra
     return frames.select("recording", "frame", "samples").mapInPandas(run, "recording long, frame long, seconds double, hz double, confidence double, voiced boolean")
 
 
+def pitch_summary(points: DataFrame) -> DataFrame:
+    """``recording, median_hz, lowest_hz, highest_hz, voiced_fraction, frames``; the median is the upper one, by rank."""
+    w = Window.partitionBy("recording").orderBy("hz")
+    ranked = points.filter("voiced").withColumn("k", F.row_number().over(w) - 1).withColumn("c", F.count("*").over(Window.partitionBy("recording")))
+    tops = ranked.groupBy("recording").agg(F.max(F.when(F.col("k") == F.floor(F.col("c") / 2), F.col("hz"))).alias("median_hz"), F.min("hz").alias("lowest_hz"), F.max("hz").alias("highest_hz"))
+    return points.groupBy("recording").agg(F.avg(F.col("voiced").cast("int")).alias("voiced_fraction"), F.count("*").alias("frames")).join(tops, "recording", "left").select("recording", "median_hz", "lowest_hz", "highest_hz", "voiced_fraction", "frames")
+
+
 def tempo(envelope: np.ndarray, frame_rate: float, low: float = 60.0, high: float = 200.0) -> dict:
     """Beats per minute of an onset envelope: concentration, autocorrelation under a log-Gaussian prior, then a beat grid by phase and least squares."""
     none = {"valid": False, "bpm": None, "confidence": 0.0, "beats": []}

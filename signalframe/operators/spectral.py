@@ -145,9 +145,6 @@ def denoise_gain(mags: DataFrame, profile: DataFrame, over: float = 1.5, reducti
     return j.select("frame", "bin", F.greatest(gain, F.lit(10 ** (-reduction_db / 20))).alias("gain"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n != "FLOOR_DB"]
-
-
 def provenance(spectrum: DataFrame, rate: float, size: int, per_octave: int = 16, floor_hz: float = 500.0, drop_db: float = 35.0) -> DataFrame:
     """Where a spectrum ends: the last of the log-spaced steps above max - drop, the fall over the next quarter octave, and whether it is steep."""
     step = F.floor(F.log2(F.col("bin") * rate / size / floor_hz) * per_octave).cast("long")
@@ -158,3 +155,24 @@ def provenance(spectrum: DataFrame, rate: float, size: int, per_octave: int = 16
     before = F.max(F.when(F.col("step") == F.col("last"), F.col("level")))
     after = F.max(F.when(F.col("step") == F.col("last") + per_octave // 4, F.col("level")))
     return j.agg((floor_hz * F.pow(F.lit(2.0), (F.max("last") + 1) / per_octave)).alias("cutoff_hz"), (before - after).alias("drop_db")).withColumn("steep", F.coalesce(F.col("drop_db") >= drop_db, F.lit(False)))
+
+
+def smooth_gain(gains: DataFrame, keep: float = 0.55, span: int = 96) -> DataFrame:
+    """``frame, bin, gain``: the mean of three bins (edges shortened), then exponential smoothing over frames from 1.
+
+    What is older than ``span`` frames has a weight below 1e-24, so a window of so many frames stands for all."""
+    near = F.avg("gain").over(Window.partitionBy("frame").orderBy("bin").rowsBetween(-1, 1))
+    w = Window.partitionBy("bin").orderBy("frame")
+    g = gains.select("frame", "bin", near.alias("g"))
+    past = F.collect_list("g").over(w.rowsBetween(1 - span, 0))
+    rank = F.row_number().over(w)
+    start = F.when(rank <= span, F.lit(1.0)).otherwise(F.lit(0.0))
+    return g.select("frame", "bin", F.aggregate(past, start, lambda s, v: keep * s + (1 - keep) * v).alias("gain"))
+
+
+def late_gain(mags: DataFrame, delay: int, share: float, floor_db: float = -400.0) -> DataFrame:
+    """Gain that takes away a share of each bin's energy of ``delay`` frames before (none before the first)."""
+    p = F.col("mag") * F.col("mag")
+    late = share * F.coalesce(F.lag(p, delay).over(Window.partitionBy("bin").orderBy("frame")), F.lit(0.0))
+    gain = F.sqrt(F.greatest(F.lit(0.0), p - late) / F.greatest(p, F.lit(1e-30)))
+    return mags.select("frame", "bin", F.greatest(gain, F.lit(10 ** (floor_db / 20))).alias("gain"))
