@@ -68,3 +68,19 @@ def quantise(x: Column, bits: int) -> Column:
     """Scale, round half away from zero, clamp."""
     top = 1 << (bits - 1)
     return F.greatest(F.lit(-top), F.least(F.lit(top - 1), F.round(x * top).cast("long")))
+
+
+def select_range(samples: DataFrame, start: int, stop: int) -> DataFrame:
+    """Samples of [start, stop), as far as the signal has them."""
+    return samples.filter((F.col("n") >= max(0, start)) & (F.col("n") < stop))
+
+
+def select_channel(samples: DataFrame, channel: int, channels: int) -> DataFrame:
+    if not 0 <= channel < channels:
+        raise ValueError(f"there is no channel {channel} of {channels}")
+    return samples.filter(F.col("channel") == channel)
+
+
+def first_seconds(samples: DataFrame, seconds: float, rate: float) -> DataFrame:
+    """The cap of verbs that listen to a beginning only; it comes before framing."""
+    return samples.filter(F.col("n") < int(seconds * rate))

@@ -199,3 +199,27 @@ def deconvolve(recorded: np.ndarray, sweep: np.ndarray, rate: float, start: floa
     inverse = inverse / np.abs(convolve(sweep, inverse)).max()
     out = convolve(recorded, inverse)[len(sweep) - 1 :]
     return out[:keep] if keep else out
+
+
+def concentration(onsets: DataFrame) -> DataFrame:
+    """``recording, concentration``: the share of all rise that the highest tenth of frames holds."""
+    w = Window.partitionBy("recording")
+    o = onsets.withColumn("k", F.row_number().over(w.orderBy(F.desc("onset"), "frame"))).withColumn("c", F.count("*").over(w))
+    top = F.sum(F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("c") / 10)), F.col("onset")))
+    return o.groupBy("recording").agg(top.alias("t"), F.sum("onset").alias("s")).filter("s > 0").select("recording", (F.col("t") / F.col("s")).alias("concentration"))
+
+
+def weighted_fit(points: DataFrame) -> DataFrame:
+    """``recording, period, phase``: ``at = phase + period * k`` by weighted least squares."""
+    w, k, y = F.col("weight"), F.col("k"), F.col("at")
+    means = points.groupBy("recording").agg((F.sum(w * k) / F.nullif(F.sum(w), F.lit(0.0))).alias("mk"), (F.sum(w * y) / F.nullif(F.sum(w), F.lit(0.0))).alias("my")).filter("mk IS NOT NULL")
+    j = points.join(means, "recording")
+    dk = k - F.col("mk")
+    t = j.groupBy("recording", "mk", "my").agg((F.sum(w * dk * (y - F.col("my"))) / F.nullif(F.sum(w * dk * dk), F.lit(0.0))).alias("period"))
+    return t.select("recording", "period", (F.col("my") - F.col("mk") * F.col("period")).alias("phase"))
+
+
+def inverse_sweep(sweep: DataFrame, frames: int, rate: float, start: float, end: float) -> DataFrame:
+    """The reversed sweep whose level falls with frequency; ``deconvolve`` scales it by its own convolution."""
+    t = (F.lit(frames - 1) - F.col("n")) / rate
+    return sweep.select((F.lit(frames - 1) - F.col("n")).alias("n"), (F.col("x") * F.exp(-t * float(np.log(end / start)) / (frames / rate))).alias("x"))

@@ -176,3 +176,23 @@ def late_gain(mags: DataFrame, delay: int, share: float, floor_db: float = -400.
     late = share * F.coalesce(F.lag(p, delay).over(Window.partitionBy("bin").orderBy("frame")), F.lit(0.0))
     gain = F.sqrt(F.greatest(F.lit(0.0), p - late) / F.greatest(p, F.lit(1e-30)))
     return mags.select("frame", "bin", F.greatest(gain, F.lit(10 ** (floor_db / 20))).alias("gain"))
+
+
+def tuning(mags: DataFrame, rate: float, size: int, low: float = 65.0, high: float = 5000.0) -> DataFrame:
+    """``tuning_cents``: the circular mean of how far magnitudes lie from equal temperament at A = 440."""
+    hz = F.col("bin") * rate / size
+    s = 69 + 12 * F.log2(hz / 440.0)
+    turn = 2 * math.pi * (s - F.round(s))
+    by = mags.filter((F.col("bin") > 0) & (hz >= low) & (hz <= high)).agg(F.sum(F.col("mag") * F.sin(turn)).alias("y"), F.sum(F.col("mag") * F.cos(turn)).alias("x"))
+    return by.select((F.atan2("y", "x") * 100 / (2 * math.pi)).alias("tuning_cents"))
+
+
+def key(spark: SparkSession, mags: DataFrame, rate: float, size: int) -> DataFrame:
+    """One row: key, fit, margin, runner-up, contrast of the chroma, strength, tuning and whether it is worth naming."""
+    folded = chroma(mags, rate, size)
+    spread = folded.agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+    mean = F.col("s") / 12
+    contrast = F.when(mean > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / 12 - mean * mean)) / mean).otherwise(0.0)
+    one = best_key(key_scores(spark, folded)).join(F.broadcast(spread.select(contrast.alias("contrast")))).join(F.broadcast(tuning(mags, rate, size)))  # one row each
+    strength = F.col("fit") * F.least(F.lit(1.0), F.col("contrast"))
+    return one.withColumn("strength", strength).withColumn("worth_naming", (F.col("contrast") >= 0.15) & (F.col("strength") >= 0.2))

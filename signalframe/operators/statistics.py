@@ -61,3 +61,8 @@ def compliance(measured: DataFrame, against: DataFrame) -> DataFrame:
 def peak_to_loudness(peak, loudness):
     """PLR and PSR: nothing (-200) where either is at the floor."""
     return F.when((peak <= FLOOR_DB) | (loudness <= FLOOR_DB), F.lit(FLOOR_DB)).otherwise(peak - loudness)
+
+
+def find_targets(asked: DataFrame, against: DataFrame) -> DataFrame:
+    """``asked`` names with their targets, whatever their case; unknown names have none."""
+    return asked.join(F.broadcast(against), F.lower("asked") == F.lower("target"), "left")  # eight fixed rows
