@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import FLOOR_DB, db
+from ..model import FLOOR_DB, db  # noqa: F401
+from .blocks import map_blocks, pack
 
 # Nominal band centres and key profiles by degree from the tonic.
 OCTAVES = [31.5, 63.0, 125.0, 250.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0]
@@ -196,3 +197,60 @@ def key(spark: SparkSession, mags: DataFrame, rate: float, size: int) -> DataFra
     one = best_key(key_scores(spark, folded)).join(F.broadcast(spread.select(contrast.alias("contrast")))).join(F.broadcast(tuning(mags, rate, size)))  # one row each
     strength = F.col("fit") * F.least(F.lit(1.0), F.col("contrast"))
     return one.withColumn("strength", strength).withColumn("worth_naming", (F.col("contrast") >= 0.15) & (F.col("strength") >= 0.2))
+
+
+def framed(xs: np.ndarray, lo: int, hi: int, start: int, size: int, hop: int) -> tuple[np.ndarray, int]:
+    """(frames that begin among a block's own samples and are whole, the number of the first)."""
+    first = -(-(start + lo) // hop)
+    begin = first * hop - start
+    last = min(hi - 1, len(xs) - size)
+    if last < begin:
+        return np.zeros((0, size)), first
+    return np.lib.stride_tricks.sliding_window_view(xs, size)[begin : last + 1 : hop], first
+
+
+def spectra(samples: DataFrame, size: int = 8192, hop: int = 4096) -> DataFrame:
+    """``recording, channel, bin, mean, peak, total, frames``: magnitudes of Hann frames without padding, added up in blocks."""
+    w = np.array(hann(size))
+
+    def run(xs, lo, hi, start):
+        got, _ = framed(xs, lo, hi, start, size, hop)
+        mags = np.abs(np.fft.rfft(got * w, axis=1))
+        n = mags.shape[1]
+        return {"bin": pa.array(np.arange(n)), "total": pa.array(mags.sum(0)), "peak": pa.array(mags.max(0, initial=0.0)), "frames": pa.array(np.full(n, len(mags)))}
+
+    parts = map_blocks(pack(samples, max(1 << 16, size) // hop * hop, 0, size), run, "recording long, channel int, bin long, total double, peak double, frames long")
+    by = parts.groupBy("recording", "channel", "bin").agg(F.sum("total").alias("total"), F.max("peak").alias("peak"), F.sum("frames").alias("frames")).filter("frames > 0")
+    return by.select("recording", "channel", "bin", (F.col("total") / F.col("frames")).alias("mean"), "peak", "total", "frames")
+
+
+def levels(spectrum: DataFrame, size: int) -> DataFrame:
+    """``bin, average_db, peak_db`` of one channel's ``spectra``."""
+    scale = 2 / sum(hann(size))
+    return spectrum.select("bin", db(F.col("mean") * scale).alias("average_db"), db(F.col("peak") * scale).alias("peak_db"))
+
+
+def onsets(samples: DataFrame, size: int = 1024, hop: int = 256, floor: float = 1e-3) -> DataFrame:
+    """``recording, channel, frame, onset`` over blocks that see the frame before their first."""
+    w = np.array(hann(size))
+
+    def run(xs, lo, hi, start):
+        back = min(lo // hop, 1) * hop
+        got, first = framed(xs, lo - back, hi, start, size, hop)
+        mags = np.abs(np.fft.rfft(got * w, axis=1))
+        v = np.log1p(1000 * np.maximum(mags, floor * mags.max(1, keepdims=True, initial=0.0)))
+        rise = np.concatenate([[0.0], np.maximum(v[1:] - v[:-1], 0).sum(1)]) if len(v) else np.zeros(0)
+        cut = int(back > 0)
+        return {"frame": pa.array(np.arange(first + cut, first + len(v))), "onset": pa.array(rise[cut:])}
+
+    return map_blocks(pack(samples, (1 << 16) // hop * hop, hop, size), run, "recording long, channel int, frame long, onset double")
+
+
+def windows_of(samples: DataFrame, size: int, hop: int) -> DataFrame:
+    """``recording, channel, frame, samples``: whole frames, cut from blocks that overlap by a frame."""
+
+    def run(xs, lo, hi, start):
+        got, first = framed(xs, lo, hi, start, size, hop)
+        return {"frame": pa.array(np.arange(first, first + len(got))), "samples": pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(got).ravel()))}
+
+    return map_blocks(pack(samples, (1 << 16) // hop * hop, 0, size), run, "recording long, channel int, frame long, samples array<double>")

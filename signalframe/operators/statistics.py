@@ -27,17 +27,17 @@ def signal_statistics(samples: DataFrame) -> DataFrame:
     return out.select("frames", db(F.col("peak")).alias("sample_peak_db"), db(F.col("rms")).alias("rms_db"), "dc_offset", crest.alias("crest_db"))
 
 
-def stereo_field(stereo: DataFrame) -> DataFrame:
+def stereo_field(stereo: DataFrame, *keys: str) -> DataFrame:
     """Correlation (without removing means), width, balance and mono loss of ``n, l, r``; null for silence."""
     l, r = F.col("l"), F.col("r")
     m, s = (l + r) / 2, (l - r) / 2
-    t = stereo.agg(*(F.sum(a * b).alias(k) for k, a, b in (("ll", l, l), ("rr", r, r), ("lr", l, r), ("mm", m, m), ("ss", s, s))))
+    t = stereo.groupBy(*keys).agg(*(F.sum(a * b).alias(k) for k, a, b in (("ll", l, l), ("rr", r, r), ("lr", l, r), ("mm", m, m), ("ss", s, s))))
     ratio = lambda a, b: F.when((a <= 0) & (b <= 0), 0.0).when(b <= 0, 200.0).when(a <= 0, -200.0).otherwise(F.greatest(F.lit(-200.0), F.least(F.lit(200.0), 10 * F.log10(a / b))))
     ll, rr = F.col("ll"), F.col("rr")
     loud = (ll + rr) > 0
     corr = F.when((ll > 0) & (rr > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("lr") / F.sqrt(ll * rr)))).otherwise(0.0)
     cols = {"correlation": corr, "width_db": ratio(F.col("ss"), F.col("mm")), "balance_db": ratio(rr, ll), "mono_loss_db": ratio(F.col("mm"), (ll + rr) / 2)}
-    return t.select(*(F.when(loud, v).alias(k) for k, v in cols.items()))
+    return t.select(*keys, *(F.when(loud, v).alias(k) for k, v in cols.items()))
 
 
 def effective_bits(samples: DataFrame, bits: int = 24) -> DataFrame:
@@ -66,3 +66,19 @@ def peak_to_loudness(peak, loudness):
 def find_targets(asked: DataFrame, against: DataFrame) -> DataFrame:
     """``asked`` names with their targets, whatever their case; unknown names have none."""
     return asked.join(F.broadcast(against), F.lower("asked") == F.lower("target"), "left")  # eight fixed rows
+
+
+def by_recording(samples: DataFrame) -> DataFrame:
+    """``signal_statistics`` of each recording of ``samples(recording, channel, n, x)``, with its channels and frames."""
+    by = samples.groupBy("recording", "channel").agg(F.max(F.abs("x")).alias("peak"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.avg("x").alias("mean"), F.count("*").alias("c"))
+    out = by.groupBy("recording").agg(
+        F.count("*").cast("int").alias("channels"), F.max("c").alias("frames"), F.max("peak").alias("peak"), F.sqrt(F.sum("sq") / F.sum("c")).alias("rms"), F.max_by("mean", F.struct(F.abs("mean"), -F.col("channel"))).alias("dc_offset")
+    )
+    crest = F.when((F.col("rms") > 0) & (F.col("peak") > 0), db(F.col("peak") / F.col("rms"))).otherwise(0.0)
+    return out.select("recording", "channels", "frames", db(F.col("peak")).alias("sample_peak_db"), db(F.col("rms")).alias("rms_db"), crest.alias("crest_db"), "dc_offset")
+
+
+def field_by_recording(samples: DataFrame) -> DataFrame:
+    """``stereo_field`` of each recording that has two channels."""
+    pair = samples.filter("channel < 2").groupBy("recording", "n").agg(F.max(F.when(F.col("channel") == 0, F.col("x"))).alias("l"), F.max(F.when(F.col("channel") == 1, F.col("x"))).alias("r"))
+    return stereo_field(pair.filter("l IS NOT NULL AND r IS NOT NULL"), "recording")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PLACES = {"integrated": 3, "lra": 3, "max_short_term": 3, "max_momentary": 3, "true_peak_db": 3, "sample_peak_db": 3, "rms_db": 3, "crest_db": 3, "dc_offset": 6, "correlation": 4, "seconds": 3}
+PLACES = {"integrated": 3, "lra": 3, "max_short_term": 3, "max_momentary": 3, "true_peak_db": 3, "sample_peak_db": 3, "rms_db": 3, "crest_db": 3, "dc_offset": 6, "correlation": 4, "seconds": 3, "dcOffset": 6, "stereoCorrelation": 4}
 
 
 def fixed(df: DataFrame) -> DataFrame:

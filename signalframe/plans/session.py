@@ -23,11 +23,17 @@ def stored_path(path: str, folder: str) -> str:
     return path if out.startswith("..") else out
 
 
+def _fades(clips: DataFrame) -> list:
+    """Fades as structs of length and shape, as far as the clips have them."""
+    shape = lambda c: F.col(f"{c}_shape") if f"{c}_shape" in clips.columns else F.lit("linear")
+    return [F.struct(F.col(c).cast("long").alias("length"), shape(c).alias("shape")).alias(k) for c, k in (("fade_in", "fadeIn"), ("fade_out", "fadeOut")) if c in clips.columns]
+
+
 def save(spark: SparkSession, sources: DataFrame, clips: DataFrame, markers: DataFrame, rate: float, channels: int, format_tag: str = "signalframe-session") -> DataFrame:
     """``session_id, json``: each session in the order of ids, clips by (timeline start, id).  All three tables carry ``session_id``."""
     part = lambda df, order, fields: df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("v")))).alias("a")).select("session_id", F.transform("a", lambda x: x["v"]).alias("a"))
     s = part(sources, ["source_id"], [F.col("source_id").alias("id"), "name", "path", F.col("frame_count").alias("frameCount"), F.col("source_sample_rate").alias("sourceSampleRate"), F.col("source_channels").alias("sourceChannels")])
-    c = part(clips, ["timeline_start", "clip_id"], [F.col("clip_id").alias("id"), F.col("source_id").alias("source"), F.col("source_start").alias("sourceStart"), "length", F.col("timeline_start").alias("timelineStart"), "gain"])
+    c = part(clips, ["timeline_start", "clip_id"], [F.col("clip_id").alias("id"), F.col("source_id").alias("source"), F.col("source_start").alias("sourceStart"), "length", F.col("timeline_start").alias("timelineStart"), "gain", *_fades(clips), *([F.col("name")] if "name" in clips.columns else [])])
     m = part(markers, ["position"], ["position", "length", "label"])
     rows = s.withColumnRenamed("a", "sources").join(c.withColumnRenamed("a", "clips"), "session_id", "full").join(m.withColumnRenamed("a", "markers"), "session_id", "full")
     rows = rows.withColumns({k: F.coalesce(k, F.array().cast(rows.schema[k].dataType)) for k in ("sources", "clips", "markers")})
@@ -47,7 +53,7 @@ def load(sessions: DataFrame, known_paths: DataFrame | None = None, format_tag:
     sources = good.select("session_id", F.explode("s.sources").alias("x")).select("session_id", F.col("x.id").alias("source_id"), "x.name", "x.path", F.col("x.frameCount").alias("frame_count"), F.col("x.sourceSampleRate").alias("source_sample_rate"), F.col("x.sourceChannels").alias("source_channels"))
     if known_paths is not None:
         sources = sources.join(known_paths.select("path").distinct().withColumn("found", F.lit(True)), "path", "left").withColumn("missing", F.col("found").isNull()).drop("found")
-    clips = good.select("session_id", F.explode("s.clips").alias("x")).select("session_id", F.col("x.id").alias("clip_id"), F.col("x.source").alias("source_id"), F.col("x.sourceStart").alias("source_start"), "x.length", F.col("x.timelineStart").alias("timeline_start"), F.coalesce("x.gain", F.lit(1.0)).alias("gain"), F.col("x.fadeIn").alias("fade_in"), F.col("x.fadeOut").alias("fade_out"))
+    clips = good.select("session_id", F.explode("s.clips").alias("x")).select("session_id", F.col("x.id").alias("clip_id"), F.col("x.source").alias("source_id"), F.col("x.sourceStart").alias("source_start"), "x.length", F.col("x.timelineStart").alias("timeline_start"), F.coalesce("x.gain", F.lit(1.0)).alias("gain"), *(v for a, b in (("fadeIn", "fade_in"), ("fadeOut", "fade_out")) for v in (F.coalesce(F.col(f"x.{a}.length"), F.lit(0).cast("long")).alias(b), F.coalesce(F.col(f"x.{a}.shape"), F.lit("linear")).alias(f"{b}_shape"))), F.col("x.name").alias("name"))
     whole = clips.filter("length > 0 AND timeline_start >= 0")
     broken = clips.filter("NOT coalesce(length > 0 AND timeline_start >= 0, false)").select("session_id", F.lit("a clip is malformed").alias("warning"))
     keys = sources.select("session_id", "source_id").distinct()

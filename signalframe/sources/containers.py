@@ -1,7 +1,7 @@
 """WAV and AIFF containers as Spark tables: ``recordings`` (one row a file) and ``signal_blocks`` (arrays of samples).
 
 Files come through Spark's ``binaryFile`` reader, so any store that Spark reads will do.  ``write_wav`` gives each
-recording's bytes as a row; the caller chooses where they go (a Parquet column, or ``save_files`` on a shared folder).
+recording's bytes as a row; the caller chooses where they go.
 """
 
 from __future__ import annotations
@@ -171,11 +171,27 @@ def read_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def write_wav(samples: DataFrame, rate: int, fmt: str = "s24") -> DataFrame:
-    """``recording, content``: each recording as the bytes of a WAV file."""
+def kind_of(path: str) -> str:
+    """The container that a path's extension names: aiff or, for all others, wav."""
+    ext = path.rpartition(".")[2].lower()
+    if ext == "flac":
+        raise ValueError("there is no FLAC encoder here")
+    return "aiff" if ext in ("aif", "aiff", "aifc") else "wav"
+
+
+def write_files(samples: DataFrame, rate: int, kind: str = "wav", fmt: str = "s24") -> DataFrame:
+    """``recording, content``: each recording as the bytes of a file.  A depth that AIFF can't hold becomes 24 bits.
+
+    A file's bytes are one cell, so a recording must fit into a task; the native store of long ones is a table of blocks."""
+    fmt = "s24" if kind == "aiff" and fmt not in ("s16", "s24", "s32") else fmt
+    make = aiff_bytes if kind == "aiff" else wav_bytes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot(index="n", columns="channel", values="x").sort_index().fillna(0.0).to_numpy()
-        return pd.DataFrame({"recording": [pdf["recording"].iloc[0]], "content": [wav_bytes(x, rate, fmt)]})
+        return pd.DataFrame({"recording": [pdf["recording"].iloc[0]], "content": [make(x, rate, fmt)]})
 
     return samples.groupBy("recording").applyInPandas(run, "recording long, content binary")
+
+
+def write_wav(samples: DataFrame, rate: int, fmt: str = "s24") -> DataFrame:
+    return write_files(samples, rate, "wav", fmt)

@@ -22,7 +22,7 @@ def norm(v):
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET TimeZone='UTC'")
-    for t in ("lineitem", "orders", "events", "embeddings"):
+    for t in ("lineitem", "orders", "events", "embeddings", "nation", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
