@@ -169,13 +169,18 @@ def lean(fn: Callable) -> Callable:
 
     def run(batches):
         yield from fn(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system (what the driver collected in blocks, too)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_chunks(df: DataFrame, fn: Callable, schema: str, column: str = "text", setup: Callable | None = None, most: int = CHUNK_BYTES) -> DataFrame:
     """``fn(batch, buf, offs[, what setup() gave])`` over every chunk; it returns a RecordBatch, a dict of columns or None."""
 

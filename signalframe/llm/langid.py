@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import CHUNK_BYTES, U64, Scratch, SpanHash, chunks, distinct, flat, lean, mix, spans, table
+from .kernels import CHUNK_BYTES, U64, Scratch, SpanHash, chunks, distinct, flat, give_back, lean, mix, spans, table
 
 ORDER = 4
 BLOCK = 2_000_000  # values (keys by languages) of a broadcast block
@@ -193,6 +193,8 @@ def fit(docs: DataFrame, order: int = ORDER, block: int = BLOCK, alpha: float =
             n[at, pc.index_in(rows.column("lang"), pa.array(names, pa.string())).to_numpy()] = rows.column("n").to_numpy()
             logs = np.log((n + alpha) / (total[s] + alpha * max(n_keys.get(s, 0), 1))).astype(np.float32)
             blocks[s].append(spark.sparkContext.broadcast((keys, logs)))
+            del rows, keys, at, n, logs
+            give_back()
     scratch.drop("counts")
     scratch.drop("model")
     return Model(names, blocks, order)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, grouped_order, groups, lean, map_chunks, mix, small, spans, windows
+from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, give_back, grouped_order, groups, lean, map_chunks, mix, small, spans, windows
 
 SHINGLE = 5
 PERCENT = 85
@@ -234,6 +234,8 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     words = ids.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, U64)
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(U64)
+    del words
+    give_back()
     return out
 
 

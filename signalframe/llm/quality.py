@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import (
-    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, fresh, lean, mix, per_doc, small, spans, table, windows,
+    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, fresh, give_back, lean, mix, per_doc, small, spans, table, windows,
 )
 
 ORDER = 6
@@ -258,7 +258,8 @@ def fit(docs: DataFrame, order: int = ORDER, block: int = BLOCK, scratch: Scratc
         keys = _key(rows.column("gram").to_numpy().astype(U64), salt[langs.indices.to_numpy()] if len(salt) else np.zeros(0, U64))
         by = np.argsort(keys)
         out.append(docs.sparkSession.sparkContext.broadcast((keys[by], rows.column("logp").to_numpy()[by])))
-        del rows, langs, keys
+        del rows, langs, salt, keys, by
+        give_back()
     for name in ("counts", "model", *(f"{k}-{i}" for k in ("level", "off", "p") for i in range(1, order + 1))):
         scratch.drop(name)
     return out
