@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import db
+from .room import remaining
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, most: int = 0) -> int:
@@ -60,9 +61,10 @@ def null_test(a: DataFrame, b: DataFrame, most: int = 0, align: bool = True, mat
 
 
 def schroeder(impulse: DataFrame) -> DataFrame:
-    """Energy that is left from each sample on, in dB of the whole, per recording."""
-    w = Window.partitionBy("recording").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    t = impulse.withColumn("left", F.sum(F.col("x") * F.col("x")).over(w)).withColumn("all", F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("recording")))
+    """Energy that is left from each sample on, in dB of the whole, per recording; sums go over blocks, then within them."""
+    e = F.col("x") * F.col("x")
+    whole = impulse.groupBy("recording").agg(F.sum(e).alias("all"))
+    t = remaining(impulse.select("recording", "n", "x"), e).join(whole, "recording")
     return t.select("recording", "n", F.when(F.col("all") > 0, db(F.col("left") / F.col("all"), 10.0)).alias("level_db"))
 
 

@@ -1,7 +1,7 @@
 """Spectra of frames and what is read off them: bands, chroma, key, onsets.
 
-``mags(frame, bin, mag)`` is the long form.  ``dft`` stays in SQL functions for short frames; ``fft_frames`` takes whole
-batches of frames through numpy.
+``mags(frame, bin, mag)`` is the long form.  Transforms take whole Arrow batches of frames through numpy; ``spectra`` and
+``onsets`` cut the frames of long recordings from blocks and add up inside them.
 """
 
 from __future__ import annotations
@@ -29,38 +29,21 @@ def hann(size: int) -> list[float]:
 
 
 def dft(frames: DataFrame, size: int, windowed: bool = True) -> DataFrame:
-    """Magnitudes of ``frames(frame, samples)`` by the transform's definition in higher-order functions; for short frames."""
-    w = F.array(*map(F.lit, hann(size) if windowed else [1.0] * size))
-    x = F.zip_with("samples", w, lambda a, b: a * b)
-    turned = frames.select("frame", x.alias("x")).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size // 2).cast("long"))))
-    part = lambda f: F.aggregate(F.transform("x", lambda v, i: v * f(2 * math.pi * ((i * F.col("bin")) % size) / size)), F.lit(0.0), lambda a, b: a + b)
-    return turned.select("frame", "bin", part(F.cos).alias("re"), (-part(F.sin)).alias("im")).withColumn("mag", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-
-
-def frame_starts(samples: DataFrame, size: int, hop: int) -> DataFrame:
-    """``recording, channel, frame, samples`` without padding: a sample goes to each of the few frames that hold it."""
-    k = F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("n") - size + 1) / hop)).cast("long"), F.floor(F.col("n") / hop).cast("long"))).alias("frame")
-    placed = samples.select("recording", "channel", "n", "x", k)
-    out = placed.groupBy("recording", "channel", "frame").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("s"))
-    return out.filter(F.size("s") == size).select("recording", "channel", "frame", F.transform("s", lambda v: v["x"]).alias("samples"))
-
-
-def fft_frames(frames: DataFrame, size: int, keys: list[str]) -> DataFrame:
-    """``keys``, ``mags`` (array) of Hann-windowed frames, scaled by 2 / coherent gain, in Arrow batches."""
-    w = np.array(hann(size))
+    """``frame, bin, re, im, mag`` of ``frames(frame, samples)``: whole Arrow batches of frames are transformed at once, without a shuffle."""
+    w = np.array(hann(size)) if windowed else np.ones(size)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column("samples").flatten()).reshape(batch.num_rows, size)
-            mags = np.abs(np.fft.rfft(x * w, axis=1)) * 2 / w.sum()
-            flat = pa.array(mags.ravel())
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * mags.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), rows], [*keys, "mags"])
-
-    types = dict(frames.dtypes)
-    return frames.select(*keys, "samples").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", mags array<double>")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                got = np.fft.rfft(part.column("samples").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size) * w, axis=1)
+                n = got.shape[1]
+                yield pa.RecordBatch.from_pydict({
+                    "frame": pa.array(np.repeat(part.column("frame").to_numpy(), n)), "bin": pa.array(np.tile(np.arange(n), part.num_rows)),
+                    "re": pa.array(got.real.ravel()), "im": pa.array(got.imag.ravel()), "mag": pa.array(np.abs(got).ravel()),
+                })
+
+    return frames.select(F.col("frame").cast("long").alias("frame"), "samples").mapInArrow(run, "frame long, bin long, re double, im double, mag double")
 
 
 def average_spectrum(mags: DataFrame, size: int) -> DataFrame:
