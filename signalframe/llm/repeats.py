@@ -37,7 +37,7 @@ LEAST = 400
 W, Q = 24, 8
 LEVELS = 3  # ranks over 1, 2 and 4 blocks
 CHUNK = 3 << 18  # bytes of text at once; several 8-byte values stand for each
-SHARED = 16  # beside a level: another row has the sequence too
+SHARED = 16  # beside a level: another row has two blocks from here on too
 SPANS = 4_000  # families whose windows are written out at once
 
 
@@ -139,13 +139,13 @@ def _rerank(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_doubling(blocks: DataFrame, scratch: Scratch, levels: int = LEVELS) -> DataFrame:
-    """``row, j, level, shared``: the largest level (2**level blocks) at which the sequence from a position occurs again, and whether at the last one it does in another row."""
+    """``row, j, level, shared``: the largest level (2**level blocks) at which the sequence from a position occurs again, and whether two blocks from there on occur in another row."""
     now = scratch.keep(_rerank(blocks, ["rank"]), "rank-0")
-    deepest = now.select("row", "j", F.lit(0).alias("level"), (F.col("shared") & F.lit(levels == 1)).alias("shared"))
+    deepest = now.select("row", "j", F.lit(0).alias("level"), F.lit(False).alias("shared"))
     for k in range(1, levels):
         ahead = now.select("row", (F.col("j") - (1 << (k - 1))).alias("j"), F.col("rank").alias("ahead"))
         now = scratch.keep(_rerank(now.drop("shared").join(ahead, ["row", "j"]), ["rank", "ahead"]), f"rank-{k}")
-        deepest = deepest.union(now.select("row", "j", F.lit(k).alias("level"), (F.col("shared") & F.lit(k == levels - 1)).alias("shared")))
+        deepest = deepest.union(now.select("row", "j", F.lit(k).alias("level"), (F.col("shared") & F.lit(k == 1)).alias("shared")))
     return deepest.groupBy("row", "j").agg(F.max("level").alias("level"), F.max("shared").alias("shared"))
 
 
@@ -235,7 +235,7 @@ def _joined(values: DataFrame, name: str, *cols: str, kind: str = "bigint") -> D
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(texts with ``row, doc_id, text``; ``row, marks, n_shared_blocks``): the byte ranges of windows that occur again, packed; places that share 4 blocks with another row."""
+    """(texts with ``row, doc_id, text``; ``row, marks, n_shared_blocks``): the byte ranges of windows that occur again, packed; places that share 3 blocks with other rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     own = with_rows(docs, ["doc_id", "text"], scratch).select("doc_id", "row", "text")
@@ -267,8 +267,12 @@ def repeated(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
 def _shared(batches):
     for batch in batches:
         data, at = flat(batch.column("levels"))
-        sums = np.concatenate([[0], np.cumsum(np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2)[:, 1] >= SHARED)])[at // 8]
-        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "n_shared_blocks": pa.array(np.diff(sums).astype(np.int64))})
+        info = np.frombuffer(data.tobytes(), "<i4").reshape(-1, 2).astype(np.int64)
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at) // 8)
+        flagged = info[:, 1] >= SHARED
+        key = np.sort((own[flagged] << 33) | info[flagged, 0])
+        twice = key[:-1][np.diff(key) == 1] >> 33
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "n_shared_blocks": pa.array(np.bincount(twice, minlength=len(at) - 1).astype(np.int64))})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_blocks long"
@@ -299,8 +303,8 @@ def _results(ids, buf, offs, marks, shared):
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """What is left of every document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    ``n_shared_blocks`` counts the anchors whose next four blocks (some 200 bytes) another document holds as well, so it also
-    tells of passages that are too short to go."""
+    ``n_shared_blocks`` counts the anchors whose next three blocks (some 150 bytes) other documents hold as well, two by two; so
+    it also tells of shared passages that are too short to go."""
     own, marks = repeated(docs, least)
     held = docs.sparkSession.sparkContext.broadcast(id_bitmap(marks.select("row")))
     hashed = own.withColumn("hash", F.xxhash64("row"))
