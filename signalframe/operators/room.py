@@ -51,7 +51,7 @@ def curve(y: DataFrame, tail: DataFrame | None = None) -> DataFrame:
     c = remaining(t, F.col("x") * F.col("x")).withColumn("left", F.col("left") + F.coalesce("tail", F.lit(0.0)))
     whole = t.groupBy("recording").agg((F.sum(F.col("x") * F.col("x")) + F.coalesce(F.max("tail"), F.lit(0.0))).alias("whole"))
     c = c.join(whole, "recording")
-    return c.filter("whole > 0").select("recording", "n", db(F.col("left") / F.col("whole"), 10.0).alias("level_db"))
+    return c.filter("whole > 0").select("recording", "n", db(F.least(F.col("left") / F.col("whole"), F.lit(1.0)), 10.0).alias("level_db"))
 
 
 def slope(decay: DataFrame, top: float, bottom: float) -> DataFrame:

@@ -412,14 +412,14 @@ _C = ", ".join(f"('{k}', {', '.join(f'{float(v)!r}::DOUBLE' for v in s)})" for k
 
 @query(
     "f1_f2_filter_response",
-    f"""WITH c(name, b0, b1, b2, a1, a2) AS (VALUES {_C}), g AS (SELECT *, CAST(i AS INT) AS i2, pi() * i / 64 AS w FROM c, range(1, 60) t(i)),
+    f"""WITH c(name, b0, b1, b2, a1, a2) AS (VALUES {_C}), g AS (SELECT *, CAST(i AS INT) AS i2, pi() * i / 64 AS w FROM c, range(0, 64) t(i)),
 v AS (SELECT name, i2, pow(b0 + b1 * cos(w) + b2 * cos(2 * w), 2) + pow(b1 * sin(w) + b2 * sin(2 * w), 2) AS u, pow(1 + a1 * cos(w) + a2 * cos(2 * w), 2) + pow(a1 * sin(w) + a2 * sin(2 * w), 2) AS d FROM g)
-SELECT name, i2 AS i, round(i2 * 8000.0::DOUBLE / 2 / 64, 6) AS hz, round(CASE WHEN u > 0 THEN greatest(-200, 10 * log10(u / d)) ELSE -200 END, 5) + 0.0::DOUBLE AS gain_db FROM v WHERE NOT (name IN ('notch') AND i2 = 16)""",
+SELECT name, i2 AS i, round(i2 * 8000.0::DOUBLE / 2 / 64, 6) AS hz, round(CASE WHEN u > 0 THEN greatest(-200, 10 * log10(u / d)) ELSE -200 END, 5) + 0.0::DOUBLE AS gain_db FROM v""",
 )
 def _(spark, sf_dir):
     from .operators import filters
 
-    r = filters.response(spark, _sections(), 8000.0, 64).filter("i BETWEEN 1 AND 59 AND NOT (name = 'notch' AND i = 16)")
+    r = filters.response(spark, _sections(), 8000.0, 64)
     return r.select("name", "i", F.round("hz", 6).alias("hz"), (F.round("gain_db", 5) + F.lit(0.0)).alias("gain_db"))
 
 

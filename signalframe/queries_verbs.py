@@ -9,6 +9,7 @@ from .operators import filters, spectral
 from .plans import session
 from .queries import EVENT, LINE, QUERIES, SQL, db_sql, query, rounded  # noqa: F401
 from .queries_edits import SOUND, _clips, _sources
+from .queries_measure import PULSE
 from .queries_state import YIN
 
 RATE = model.RATE
@@ -170,3 +171,16 @@ def _more():
 
 
 _more()
+
+
+SQL["m4_true_peak"] = f"""WITH {LINE}, {TAPS.split(', up AS', 1)[0]}, pd AS (SELECT channel, n, x FROM long), up AS (SELECT channel, k, n + j AS m, sum(x * h) AS y FROM pd, ph GROUP BY ALL)
+SELECT 0::BIGINT AS recording, CAST(channel AS INT) AS channel, round(greatest(max(abs(y)), (SELECT max(abs(x)) FROM long l WHERE l.channel = up.channel)), 6) AS true_peak FROM up GROUP BY channel"""
+_BESSEL = lambda x: f"list_sum(list_transform(range(0, 40), lambda k: pow(({x}) / 2, 2 * k) / pow(gamma(k + 1), 2)))"
+SQL["r15_resample"] = f"""WITH {EVENT}, g AS (SELECT recording, unnest(range(0, CAST(ceil(c * 11025.0::DOUBLE / 8000 - 1e-9) AS BIGINT))) AS k FROM (SELECT recording, count(*) AS c FROM ev GROUP BY 1)),
+d AS (SELECT g.recording, k, x, n - k * (8000.0::DOUBLE / 11025) AS d FROM g JOIN ev ON ev.recording = g.recording AND abs(n - k * (8000.0::DOUBLE / 11025)) < 24)
+SELECT recording, 0::INT AS channel, k AS n, round(sum(x * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END * {_BESSEL('9 * sqrt(greatest(0, 1 - pow(d / 24, 2)))')} / {_BESSEL('9.0')}), 6) + 0.0::DOUBLE AS x FROM d GROUP BY recording, k"""
+_room = SQL["m19_room_acoustics"].replace(PULSE, EVENT).replace("n < 25 ", "n < 400 ").replace("n < 40 ", "n < 640 ").replace("n / 500.0", "n / 8000.0").replace("/ 500, 5)", "/ 8000, 6)")
+SQL["v_room"] = f"""SELECT recording, 0::INT AS channel, valid, edt, t20, t30, round(c50_db, 5) AS "c50Db", round(c80_db, 5) AS "c80Db", d50, centre_time AS "centreTimeSeconds", round(usable_range_db, 5) AS "usableRangeDb" FROM ({_room})"""
+QUERIES["v_room"] = lambda s, d: verbs.room(_users(s, d), RATE).select(
+    "recording", "channel", "valid", *(F.round(c, 6).alias(c) for c in ("edt", "t20", "t30", "d50", "centreTimeSeconds")), *(F.round(c, 5).alias(c) for c in ("c50Db", "c80Db", "usableRangeDb"))
+)
