@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, warc
+from . import codes, decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, tokenbin, warc, yinyang
 from .kernels import Scratch, read
 
 
@@ -60,6 +60,22 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(codes.compress(read(spark, sf_dir, "embeddings")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = f"{Scratch(spark, 'token-files').root}/ids"
+    tokenbin.write(read(spark, sf_dir, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenbin.digest(spark, root)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.digest(yinyang.cluster(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc": op6_warc,
@@ -71,6 +87,9 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 SQL: dict[str, str] = {}
@@ -140,3 +159,42 @@ SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k i
 
 
 SQL["op3_pii"] = _pii_sql()
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, width: int = 16) -> str:
+    """Plain Lloyd rounds, each from all vectors; distances are sums of doubles that are integers below 2**53."""
+    sql = [f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, p, list_slice(v, {width} * p + 1, {width} * p + {width}) AS x FROM w, range({parts}) t(p)),
+c0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM w QUALIFY e < {entries}) JOIN v USING (r))"""]
+    for k in range(rounds + 1):
+        sql.append(f"a{k} AS MATERIALIZED (SELECT r, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM v JOIN c{k} USING (p) GROUP BY r, p)")
+        if k < rounds:
+            sql.append(
+                f"s{k} AS (SELECT p, e, list(f ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(CAST(y AS HUGEINT)) / count(*)) AS f FROM (SELECT v.p, m % 256 AS e, unnest(x) AS y, unnest(range({width})) AS i FROM v JOIN a{k} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e), "
+                f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} USING (p, e))"
+            )
+    last = f"a{rounds}"
+    sql.append(f"f AS (SELECT r, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM {last} GROUP BY r)")
+    sql.append(f"h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, unnest(range({width})) AS i FROM c{rounds}))")
+    return ",\n".join(sql) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM w JOIN f USING (r), h"
+
+
+SQL["op11_vector_codes"] = _codes_sql()
+
+
+def _clusters_sql(clusters: int = 16, rounds: int = 3, width: int = 64) -> str:
+    sql = [f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS x FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS e, x AS c FROM w QUALIFY e < {clusters})"""]
+    for k in range(rounds + 1):
+        sql.append(f"a{k} AS MATERIALIZED (SELECT r, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM w, c{k} GROUP BY r)")
+        if k < rounds:
+            sql.append(
+                f"s{k} AS (SELECT e, list(f ORDER BY i) AS c FROM (SELECT e, i, floor(sum(CAST(y AS HUGEINT)) / count(*)) AS f FROM (SELECT m % 256 AS e, unnest(x) AS y, unnest(range({width})) AS i FROM w JOIN a{k} USING (r)) GROUP BY e, i) GROUP BY e), "
+                f"c{k + 1} AS MATERIALIZED (SELECT e, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} USING (e))"
+            )
+    sql.append(f"f AS (SELECT vec_id, CAST(m % 256 AS INTEGER) AS cluster, CAST(m // 256 AS BIGINT) AS distance FROM w JOIN a{rounds} USING (r))")
+    sql.append(f"h AS (SELECT e, sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM (SELECT e, unnest(c) AS y, unnest(range({width})) AS i FROM c{rounds}) GROUP BY e)")
+    return ",\n".join(sql) + "\nSELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN h ON e = cluster"
+
+
+SQL["op13_centroid_clusters"] = _clusters_sql()

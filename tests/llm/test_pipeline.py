@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from signalframe.llm import langid, pieces, quality, queries
+from tests.llm.test_vectors import ROWS
+from tests.llm.test_vectors import SCHEMA as VECTOR_COLUMNS
 from tests.llm.test_llm import LOWER, brute_windows, rows, shingles, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _id string, spans string, _rejected int, Text2 string"
@@ -40,7 +42,7 @@ DOCS, BENCH, PAGES = table()
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
-    for name, data, schema in (("documents", DOCS, COLUMNS), ("benchmark", BENCH, "item_id long, text string"), ("pages", PAGES, "page_id long, url string, html string")):
+    for name, data, schema in (("documents", DOCS, COLUMNS), ("benchmark", BENCH, "item_id long, text string"), ("pages", PAGES, "page_id long, url string, html string"), ("embeddings", [r for r in ROWS if r[0] not in (2005, 2006)], VECTOR_COLUMNS)):
         spark.createDataFrame(data, schema).coalesce(2).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -48,7 +50,7 @@ def sf_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", COLUMNS), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", COLUMNS), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", VECTOR_COLUMNS)):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -56,7 +58,7 @@ def empty_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     cols = sorted(got.columns)
