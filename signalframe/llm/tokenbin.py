@@ -223,10 +223,11 @@ class Dictionary:
 
 def train(docs: DataFrame, path: str, end: int = END) -> Dictionary:
     """The dictionary of a bounded sample of short documents: those whose text has the smallest hashes."""
-    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLES)
-    texts = [r["text"] for r in short.collect()]
-    if not texts:
+    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text", F.xxhash64("text").alias("h"))
+    drawn = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(SAMPLES).collect()]  # 8 bytes each, so that a task sends the driver little
+    if not drawn:
         return Dictionary(b"")
+    texts = [r["t"] for r in short.filter(F.col("h") <= drawn[-1]).groupBy("h").agg(F.min("text").alias("t")).orderBy("h").collect()]
     buf, offs = flat(pa.array(texts))
     own = encoder(path)
     samples = [serialize(ids, own.width, end) for ids in own.encode(buf, offs)]
