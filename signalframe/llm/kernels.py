@@ -258,12 +258,24 @@ def with_rows(df: DataFrame, columns: list[str], scratch: Scratch, name: str = "
 
     For a table read from files it is made of the file's place in order and the row's place in the file; any other table
     (or one of more than ``most_files`` files, whose list the driver would hold) is written once with its numbers."""
+    file, index, at = fresh(df, "_file"), fresh(df, "_index"), fresh(df, "_order")
     try:
-        placed = df.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-        files = [r[0] for r in placed.select("_file").distinct().limit(most_files + 1).collect()]
+        placed = df.select(*columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index))
+        files = [r[0] for r in placed.select(file).distinct().limit(most_files + 1).collect()]
     except AnalysisException:
         files = None
     if files is None or len(files) > most_files:
         return scratch.keep(df.select(*columns).withColumn(name, F.monotonically_increasing_id()), "numbered")
-    order = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "_file string, _order long")
-    return placed.join(F.broadcast(order), "_file").select(*columns, (F.shiftleft("_order", 40) + F.col("_index")).alias(name))
+    order = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], f"{file} string, {at} long")
+    return placed.join(F.broadcast(order), file).select(*columns, (F.shiftleft(at, 40) + F.col(index)).alias(name))
+
+
+def without_rows(docs: DataFrame, judge: Callable, scratch: Scratch) -> DataFrame:
+    """``docs``, with all their columns, less the rows that ``judge`` names: it gets them with ``doc_id`` as ``id`` and each row's own number as ``doc_id``, and returns the numbers of those to go.
+
+    What shares a ``doc_id`` (or has none) is told apart by row, so no row goes for another's sake."""
+    own = fresh(docs, "_row")
+    rows = with_rows(docs, docs.columns, scratch, own)
+    told = rows.select(F.col(own).alias("doc_id"), F.col("doc_id").alias("id"), *(c for c in ("text", "lang") if c in docs.columns))
+    gone = small(scratch.keep(judge(told).toDF(own), "gone"), 500_000)
+    return rows.join(gone, own, "left_anti").select(*docs.columns)

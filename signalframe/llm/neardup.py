@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, fresh, give_back, grouped_order, groups, lean, map_chunks, mix, small, spans, windows
+from .kernels import LOWER, NON_SPACE, U64, Scratch, SpanHash, flat, give_back, grouped_order, groups, lean, map_chunks, mix, spans, windows, without_rows
 
 SHINGLE = 5
 PERCENT = 85
@@ -289,7 +289,16 @@ def _verified(docs, classes, clusters, scratch, percent, width, k, block_bytes):
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, with all its columns: the one with the smallest ``doc_id``; documents without words stay."""
-    own = fresh(docs, "_duplicate")
-    gone = near_duplicates(docs, **settings).filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(small(Scratch(docs.sparkSession, "neardup").keep(gone, "gone"), 500_000), F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+    """One document of each component, with all its columns: the one with the smallest ``doc_id``, by file and row where several have it; null ids come last.
+
+    Documents without words stay.  Rows are judged one by one, also where they share a ``doc_id`` or have none."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+
+    def judge(rows: DataFrame) -> DataFrame:
+        linked = scratch.keep(near_duplicates(rows, **settings).filter(~F.col("kept")).select("doc_id", "component_id"), "linked")
+        every = linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+        named = scratch.keep(every.join(rows.select("doc_id", "id"), "doc_id"), "named")
+        stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("m")).select(F.col("m.doc_id").alias("doc_id"))
+        return named.select("doc_id").join(stays, "doc_id", "left_anti")
+
+    return without_rows(docs, judge, scratch)

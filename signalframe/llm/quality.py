@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import (
-    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, fresh, give_back, lean, mix, per_doc, small, spans, table, windows,
+    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, give_back, lean, mix, per_doc, small, spans, table, windows, without_rows,
 )
 
 ORDER = 6
@@ -376,8 +376,5 @@ def _judged(metrics: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that pass, with all their columns; rows that share a ``doc_id`` pass if all of them do."""
-    own = fresh(docs, "_rejected")
-    failed = quality_rules(docs, **settings).groupBy("doc_id").agg(F.min("kept").alias("ok")).filter("NOT ok").select(F.col("doc_id").alias(own))
-    failed = small(Scratch(docs.sparkSession, "quality").keep(failed, "failed"), 500_000)
-    return docs.join(failed, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
+    """The documents that pass, with all their columns.  Rows are judged one by one, also where they share a ``doc_id`` or have none."""
+    return without_rows(docs, lambda rows: quality_rules(rows, **settings).filter("NOT kept").select("doc_id"), Scratch(docs.sparkSession, "quality"))

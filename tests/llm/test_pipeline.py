@@ -220,6 +220,59 @@ def test_near_dedup_stage(spark, sf_dir):
     assert 200 in want and not {201, 203} & want
 
 
+def awkward_ids(spark, path):
+    """The documents with many null and shared ids, and columns that are named like row numbers."""
+    ids = [None if k % 5 == 0 else 42 if k % 7 == 0 else d[0] for k, d in enumerate(DOCS)]
+    own = [(i, *d[1:5], k, "y", "z") for k, (i, d) in enumerate(zip(ids, DOCS))]
+    spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, _row long, _FILE string, _index string").coalesce(2).write.parquet(path)
+    return own, spark.read.parquet(path)
+
+
+def test_near_dedup_stage_judges_rows(spark, tmp_path):
+    own, docs = awkward_ids(spark, f"{tmp_path}/documents.parquet")
+    sets = [shingles(d[1]) for d in own]
+    root = list(range(len(own)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(own)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    parts = defaultdict(list)
+    for i in range(len(own)):
+        parts[find(i)].append(own[i])
+    out = [tuple(r) for r in stage("near_dedup")(spark, docs, str(tmp_path)).collect()]
+    left = Counter(r[5] for r in out)
+    assert set(out) <= set(own) and max(left.values()) == 1
+    for part in parts.values():  # one row of each group, with the smallest id that there is
+        kept = [r for r in part if left[r[5]]]
+        if shingles(part[0][1]):
+            assert len(kept) == 1 and kept[0][0] == min((r[0] for r in part if r[0] is not None), default=None)
+        else:
+            assert kept == part
+    assert sum(r[0] is None for r in out) > 5 and sum(r[0] == 42 for r in out) > 3
+
+
+def test_one_duplicate_takes_no_other_row_along(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(20)) for k in "ABCDE"}
+    rows = [(1, "A"), (None, "A"), (None, "B"), (None, "C"), (5, "D"), (5, "A"), (7, "E")]
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in rows], "doc_id long, text string")
+    out = stage("near_dedup")(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"][0]) for r in out.collect()) == Counter([(1, "A"), (None, "B"), (None, "C"), (5, "D"), (7, "E")])
+
+
+def test_quality_stage_judges_rows(spark, tmp_path):
+    own, docs = awkward_ids(spark, f"{tmp_path}/documents.parquet")
+    verdict = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs.drop("doc_id").withColumnRenamed("_row", "doc_id")).collect()}
+    out = stage("quality")(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == Counter(r for r in own if verdict[r[5]])
+    assert {r[0] for r in own if verdict[r[5]]} & {r[0] for r in own if not verdict[r[5]]} >= {None, 42}
+
+
 def test_decontamination_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = stage("decontamination")(spark, docs, sf_dir)
