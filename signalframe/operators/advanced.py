@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import db
+from ..model import FLOOR_DB, db
 from .blocks import BLOCK, map_blocks, pack
-from .filters import _db, _per_channel, _with_run_up, butterworth, compression_curve, follow, resample
+from .filters import _db, _per_channel, _with_run_up, butterworth, compression_curve, follow, resample, sub_peaks
 from .loudness import run_sections
 from .repair import istft, stft, stretch
 
@@ -222,16 +222,43 @@ def dither(samples: DataFrame, bits: int = 16, shaped: bool = False, seed: int =
 
 
 def contour(points: DataFrame, samples: DataFrame, rate: float) -> DataFrame:
-    """Loudness contour: momentary and short-term at each sub-block with the sample peak and PSR of the last 3 s and the crest of the last 400 ms."""
+    """Loudness at each whole sub-block: momentary and short-term, the true peak and PSR of the last 3 s, and the crest of the last 400 ms (0 for silence).
+
+    True peak and PSR are null where short-term loudness is; PSR also where either lies at the floor."""
     size = int(rate / 10)
     by = samples.groupBy("recording", F.floor(F.col("n") / size).cast("long").alias("sub")).agg(F.max(F.abs("x")).alias("peak"), F.avg(F.col("x") * F.col("x")).alias("ms"))
     w = Window.partitionBy("recording").orderBy("sub")
-    j = points.join(by, ["recording", "sub"])
-    top, short, mean = F.max("peak").over(w.rowsBetween(-29, 0)), F.max("peak").over(w.rowsBetween(-3, 0)), F.avg("ms").over(w.rowsBetween(-3, 0))
-    return j.select(
-        "recording", ((F.col("sub") + 1) / 10).alias("seconds"), "momentary", "short_term", db(top).alias("peak_db"), F.when(F.col("short_term").isNotNull(), db(top) - F.col("short_term")).alias("psr_db"),
-        F.when(F.col("momentary").isNotNull() & (mean > 0), db(short) - db(F.sqrt(mean))).alias("crest_db"),
+    j = points.join(by, ["recording", "sub"]).join(sub_peaks(samples, size), ["recording", "sub"])
+    top, short, mean = F.max("true_peak").over(w.rowsBetween(-29, 0)), F.max("peak").over(w.rowsBetween(-3, 0)), F.avg("ms").over(w.rowsBetween(-3, 0))
+    out = j.select(
+        "recording", "sub", ((F.col("sub") + 1) / 10).alias("seconds"), "momentary", "short_term", F.when(F.col("short_term").isNotNull(), db(top)).alias("peak_db"),
+        F.when(F.col("momentary").isNotNull(), F.when(mean > 0, db(short / F.sqrt(mean))).otherwise(0.0)).alias("crest_db"),
     )
+    heard = (F.col("peak_db") > FLOOR_DB) & (F.col("short_term") > FLOOR_DB)
+    return out.withColumn("psr_db", F.when(heard, F.col("peak_db") - F.col("short_term")))
+
+
+def contour_grid(measured: DataFrame, samples: DataFrame, rate: float, interval: float) -> DataFrame:
+    """``contour`` at every ``interval`` seconds from 0 to the end: what the sub-blocks that were whole by then say; nothing before the first windows are full."""
+    step, size = max(1, int(interval * rate + 0.5)), int(rate / 10)
+    ends = samples.groupBy("recording").agg((F.max("n") + 1).alias("frames"))
+    at = ends.filter(F.col("frames") >= 4 * size).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("frames") / step))))
+    sub = F.least(F.floor(F.col("k") * step / size), F.floor(F.col("frames") / size)).cast("long") - 1
+    at = at.select("recording", (F.col("k") * step / rate).alias("seconds"), sub.alias("sub"))
+    return at.join(measured.drop("seconds"), ["recording", "sub"], "left").drop("sub")
+
+
+def contour_summary(grid: DataFrame, programme: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Of each recording: loudness, range, true peak and their distance; extremes and nearest-rank P10 and P95 of the emitted short-term readings above -70."""
+    gated = grid.filter("short_term > -70").select("recording", "short_term")
+    n = gated.groupBy("recording").agg(F.count("*").alias("n"))
+    ranked = gated.withColumn("rank", F.row_number().over(Window.partitionBy("recording").orderBy("short_term")) - 1).join(n, "recording")  # a reading for each interval
+    at = lambda f: F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * f + 0.5), F.col("short_term")))
+    spread = ranked.groupBy("recording").agg(F.min("short_term").alias("quietest"), F.max("short_term").alias("loudest"), at(0.10).alias("p10"), at(0.95).alias("p95"))
+    top = peaks.groupBy("recording").agg(db(F.max("true_peak")).alias("peak_db"))
+    points = grid.groupBy("recording").agg(F.count("*").alias("points"))
+    j = points.join(programme, "recording", "left").join(top, "recording", "left").join(spread, "recording", "left")
+    return j.withColumn("plr_db", F.when((F.col("peak_db") > FLOOR_DB) & (F.col("integrated") > FLOOR_DB), F.col("peak_db") - F.col("integrated")))
 
 
 def room_by_band(impulse: DataFrame, rate: float, order: int = 4) -> DataFrame:
@@ -257,4 +284,4 @@ def room_by_band(impulse: DataFrame, rate: float, order: int = 4) -> DataFrame:
     return impulse.groupBy("recording").applyInPandas(run, "recording long, centre double, seconds double")
 
 
-__all__ = ["contour", "deess", "dither", "deess_report", "exact_peak", "exact_true_peak", "heal", "multiband_compress", "pitch_shift", "room_by_band", "split_bands", "uniforms"]
+__all__ = ["contour", "contour_grid", "contour_summary", "deess", "dither", "deess_report", "exact_peak", "exact_true_peak", "heal", "multiband_compress", "pitch_shift", "room_by_band", "split_bands", "uniforms"]

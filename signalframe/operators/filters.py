@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -270,20 +271,51 @@ def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 2
     return map_blocks(pack(samples, BLOCK, int(reach) + 1, int(reach) + 1), run, SAMPLES)
 
 
-def true_peak(samples: DataFrame, factor: int = 4, taps: int = 25) -> DataFrame:
-    """Largest magnitude of each channel between and at the samples, by a polyphase interpolator with unit gain in each phase."""
-    n = factor * taps
-    i = np.arange(n)
-    a = 2 * np.pi * i / (n - 1)
-    proto = np.sinc((i - (n - 1) / 2) / factor) * (0.35875 - 0.48829 * np.cos(a) + 0.14128 * np.cos(2 * a) - 0.01168 * np.cos(3 * a))
-    phases = [proto[k::factor] / proto[k::factor].sum() for k in range(factor)]
+def interpolator(factor: int, taps: int, window: Callable) -> np.ndarray:
+    """Phases of a sinc interpolator whose centre lies on a sample: phase 0 gives the samples, phase p what lies p / factor further; each has unit gain.
+
+    ``window`` takes places from -1 to 1."""
+    half = (taps - 1) / 2
+    at = np.arange(factor)[:, None] / factor + np.arange(taps) - half
+    kernel = np.where(at <= half, np.sinc(at) * window(np.clip(at / half, -1, 1)), 0.0)
+    return kernel / kernel.sum(1, keepdims=True)
+
+
+def blackman_harris(u: np.ndarray) -> np.ndarray:
+    a = np.pi * (u + 1)
+    return 0.35875 - 0.48829 * np.cos(a) + 0.14128 * np.cos(2 * a) - 0.01168 * np.cos(3 * a)
+
+
+def between(xs: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """At each sample the largest magnitude of all phases whose kernels end there."""
+    out = np.zeros(len(xs))
+    for p in phases:
+        np.maximum(out, np.abs(np.convolve(xs, p)[: len(xs)]), out=out)
+    return out
+
+
+def _peaks(samples: DataFrame, size: int, factor: int, taps: int) -> DataFrame:
+    """``recording, channel, sub, true_peak`` of every ``size`` samples: the samples themselves and what the interpolator has given by their end."""
+    phases = interpolator(factor, taps, blackman_harris)
 
     def run(xs, lo, hi, start):
-        found = [float(np.abs(xs[lo:hi]).max()), *(float(np.abs(np.convolve(xs, p)[lo : hi + taps - 1]).max()) for p in phases)]
-        return {"true_peak": pa.array([max(found)])}
+        top = np.maximum(between(xs, phases), np.abs(xs))[lo:hi]
+        first = (start + lo) // size
+        edges = np.arange(first, (start + hi - 1) // size + 1) * size - (start + lo)
+        return {"sub": pa.array(first + np.arange(len(edges))), "true_peak": pa.array(np.maximum.reduceat(top, np.maximum(edges, 0)))}
+
+    block = max(1, BLOCK // size) * size
+    return map_blocks(pack(samples, block, taps, 0), run, "recording long, channel int, sub long, true_peak double")
+
 
-    by = map_blocks(pack(samples, BLOCK, taps, taps), run, "recording long, channel int, true_peak double")
-    return by.groupBy("recording", "channel").agg(F.max("true_peak").alias("true_peak"))
+def sub_peaks(samples: DataFrame, size: int, factor: int = 4, taps: int = 25) -> DataFrame:
+    """``recording, sub, true_peak``: the largest of all channels in each run of ``size`` samples."""
+    return _peaks(samples, size, factor, taps).groupBy("recording", "sub").agg(F.max("true_peak").alias("true_peak"))
+
+
+def true_peak(samples: DataFrame, factor: int = 4, taps: int = 25) -> DataFrame:
+    """Largest magnitude of each channel between and at the samples."""
+    return _peaks(samples, BLOCK, factor, taps).groupBy("recording", "channel").agg(F.max("true_peak").alias("true_peak"))
 
 
 def sweep(spark: SparkSession, rate: float, seconds: float = 5.0, start: float = 20.0, end: float = 20000.0, level: float = 0.5, fade: float = 0.02) -> DataFrame:

@@ -53,6 +53,16 @@ def average_spectrum(mags: DataFrame, size: int) -> DataFrame:
     return by.select("bin", db(F.col("mean")).alias("average_db"), db(F.col("peak")).alias("peak_db"))
 
 
+def _by(df: DataFrame) -> list[str]:
+    """What a measure is taken for: each recording, where there are several."""
+    return ["recording"] if "recording" in df.columns else []
+
+
+def _beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the one row of ``one`` for all of it or for each recording."""
+    return df.join(one, by) if by else df.join(F.broadcast(one))
+
+
 def band_layout(spark: SparkSession, rate: float, thirds: bool = False) -> DataFrame:
     half = 2 ** (1 / 6 if thirds else 1 / 2)
     rows = [(c, c / half, c * half) for c in (THIRDS if thirds else OCTAVES) if c * half <= rate / 2]
@@ -61,25 +71,24 @@ def band_layout(spark: SparkSession, rate: float, thirds: bool = False) -> DataF
 
 def bands(spectrum: DataFrame, spark: SparkSession, rate: float, size: int, thirds: bool = False) -> DataFrame:
     """Band levels: bins in [low, high) add their powers, over the noise bandwidth; an empty band takes the nearest bin."""
-    w = hann(size)
+    w, by = hann(size), _by(spectrum)
     enbw = size * sum(v * v for v in w) / sum(w) ** 2
-    layout = F.broadcast(band_layout(spark, rate, thirds))  # at most 31 rows
-    spec = spectrum.select("bin", (F.col("bin") * rate / size).alias("hz"), F.pow(F.lit(10.0), F.col("average_db") / 10).alias("p"))
-    inside = spec.join(layout, (F.col("hz") >= F.col("low")) & (F.col("hz") < F.col("high"))).groupBy("centre").agg(F.sum("p").alias("p"))
-    nearest = layout.withColumn("bin", F.round(F.col("centre") * size / rate).cast("long"))
-    near = nearest.join(spec.select(F.col("bin").alias("_b"), F.col("p").alias("one")), F.col("bin") == F.col("_b"), "left")
-    out = near.join(inside, "centre", "left")
+    layout = F.broadcast(band_layout(spark, rate, thirds).withColumn("near", F.round(F.col("centre") * size / rate).cast("long")))  # at most 31 rows
+    spec = spectrum.select(*by, "bin", (F.col("bin") * rate / size).alias("hz"), F.pow(F.lit(10.0), F.col("average_db") / 10).alias("p"))
+    within = (F.col("hz") >= F.col("low")) & (F.col("hz") < F.col("high"))
+    own = spec.join(layout, within | (F.col("bin") == F.col("near"))).groupBy(*by, "centre", "low", "high").agg(F.sum(F.when(within, F.col("p"))).alias("p"), F.max(F.when(F.col("bin") == F.col("near"), F.col("p"))).alias("one"))
     power = F.greatest(F.coalesce("p", "one", F.lit(0.0)) / enbw, F.lit(1e-30))
-    return out.select("centre", "low", "high", db(power, 10.0).alias("level_db"))
+    return own.select(*by, "centre", "low", "high", db(power, 10.0).alias("level_db"))
 
 
 def chroma(mags: DataFrame, rate: float, size: int, low: float = 65.0, high: float = 5000.0) -> DataFrame:
     """``pitch_class, weight``: magnitudes folded onto twelve classes, summing to one."""
     hz = F.col("bin") * rate / size
     note = F.round(69 + 12 * F.log2(hz / 440.0)).cast("int")
-    by = mags.filter((F.col("bin") > 0) & (hz >= low) & (hz <= high)).groupBy(F.pmod(note, F.lit(12)).alias("pitch_class")).agg(F.sum("mag").alias("m"))
-    total = by.agg(F.sum("m").alias("t"))
-    return by.join(F.broadcast(total)).select("pitch_class", F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(0.0).alias("weight"))
+    keys = _by(mags)
+    by = mags.filter((F.col("bin") > 0) & (hz >= low) & (hz <= high)).groupBy(*keys, F.pmod(note, F.lit(12)).alias("pitch_class")).agg(F.sum("mag").alias("m"))
+    total = by.groupBy(*keys).agg(F.sum("m").alias("t"))
+    return _beside(by, total, keys).select(*keys, "pitch_class", F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(0.0).alias("weight"))
 
 
 def key_scores(spark: SparkSession, folded: DataFrame) -> DataFrame:
@@ -131,14 +140,14 @@ def denoise_gain(mags: DataFrame, profile: DataFrame, over: float = 1.5, reducti
 
 def provenance(spectrum: DataFrame, rate: float, size: int, per_octave: int = 16, floor_hz: float = 500.0, drop_db: float = 35.0) -> DataFrame:
     """Where a spectrum ends: the last of the log-spaced steps above max - drop, the fall over the next quarter octave, and whether it is steep."""
-    step = F.floor(F.log2(F.col("bin") * rate / size / floor_hz) * per_octave).cast("long")
-    steps = spectrum.filter((F.col("bin") > 0) & (F.col("bin") * rate / size >= floor_hz)).groupBy(step.alias("step")).agg(F.avg("average_db").alias("level"))
-    top = steps.agg((F.max("level") - drop_db).alias("least"))
-    last = steps.join(F.broadcast(top)).filter("level >= least").agg(F.max("step").alias("last"))  # one row
-    j = steps.join(F.broadcast(last))
+    step, by = F.floor(F.log2(F.col("bin") * rate / size / floor_hz) * per_octave).cast("long"), _by(spectrum)
+    steps = spectrum.filter((F.col("bin") > 0) & (F.col("bin") * rate / size >= floor_hz)).groupBy(*by, step.alias("step")).agg(F.avg("average_db").alias("level"))
+    top = steps.groupBy(*by).agg((F.max("level") - drop_db).alias("least"))
+    last = _beside(steps, top, by).filter("level >= least").groupBy(*by).agg(F.max("step").alias("last"))
+    j = _beside(steps, last, by)
     before = F.max(F.when(F.col("step") == F.col("last"), F.col("level")))
     after = F.max(F.when(F.col("step") == F.col("last") + per_octave // 4, F.col("level")))
-    return j.agg((floor_hz * F.pow(F.lit(2.0), (F.max("last") + 1) / per_octave)).alias("cutoff_hz"), (before - after).alias("drop_db")).withColumn("steep", F.coalesce(F.col("drop_db") >= drop_db, F.lit(False)))
+    return j.groupBy(*by).agg((floor_hz * F.pow(F.lit(2.0), (F.max("last") + 1) / per_octave)).alias("cutoff_hz"), (before - after).alias("drop_db")).withColumn("steep", F.coalesce(F.col("drop_db") >= drop_db, F.lit(False)))
 
 
 def smooth_gain(gains: DataFrame, keep: float = 0.55, span: int = 96) -> DataFrame:
@@ -167,19 +176,32 @@ def tuning(mags: DataFrame, rate: float, size: int, low: float = 65.0, high: flo
     hz = F.col("bin") * rate / size
     s = 69 + 12 * F.log2(hz / 440.0)
     turn = 2 * math.pi * (s - F.round(s))
-    by = mags.filter((F.col("bin") > 0) & (hz >= low) & (hz <= high)).agg(F.sum(F.col("mag") * F.sin(turn)).alias("y"), F.sum(F.col("mag") * F.cos(turn)).alias("x"))
-    return by.select((F.atan2("y", "x") * 100 / (2 * math.pi)).alias("tuning_cents"))
+    keys = _by(mags)
+    by = mags.filter((F.col("bin") > 0) & (hz >= low) & (hz <= high)).groupBy(*keys).agg(F.sum(F.col("mag") * F.sin(turn)).alias("y"), F.sum(F.col("mag") * F.cos(turn)).alias("x"))
+    return by.select(*keys, (F.atan2("y", "x") * 100 / (2 * math.pi)).alias("tuning_cents"))
 
 
 def key(spark: SparkSession, mags: DataFrame, rate: float, size: int) -> DataFrame:
-    """One row: key, fit, margin, runner-up, contrast of the chroma, strength, tuning and whether it is worth naming."""
-    folded = chroma(mags, rate, size)
-    spread = folded.agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
-    mean = F.col("s") / 12
-    contrast = F.when(mean > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / 12 - mean * mean)) / mean).otherwise(0.0)
-    one = best_key(key_scores(spark, folded)).join(F.broadcast(spread.select(contrast.alias("contrast")))).join(F.broadcast(tuning(mags, rate, size)))  # one row each
+    """One row for each recording: chroma of twelve, key with tonic and mode, fit, margin, runner-up, contrast of the chroma, strength, tuning and whether it is worth naming."""
+    by = _by(mags)
+    folded = chroma(mags, rate, size).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("pitch_class", "weight"))).alias("m"))  # twelve entries
+    folded = folded.select(*by, F.array(*(F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) for d in range(12))).alias("chroma"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    c = F.col("chroma")
+    own = folded.withColumn("mean", total(c) / 12).withColumn("off", F.transform(c, lambda v: v - F.col("mean"))).withColumn("power", total(F.transform("off", lambda v: v * v)))
+    profiles = [(t, mode, [(MAJOR, MINOR)[mode][(d - t) % 12] for d in range(12)]) for t in range(12) for mode in (0, 1)]
+
+    def fit(p):
+        off = [v - sum(p) / 12 for v in p]
+        bottom = F.col("power") * sum(v * v for v in off)
+        return F.when(bottom > 1e-30, sum((F.get("off", F.lit(d)) * off[d] for d in range(12)), F.lit(0.0)) / F.sqrt(bottom)).otherwise(0.0)
+
+    ranked = F.array_sort(F.array(*(F.struct((-F.round(fit(p), 9)).alias("k"), F.lit(t).alias("tonic"), F.lit(mode).alias("mode"), fit(p).alias("fit")) for t, mode, p in profiles)))
+    own = own.withColumn("r", ranked).select(*by, "chroma", F.when(F.col("mean") > 0, F.sqrt(F.col("power") / 12) / F.col("mean")).otherwise(0.0).alias("contrast"), F.col("r")[0].alias("a"), F.col("r")[1].alias("b"))
+    note, mode = lambda k: F.get(F.array(*map(F.lit, NAMES)), F.col(f"{k}.tonic")), lambda k: F.when(F.col(f"{k}.mode") == 0, "major").otherwise("minor")
+    named = own.select(*by, "chroma", "contrast", note("a").alias("tonic"), mode("a").alias("mode"), F.col("a.fit").alias("fit"), (F.col("a.fit") - F.col("b.fit")).alias("margin"), F.concat_ws(" ", note("a"), mode("a")).alias("key"), F.concat_ws(" ", note("b"), mode("b")).alias("runner_up"))
     strength = F.col("fit") * F.least(F.lit(1.0), F.col("contrast"))
-    return one.withColumn("strength", strength).withColumn("worth_naming", (F.col("contrast") >= 0.15) & (F.col("strength") >= 0.2))
+    return _beside(named, tuning(mags, rate, size), by).withColumn("strength", strength).withColumn("worth_naming", (F.col("contrast") >= 0.15) & (F.col("strength") >= 0.2))
 
 
 def framed(xs: np.ndarray, lo: int, hi: int, start: int, size: int, hop: int) -> tuple[np.ndarray, int]:
@@ -210,7 +232,7 @@ def spectra(samples: DataFrame, size: int = 8192, hop: int = 4096) -> DataFrame:
 def levels(spectrum: DataFrame, size: int) -> DataFrame:
     """``bin, average_db, peak_db`` of one channel's ``spectra``."""
     scale = 2 / sum(hann(size))
-    return spectrum.select("bin", db(F.col("mean") * scale).alias("average_db"), db(F.col("peak") * scale).alias("peak_db"))
+    return spectrum.select(*_by(spectrum), "bin", db(F.col("mean") * scale).alias("average_db"), db(F.col("peak") * scale).alias("peak_db"))
 
 
 def onsets(samples: DataFrame, size: int = 1024, hop: int = 256, floor: float = 1e-3) -> DataFrame:

@@ -43,8 +43,9 @@ def stereo_field(stereo: DataFrame, *keys: str) -> DataFrame:
 def effective_bits(samples: DataFrame, bits: int = 24) -> DataFrame:
     """Bits in use: all less the trailing zeros that every sample shares; 0 for silence."""
     scaled = F.abs(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x"))) * (1 << (bits - 1))).cast("long"))
-    used = samples.agg(F.bit_or(scaled).alias("used"))
-    return used.select(F.when(F.col("used") == 0, 0).otherwise(bits - F.bit_count(F.expr("(used & -used) - 1"))).cast("int").alias("effective_bits"))
+    by = ["recording"] if "recording" in samples.columns else []
+    used = samples.groupBy(*by).agg(F.bit_or(scaled).alias("used"))
+    return used.select(*by, F.when(F.col("used") == 0, 0).otherwise(bits - F.bit_count(F.expr("(used & -used) - 1"))).cast("int").alias("effective_bits"))
 
 
 def compliance(measured: DataFrame, against: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import number
+from . import levels
 from ..scratch import Scratch
 
 
@@ -32,6 +33,19 @@ def view(q: DataFrame, frames: int, bins: int, columns: int, rows: int) -> DataF
     return mixed.groupBy(column, "row").agg(F.max("q").alias("q"))
 
 
+def overview(q: DataFrame, root: str | None = None) -> levels.Levels:
+    """All levels of ``frame, bin, q`` as a stored table, each frame of a level the louder of two below."""
+    base = q.select("bin", F.col("frame").alias("idx"), "q")
+    return levels.store(base, ["bin"], lambda g: g.agg(F.max("q").alias("q")), 1, root)
+
+
+def overview_view(stored: levels.Levels, start: int, stop: int, bins: int, columns: int, rows: int) -> DataFrame:
+    """``column, row, q`` of a range of frames, from the frames that its columns touch in one level: the detail itself once a column is a frame wide."""
+    edges = [(r, b) for r in range(rows) for b in range(r * bins // rows, max(r * bins // rows + 1, -(-(r + 1) * bins // rows)))]
+    own = stored.spark.createDataFrame(edges, "row int, bin long")  # each bin's rows: at most two
+    return stored.touched(start, stop, columns).join(F.broadcast(own), "bin").groupBy("column", "row").agg(F.max("q").alias("q"))
+
+
 def write(q: DataFrame, size: int = 1024) -> DataFrame:
     """``q`` as a table partitioned by tiles of ``size`` frames, read back with ``tile``: a query for some tiles reads their files only."""
     scratch = Scratch(q.sparkSession, "tiles")

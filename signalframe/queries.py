@@ -505,4 +505,4 @@ def _register_advanced():
 
 _register_advanced()
 
-from . import queries_edits, queries_measure, queries_state, queries_verbs  # noqa: E402, F401
+from . import queries_edits, queries_files, queries_measure, queries_state, queries_verbs  # noqa: E402, F401

@@ -25,10 +25,10 @@ FADE = """(CASE WHEN fade_in > 0 AND i < fade_in THEN i / fade_in::DOUBLE ELSE 1
 SOUND = f"""{FADED}, {EVENT}, p AS (SELECT timeline_start + i AS n, sum(gain * x * {FADE}) AS x FROM (SELECT *, s.n - source_start AS i FROM fc JOIN ev s ON s.recording = fc.source_id WHERE s.n >= source_start AND s.n - source_start < length) GROUP BY 1)"""
 
 
-@query("p11_e11_render_with_fades", f"WITH {SOUND} SELECT g.n, round(coalesce(x, 0), 6) AS x FROM range(0, (SELECT max(timeline_start + length) FROM fc)) g(n) LEFT JOIN p ON p.n = g.n")
+@query("p11_e11_render_with_fades", f"WITH {SOUND} SELECT g.n, round(coalesce(x, 0), 9) AS x FROM range(0, (SELECT max(timeline_start + length) FROM fc)) g(n) LEFT JOIN p ON p.n = g.n")
 def _(spark, sf_dir):
     clips = _clips(spark, sf_dir)
-    return rounded(timeline.render(clips, _sources(spark, sf_dir), 0, timeline.duration(clips)))
+    return rounded(timeline.render(clips, _sources(spark, sf_dir), 0, timeline.duration(clips)), 9)
 
 
 @query("p11_clip_gain", f"WITH {FADED} SELECT clip_id, i, round(gain * {FADE}, 6) AS gain FROM fc, range(0, 150) t(i) WHERE i < length")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import model
 from .functions import scalars
-from .operators import advanced, channels, filters, loudness, measure, room, spectral, statistics
+from .operators import advanced, channels, filters, loudness, measure, pyramids, room, spectral, statistics
 from .plans import tiles
 from .queries import CHROMA, DFT, EVENT, LINE, QUERIES, SPEC, SQL, SUBS, db_sql, query, rounded  # noqa: F401
 
@@ -115,14 +115,65 @@ def _(spark, sf_dir):
     return rounded(_points(spark, sf_dir)[1].filter("sub >= 29 AND (sub - 29) % 10 = 0").select("sub", "short_term"))
 
 
+# an interpolator of 4 phases of up to 25 taps, spelled out
+PHASES = """tp AS (SELECT i, (CASE WHEN i = 48 THEN 1 ELSE sin(pi() * (i - 48) / 4) / (pi() * (i - 48) / 4) END) * (0.35875 - 0.48829 * cos(2 * pi() * i / 96) + 0.14128 * cos(4 * pi() * i / 96) - 0.01168 * cos(6 * pi() * i / 96)) AS h FROM range(97) t(i)),
+ph AS (SELECT i % 4 AS k, i // 4 AS j, h / sum(h) OVER (PARTITION BY i % 4) AS h FROM tp)"""
+_CONTOUR = f"""{SUBS}, {PHASES}, up AS (SELECT channel, k, n + j AS m, sum(x * h) AS y FROM long, ph WHERE n + j <= (SELECT max(n) FROM long) GROUP BY ALL), tk AS (SELECT m // 80 AS sub, max(abs(y)) AS y FROM up GROUP BY 1),
+b AS (SELECT sub, p, ms, greatest(p, y) AS t FROM (SELECT n // 80 AS sub, max(abs(x)) AS p, avg(x * x) AS ms FROM long GROUP BY 1) JOIN tk USING (sub)),
+j AS (SELECT sub, momentary, short_term, max(t) OVER (o ROWS 29 PRECEDING) AS top, max(p) OVER (o ROWS 3 PRECEDING) AS shrt, avg(ms) OVER (o ROWS 3 PRECEDING) AS m FROM pt JOIN b USING (sub) WINDOW o AS (ORDER BY sub)),
+ct AS (SELECT sub, round(momentary, 6) AS momentary, round(short_term, 6) AS short_term, round(CASE WHEN short_term IS NOT NULL THEN {db_sql('top')} END, 6) AS peak_db, round({db_sql('top')} - short_term, 6) AS psr_db, round(CASE WHEN momentary IS NOT NULL THEN CASE WHEN m > 0 THEN {db_sql('shrt / sqrt(m)')} ELSE 0 END END, 6) AS crest_db FROM j)"""
+
+
+@query("m3_j6_contour_series", f"WITH {_CONTOUR} SELECT round((sub + 1) / 10, 6) AS seconds, * EXCLUDE (sub) FROM ct")
+def _(spark, sf_dir):
+    mono, points = _points(spark, sf_dir)
+    return rounded(advanced.contour(points, mono, 800).drop("recording", "sub"))
+
+
 @query(
-    "m3_j6_contour_series",
-    f"""WITH {SUBS}, b AS (SELECT n // 80 AS sub, max(abs(x)) AS p, avg(x * x) AS ms FROM long GROUP BY 1), j AS (SELECT sub, momentary, short_term, max(p) OVER (o ROWS 29 PRECEDING) AS top, max(p) OVER (o ROWS 3 PRECEDING) AS shrt, avg(ms) OVER (o ROWS 3 PRECEDING) AS m FROM pt JOIN b USING (sub) WINDOW o AS (ORDER BY sub))
-SELECT round((sub + 1) / 10, 6) AS seconds, round(momentary, 6) AS momentary, round(short_term, 6) AS short_term, round({db_sql('top')}, 6) AS peak_db, round({db_sql('top')} - short_term, 6) AS psr_db, round(CASE WHEN momentary IS NOT NULL AND m > 0 THEN {db_sql('shrt')} - {db_sql('sqrt(m)')} END, 6) AS crest_db FROM j""",
+    "m3_contour_points",
+    f"""WITH {_CONTOUR}, f AS (SELECT max(n) + 1 AS f FROM long), g AS (SELECT k * 200 / 800.0::DOUBLE AS seconds, least(k * 200 // 80, f // 80) - 1 AS sub FROM f, range(0, f // 200 + 1) t(k))
+SELECT round(seconds, 6) AS seconds, momentary, short_term, peak_db, psr_db, crest_db FROM g LEFT JOIN ct USING (sub)""",
 )
 def _(spark, sf_dir):
+    """A point each quarter of a second, which no whole number of sub-blocks is."""
     mono, points = _points(spark, sf_dir)
-    return rounded(advanced.contour(points, mono, 800).drop("recording"))
+    return rounded(advanced.contour_grid(advanced.contour(points, mono, 800), mono, 800, 0.25).drop("recording"))
+
+
+@query(
+    "m3_contour_summary",
+    f"""WITH {_CONTOUR}, f AS (SELECT max(n) + 1 AS f FROM long), g AS (SELECT least(k * 200 // 80, f // 80) - 1 AS sub FROM f, range(0, f // 200 + 1) t(k)), s AS (SELECT short_term, row_number() OVER (ORDER BY short_term) - 1 AS r, count(*) OVER () AS n FROM g JOIN ct USING (sub) WHERE short_term > -70)
+SELECT (SELECT count(*) FROM g) AS points, round({db_sql('(SELECT greatest(max(abs(y)), (SELECT max(abs(x)) FROM long)) FROM up)')}, 6) AS peak_db, min(short_term) AS quietest, max(short_term) AS loudest, max(CASE WHEN r = floor((n - 1) * 0.1 + 0.5) THEN short_term END) AS p10, max(CASE WHEN r = floor((n - 1) * 0.95 + 0.5) THEN short_term END) AS p95 FROM s""",
+)
+def _(spark, sf_dir):
+    mono, points = _points(spark, sf_dir)
+    grid = advanced.contour_grid(advanced.contour(points, mono, 800), mono, 800, 0.25)
+    none = points.select("recording").distinct().select("recording", F.lit(None).cast("double").alias("integrated"), F.lit(None).cast("double").alias("lra"))
+    return rounded(advanced.contour_summary(grid, none, filters.true_peak(mono)).select("points", "peak_db", "quietest", "loudest", "p10", "p95"))
+
+
+_LEVELS = "c AS (SELECT count(*) AS f FROM line), g AS (SELECT f, k AS \"column\", (k * f + 63) // 64 AS a, ((k + 1) * f + 63) // 64 AS b, CAST(pow(2, floor(log2(f // 64 / 16))) AS BIGINT) * 16 AS w FROM c, range(64) t(k))"
+
+
+@query(
+    "r19_peak_columns",
+    f"WITH {LINE}, {_LEVELS} SELECT 0::BIGINT AS recording, channel, \"column\", round(min(x), 6) AS min, round(max(x), 6) AS max, round(sqrt(avg(x * x)), 6) AS rms FROM g JOIN long ON n >= a // w * w AND n < ((b - 1) // w + 1) * w GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    """The whole signal in 64 columns, off one stored level."""
+    stored = pyramids.peak_store(model.whole(model.long(model.line_signal(spark, sf_dir))), 16)
+    return rounded(pyramids.peak_columns(stored, 0, model.table(spark, sf_dir, "lineitem").count(), 64))
+
+
+@query(
+    "a12_stored_levels",
+    f"WITH {LINE}, l AS (SELECT unnest(range(0, CAST(ceil(log2(ceil(f / 256))) AS BIGINT) + 1)) AS level FROM (SELECT count(*)::DOUBLE AS f FROM line)) SELECT CAST(level AS INT) AS level, channel, CAST(n // 256 // CAST(pow(2, level) AS BIGINT) AS BIGINT) AS idx, round(min(x), 6) AS min, round(max(x), 6) AS max, count(*) AS frames FROM long, l GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    """Every stored level up to the one with a single bin."""
+    stored = pyramids.peak_store(model.whole(model.long(model.line_signal(spark, sf_dir))))
+    return rounded(stored.read().select("level", "channel", "idx", "min", "max", "frames"))
 
 
 @query("p17_plr_psr", f"WITH {EVENT}, t AS (SELECT recording, {db_sql('max(abs(x))')} AS p, {db_sql('sqrt(avg(x * x))')} AS r, min(n) AS k FROM ev GROUP BY 1) SELECT recording, round(CASE WHEN p <= -200 OR r <= -200 THEN -200 ELSE p - r END, 6) AS plr FROM t")
@@ -281,6 +332,17 @@ def _(spark, sf_dir):
     return tiles.view(q, model.table(spark, sf_dir, "embeddings").count(), 33, 40, 80)
 
 
+@query(
+    "r16_overview",
+    f"""WITH {VIEW}, g AS (SELECT f, k AS c, (k * f + 19) // 20 AS a, ((k + 1) * f + 19) // 20 AS b, CAST(pow(2, floor(log2(f // 20))) AS BIGINT) AS w FROM fr0, range(20) t(k)), e AS (SELECT r, r * 33 // 16 AS a, greatest(r * 33 // 16 + 1, ((r + 1) * 33 + 15) // 16) AS b FROM range(16) t(r))
+SELECT c AS "column", CAST(r AS INT) AS "row", max(q) AS q FROM g JOIN q ON frame >= g.a // w * w AND frame < ((g.b - 1) // w + 1) * w JOIN e ON bin >= e.a AND bin < e.b GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    """All frames in 20 columns, off one stored level of the fold."""
+    q = spectral.quantised(spectral.dft(model.frames(spark, sf_dir), 64), 64)
+    return tiles.overview_view(tiles.overview(q), 0, model.table(spark, sf_dir, "embeddings").count(), 33, 20, 16)
+
+
 @query("r17_tiles", f"WITH {VIEW} SELECT frame // 64 AS tile, CAST(count(DISTINCT frame) AS BIGINT) AS frames, max(q) AS loudest, CAST(sum(q) AS BIGINT) AS total FROM q GROUP BY 1")
 def _(spark, sf_dir):
     """Tiles are written and read back; a tile's rows come from its own partition."""

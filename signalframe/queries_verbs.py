@@ -9,7 +9,7 @@ from .operators import filters, spectral
 from .plans import session
 from .queries import EVENT, LINE, QUERIES, SQL, db_sql, query, rounded  # noqa: F401
 from .queries_edits import SOUND, _clips, _sources
-from .queries_measure import PULSE
+from .queries_measure import PHASES, PULSE
 from .queries_state import YIN
 
 RATE = model.RATE
@@ -23,21 +23,20 @@ def _users(spark, sf_dir):
     return model.event_signal(spark, sf_dir).withColumn("channel", F.lit(0))
 
 
-# a polyphase interpolator of 4 x 25 taps, spelled out
-TAPS = """tp AS (SELECT i, (CASE WHEN (i - 49.5) / 4 = 0 THEN 1 ELSE sin(pi() * (i - 49.5) / 4) / (pi() * (i - 49.5) / 4) END) * (0.35875 - 0.48829 * cos(2 * pi() * i / 99) + 0.14128 * cos(4 * pi() * i / 99) - 0.01168 * cos(6 * pi() * i / 99)) AS h FROM range(100) t(i)),
-ph AS (SELECT i % 4 AS k, i // 4 AS j, h / sum(h) OVER (PARTITION BY i % 4) AS h FROM tp), up AS (SELECT recording, k, n + j AS m, sum(x * h) AS y FROM ev, ph GROUP BY ALL), pk AS (SELECT recording, greatest(max(abs(y)), (SELECT max(abs(x)) FROM ev e WHERE e.recording = up.recording)) AS tp FROM up GROUP BY recording)"""
+TAPS = f"""{PHASES}, up AS (SELECT recording, k, n + j AS m, sum(x * h) AS y FROM ev JOIN (SELECT recording, max(n) AS last FROM ev GROUP BY 1) USING (recording), ph WHERE n + j <= last GROUP BY ALL),
+pk AS (SELECT recording, greatest(max(abs(y)), (SELECT max(abs(x)) FROM ev e WHERE e.recording = up.recording)) AS tp FROM up GROUP BY recording)"""
 REPORT = f"""{EVENT}, {TAPS}, s AS (SELECT recording, count(*) AS frames, max(abs(x)) AS p, sqrt(avg(x * x)) AS r, avg(x) AS d FROM ev GROUP BY 1),
 rp AS (SELECT CAST(recording AS VARCHAR) AS file, 8000.0::DOUBLE AS "sampleRate", 1::INT AS channels, frames, frames / 8000.0::DOUBLE AS seconds, -200.0::DOUBLE AS st, {db_sql('tp')} AS "truePeakDbtp", {db_sql('p')} AS "samplePeakDbfs", {db_sql('r')} AS "rmsDbfs", {db_sql('p / r')} AS "crestFactorDb", d AS "dcOffset" FROM s JOIN pk USING (recording))"""
 
 
 @query(
     "v_analyse",
-    f"""WITH {REPORT} SELECT file, "sampleRate", channels, frames, round(seconds, 5) AS seconds, NULL::VARCHAR AS format, NULL::DOUBLE AS "integratedLufs", NULL::DOUBLE AS "loudnessRangeLu", st AS "maxShortTermLufs", st AS "maxMomentaryLufs", round("truePeakDbtp", 5) AS "truePeakDbtp", round("samplePeakDbfs", 5) AS "samplePeakDbfs",
-round("rmsDbfs", 5) AS "rmsDbfs", round("crestFactorDb", 5) AS "crestFactorDb", round("dcOffset", 5) AS "dcOffset", NULL::DOUBLE AS "stereoCorrelation", NULL::DOUBLE AS "stereoWidthDb", NULL::DOUBLE AS "stereoBalanceDb", NULL::DOUBLE AS "monoLossDb" FROM rp""",
+    f"""WITH {REPORT} SELECT file, "sampleRate", channels, frames, round(seconds, 6) AS seconds, NULL::VARCHAR AS format, NULL::DOUBLE AS "integratedLufs", NULL::DOUBLE AS "loudnessRangeLu", st AS "maxShortTermLufs", st AS "maxMomentaryLufs", round("truePeakDbtp", 6) AS "truePeakDbtp", round("samplePeakDbfs", 6) AS "samplePeakDbfs",
+round("rmsDbfs", 6) AS "rmsDbfs", round("crestFactorDb", 6) AS "crestFactorDb", round("dcOffset", 6) AS "dcOffset", NULL::DOUBLE AS "stereoCorrelation", NULL::DOUBLE AS "stereoWidthDb", NULL::DOUBLE AS "stereoBalanceDb", NULL::DOUBLE AS "monoLossDb" FROM rp""",
 )
 def _(spark, sf_dir):
     """The users' recordings are too short for a loudness block, so those cells stay empty."""
-    return rounded(verbs.analyse(_users(spark, sf_dir), RATE), 5)
+    return rounded(verbs.analyse(_users(spark, sf_dir), RATE), 6)
 
 
 @query("k7_csv_19_columns", f"""WITH {REPORT} SELECT file || ',8000.000,1,' || frames || ',' || printf('%.3f', seconds + 1e-9) || ',,,,-200.000,-200.000,' || printf('%.3f', "truePeakDbtp") || ',' || printf('%.3f', "samplePeakDbfs") || ',' || printf('%.3f', "rmsDbfs") || ',' || printf('%.3f', "crestFactorDb") || ',' || printf('%.6f', "dcOffset") || ',,,,' AS line FROM rp""")
@@ -64,11 +63,11 @@ _B = ", ".join(f"({c}::DOUBLE)" for c in spectral.OCTAVES)
     "v_bands",
     f"""WITH {LINE}, {_spectra_sql('960000')}, lay AS (SELECT c AS centre, c / sqrt(2) AS low, c * sqrt(2) AS high FROM (VALUES {_B}) t(c) WHERE c * sqrt(2) <= 4000), s AS (SELECT bin, bin * 125.0 AS hz, pow(10, average_db / 10) AS p FROM spec),
 i AS (SELECT centre, sum(p) AS p FROM lay JOIN s ON hz >= low AND hz < high GROUP BY centre)
-SELECT lay.centre AS "centreHz", round(low, 6) AS "lowHz", round(high, 6) AS "highHz", round(10 * log10(greatest(coalesce(i.p, s.p, 0) / 1.5, 1e-30)), 5) AS "levelDbfs" FROM lay LEFT JOIN i USING (centre) LEFT JOIN s ON s.bin = CAST(round(lay.centre / 125) AS BIGINT)""",
+SELECT 0::BIGINT AS recording, lay.centre AS "centreHz", round(low, 6) AS "lowHz", round(high, 6) AS "highHz", round(10 * log10(greatest(coalesce(i.p, s.p, 0) / 1.5, 1e-30)), 5) AS "levelDbfs" FROM lay LEFT JOIN i USING (centre) LEFT JOIN s ON s.bin = CAST(round(lay.centre / 125) AS BIGINT)""",
 )
 def _(spark, sf_dir):
     out = verbs.bands(spark, _line(spark, sf_dir), RATE, octave=True, size=64)
-    return out.select("centreHz", F.round("lowHz", 6).alias("lowHz"), F.round("highHz", 6).alias("highHz"), F.round("levelDbfs", 5).alias("levelDbfs"))
+    return out.select("recording", "centreHz", F.round("lowHz", 6).alias("lowHz"), F.round("highHz", 6).alias("highHz"), F.round("levelDbfs", 5).alias("levelDbfs"))
 
 
 _P = ", ".join(f"({t}, {m}, '{spectral.NAMES[t]} {('major', 'minor')[m]}', {d}, {(spectral.MAJOR, spectral.MINOR)[m][(d - t) % 12]})" for t in range(12) for m in (0, 1) for d in range(12))
@@ -79,12 +78,12 @@ _P = ", ".join(f"({t}, {m}, '{spectral.NAMES[t]} {('major', 'minor')[m]}', {d},
     f"""WITH {LINE}, {_spectra_sql('480000')}, tot AS (SELECT bin, sum(mag) AS mag, 69 + 12 * log2(bin * 125.0 / 440) AS s FROM mags WHERE bin > 0 AND bin * 125.0 BETWEEN 65 AND 5000 GROUP BY bin), cf AS (SELECT ((CAST(round(s) AS INT) % 12) + 12) % 12 AS pc, sum(mag) AS m FROM tot GROUP BY 1),
 ch AS (SELECT d, coalesce(m, 0) / (SELECT sum(m) FROM cf) AS c FROM range(12) t(d) LEFT JOIN cf ON d = pc), pr(tonic, mode, name, d, p) AS (VALUES {_P}), f AS (SELECT tonic, mode, name, corr(p::DOUBLE, c) AS fit FROM pr JOIN ch USING (d) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (ORDER BY round(fit, 9) DESC, tonic, mode) AS k FROM f), ct AS (SELECT sqrt(sum(pow(c - 1 / 12.0, 2)) / 12) * 12 AS contrast FROM ch), tn AS (SELECT atan2(sum(mag * sin(2 * pi() * (s - round(s)))), sum(mag * cos(2 * pi() * (s - round(s))))) * 100 / (2 * pi()) AS cents FROM tot),
-a AS (SELECT max(name) FILTER (k = 1) AS key, max(fit) FILTER (k = 1) AS fit, max(name) FILTER (k = 2) AS ru, max(fit) FILTER (k = 1) - max(fit) FILTER (k = 2) AS margin FROM r)
-SELECT key, contrast >= 0.15 AND fit * least(1, contrast) >= 0.2 AS "worthNaming", round(fit * least(1, contrast), 5) AS strength, round(fit, 5) AS fit, round(contrast, 5) AS contrast, round(margin, 5) AS margin, round(cents, 4) AS "tuningOffsetCents", ru AS "runnerUp" FROM a, ct, tn""",
+a AS (SELECT max(name) FILTER (k = 1) AS key, max(mode) FILTER (k = 1) AS mode, max(fit) FILTER (k = 1) AS fit, max(name) FILTER (k = 2) AS ru, max(fit) FILTER (k = 1) - max(fit) FILTER (k = 2) AS margin FROM r)
+SELECT 0::BIGINT AS recording, key, string_split(key, ' ')[1] AS tonic, string_split(key, ' ')[2] AS mode, contrast >= 0.15 AND fit * least(1, contrast) >= 0.2 AS "worthNaming", round(fit * least(1, contrast), 5) AS strength, round(fit, 5) AS fit, round(contrast, 5) AS contrast, round(margin, 5) AS margin, round(cents, 4) AS "tuningOffsetCents", ru AS "runnerUp" FROM a, ct, tn""",
 )
 def _(spark, sf_dir):
     k = verbs.key(spark, _line(spark, sf_dir), RATE, size=64)
-    return k.select("key", "worthNaming", *(F.round(c, 5).alias(c) for c in ("strength", "fit", "contrast", "margin")), F.round("tuningOffsetCents", 4).alias("tuningOffsetCents"), "runnerUp")
+    return k.select("recording", "key", "tonic", "mode", "worthNaming", *(F.round(c, 5).alias(c) for c in ("strength", "fit", "contrast", "margin")), F.round("tuningOffsetCents", 4).alias("tuningOffsetCents"), "runnerUp")
 
 
 @query(
@@ -92,7 +91,7 @@ def _(spark, sf_dir):
     f"""WITH {LINE}, {_spectra_sql('960000')}, u AS (SELECT bit_or(CAST(abs(round(greatest(-1.0, least(1.0, x)) * 8388608)) AS BIGINT)) AS v FROM cp), b AS (SELECT CAST(CASE WHEN v = 0 THEN 0 ELSE 24 - bit_count((v & -v) - 1) END AS INT) AS e FROM u),
 s AS (SELECT CAST(floor(log2(bin * 125.0 / 500) * 16) AS BIGINT) AS step, avg(average_db) AS l FROM spec WHERE bin * 125.0 >= 500 GROUP BY 1), m AS (SELECT max(l) - 35 AS t FROM s), z AS (SELECT max(step) AS last FROM s, m WHERE l >= t),
 d AS (SELECT max(CASE WHEN step = last THEN l END) - max(CASE WHEN step = last + 4 THEN l END) AS drop_db, max(last) AS last FROM s, z)
-SELECT 8000.0::DOUBLE AS "sampleRate", 24::INT AS "declaredBits", e AS "effectiveBits", e > 0 AND e < 24 AS padded, round(500 * pow(2, (last + 1) / 16), 5) AS "cutoffHz", round(drop_db, 5) AS "cutoffDropDb", coalesce(drop_db >= 35, false) AS "steepCutoff" FROM b, d""",
+SELECT 0::BIGINT AS recording, 8000.0::DOUBLE AS "sampleRate", 24::INT AS "declaredBits", e AS "effectiveBits", e > 0 AND e < 24 AS padded, round(500 * pow(2, (last + 1) / 16), 5) AS "cutoffHz", round(drop_db, 5) AS "cutoffDropDb", coalesce(drop_db >= 35, false) AS "steepCutoff" FROM b, d""",
 )
 def _(spark, sf_dir):
     return rounded(verbs.provenance(_line(spark, sf_dir), RATE, size=64), 5)
@@ -120,11 +119,11 @@ def _(spark, sf_dir):
     return rounded(verbs.pitch_of(_line(spark, sf_dir), RATE, 300.0, 2000.0, size=64, hop=64)[0], 5)
 
 
-@query("v_null", f"WITH {EVENT}, j AS (SELECT a.recording, a.n, a.x, 0.5 * a.x + 0.01 * (a.n % 2) AS y FROM ev a), e AS (SELECT recording, sum(pow(x - y, 2)) AS rest, sum(x * x) AS xx, max(abs(x - y)) AS most, arg_max(n, struct_pack(a := abs(x - y), b := -n)) AS worst, count(*) AS c FROM j GROUP BY 1) SELECT recording, CASE WHEN {db_sql('rest / xx', 10)} <= -120 THEN 'null' ELSE 'different' END AS verdict, 0::BIGINT AS \"delaySamples\", 0.0::DOUBLE AS \"gainDb\", false AS \"polarityInverted\", round({db_sql('rest / xx', 10)}, 5) AS \"residualDb\", round({db_sql('most')}, 5) AS \"peakResidualDb\", round(worst / 8000.0::DOUBLE, 5) AS \"worstTimeSeconds\", c AS \"comparedFrames\" FROM e")
+@query("v_null", f"WITH {EVENT}, j AS (SELECT a.recording, a.n, a.x, 0.5 * a.x + 0.01 * (a.n % 2) AS y FROM ev a), e AS (SELECT recording, sum(pow(x - y, 2)) AS rest, sum(x * x) AS xx, max(abs(x - y)) AS most, arg_max(n, struct_pack(a := abs(x - y), b := -n)) AS worst, count(*) AS c FROM j GROUP BY 1) SELECT recording, CASE WHEN {db_sql('rest / xx', 10)} <= -120 THEN 'null' ELSE 'different' END AS verdict, 0::BIGINT AS \"delaySamples\", 0.0::DOUBLE AS \"gainDb\", false AS \"polarityInverted\", round({db_sql('rest / xx', 10)}, 6) AS \"residualDb\", round({db_sql('most')}, 6) AS \"peakResidualDb\", round(worst / 8000.0::DOUBLE, 6) AS \"worstTimeSeconds\", c AS \"comparedFrames\" FROM e")
 def _(spark, sf_dir):
     """Without alignment or gain matching."""
     u = _users(spark, sf_dir)
-    return rounded(verbs.null(u, u.withColumn("x", F.col("x") * 0.5 + 0.01 * (F.col("n") % 2)), RATE, align=False, gain_match=False), 5)
+    return rounded(verbs.null(u, u.withColumn("x", F.col("x") * 0.5 + 0.01 * (F.col("n") % 2)), RATE, align=False, gain_match=False), 6)
 
 
 @query("v_channels_mono", f"WITH {LINE} SELECT 0::BIGINT AS recording, channel, n, round(0.5 * (l + r), 6) AS x FROM line, (VALUES (0), (1)) c(channel)")
@@ -144,13 +143,13 @@ QUERIES["v_compress"] = lambda s, d: rounded(verbs.compress(_users(s, d), RATE).
 QUERIES["v_gate"] = lambda s, d: rounded(verbs.gate(_users(s, d), RATE))
 
 
-@query("v_render", f"WITH {SOUND} SELECT g.n, round(coalesce(x, 0), 6) AS x FROM range(0, (SELECT max(timeline_start + length) FROM fc)) g(n) LEFT JOIN p ON p.n = g.n")
+@query("v_render", f"WITH {SOUND} SELECT g.n, round(coalesce(x, 0), 9) AS x FROM range(0, (SELECT max(timeline_start + length) FROM fc)) g(n) LEFT JOIN p ON p.n = g.n")
 def _(spark, sf_dir):
     """A session is saved and rendered from its JSON, fades included."""
     clips = _clips(spark, sf_dir).withColumn("session_id", F.lit(1).cast("long"))
     sources = clips.select("session_id", "source_id").distinct().selectExpr("session_id", "source_id", "cast(source_id AS string) AS name", "'' AS path", "100L AS frame_count", "8000.0D AS source_sample_rate", "1 AS source_channels")
     markers = clips.groupBy("session_id").agg(F.min("timeline_start").alias("position")).selectExpr("session_id", "position", "0L AS length", "'start' AS label")
-    return rounded(verbs.render(session.save(spark, sources, clips, markers, RATE, 1), _sources(spark, sf_dir))[0])
+    return rounded(verbs.render(session.save(spark, sources, clips, markers, RATE, 1), _sources(spark, sf_dir))[0], 9)
 
 
 SQL["v_sweep"] = SQL["m22_sweep"].replace("range(8000)", "range(8000)").replace("0.5 * sin", "pow(10, -6.0206 / 20) * sin")
@@ -173,7 +172,7 @@ def _more():
 _more()
 
 
-SQL["m4_true_peak"] = f"""WITH {LINE}, {TAPS.split(', up AS', 1)[0]}, pd AS (SELECT channel, n, x FROM long), up AS (SELECT channel, k, n + j AS m, sum(x * h) AS y FROM pd, ph GROUP BY ALL)
+SQL["m4_true_peak"] = f"""WITH {LINE}, {PHASES}, pd AS (SELECT channel, n, x FROM long), up AS (SELECT channel, k, n + j AS m, sum(x * h) AS y FROM pd, ph WHERE n + j <= (SELECT max(n) FROM long) GROUP BY ALL)
 SELECT 0::BIGINT AS recording, CAST(channel AS INT) AS channel, round(greatest(max(abs(y)), (SELECT max(abs(x)) FROM long l WHERE l.channel = up.channel)), 6) AS true_peak FROM up GROUP BY channel"""
 _BESSEL = lambda x: f"list_sum(list_transform(range(0, 40), lambda k: pow(({x}) / 2, 2 * k) / pow(gamma(k + 1), 2)))"
 SQL["r15_resample"] = f"""WITH {EVENT}, g AS (SELECT recording, unnest(range(0, CAST(ceil(c * 11025.0::DOUBLE / 8000 - 1e-9) AS BIGINT))) AS k FROM (SELECT recording, count(*) AS c FROM ev GROUP BY 1)),

@@ -125,31 +125,51 @@ def _pack(x: np.ndarray, fmt: str, big: bool = False) -> bytes:
     return v.astype(f"{'>' if big else '<'}i{bits // 8}").tobytes()
 
 
-def wav_bytes(x: np.ndarray, rate: int, fmt: str = "s24", texts: dict | None = None) -> bytes:
-    """A WAV file of ``x`` (frames x channels)."""
+def wav_header(channels: int, rate: int, fmt: str, frames: int, texts: dict | None = None, broadcast: dict | None = None, grows: bool = False) -> bytes:
+    """All that stands before the samples; RF64 where 32 bits can't hold the sizes.  ``broadcast`` has the texts of ``files.BEXT`` and ``timeReference``.
+
+    The header of a file that ``grows`` is as long in either form: a chunk without meaning keeps the place."""
     code, bits = FORMATS[fmt]
-    ch = x.shape[1]
-    body = _pack(x, fmt)
+    ch, data = channels, frames * channels * bits // 8
     tags = {"title": b"INAM", "artist": b"IART", "comment": b"ICMT", "software": b"ISFT", "date": b"ICRD"}
     info = b"".join(tags[k] + struct.pack("<I", len(v.encode()) + 1) + v.encode() + b"\0" + b"\0" * ((len(v.encode()) + 1) % 2) for k, v in (texts or {}).items() if v)
     parts = b"fmt " + struct.pack("<IHHIIHH", 16, code, ch, rate, rate * ch * bits // 8, ch * bits // 8, bits)
+    if broadcast:
+        fields = b"".join(str(broadcast.get(k, "")).encode()[:n].ljust(n, b"\0") for k, n in (("description", 256), ("originator", 32), ("originatorReference", 32), ("originationDate", 10), ("originationTime", 8)))
+        parts += b"bext" + struct.pack("<I", 602) + fields + struct.pack("<QH", int(broadcast.get("timeReference", 0)), 1) + bytes(254)
     if info:
         parts += b"LIST" + struct.pack("<I", 4 + len(info)) + b"INFO" + info
-    parts += b"data" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-    if len(parts) + 4 >= 1 << 32:
-        raise ValueError("a WAV file holds at most 4 GiB")
-    return b"RIFF" + struct.pack("<I", 4 + len(parts)) + b"WAVE" + parts
+    size = 4 + len(parts) + 8 + data + data % 2
+    if grows and size + 36 < 1 << 32:
+        parts, size = b"JUNK" + struct.pack("<I", 28) + bytes(28) + parts, size + 36
+    if size < 1 << 32:
+        return b"RIFF" + struct.pack("<I", size) + b"WAVE" + parts + b"data" + struct.pack("<I", data)
+    return b"RF64" + struct.pack("<I", (1 << 32) - 1) + b"WAVEds64" + struct.pack("<IQQQI", 28, size + 36, data, frames, 0) + parts + b"data" + struct.pack("<I", (1 << 32) - 1)
 
 
-def aiff_bytes(x: np.ndarray, rate: int, fmt: str = "s24") -> bytes:
-    """An AIFF file of 16, 24 or 32-bit integers."""
+def wav_bytes(x: np.ndarray, rate: int, fmt: str = "s24", texts: dict | None = None) -> bytes:
+    """A WAV file of ``x`` (frames x channels)."""
+    body = _pack(x, fmt)
+    return wav_header(x.shape[1], rate, fmt, len(x), texts) + body + b"\0" * (len(body) % 2)
+
+
+def aiff_header(channels: int, rate: int, fmt: str, frames: int) -> bytes:
+    """All that stands before the samples of an AIFF file of 16, 24 or 32-bit integers."""
     if fmt not in ("s16", "s24", "s32"):
         raise ValueError("AIFF takes 16, 24 or 32-bit integers")
-    body, bits = _pack(x, fmt, True), FORMATS[fmt][1]
+    bits = FORMATS[fmt][1]
+    data = frames * channels * bits // 8
+    if data >= (1 << 32) - 64:
+        raise ValueError("an AIFF file holds at most 4 GiB")
     shift = 63 - (rate.bit_length() - 1)
-    comm = struct.pack(">hIhHQ", x.shape[1], len(x), bits, 16383 + 63 - shift, rate << shift)
-    parts = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", len(body) + 8, 0, 0) + body + b"\0" * (len(body) % 2)
-    return b"FORM" + struct.pack(">I", 4 + len(parts)) + b"AIFF" + parts
+    comm = struct.pack(">hIhHQ", channels, frames, bits, 16383 + 63 - shift, rate << shift)
+    parts = b"COMM" + struct.pack(">I", len(comm)) + comm + b"SSND" + struct.pack(">III", data + 8, 0, 0)
+    return b"FORM" + struct.pack(">I", 4 + len(parts) + data + data % 2) + b"AIFF" + parts
+
+
+def aiff_bytes(x: np.ndarray, rate: int, fmt: str = "s24") -> bytes:
+    body = _pack(x, fmt, True) if fmt in ("s16", "s24", "s32") else b""
+    return aiff_header(x.shape[1], rate, fmt, len(x)) + body + b"\0" * (len(body) % 2)
 
 
 def read_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .model import db_to_gain
 from .operators import advanced, channels as edits, filters, loudness, measure, repair, room as rooms, spectral, statistics, timeline
 from .plans import reports, session
+from .scratch import Scratch
 from .sources import containers
 
 FORMATS = {"16": "s16", "24": "s24", "float": "f32"}
@@ -55,15 +56,15 @@ def analyse_csv(samples: DataFrame, rate: float, info: DataFrame | None = None)
 
 
 def bands(spark: SparkSession, samples: DataFrame, rate: float, octave: bool = False, filtered: bool = False, order: int = 6, size: int = 8192) -> DataFrame:
-    """``centreHz, lowHz, highHz, levelDbfs`` of channel 0's first 120 seconds, off the average spectrum or through a filter bank."""
+    """``recording, centreHz, lowHz, highHz, levelDbfs`` of channel 0's first 120 seconds, off the average spectrum or through a filter bank."""
     s = edits.first_seconds(_channel(samples, 0), 120.0, rate)
     if filtered:
         half = 10 ** (0.15 if octave else 0.05)
         bank = filters.filter_bank(s, rate, order, thirds=not octave)
-        return bank.select(F.col("centre").alias("centreHz"), (F.col("centre") / half).alias("lowHz"), (F.col("centre") * half).alias("highHz"), (F.col("level_db") + 3.0103).alias("levelDbfs"))
+        return bank.select("recording", F.col("centre").alias("centreHz"), (F.col("centre") / half).alias("lowHz"), (F.col("centre") * half).alias("highHz"), (F.col("level_db") + 3.0103).alias("levelDbfs"))
     spectrum = spectral.levels(spectral.spectra(s, size, size // 2), size)
     out = spectral.bands(spectrum, spark, rate, size, thirds=not octave)
-    return out.select(F.col("centre").alias("centreHz"), F.col("low").alias("lowHz"), F.col("high").alias("highHz"), F.col("level_db").alias("levelDbfs"))
+    return out.select("recording", F.col("centre").alias("centreHz"), F.col("low").alias("lowHz"), F.col("high").alias("highHz"), F.col("level_db").alias("levelDbfs"))
 
 
 def room(samples: DataFrame, rate: float, banded: bool = False, thirds: bool = False) -> DataFrame:
@@ -112,23 +113,35 @@ def null(reference: DataFrame, other: DataFrame, rate: float, align: bool = True
     )
 
 
-def contour(samples: DataFrame, rate: float, interval: float = 0.1) -> DataFrame:
-    """``recording, seconds, momentaryLufs, shortTermLufs, truePeakDbtp, psrDb, crestDb`` at every interval of whole sub-blocks."""
-    every = int(round(interval * 10))
-    if every < 1 or abs(every - interval * 10) > 1e-9:
-        raise ValueError("the interval is a multiple of 0.1 s")
+def _grid(samples: DataFrame, rate: float, interval: float) -> DataFrame:
+    if not interval > 0 or interval * rate < 1:
+        raise ValueError("the interval is at least one sample")
     points = loudness.series(loudness.sub_blocks(samples, rate), rate)
-    c = advanced.contour(points, samples, rate)
-    c = c.filter(F.round(F.col("seconds") * 10) % every == 0)
+    return advanced.contour_grid(advanced.contour(points, samples, rate), samples, rate, interval)
+
+
+def contour(samples: DataFrame, rate: float, interval: float = 0.1) -> DataFrame:
+    """``recording, seconds, momentaryLufs, shortTermLufs, truePeakDbtp, psrDb, crestDb`` at every interval from 0 on; a recording shorter than 400 ms has none."""
+    c = _grid(samples, rate, interval)
     return c.select("recording", "seconds", F.col("momentary").alias("momentaryLufs"), F.col("short_term").alias("shortTermLufs"), F.col("peak_db").alias("truePeakDbtp"), F.col("psr_db").alias("psrDb"), F.col("crest_db").alias("crestDb"))
 
 
+def contour_summary(samples: DataFrame, rate: float, interval: float = 0.1) -> DataFrame:
+    """The contour's keys: ``integratedLufs, loudnessRangeLu, truePeakDbtp, plrDb``, extremes and percentiles of short-term loudness, and the number of points."""
+    grid = Scratch(samples.sparkSession, "contour").keep(_grid(samples, rate, interval), "grid")
+    s = advanced.contour_summary(grid, loudness.programme(samples, rate), filters.true_peak(samples))
+    return s.select(
+        "recording", F.col("integrated").alias("integratedLufs"), F.col("lra").alias("loudnessRangeLu"), F.col("peak_db").alias("truePeakDbtp"), F.col("plr_db").alias("plrDb"), F.col("quietest").alias("quietestShortTermLufs"),
+        F.col("loudest").alias("loudestShortTermLufs"), F.col("p10").alias("shortTermPercentile10Lufs"), F.col("p95").alias("shortTermPercentile95Lufs"), "points",
+    )
+
+
 def key(spark: SparkSession, samples: DataFrame, rate: float, channel: int = 0, size: int = 4096) -> DataFrame:
-    """``key, worthNaming, strength, fit, contrast, margin, tuningOffsetCents, runnerUp`` of the first 60 seconds."""
+    """``recording, key, tonic, mode, worthNaming, strength, fit, contrast, margin, tuningOffsetCents, runnerUp, chroma`` of the first 60 seconds."""
     s = edits.first_seconds(_channel(samples, channel), 60.0, rate)
-    mags = spectral.spectra(s, size, size // 2).select("bin", F.col("total").alias("mag"))
+    mags = Scratch(spark, "key").keep(spectral.spectra(s, size, size // 2).select("recording", "bin", F.col("total").alias("mag")), "mags")  # read twice
     k = spectral.key(spark, mags, rate, size)
-    return k.select("key", F.col("worth_naming").alias("worthNaming"), "strength", "fit", "contrast", "margin", F.col("tuning_cents").alias("tuningOffsetCents"), F.col("runner_up").alias("runnerUp"))
+    return k.select("recording", "key", "tonic", "mode", F.col("worth_naming").alias("worthNaming"), "strength", "fit", "contrast", "margin", F.col("tuning_cents").alias("tuningOffsetCents"), F.col("runner_up").alias("runnerUp"), "chroma")
 
 
 def sweep(spark: SparkSession, rate: float = 48000.0, start: float = 20.0, end: float = 20000.0, seconds: float = 5.0, level_db: float = -6.0206, fade: float = 0.02) -> DataFrame:
@@ -153,12 +166,12 @@ def deconvolve(recorded: DataFrame, rate: float, start: float = 20.0, end: float
 
 
 def provenance(samples: DataFrame, rate: float, declared_bits: int = 24, size: int = 8192) -> DataFrame:
-    """``sampleRate, declaredBits, effectiveBits, padded, cutoffHz, cutoffDropDb, steepCutoff`` of the first 120 seconds of channel 0."""
+    """``recording, sampleRate, declaredBits, effectiveBits, padded, cutoffHz, cutoffDropDb, steepCutoff`` of the first 120 seconds of channel 0."""
     s = edits.first_seconds(_channel(samples, 0), 120.0, rate)
     used = statistics.effective_bits(s, declared_bits)
     end = spectral.provenance(spectral.levels(spectral.spectra(s, size, size // 2), size), rate, size)
-    j = used.join(F.broadcast(end))  # one row each
-    return j.select(F.lit(float(rate)).alias("sampleRate"), F.lit(declared_bits).alias("declaredBits"), F.col("effective_bits").alias("effectiveBits"), ((F.col("effective_bits") > 0) & (F.col("effective_bits") < declared_bits)).alias("padded"), F.col("cutoff_hz").alias("cutoffHz"), F.col("drop_db").alias("cutoffDropDb"), F.col("steep").alias("steepCutoff"))
+    j = used.join(end, "recording", "left")
+    return j.select("recording", F.lit(float(rate)).alias("sampleRate"), F.lit(declared_bits).alias("declaredBits"), F.col("effective_bits").alias("effectiveBits"), ((F.col("effective_bits") > 0) & (F.col("effective_bits") < declared_bits)).alias("padded"), F.col("cutoff_hz").alias("cutoffHz"), F.col("drop_db").alias("cutoffDropDb"), F.col("steep").alias("steepCutoff"))
 
 
 def convert(samples: DataFrame, rate: float, to_rate: float | None = None, fmt: str = "24", dither: str = "none") -> DataFrame:
