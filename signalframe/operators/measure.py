@@ -7,22 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import db
+from ..model import FLOOR_DB, db
+from .blocks import BLOCK, map_blocks, pack
+from .fourier import correlation
 from .room import remaining
 
 
-def best_lag(a: np.ndarray, b: np.ndarray, most: int = 0) -> int:
-    """Lag of ``b`` behind ``a`` with the largest absolute cross-correlation; ties go to the smallest absolute lag."""
-    n = 1 << int(len(a) + len(b)).bit_length()
-    r = np.fft.irfft(np.conj(np.fft.rfft(a, n)) * np.fft.rfft(b, n), n)
-    lags = np.concatenate([np.arange(0, len(b)), np.arange(-(len(a) - 1), 0)])
-    if most:
-        lags = lags[np.abs(lags) <= most]
-    v = np.round(np.abs(r[lags]), 9)
-    best = np.flatnonzero(v == v.max())
-    return int(min(lags[best], key=lambda k: (abs(k), k)))
-
-
 def residual(a: DataFrame, b: DataFrame, lag: int) -> DataFrame:
     """Gain, compared frames and residual of ``a(recording, n, x)`` less the matched, shifted ``b``, per recording."""
     j = a.select("recording", "n", F.col("x").alias("x")).join(b.select("recording", (F.col("n") - lag).alias("n"), F.col("x").alias("y")), ["recording", "n"])
@@ -33,31 +23,48 @@ def residual(a: DataFrame, b: DataFrame, lag: int) -> DataFrame:
 
 
 def lags(a: DataFrame, b: DataFrame, most: int = 0) -> DataFrame:
-    """``recording, lag``: how far ``b(recording, n, x)`` lies behind ``a``, by one transform of each pair of recordings."""
+    """``recording, lag``: how far ``b(recording, n, x)`` lies behind ``a``: where their cross-correlation (``fourier``) is largest in size; ties go to the smallest absolute lag, then to the negative one."""
 
-    def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("n")["x"].to_numpy(), y.sort_values("n")["x"].to_numpy()
-        if not len(x) or not len(y):
-            return pd.DataFrame({"recording": [], "lag": []})
-        return pd.DataFrame({"recording": [key[0]], "lag": [best_lag(x, y, most)]})
+    def best(recording, size, at, r, frames, others) -> pd.DataFrame:
+        lag = np.where(at < others, at, at - size)
+        ok = (lag > -frames) & (np.abs(lag) <= (most or size))
+        v, lag = np.round(np.abs(r[ok]), 9), lag[ok]
+        if not len(v):
+            return pd.DataFrame({"recording": [], "v": [], "lag": []})
+        k = np.lexsort((lag, np.abs(lag), -v))[0]
+        return pd.DataFrame({"recording": [recording], "v": [v[k]], "lag": [lag[k]]})
 
-    pick = lambda df: df.select("recording", "n", "x").groupBy("recording")
-    return pick(a).cogroup(pick(b)).applyInPandas(run, "recording long, lag long")
+    found = correlation(a, b, best, "recording long, v double, lag long")
+    return found.groupBy("recording").agg(F.max_by("lag", F.struct("v", -F.abs("lag"), -F.col("lag"))).alias("lag"))
 
 
 def null_test(a: DataFrame, b: DataFrame, most: int = 0, align: bool = True, match: bool = True, silent_db: float = -120.0) -> DataFrame:
-    """Align each pair of recordings, match gain, subtract: lag, gain, polarity, frames, residual, its peak and where it is, bit identity and a verdict."""
+    """Align each pair of recordings, match gain, subtract: lag, gain, level of ``b`` against ``a``, polarity, frames, residual, its peak and where it is, bit identity and a verdict.
+
+    What is subtracted is the ``b`` that fits best; the level (``gain_db``) is the share of ``a`` that ``b`` holds.  Pairs that don't overlap once aligned are left out."""
     found = lags(a, b, most) if align else a.select("recording").distinct().withColumn("lag", F.lit(0).cast("long"))
     j = a.select("recording", "n", "x").join(found, "recording").withColumn("at", F.col("n") + F.col("lag"))
     j = j.join(b.select("recording", F.col("n").alias("at"), F.col("x").alias("y")), ["recording", "at"])
     t = j.groupBy("recording", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("frames"), F.min((F.col("x") == F.col("y")).cast("int")).alias("same"))
     gain = F.when((F.col("yy") > 0) & F.lit(match), F.col("xy") / F.col("yy")).otherwise(1.0)
-    t = t.select("recording", "lag", "frames", "xx", gain.alias("gain"), ((F.col("same") == 1) & (F.col("lag") == 0)).alias("identical"))
+    ends = lambda df, name: df.groupBy("recording").agg((F.max("n") + 1).alias(name))
+    lengths = ends(a, "_a").join(ends(b, "_b"), "recording")
+    whole = (F.col("same") == 1) & (F.col("lag") == 0) & (F.col("_a") == F.col("_b"))
+    level = F.when((F.col("xx") > 0) & (F.col("xy") != 0), db(F.abs(F.col("xy") / F.col("xx")))).otherwise(FLOOR_DB)
+    t = t.join(lengths, "recording").select("recording", "lag", "frames", "xx", "yy", gain.alias("gain"), level.alias("gain_db"), (F.col("xy") < 0).alias("inverted"), whole.alias("identical"))
     left = F.col("x") - F.col("gain") * F.col("y")
-    e = j.drop("lag").join(t, "recording").groupBy("recording", "lag", "gain", "frames", "xx", "identical").agg(F.sum(left * left).alias("left"), F.max(F.abs(left)).alias("most"), F.max_by("n", F.struct(F.abs(left), -F.col("n"))).alias("worst_n"))
+    e = j.drop("lag").join(t, "recording").groupBy("recording", "lag", "gain", "gain_db", "inverted", "frames", "xx", "yy", "identical").agg(F.sum(left * left).alias("left"), F.max(F.abs(left)).alias("most"), F.max_by("n", F.struct(F.abs(left), -F.col("n"))).alias("worst_n"))
     level = F.when(F.col("xx") > 0, db(F.col("left") / F.col("xx"), 10.0)).otherwise(-200.0)
-    verdict = F.when(F.col("identical"), "identical").when(level <= silent_db, "null").otherwise("different")
-    return e.select("recording", "lag", "gain", (F.col("gain") < 0).alias("inverted"), "frames", level.alias("residual_db"), db(F.col("most")).alias("peak_residual_db"), "worst_n", "identical", verdict.alias("verdict"))
+    verdict = F.when(F.col("identical"), "identical").when((level <= silent_db) & ((F.col("xx") > 0) | (F.col("yy") == 0)), "null").otherwise("different")
+    return e.select("recording", "lag", "gain", "gain_db", "inverted", "frames", level.alias("residual_db"), db(F.col("most")).alias("peak_residual_db"), "worst_n", "identical", verdict.alias("verdict"))
+
+
+def residual_samples(a: DataFrame, b: DataFrame, tested: DataFrame) -> DataFrame:
+    """``recording, channel, n, x``: as channel 0 the part of ``a`` that was compared, from 0 on, and as channel 1 what the subtraction of ``null_test`` left of it."""
+    j = a.select("recording", "n", "x").join(tested.select("recording", "lag", "gain"), "recording").withColumn("at", F.col("n") + F.col("lag"))
+    j = j.join(b.select("recording", F.col("n").alias("at"), F.col("x").alias("y")), ["recording", "at"])
+    first = F.greatest(F.lit(0), -F.col("lag"))
+    return j.select("recording", (F.col("n") - first).alias("n"), F.posexplode(F.array(F.col("x"), F.col("x") - F.col("gain") * F.col("y"))).alias("channel", "x"))
 
 
 def schroeder(impulse: DataFrame) -> DataFrame:
@@ -187,20 +194,32 @@ def track_tempo(onsets: DataFrame, frame_rate: float, **settings) -> DataFrame:
     return onsets.groupBy("recording").applyInPandas(run, "recording long, valid boolean, bpm double, confidence double, beats array<double>")
 
 
-def deconvolve(recorded: np.ndarray, sweep: np.ndarray, rate: float, start: float, end: float, keep: int = 0) -> np.ndarray:
-    """Impulse response from a recorded exponential sweep: convolve with the reversed sweep whose level falls with frequency, peak-normalised through itself."""
-    if len(recorded) < len(sweep):
-        raise ValueError("the recording is shorter than the sweep")
-    t = np.arange(len(sweep)) / rate
-    inverse = sweep[::-1] * np.exp(-t * np.log(end / start) / (len(sweep) / rate))
+def convolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = 1 << int(len(a) + len(b)).bit_length()
+    return np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[: len(a) + len(b) - 1]
 
-    def convolve(a, b):
-        n = 1 << int(len(a) + len(b)).bit_length()
-        return np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[: len(a) + len(b) - 1]
 
+def deconvolve(recorded: DataFrame, sweep: np.ndarray, rate: float, start: float, end: float, keep: int = 0, size: int = BLOCK) -> DataFrame:
+    """``recording, channel, n, x``: impulse responses from recorded exponential sweeps, as long as the recordings (or ``keep`` frames); shorter recordings than the sweep give none.
+
+    The inverse filter is the reversed sweep whose level falls with frequency, peak-normalised through itself.  A block sees as many samples ahead as the filter is long,
+    so every task convolves its own block."""
+    t = np.arange(len(sweep)) / rate
+    inverse = sweep[::-1] * np.exp(-t * np.log(end / start) / (len(sweep) / rate))
     inverse = inverse / np.abs(convolve(sweep, inverse)).max()
-    out = convolve(recorded, inverse)[len(sweep) - 1 :]
-    return out[:keep] if keep else out
+    size = max(size, 1 << (len(sweep) - 1).bit_length())
+    whole = recorded.groupBy("recording", "channel").agg(F.max("n").alias("_last")).filter(F.col("_last") + 1 >= len(sweep)).select("recording", "channel")
+    own = recorded.join(whole, ["recording", "channel"], "left_semi")
+    out = map_blocks(pack(own, size, 0, len(sweep) - 1), lambda xs, lo, hi, at: convolve(xs[lo:], inverse)[len(sweep) - 1 : len(sweep) - 1 + hi - lo])
+    return out.filter(F.col("n") < keep) if keep else out
+
+
+def peak_to_tail(impulse: DataFrame) -> DataFrame:
+    """``recording, channel, frames, peak_db``: how far the peak stands above the last tenth of an impulse response; null for silence."""
+    ends = impulse.groupBy("recording", "channel").agg((F.max("n") + 1).alias("frames"), F.max(F.abs("x")).alias("peak"))
+    tail = impulse.join(ends.select("recording", "channel", "frames"), ["recording", "channel"]).filter(F.col("n") >= F.col("frames") - F.floor(F.col("frames") / 10))
+    rms = tail.groupBy("recording", "channel").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    return ends.join(rms, ["recording", "channel"], "left").select("recording", "channel", "frames", F.when((F.col("peak") > 0) & (F.col("rms") > 0), db(F.col("peak") / F.col("rms"))).alias("peak_db"))
 
 
 def concentration(onsets: DataFrame) -> DataFrame:

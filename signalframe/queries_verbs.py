@@ -119,13 +119,38 @@ def _(spark, sf_dir):
     return rounded(verbs.pitch_of(_line(spark, sf_dir), RATE, 300.0, 2000.0, size=64, hop=64)[0], 5)
 
 
-@query("v_null", f"WITH {EVENT}, j AS (SELECT a.recording, a.n, a.x, 0.5 * a.x + 0.01 * (a.n % 2) AS y FROM ev a), e AS (SELECT recording, sum(pow(x - y, 2)) AS rest, sum(x * x) AS xx, max(abs(x - y)) AS most, arg_max(n, struct_pack(a := abs(x - y), b := -n)) AS worst, count(*) AS c FROM j GROUP BY 1) SELECT recording, CASE WHEN {db_sql('rest / xx', 10)} <= -120 THEN 'null' ELSE 'different' END AS verdict, 0::BIGINT AS \"delaySamples\", 0.0::DOUBLE AS \"gainDb\", false AS \"polarityInverted\", round({db_sql('rest / xx', 10)}, 6) AS \"residualDb\", round({db_sql('most')}, 6) AS \"peakResidualDb\", round(worst / 8000.0::DOUBLE, 6) AS \"worstTimeSeconds\", c AS \"comparedFrames\" FROM e")
+@query("v_null", f"WITH {EVENT}, j AS (SELECT a.recording, a.n, a.x, 0.5 * a.x + 0.01 * (a.n % 2) AS y FROM ev a), e AS (SELECT recording, sum(pow(x - y, 2)) AS rest, sum(x * x) AS xx, sum(x * y) AS xy, max(abs(x - y)) AS most, arg_max(n, struct_pack(a := abs(x - y), b := -n)) AS worst, count(*) AS c FROM j GROUP BY 1) SELECT recording, CASE WHEN {db_sql('rest / xx', 10)} <= -120 THEN 'null' ELSE 'different' END AS verdict, 0::BIGINT AS \"delaySamples\", round({db_sql('abs(xy / xx)')}, 6) AS \"gainDb\", xy < 0 AS \"polarityInverted\", round({db_sql('rest / xx', 10)}, 6) AS \"residualDb\", round({db_sql('most')}, 6) AS \"peakResidualDb\", round(worst / 8000.0::DOUBLE, 6) AS \"worstTimeSeconds\", c AS \"comparedFrames\" FROM e")
 def _(spark, sf_dir):
     """Without alignment or gain matching."""
     u = _users(spark, sf_dir)
     return rounded(verbs.null(u, u.withColumn("x", F.col("x") * 0.5 + 0.01 * (F.col("n") % 2)), RATE, align=False, gain_match=False), 6)
 
 
+@query(
+    "v_null_bands",
+    f"""WITH {LINE}, cp AS (SELECT n, l AS x, l - (0.5 * l + 0.01 * (n % 2)) AS e FROM line), w AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 64) AS w FROM range(64) t(i)), fr AS (SELECT f, i, x * w AS x, e * w AS e FROM range(0, (SELECT (count(*) - 64) // 32 + 1 FROM cp)) r(f), w JOIN cp ON cp.n = f * 32 + i),
+mg AS (SELECT f, bin, sqrt(a * a + b * b) AS mx, sqrt(c * c + d * d) AS me FROM (SELECT f, bin, sum(x * cos(2 * pi() * ((i * bin) % 64) / 64)) AS a, sum(x * sin(2 * pi() * ((i * bin) % 64) / 64)) AS b, sum(e * cos(2 * pi() * ((i * bin) % 64) / 64)) AS c, sum(e * sin(2 * pi() * ((i * bin) % 64) / 64)) AS d FROM fr, range(33) t(bin) GROUP BY f, bin)),
+sp AS (SELECT bin, bin * 125.0 AS hz, pow(avg(mx) / 16, 2) / 2 * 2 AS px, pow(avg(me) / 16, 2) AS pe FROM mg GROUP BY bin), lay AS (SELECT c, c / sqrt(2) AS low, c * sqrt(2) AS high FROM (VALUES {_B}) t(c) WHERE c * sqrt(2) <= 4000),
+i AS (SELECT c, sum(px) AS px, sum(pe) AS pe FROM lay JOIN sp ON hz >= low AND hz < high GROUP BY c), o AS (SELECT lay.c, 10 * log10(greatest(coalesce(i.px, sp.px, 0) / 1.5, 1e-30)) AS r, 10 * log10(greatest(coalesce(i.pe, sp.pe, 0) / 1.5, 1e-30)) AS e FROM lay LEFT JOIN i USING (c) LEFT JOIN sp ON sp.bin = CAST(round(lay.c / 125) AS BIGINT))
+SELECT 0::BIGINT AS recording, c AS "centreHz", round(r, 5) AS "referenceDb", round(e, 5) AS "residualDb", round(e - r, 5) AS "relativeDb" FROM o""",
+)
+def _(spark, sf_dir):
+    """What the subtraction leaves in each octave."""
+    x = _line(spark, sf_dir)
+    return rounded(verbs.null_bands(spark, x, x.withColumn("x", F.col("x") * 0.5 + 0.01 * (F.col("n") % 2)), RATE, align=False, gain_match=False, size=64), 5)
+
+
+@query(
+    "v_deconvolve_report",
+    f"""WITH {LINE}, g AS (SELECT n, least(n, 399 - n) AS near FROM range(400) t(n)), k AS (SELECT ln(3960.0 / 20) AS k), sw AS (SELECT n, 0.5 * sin(2 * pi() * 20 * 0.05 / k * (exp(n / 8000 / 0.05 * k) - 1)) * CASE WHEN near < 160 THEN 0.5 - 0.5 * cos(pi() * near / 160) ELSE 1 END AS x FROM g, k),
+iv AS (SELECT 399 - n AS n, x * exp(-(399 - n) / 8000 / 0.05 * k) AS v FROM sw, k), pk AS (SELECT max(abs(y)) AS p FROM (SELECT sw.n + iv.n AS m, sum(sw.x * iv.v) AS y FROM sw, iv GROUP BY 1)), ir AS (SELECT line.n - (399 - iv.n) AS n, sum(l * v) / any_value(p) AS y FROM line, iv, pk WHERE line.n >= 399 - iv.n GROUP BY 1), f AS (SELECT count(*) AS f FROM line)
+SELECT 0::BIGINT AS recording, f AS frames, round(f / 8000.0::DOUBLE, 5) AS seconds, round({db_sql('(SELECT max(abs(y)) FROM ir) / (SELECT sqrt(avg(y * y)) FROM ir, f WHERE n >= f - f // 10)')}, 5) AS "peakAboveTailDb" FROM f""",
+)
+def _(spark, sf_dir):
+    """A sweep of 400 samples taken out of the line signal."""
+    return rounded(verbs.deconvolve_report(verbs.deconvolve(_line(spark, sf_dir), RATE, seconds=0.05), RATE), 5)
+
+
 @query("v_channels_mono", f"WITH {LINE} SELECT 0::BIGINT AS recording, channel, n, round(0.5 * (l + r), 6) AS x FROM line, (VALUES (0), (1)) c(channel)")
 def _(spark, sf_dir):
     return rounded(verbs.channels(_line(spark, sf_dir), RATE, "mono"))

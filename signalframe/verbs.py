@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,11 +107,22 @@ def null(reference: DataFrame, other: DataFrame, rate: float, align: bool = True
     """``verdict, delaySamples, gainDb, polarityInverted, residualDb, peakResidualDb, worstTimeSeconds, comparedFrames``."""
     t = measure.null_test(_channel(reference, channel), _channel(other, channel), max_delay, align, gain_match)
     return t.select(
-        "recording", "verdict", F.col("lag").alias("delaySamples"), statistics.db(F.abs("gain")).alias("gainDb"), F.col("inverted").alias("polarityInverted"), F.col("residual_db").alias("residualDb"), F.col("peak_residual_db").alias("peakResidualDb"),
+        "recording", "verdict", F.col("lag").alias("delaySamples"), F.col("gain_db").alias("gainDb"), F.col("inverted").alias("polarityInverted"), F.col("residual_db").alias("residualDb"), F.col("peak_residual_db").alias("peakResidualDb"),
         (F.col("worst_n") / rate).alias("worstTimeSeconds"), F.col("frames").alias("comparedFrames"),
     )
 
 
+def null_bands(spark: SparkSession, reference: DataFrame, other: DataFrame, rate: float, align: bool = True, gain_match: bool = True, max_delay: int = 0, channel: int = 0, size: int = 8192) -> DataFrame:
+    """``recording, centreHz, referenceDb, residualDb, relativeDb``: the octaves of what was compared and of what the null test left."""
+    a, b = _channel(reference, channel), _channel(other, channel)
+    scratch = Scratch(spark, "null")
+    tested = scratch.keep(measure.null_test(a, b, max_delay, align, gain_match), "tested")
+    spectrum = scratch.keep(spectral.spectra(measure.residual_samples(a, b, tested), size, size // 2), "spectra")
+    side = lambda c, name: spectral.bands(spectral.levels(spectrum.filter(F.col("channel") == c), size), spark, rate, size).select("recording", F.col("centre").alias("centreHz"), F.col("level_db").alias(name))
+    j = side(0, "referenceDb").join(side(1, "residualDb"), ["recording", "centreHz"])
+    return j.withColumn("relativeDb", F.col("residualDb") - F.col("referenceDb"))
+
+
 def _grid(samples: DataFrame, rate: float, interval: float) -> DataFrame:
     if not interval > 0 or interval * rate < 1:
         raise ValueError("the interval is at least one sample")
@@ -149,7 +159,7 @@ def sweep(spark: SparkSession, rate: float = 48000.0, start: float = 20.0, end:
 
 
 def deconvolve(recorded: DataFrame, rate: float, start: float = 20.0, end: float = 20000.0, seconds: float = 5.0, level: float = 0.5, fade: float = 0.02, keep: float = 0.0, channel: int = 0) -> DataFrame:
-    """Impulse responses ``recording, channel, n, x``; a recording shorter than the sweep gives none."""
+    """Impulse responses ``recording, channel, n, x``, the first ``keep`` seconds of them; a recording shorter than the sweep gives none."""
     end = min(end, 0.99 * rate / 2)
     frames, edge = int(seconds * rate), max(1, int(fade * rate))
     n = np.arange(frames)
@@ -157,12 +167,13 @@ def deconvolve(recorded: DataFrame, rate: float, start: float = 20.0, end: float
     k = math.log(end / start)
     tone = level * np.sin(2 * np.pi * start * seconds / k * (np.exp(n / rate / seconds * k) - 1)) * np.where(near < edge, 0.5 - 0.5 * np.cos(np.pi * near / edge), 1.0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy()
-        y = measure.deconvolve(x, tone, rate, start, end, int(keep * rate)) if len(x) >= frames else np.zeros(0)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "n": np.arange(len(y)), "x": y})
+    return measure.deconvolve(_channel(recorded, channel), tone, rate, start, end, int(keep * rate))
+
 
-    return _channel(recorded, channel).groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, n long, x double")
+def deconvolve_report(impulse: DataFrame, rate: float) -> DataFrame:
+    """``recording, frames, seconds, peakAboveTailDb`` of what ``deconvolve`` gives."""
+    r = measure.peak_to_tail(impulse)
+    return r.select("recording", "frames", (F.col("frames") / rate).alias("seconds"), F.col("peak_db").alias("peakAboveTailDb"))
 
 
 def provenance(samples: DataFrame, rate: float, declared_bits: int = 24, size: int = 8192) -> DataFrame:

@@ -25,10 +25,10 @@ def test_sweep_round_trip(spark):
     x = np.array([r["x"] for r in filters.sweep(spark, 8000.0, 1.0, 50.0, 3500.0).orderBy("n").collect()])
     room = np.zeros(200)
     room[[0, 100]] = 1, 0.5
-    got = measure.deconvolve(np.convolve(x, room), x, 8000.0, 50.0, 3500.0)
-    assert got[0] == pytest.approx(1, abs=0.1) and got[100] == pytest.approx(0.5, abs=0.1)
-    with pytest.raises(ValueError):
-        measure.deconvolve(x[:10], x, 8000.0, 50.0, 3500.0)
+    played = np.convolve(x, room)
+    rows = [(0, 0, n, float(v)) for n, v in enumerate(played)] + [(1, 0, n, float(v)) for n, v in enumerate(x[:10])]
+    got = {r["n"]: r["x"] for r in measure.deconvolve(spark.createDataFrame(rows, "recording long, channel int, n long, x double"), x, 8000.0, 50.0, 3500.0).collect()}
+    assert got[0] == pytest.approx(1, abs=0.1) and got[100] == pytest.approx(0.5, abs=0.1) and len(got) == len(played)
 
 
 def test_session_warnings(spark):
