@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, version
 
 RATE = 8000.0
 FLOOR_DB = -200.0
@@ -31,10 +31,20 @@ def number(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return ranged.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_of", "_before")
 
 
+_numbered: dict[tuple, DataFrame] = {}
+
+
+def numbered(spark: SparkSession, sf_dir: str, name: str, keys: list[str], more: list[str], place: str = "n") -> DataFrame:
+    """``number`` of a source table, written once for each session and version of its files: later queries read what the first has written."""
+    key = (spark.sparkContext.applicationId, version(spark, f"{sf_dir}/{name}.parquet"), tuple(keys), tuple(more), place)
+    if key not in _numbered:
+        _numbered[key] = number(table(spark, sf_dir, name).select(*keys, *more), keys, place)
+    return _numbered[key]
+
+
 def line_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stereo: ``n, l, r``."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    return _line(number(table(spark, sf_dir, "lineitem").select(*keys, "l_discount", "l_tax"), keys), "n")
+    return _line(numbered(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], ["l_discount", "l_tax"]), "n")
 
 
 def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +81,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit decision list: ``clip_id, source_id, timeline_start, length, gain``."""
-    o = number(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "rank")
+    o = numbered(spark, sf_dir, "orders", ["o_orderkey"], ["o_custkey"], "rank")
     return o.select(
         F.col("o_orderkey").alias("clip_id"), F.col("o_custkey").alias("source_id"), (F.col("rank") * 37).alias("timeline_start"), (50 + F.col("o_orderkey") % 100).alias("length"),
         (1 + (F.col("o_custkey") % 5) / 10.0).alias("gain"),

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..model import FLOOR_DB, db
 from .blocks import BLOCK, map_blocks, pack
-from .filters import _db, _per_channel, _with_run_up, butterworth, compression_curve, follow, resample, sub_peaks
+from .filters import _db, _per_channel, _with_run_up, band_layout, butterworth, compression_curve, follow, resample, split_bank, sub_peaks
 from .loudness import run_sections
+from .room import room
 from .repair import istft, stft, stretch
 
 
@@ -261,27 +262,18 @@ def contour_summary(grid: DataFrame, programme: DataFrame, peaks: DataFrame) ->
     return j.withColumn("plr_db", F.when((F.col("peak_db") > FLOOR_DB) & (F.col("integrated") > FLOOR_DB), F.col("peak_db") - F.col("integrated")))
 
 
-def room_by_band(impulse: DataFrame, rate: float, order: int = 4) -> DataFrame:
-    """T20 of each octave band in seconds: ``recording, centre, seconds``; null where a band can't be made or has no range."""
-    centres = [1000 * 10 ** (0.3 * k) for k in range(-4, 5)]
-    half = 10**0.15
+def room_by_band(impulse: DataFrame, rate: float, thirds: bool = False, order: int = 6) -> DataFrame:
+    """Acoustics of each octave or third-octave: ``recording, centre, valid, edt, t20, t30, c50_db, ...``; a band that can't be made has an empty row.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy(float)
-        out = []
-        for c in centres:
-            if c * half >= rate / 2:
-                out.append(None)
-                continue
-            y = run_sections(x, butterworth("high_pass", rate, c / half, order) + butterworth("low_pass", rate, c * half, order))
-            e = np.cumsum((y**2)[::-1])[::-1]
-            level = 10 * np.log10(np.maximum(e / e[0], 1e-20)) if len(e) and e[0] > 0 else np.zeros(0)
-            part = np.flatnonzero((level <= -5) & (level >= -25))
-            slope = np.polyfit(part / rate, level[part], 1)[0] if len(part) > 2 else 0.0
-            out.append(-60 / slope if slope < 0 else None)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "centre": [round(c, 6) for c in centres], "seconds": out})
-
-    return impulse.groupBy("recording").applyInPandas(run, "recording long, centre double, seconds double")
+    All bands are filtered in one pass and measured as so many recordings."""
+    layout = [b for b in band_layout(rate, thirds, order)]
+    first, count = layout[0]["band"], len(layout)
+    split = split_bank(impulse.withColumn("channel", F.lit(0)), rate, thirds, order)
+    keyed = split.select((F.col("recording") * count + F.col("band") - first).alias("recording"), "n", "x")
+    measured = room(keyed, rate).select(F.floor(F.col("recording") / count).cast("long").alias("recording"), (F.pmod(F.col("recording"), F.lit(count)) + first).cast("int").alias("band"), "valid", "edt", "t20", "t30", "c50_db", "c80_db", "d50", "centre_time", "usable_range_db")
+    names = impulse.sparkSession.createDataFrame([(b["band"], round(b["centre"], 6)) for b in layout], "band int, centre double")
+    every = impulse.select("recording").distinct().join(F.broadcast(names))  # 31 bands
+    return every.join(measured, ["recording", "band"], "left").drop("band")
 
 
 __all__ = ["contour", "contour_grid", "contour_summary", "deess", "dither", "deess_report", "exact_peak", "exact_true_peak", "heal", "multiband_compress", "pitch_shift", "room_by_band", "split_bands", "uniforms"]

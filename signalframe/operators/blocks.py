@@ -29,6 +29,11 @@ def pack(samples: DataFrame, size: int = BLOCK, before: int = 0, after: int = 0)
         first, last = F.floor((F.col("n") - after) / size), F.floor((F.col("n") + before) / size)
         own = F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("long"), last.cast("long")))
     rows = samples.select(F.col("recording").cast("long").alias("recording"), F.col("channel").cast("int").alias("channel"), F.col("n").cast("long").alias("n"), F.col("x").cast("double").alias("x"), own.alias("block"))
+    return bundle(rows, lambda block: (block * size, (block + 1) * size))
+
+
+def bundle(rows: DataFrame, span: Callable | None = None) -> DataFrame:
+    """One row for each ``recording, channel, block`` of ``..., n, x``, as ``pack`` makes them; ``span(block)`` tells which places are its own (all of them)."""
     rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +42,7 @@ def pack(samples: DataFrame, size: int = BLOCK, before: int = 0, after: int = 0)
 
         def full():
             n, x = (np.concatenate(c) for c in zip(*held))
-            lo, hi = np.searchsorted(n, [key[2] * size, (key[2] + 1) * size])
+            lo, hi = np.searchsorted(n, span(key[2])) if span else (0, len(n))
             if hi > lo:
                 yield pa.RecordBatch.from_pydict({
                     "recording": [key[0]], "channel": pa.array([key[1]], pa.int32()), "block": [key[2]], "start": [int(n[0])], "lo": pa.array([lo], pa.int32()), "hi": pa.array([hi], pa.int32()),

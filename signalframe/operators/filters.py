@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import db
-from .blocks import BLOCK, SAMPLES, cascade, cascades, map_blocks, pack
+from ..scratch import Scratch
+from .blocks import BLOCK, KEYS, SAMPLES, cascade, cascades, cells, map_blocks, pack, values
 
 LEAST_SPAN = 1 << 18  # frames of a block with a run-up
 KINDS = ("low_pass", "high_pass", "band_pass", "notch", "all_pass", "peaking", "low_shelf", "high_shelf")
@@ -92,18 +93,64 @@ def parametric_eq(samples: DataFrame, rate: float, bands: list[dict]) -> DataFra
     return apply_sections(samples, on)
 
 
+def band_pass(rate: float, low: float, high: float, order: int = 6) -> list[tuple]:
+    """A Butterworth band-pass between two edges: the analogue low-pass of half the order, turned into a band-pass at pre-warped edges, pole by pole into sections."""
+    if order < 2 or order % 2 or order > 32:
+        raise ValueError("the order is even and lies between 2 and 32")
+    n = order // 2
+    a, b = math.tan(math.pi * low / rate), math.tan(math.pi * high / rate)
+    width, middle = b - a, a * b
+
+    def section(linear: float, constant: float) -> tuple:
+        """Of width * s / (s^2 + linear * s + constant) by the bilinear transform."""
+        whole = 1 + linear + constant
+        return tuple(float(v) for v in (width / whole, 0.0, -width / whole, 2 * (constant - 1) / whole, (1 - linear + constant) / whole))
+
+    poles = np.exp(1j * np.pi * (2 * np.arange(n // 2) + n + 1) / (2 * n)) * width / 2
+    split = np.sqrt(poles * poles - middle)
+    found = [section(-2 * r.real, abs(r) ** 2) for p, s in zip(poles, split) for r in (p + s, p - s)]
+    return found + [section(width, middle)] * (n % 2)
+
+
+def band_layout(rate: float, thirds: bool = False, order: int = 6, lowest: float = 20.0, highest: float = 20000.0) -> list[dict]:
+    """``band, centre, low, high, sections, reason`` of octaves or third-octaves of base ten; a band has either sections or a reason for having none."""
+    step, half, near = (0.1, 1 / 6, 1.02) if thirds else (0.3, 0.5, 1.02)  # a nominal name may be 2 % off its centre
+    out = []
+    for k in range(math.ceil(math.log10(lowest / near / 1000) / step), math.floor(math.log10(highest * near / 1000) / step) + 1):
+        centre = 1000 * 10 ** (step * k)
+        band = {"band": k, "centre": centre, "low": centre * 2**-half, "high": centre * 2**half, "sections": None, "reason": None}
+        if band["high"] >= rate / 2:
+            band["reason"] = "above Nyquist"
+        else:
+            sections = band_pass(rate, band["low"], band["high"], order)
+            if all(abs(a2) < 1 and abs(a1) < 1 + a2 for *_, a1, a2 in sections):
+                band["sections"] = sections
+            else:
+                band["reason"] = "unstable"
+        out.append(band)
+    return out
+
+
 def filter_bank(samples: DataFrame, rate: float, order: int = 6, thirds: bool = False) -> DataFrame:
-    """Level of each band by Butterworth band edges: ``recording, channel, centre, level_db``; bands beyond Nyquist are null."""
-    step, k = (10, range(-16, 14)) if thirds else (10 / 3, range(-5, 5))
-    centres = [1000 * 10 ** (i / step) for i in k]
-    half = 10 ** (0.5 / step)
+    """Level of each band: ``recording, channel, centre, low, high, level_db, reason``; a band that can't be made has no level and a reason."""
+    layout = band_layout(rate, thirds, order)
+    made = [b for b in layout if b["sections"]]
+    sums = cascades(samples, [b["sections"] for b in made], lambda start, ys: {"band": pa.array([b["band"] for b in made], pa.int32()), "sq": pa.array([float((y**2).sum()) for y in ys]), "frames": pa.array([len(y) for y in ys])}, "recording long, channel int, band int, sq double, frames long")
+    levels = sums.groupBy("recording", "channel", "band").agg(db(F.sqrt(F.sum("sq") / F.sum("frames"))).alias("level_db"))
+    rows = samples.sparkSession.createDataFrame([(b["band"], b["centre"], b["low"], b["high"], b["reason"]) for b in layout], "band int, centre double, low double, high double, reason string")
+    heard = samples.select(F.col("recording").cast("long").alias("recording"), F.col("channel").cast("int").alias("channel")).distinct()
+    return heard.join(F.broadcast(rows)).join(levels, ["recording", "channel", "band"], "left").select("recording", "channel", "centre", "low", "high", "level_db", "reason")  # 31 bands
+
 
-    made = [c for c in centres if c * half < rate / 2]
-    sets = [butterworth("high_pass", rate, c / half, order) + butterworth("low_pass", rate, c * half, order) for c in made]
-    sums = cascades(samples, sets, lambda start, ys: {"centre": pa.array(made), "sq": pa.array([float((y**2).sum()) for y in ys]), "frames": pa.array([len(y) for y in ys])}, "recording long, channel int, centre double, sq double, frames long")
-    levels = sums.groupBy("recording", "channel", "centre").agg(db(F.sqrt(F.sum("sq") / F.sum("frames"))).alias("level_db"))
-    missing = levels.select("recording", "channel").distinct().withColumn("centre", F.explode(F.array(*(F.lit(c) for c in centres if c not in made)).cast("array<double>")))
-    return levels.unionByName(missing.withColumn("level_db", F.lit(None).cast("double")))
+def split_bank(samples: DataFrame, rate: float, thirds: bool = False, order: int = 6) -> DataFrame:
+    """``recording, channel, band, n, x``: every band that can be made, in one pass."""
+    made = [b for b in band_layout(rate, thirds, order) if b["sections"]]
+
+    def rows(start: int, ys: list[np.ndarray]) -> dict:
+        n = len(ys[0])
+        return {"band": pa.array(np.repeat([b["band"] for b in made], n), pa.int32()), "n": pa.array(np.tile(np.arange(start, start + n), len(made))), "x": pa.array(np.concatenate(ys))}
+
+    return cascades(samples, [b["sections"] for b in made], rows, "recording long, channel int, band int, n long, x double")
 
 
 def _coefficient(seconds: float, rate: float) -> float:
@@ -215,44 +262,172 @@ def expand(samples: DataFrame, rate: float, threshold: float = -40.0, ratio: flo
     return _with_run_up(samples, rate, (0.01, attack, release), run)
 
 
-def gate(samples: DataFrame, rate: float, threshold: float = -50.0, hysteresis: float = 6.0, hold: float = 0.05, depth: float = -80.0, attack: float = 0.001, release: float = 0.1) -> DataFrame:
-    """Opens strictly above the threshold, holds, and closes below threshold less hysteresis; it starts closed."""
+def held_peaks(v: np.ndarray, keep: float, lane: int = 256) -> np.ndarray:
+    """Magnitudes that rise at once and fall towards the signal by ``keep`` a sample: s = max(v, (1 - keep) v + keep s).
+
+    Such steps compose to steps of the same form, so lanes run side by side twice: for what they make of any state, and from their true states."""
+    m = -(-len(v) // lane)
+    cols = np.zeros(m * lane)
+    cols[: len(v)] = v
+    cols = cols.reshape(m, lane).T
+    top, add, gain = np.full(m, -np.inf), np.zeros(m), np.ones(m)
+    for x in cols:
+        top, add, gain = np.maximum(x, (1 - keep) * x + keep * top), (1 - keep) * x + keep * add, gain * keep
+    now, states = 0.0, np.empty(m)
+    for i, (a, b, c) in enumerate(zip(top.tolist(), add.tolist(), gain.tolist())):
+        states[i] = now
+        now = max(a, b + c * now)
+    out = np.empty_like(cols)
+    for t, x in enumerate(cols):
+        states = np.maximum(x, (1 - keep) * x + keep * states)
+        out[t] = states
+    return out.T.ravel()[: len(v)]
+
+
+def _left_open(hot: np.ndarray, cold: np.ndarray, hold: int, left: int) -> np.ndarray:
+    """After each sample, for how many quiet ones more a gate stays open (-1: closed), if it stood at ``left`` before the first."""
+    quiet, last = np.cumsum(cold), np.where(hot, np.arange(len(hot)), -1)
+    last = np.maximum.accumulate(last)
+    since = quiet - np.where(last >= 0, quiet[np.maximum(last, 0)], 0)
+    return np.maximum(-1, np.where(last >= 0, hold, left) - since)
+
+
+def _glide(open_: np.ndarray, depth: float, attack: float, release: float, state: float) -> np.ndarray:
+    """Gains in dB that glide to 0 while open and to ``depth`` while closed: run by run in closed form."""
+    edges = [0, *(np.flatnonzero(open_[1:] != open_[:-1]) + 1).tolist(), len(open_)]
+    out = np.empty(len(open_))
+    for a, b in zip(edges, edges[1:]):
+        target, keep = (0.0, attack) if open_[a] else (depth, release)
+        out[a:b] = target + (state - target) * keep ** np.arange(1, b - a + 1)
+        state = out[b - 1]
+    return out
 
-    def run(x):
-        level, open_, left, target = _db(np.abs(x)), False, 0, np.empty(len(x))
-        for i, v in enumerate(level.tolist()):
-            if v > threshold:
-                open_, left = True, int(hold * rate)
-            elif v < threshold - hysteresis and open_:
-                left -= 1
-                open_ = left > 0
-            target[i] = 0.0 if open_ else depth
-        return x * 10 ** ((depth + follow(target - depth, attack, release, rate)) / 20)
 
-    return _per_channel(samples, run)
+def gate(
+    samples: DataFrame, rate: float, threshold: float = -50.0, hysteresis: float = 6.0, hold: float = 0.01, depth: float = -80.0, attack: float = 0.001, release: float = 0.1, detector: float = 0.01, size: int = BLOCK
+) -> DataFrame:
+    """Opens where the detected level is strictly above the threshold, and closes when it has been below threshold less hysteresis for longer than ``hold``; it starts closed.
+
+    A gate has no finite memory, but a block does to it one of two things: it leaves it in a state of its own (if it opens it anywhere) or it uses up so much of the hold.
+    These compose, so blocks take their entry states from a scan of two numbers each; the gains that glide behind go by a scan of their own.  Only the
+    detector has a run-up (30 of its time constants)."""
+    keep, a, r, held = _coefficient(detector, rate), _coefficient(attack, rate), _coefficient(release, rate), int(hold * rate + 0.5)
+    before = run_up(rate, detector)
+    packed = Scratch(samples.sparkSession, "gate").keep(pack(samples, size, before), "packed")  # read three times
+    keys = "recording long, channel int, block long"
+
+    def flags(xs, lo, hi):
+        level = _db(held_peaks(np.abs(xs), keep)[lo:hi])
+        return level > threshold, level < threshold - hysteresis
+
+    def summed(make, schema):
+        def run(batches):
+            for batch in batches:
+                names = [n for n in ("left",) if n in batch.schema.names]
+                for xs, (rec, c, b, lo, hi, *more) in zip(values(batch), cells(batch, *KEYS, "lo", "hi", *names)):
+                    out = make(*flags(xs, lo, hi), *more)
+                    yield pa.RecordBatch.from_pydict({"recording": [rec], "channel": pa.array([c], pa.int32()), "block": [b], **{k: [v] for k, v in out.items()}})
+
+        return lambda df: df.mapInArrow(run, f"{keys}, {schema}")
+
+    def told(hot, cold):
+        return {"fixed": bool(hot.any()), "value": int(_left_open(hot, cold, held, held)[-1] if hot.any() else cold.sum())}
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left, out = pdf.sort_values("block"), -1, []
+        for fixed, value in zip(pdf["fixed"], pdf["value"]):
+            out.append(left)
+            left = value if fixed else max(-1, left - value)
+        return pdf[["recording", "channel", "block"]].assign(left=out)
+
+    lefts = summed(told, "fixed boolean, value long")(packed).groupBy("recording", "channel").applyInPandas(entries, f"{keys}, left long")
+    opened = Scratch(samples.sparkSession, "gate").keep(packed.join(lefts, KEYS), "opened")
+
+    def glides(hot, cold, left):
+        open_ = _left_open(hot, cold, held, left) >= 0
+        ends = [float(_glide(open_, depth, a, r, s)[-1]) for s in (0.0, 1.0)]  # an affine map of the state
+        return {"add": ends[0], "gain": ends[1] - ends[0]}
 
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("block"), depth, []
+        for add, gain in zip(pdf["add"], pdf["gain"]):
+            out.append(now)
+            now = add + gain * now
+        return pdf[["recording", "channel", "block"]].assign(state=out)
 
-def limit(samples: DataFrame, rate: float, ceiling: float = -1.0, ahead: float = 0.005, release: float = 0.1) -> DataFrame:
-    """Look-ahead limiter: the window's largest need, smoothed; never above the ceiling."""
+    begun = summed(glides, "add double, gain double")(opened).groupBy("recording", "channel").applyInPandas(states, f"{keys}, state double")
+
+    def run(xs, lo, hi, start, left, state):
+        hot, cold = flags(xs, lo, hi)
+        return xs[lo:hi] * 10 ** (_glide(_left_open(hot, cold, held, left) >= 0, depth, a, r, state) / 20)
+
+    return map_blocks(opened.join(begun, KEYS), run, None, "left", "state")
+
+
+DETECTOR_TAPS, DETECTOR_BETA = 33, 5.0  # fixed values
+
+
+def detected(x: np.ndarray, oversampling: int) -> np.ndarray:
+    """At each sample the largest magnitude of the waveform between its neighbours, never less than its own."""
+    half = DETECTOR_TAPS // 2
+    phases = interpolator(oversampling, DETECTOR_TAPS, lambda u: kaiser(u, DETECTOR_BETA))
+    return np.maximum(between(np.concatenate([x, np.zeros(half)]), phases)[half:], np.abs(x))
+
+
+def detect_true_peak(samples: DataFrame, oversampling: int = 4) -> DataFrame:
+    """``recording, channel, n, x``: the true-peak level at each sample, for a side chain; a meter's reading is ``true_peak``."""
+    if not 2 <= oversampling <= 16:
+        raise ValueError("oversampling lies between 2 and 16")
+    return map_blocks(pack(samples, BLOCK, DETECTOR_TAPS, DETECTOR_TAPS), lambda xs, lo, hi, start: detected(xs, oversampling)[lo:hi])
+
+
+def limit(samples: DataFrame, rate: float, ceiling: float = -1.0, ahead: float = 0.005, release: float = 0.1, true_peak: bool = False, oversampling: int = 8) -> DataFrame:
+    """Look-ahead limiter: the window's largest need, smoothed; never above the ceiling, with ``true_peak`` between the samples either (as far as the detector sees)."""
+    if not 2 <= oversampling <= 16:
+        raise ValueError("oversampling lies between 2 and 16")
     n, top = max(1, int(ahead * rate)), 10 ** (ceiling / 20)
 
     def run(x):
-        need = np.maximum(0.0, _db(np.abs(x)) - ceiling)
+        level = detected(x, oversampling) if true_peak else np.abs(x)
+        need = np.maximum(0.0, _db(level) - ceiling)
         padded = np.concatenate([need, np.zeros(n)])
         most = np.lib.stride_tricks.sliding_window_view(padded, n + 1).max(1)
         gain = 10 ** (-follow(most, 0.2 * ahead, release, rate) / 20)
-        return x * np.minimum(gain, top / np.maximum(np.abs(x), 1e-30))
+        return x * np.minimum(gain, top / np.maximum(level, 1e-30))
+
+    return _with_run_up(samples, rate, (0.2 * ahead, release), run, after=n + DETECTOR_TAPS * true_peak)
+
+
+#: Fixed values of the two kernels: half width, steps of the sum that scales it, beta, and cut-off as a share of the lower rate.
+QUALITIES = {"fast": (24, 256, 9.0, 0.44), "best": (64, 1024, 14.0, 0.465)}
+
+
+def kaiser(u: np.ndarray, beta: float) -> np.ndarray:
+    return np.where(np.abs(u) <= 1, np.i0(beta * np.sqrt(np.maximum(0, 1 - np.square(u)))) / np.i0(beta), 0.0)
+
 
-    return _with_run_up(samples, rate, (0.2 * ahead, release), run, after=n)
+def sinc_kernel(quality: str) -> tuple[int, Callable]:
+    """Half width and values of a low-pass kernel of unit area, at places in samples of the lower rate."""
+    if quality not in QUALITIES:
+        raise ValueError(f"qualities are {' and '.join(QUALITIES)}")
+    half, steps, beta, cutoff = QUALITIES[quality]
+    shape = lambda t: 2 * cutoff * np.sinc(2 * cutoff * t) * kaiser(t / half, beta)
+    area = (2 * shape(np.arange(half * steps + 1) / steps).sum() - shape(np.zeros(1))[0]) / steps
+    return half, lambda t: np.where(np.abs(t) < half - 1e-9, shape(t) / area, 0.0)
 
 
-def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 24, beta: float = 9.0) -> DataFrame:
-    """Windowed-sinc resampling: output k reads at k * from / to; a wider kernel when the rate falls."""
+def resample(samples: DataFrame, from_rate: float, to_rate: float, quality: str = "best") -> DataFrame:
+    """Windowed-sinc resampling: output k reads at k * from / to; a wider kernel when the rate falls, and the same samples when it stays."""
+    half, kernel = sinc_kernel(quality)
     ratio = from_rate / to_rate
+    if not 1 / 128 <= ratio <= 128:
+        raise ValueError("the ratio of the rates lies between 1 / 128 and 128")
+    if ratio == 1:
+        return samples.select("recording", F.col("channel").cast("int").alias("channel"), "n", "x")
     stretch = max(1.0, ratio)
     reach = half * stretch
 
-    taps = np.arange(-int(reach), int(reach) + 1)
+    taps = np.arange(-int(reach) - 1, int(reach) + 2)
 
     def run(xs, lo, hi, start):
         """The output places that read within the block's own samples."""
@@ -260,15 +435,14 @@ def resample(samples: DataFrame, from_rate: float, to_rate: float, half: int = 2
         k = np.arange(first, last)
         out = np.zeros(len(k))
         for a in range(0, len(k), 4096):
-            p = k[a : a + 4096] * ratio - start
+            p = k[a : a + 4096] * from_rate / to_rate - start
             at = np.floor(p).astype(int)[:, None] + taps
-            d = (at - p[:, None]) / stretch
-            h = np.where(np.abs(d) < half, np.sinc(d) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (d / half) ** 2))) / np.i0(beta), 0)
+            h = kernel((at - p[:, None]) / stretch)
             ok = (at >= 0) & (at < len(xs))
             out[a : a + 4096] = (np.where(ok, xs[np.clip(at, 0, len(xs) - 1)], 0) * h).sum(1) / stretch
         return {"n": pa.array(k), "x": pa.array(out)}
 
-    return map_blocks(pack(samples, BLOCK, int(reach) + 1, int(reach) + 1), run, SAMPLES)
+    return map_blocks(pack(samples, BLOCK, int(reach) + 2, int(reach) + 2), run, SAMPLES)
 
 
 def interpolator(factor: int, taps: int, window: Callable) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Short-time spectrum edits and repair in blocks with halos; only time-stretching takes a channel as a whole.
+"""Short-time spectrum edits and repair in blocks with halos; time-stretching scans the phases of blocks.
 
 Blocks begin at multiples of the hop, so that the frames of a block lie where those of the whole recording do, and halos
 hold all that a frame or a smoother looks back to.  What is asked of the whole recording (a noise profile, the peak) is
@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import map_blocks, pack
+from ..scratch import Scratch
+from .blocks import SAMPLES, bundle, cells, map_blocks, pack, sample_rows, values
 
 SIZE, HOP = 1024, 256
 SPAN = 1 << 16
@@ -260,13 +261,106 @@ def hum_search(samples: DataFrame, rate: float, around: tuple[float, ...] = (50.
     return best.select("recording", "channel", "hz", "power", F.when(F.col("mean") > 0, F.col("power") / F.col("mean")).alias("prominence"))
 
 
+class HumMeter:
+    """Coherent levels of partials in groups of blocks: a steady hum keeps its phase from block to block, a note or noise doesn't."""
+
+    LENGTH, BLOCKS, COHERENCE, PROMINENCE, CAP = 16384, 8, 0.65, 3.0, 30.0  # fixed values
+
+    def __init__(self, groups: list[tuple[int, np.ndarray]], rate: float):
+        """``groups``: first sample and ``BLOCKS`` x ``LENGTH`` samples of each."""
+        w = hann(self.LENGTH)
+        self.rate, self.weight = rate, w.sum()
+        self.starts = np.concatenate([s + np.arange(self.BLOCKS) * self.LENGTH for s, _ in groups])
+        self.cut = np.stack([x.reshape(self.BLOCKS, self.LENGTH) for _, x in groups]).reshape(-1, self.LENGTH) * w
+        self.known: dict[float, tuple[float, float]] = {}
+
+    def partial(self, hz: float) -> tuple[float, float]:
+        """(level, coherence) at a frequency: the median over groups of what is left when blocks are added with their phases, and its mean share of their magnitudes."""
+        key = round(hz, 9)
+        if key not in self.known:
+            turn = -2j * np.pi * hz / self.rate
+            amp = (self.cut @ np.exp(turn * np.arange(self.LENGTH))) * np.exp(turn * self.starts) * (2 / self.weight)
+            amp = amp.reshape(-1, self.BLOCKS)
+            size, both = np.abs(amp).sum(1), np.abs(amp.sum(1))
+            ok = size > 0
+            levels = np.sort(both[ok] / self.BLOCKS)
+            self.known[key] = (float(levels[len(levels) // 2]), float((both[ok] / size[ok]).mean())) if ok.any() and 0 < hz < self.rate / 2 else (0.0, 0.0)
+        return self.known[key]
+
+    def prominence(self, hz: float, offsets: tuple[float, ...] = (-17.0, -11.0, 11.0, 17.0)) -> float:
+        """The level against the median of those around."""
+        around = sorted(self.partial(hz + d)[0] for d in offsets if 0 < hz + d < self.rate / 2)
+        background = around[len(around) // 2] if around else 0.0
+        return self.partial(hz)[0] / background if background > 0 else 0.0
+
+    def evidence(self, hz: float, partials: int, offsets: tuple[float, ...] = (-17.0, -11.0, 11.0, 17.0)) -> tuple[float, float]:
+        """The mean of the capped prominences of a fundamental's coherent partials, and their levels together, which decide where the cap makes equals."""
+        ks = [k * hz for k in range(1, partials + 1) if k * hz < self.rate / 2]
+        heard = [f for f in ks if self.partial(f)[1] >= self.COHERENCE]
+        return round(sum(min(self.CAP, self.prominence(f, offsets)) for f in heard) / partials, 9), sum(self.partial(f)[0] for f in heard)
+
+    def accepted(self, hz: float, partials: int) -> list[float]:
+        ks = [k * hz for k in range(1, partials + 1) if k * hz < self.rate / 2]
+        return [f for f in ks if self.partial(f)[1] >= self.COHERENCE and self.prominence(f) >= self.PROMINENCE]
+
+
+def find_hum(samples: DataFrame, rate: float, frequency: float | None = None, partials: int = 8, least: float = 2.0) -> DataFrame:
+    """``recording, found, hz, evidence, parts``: mains frequency and coherent partials of channel 0 of each recording.
+
+    Steps of 0.1 Hz around 50 and 60 Hz over four partials of the first group, then of 0.01 Hz around the best over eight of three groups (beginning, middle and end); found if the
+    mean prominence is at least ``least`` and two partials are steady and stand out (a lone tone is no hum).  With ``frequency`` given, only its partials are looked at.  A group has 131,072 samples, so no more than three such stretches of a recording are
+    read; in a shorter one nothing is found (given a frequency, all its partials are taken)."""
+    span = HumMeter.LENGTH * HumMeter.BLOCKS
+    own = samples.filter("channel = 0").select("recording", "n", "x")
+    ends = own.groupBy("recording").agg((F.max("n") + 1).alias("frames"))
+    last = F.greatest(F.lit(0), F.col("frames") - span)
+    inside = [F.col("n").between(s, s + span - 1) for s in (F.lit(0), F.floor(last / 2), last)]
+    near = own.join(ends, "recording").filter(inside[0] | inside[1] | inside[2])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        recording, frames = int(pdf["recording"].iloc[0]), int(pdf["frames"].iloc[0])
+        n, x = pdf["n"].to_numpy(), pdf["x"].to_numpy(float)
+        row = {"recording": recording, "found": frequency is not None, "hz": frequency, "evidence": None, "parts": None}
+        if frames < span:
+            row["parts"] = [k * frequency for k in range(1, partials + 1) if k * frequency < rate / 2] if frequency else None
+            return pd.DataFrame([row])
+        groups = []
+        for s in (0, (frames - span) // 2, frames - span):
+            held = np.zeros(span)
+            inside = (n >= s) & (n < s + span)
+            held[n[inside] - s] = x[inside]
+            groups.append((s, held))
+        fine = HumMeter(groups, rate)
+        if frequency is None:
+            coarse, quick = HumMeter(groups[:1], rate), (-14.0, 14.0)
+            best = max((coarse.evidence(f, 4, quick), -i, f) for i, f in enumerate(m + 0.1 * k for m in (50.0, 60.0) for k in range(-10, 11)))
+            if best[0][0] > 0:
+                tried = [best[2], *(best[2] + 0.01 * k for k in range(-9, 10))]
+                (e, _), _, f = max((fine.evidence(f, 8), -i, f) for i, f in enumerate(tried))
+                row |= {"found": e >= least, "hz": round(f, 6), "evidence": e}
+        if row["found"]:
+            row["parts"] = fine.accepted(row["hz"], partials)
+            row["found"] = len(row["parts"]) >= (1 if frequency else 2)
+            row["parts"] = row["parts"] if row["found"] else None
+        return pd.DataFrame([row])
+
+    return near.groupBy("recording").applyInPandas(run, "recording long, found boolean, hz double, evidence double, parts array<double>")
+
+
 def dehum(samples: DataFrame, rate: float, hz: float = 50.0, partials: int = 8, block: int = 4096) -> DataFrame:
-    """Subtract the partials of the mains frequency: each one's complex amplitude in overlapping blocks, averaged over the blocks around, overlap-added."""
+    """Subtract the partials of a mains frequency from all recordings."""
+    parts = [k * hz for k in range(1, partials + 1) if k * hz < rate / 2]
+    return dehum_each(samples, rate, samples.select("recording").distinct().withColumn("parts", F.array(*map(F.lit, parts)).cast("array<double>")), block)
+
+
+def dehum_each(samples: DataFrame, rate: float, found: DataFrame, block: int = 4096) -> DataFrame:
+    """Subtract each recording's ``parts`` (of ``found``; none: it stays as it is): each one's complex amplitude in overlapping blocks, averaged over the blocks around, overlap-added."""
     hop, around = block // 4, 4
     w = hann(block)
-    parts = [k * hz for k in range(1, partials + 1) if k * hz < rate / 2]
 
-    def run(xs, lo, hi, start):
+    def run(xs, lo, hi, start, parts):
+        if not parts:
+            return xs[lo:hi]
         size = min(block, len(xs))
         win = w if size == block else hann(size)
         starts = sorted({*range(0, max(len(xs) - size, 0) + 1, hop), len(xs) - size})  # the last one is right-aligned
@@ -284,48 +378,108 @@ def dehum(samples: DataFrame, rate: float, hz: float = 50.0, partials: int = 8,
         return (xs - out / norm)[lo:hi]
 
     halo = block + (around + 1) * hop
-    return map_blocks(pack(samples, SPAN // hop * hop, -(-halo // hop) * hop, -(-halo // hop) * hop), run)
+    packed = pack(samples, SPAN // hop * hop, -(-halo // hop) * hop, -(-halo // hop) * hop)
+    return map_blocks(packed.join(found.select("recording", "parts"), "recording", "left"), run, None, "parts")
 
 
-def stretch(samples: DataFrame, factor: float, size: int = 2048, hop: int = HOP) -> DataFrame:
+def stretch(samples: DataFrame, factor: float, size: int = 2048, hop: int = HOP, frames: int = 512) -> DataFrame:
     """Time-stretch by a phase vocoder with identity phase locking: ``factor`` times as long at the same pitch.
 
-    Phases add up along the whole recording, so a channel is one group here."""
+    Phases add up along the whole recording, but a frame does the same to any phases before it: a bin takes those of its region's peak and adds an angle.  Such steps compose
+    (which bin of the beginning a bin follows, and how far it has turned), so blocks of ``frames`` output frames are gone through side by side, then their few numbers
+    along the recording, and the blocks again from their true phases."""
     if not 0.1 <= factor <= 10:
         raise ValueError("the factor must lie between 0.1 and 10")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("n")["x"].to_numpy(np.float64)
-        y = vocoder(x, factor, size, hop)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "n": np.arange(len(y)), "x": y})
-
-    return samples.groupBy("recording", "channel").applyInPandas(run, "recording long, channel int, n long, x double")
-
-
-def vocoder(x: np.ndarray, factor: float, size: int, hop: int) -> np.ndarray:
-    spec = stft(x, size, hop)
-    bins = np.arange(spec.shape[1])
-    frames = max(2, int(round(len(spec) * factor)))
-    at = np.arange(frames) * (len(spec) - 1) / (frames - 1)
-    lo = np.minimum(at.astype(int), max(len(spec) - 2, 0))
-    hi = np.minimum(lo + 1, len(spec) - 1)
-    expected = 2 * np.pi * hop * bins / size
-    out = np.empty((frames, len(bins)), complex)
-    phase = np.angle(spec[0])
-    for f in range(frames):
-        a, b, w = spec[lo[f]], spec[hi[f]], at[f] - lo[f]
-        mag = np.abs(a) * (1 - w) + np.abs(b) * w
-        if f:
-            turn = np.angle(b) - np.angle(a) - expected
-            own = phase + expected + turn - 2 * np.pi * np.round(turn / (2 * np.pi))
-            # every bin follows the peak of its region as it stands to it in the input frame
-            top = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] >= mag[2:])) + 1
-            if len(top):
-                edges = [0, *(int(p + np.argmin(mag[p : q + 1])) for p, q in zip(top, top[1:])), len(bins)]
-                lead = np.repeat(top, np.diff(edges))
-                near = np.angle(a if w < 0.5 else b)
-                phase = own[lead] + near - near[lead]
-            else:
-                phase = own
-        out[f] = mag * np.exp(1j * phase)
-    return istft(out, size, hop, int(round(len(x) * factor)))
+    pad, back = size - hop, size // hop - 1
+    spark = samples.sparkSession
+    scratch = Scratch(spark, "stretch")
+    keys = ["recording", "channel"]
+    count = lambda length: F.floor((length + (pad - 1)) / hop) + 1
+    sizes = samples.select(F.col("recording").cast("long").alias("recording"), F.col("channel").cast("int").alias("channel"), "n").groupBy(*keys).agg((F.max("n") + 1).cast("long").alias("length"))
+    sizes = sizes.withColumn("out", F.greatest(F.lit(1), F.floor(F.col("length") * factor + 0.5)).cast("long"))
+    sizes = scratch.keep(sizes.withColumn("inner", count(F.col("length"))).withColumn("outer", count(F.col("out"))), "sizes")
+    rate = (F.col("inner") - 1) / F.greatest(F.col("outer") - 1, F.lit(1))  # input frames for an output frame
+    first = F.floor((F.col("n") + pad - size) / hop)
+    low = F.floor((first - 1) / F.greatest(rate, F.lit(1e-9))) - 1
+    high = F.ceil((first + size // hop + 2) / F.greatest(rate, F.lit(1e-9))) + 1 + back
+    last = F.floor((F.col("outer") - 1) / frames)
+    block = F.explode(F.sequence(F.least(last, F.greatest(F.lit(0), F.floor(low / frames))).cast("long"), F.least(last, F.greatest(F.lit(0), F.floor(high / frames))).cast("long")))
+    rows = samples.select(F.col("recording").cast("long").alias("recording"), F.col("channel").cast("int").alias("channel"), F.col("n").cast("long").alias("n"), F.col("x").cast("double").alias("x")).join(sizes, keys)
+    packed = scratch.keep(bundle(rows.select(*keys, block.alias("block"), "n", "x")).join(sizes, keys), "packed")
+
+    def steps(xs, start, block, length, out, inner, outer, more):
+        """(frame, magnitudes, which bin each follows, how far it turns) of a block's frames; the very first frame turns from nothing."""
+        for f in range(max(0, block * frames - back), min(outer, (block + 1) * frames - back * (not more))):
+            place = f * (inner - 1) / (outer - 1) if outer > 1 else 0.0
+            left = int(place)
+            a, b = (frame_of(xs, start, i, size, hop) for i in (left, min(left + 1, inner - 1)))
+            t = place - left
+            mag = np.abs(a) * (1 - t) + np.abs(b) * t
+            if f == 0:
+                yield f, mag, None, np.angle(a)
+                continue
+            expected = 2 * np.pi * hop * np.arange(len(mag)) / size
+            turn = expected + wrapped(np.angle(b) - np.angle(a) - expected)
+            lead, near = leads(mag), np.angle(a if t < 0.5 else b)
+            yield f, mag, lead, turn[lead] + near - near[lead]
+
+    def summed(batches):
+        for batch in batches:
+            for xs, (r, c, block, start, *about) in zip(values(batch), cells(batch, "recording", "channel", "block", "start", "length", "out", "inner", "outer")):
+                of, add = np.arange(size // 2 + 1), np.zeros(size // 2 + 1)
+                for _, _, lead, turn in steps(xs, start, block, *about, False):
+                    of, add = (np.full(len(of), -1), turn) if lead is None else (of[lead], wrapped(add[lead] + turn))
+                yield pa.RecordBatch.from_pydict({"recording": [r], "channel": pa.array([c], pa.int32()), "block": [block], "of": pa.array([of.tolist()], pa.list_(pa.int32())), "add": [add.tolist()]})
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("block"), np.zeros(size // 2 + 1), []
+        for of, add in zip(pdf["of"], pdf["add"]):
+            out.append(now.tolist())
+            of = np.asarray(of)
+            now = wrapped(np.where(of >= 0, now[np.maximum(of, 0)], 0.0) + np.asarray(add))
+        return pdf[["recording", "channel", "block"]].assign(phase=out)
+
+    turned = packed.mapInArrow(summed, "recording long, channel int, block long, of array<int>, add array<double>").groupBy(*keys).applyInPandas(scan, "recording long, channel int, block long, phase array<double>")
+
+    def sound(batches):
+        w = hann(size)
+        for batch in batches:
+            for xs, (r, c, block, start, length, out, inner, outer, phase) in zip(values(batch), cells(batch, "recording", "channel", "block", "start", "length", "out", "inner", "outer", "phase")):
+                phase, begin = np.asarray(phase), max(0, block * frames - back)
+                y = np.zeros((frames + back + 1) * hop + size)
+                norm = np.zeros(len(y))
+                for f, mag, lead, turn in steps(xs, start, block, length, out, inner, outer, True):
+                    phase = turn if lead is None else wrapped(phase[lead] + turn)
+                    at = (f - begin) * hop
+                    y[at : at + size] += np.fft.irfft(mag * np.exp(1j * phase), size) * w
+                    norm[at : at + size] += w * w
+                a = block * frames * hop  # the block's own places, counted with the padding
+                b = out + pad if (block + 1) * frames >= outer else a + frames * hop
+                a, b = max(a, pad), min(b, out + pad)
+                if b > a:
+                    yield sample_rows(r, c, a - pad, (y / np.maximum(norm, 1e-12))[a - begin * hop : b - begin * hop])
+
+    return packed.join(turned, [*keys, "block"]).mapInArrow(sound, SAMPLES)
+
+
+def wrapped(angle: np.ndarray) -> np.ndarray:
+    return angle - 2 * np.pi * np.round(angle / (2 * np.pi))
+
+
+def frame_of(xs: np.ndarray, start: int, i: int, size: int, hop: int) -> np.ndarray:
+    """The spectrum of frame ``i`` of a recording, of which ``xs`` begins at ``start``; what isn't there is silent."""
+    at = i * hop - (size - hop) - start
+    a, b = max(at, 0), min(at + size, len(xs))
+    x = np.zeros(size)
+    if b > a:
+        x[a - at : b - at] = xs[a:b]
+    return np.fft.rfft(x * hann(size))
+
+
+def leads(mag: np.ndarray) -> np.ndarray:
+    """The peak whose region each bin lies in: regions part at the lowest bin between two peaks, which belongs to the lower one.  Without peaks each bin leads itself."""
+    top = np.flatnonzero((mag[1:-1] > mag[:-2]) & (mag[1:-1] > mag[2:])) + 1
+    if not len(top):
+        return np.arange(len(mag))
+    edges = [0, *(int(p + 1 + np.argmin(mag[p + 1 : q]) + 1) if q > p + 1 else p + 1 for p, q in zip(top, top[1:])), len(mag)]
+    return np.repeat(top, np.diff(edges))

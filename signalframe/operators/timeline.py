@@ -31,11 +31,13 @@ def render(clips: DataFrame, sources: DataFrame, start: int, stop: int, shape: s
     first, last = F.floor(F.col("source_start") / BLOCK), F.floor((F.col("source_start") + F.col("length") - 1) / BLOCK)
     plays = part.select("source_id", "timeline_start", "gain", "source_start", "length", *fades, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("chunk"))
     chunks = sources.groupBy("source_id", F.floor(F.col("n") / BLOCK).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("xs"))
-    sound = plays.join(chunks, ["source_id", "chunk"]).withColumn("v", F.explode("xs"))
+    # only what the clip plays of a chunk becomes rows
+    heard = lambda v: (v["n"] >= F.col("source_start")) & (v["n"] < F.col("source_start") + F.col("length")) & (v["n"] + F.col("timeline_start") - F.col("source_start")).between(start, stop - 1)
+    sound = plays.join(chunks, ["source_id", "chunk"]).withColumn("v", F.explode(F.filter("xs", heard)))
     offset = F.col("v.n") - F.col("source_start")
     n = F.col("timeline_start") + offset
     level = clip_gain(offset, F.col("length"), F.col("gain"), F.col("fade_in"), F.col("fade_out"), shape)
-    played = sound.filter((offset >= 0) & (offset < F.col("length")) & (n >= start) & (n < stop)).select(n.alias("n"), (level * F.col("v.x")).alias("x"))
+    played = sound.select(n.alias("n"), (level * F.col("v.x")).alias("x"))
     grid = clips.sparkSession.range(start, stop).select(F.col("id").alias("n"), F.lit(0.0).alias("x"))
     return grid.unionAll(played).groupBy("n").agg(F.sum("x").alias("x"))
 

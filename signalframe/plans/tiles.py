@@ -14,6 +14,9 @@ from . import levels
 from ..scratch import Scratch
 
 
+PART, SPREAD = 1024, 16  # samples of a block that keys look at, and how many are spread over a recording
+
+
 def view(q: DataFrame, frames: int, bins: int, columns: int, rows: int) -> DataFrame:
     """``column, row, q``: the largest of the frames of a column and of a row's bins; with less than a bin to a row, between the two nearest bins."""
     column = F.floor(F.col("frame") * columns / frames).cast("long").alias("column")
@@ -55,10 +58,22 @@ def write(q: DataFrame, size: int = 1024) -> DataFrame:
 
 
 def source_keys(samples: DataFrame, rate: int, layout: int, tag: str = "tiles:1") -> DataFrame:
-    """``recording, key``: what a recording's tiles are stored under, from its layout and its samples as 16-bit codes."""
+    """``recording, key``: what a recording's tiles are stored under, from its rate, layout, length and samples as 16-bit codes.
+
+    Of a recording of over ``SPREAD + 1`` blocks of ``PART`` samples only the first and ``SPREAD`` evenly spaced ones are looked at, with their places."""
+    ends = samples.groupBy("recording").agg((F.max("n") + 1).alias("frames"))
+    last, whole = F.col("frames") - PART, F.col("frames") <= (SPREAD + 1) * PART
+    near = F.floor(F.col("n") * SPREAD / last)  # the places around a sample; blocks that are spread lie apart
+    place = lambda k: F.when((k >= 0) & (k <= SPREAD), F.floor(k * last / SPREAD)).cast("long")
+    starts = F.when(whole, F.array((F.floor(F.col("n") / PART) * PART).cast("long"))).otherwise(F.array(*(place(near + d) for d in (-1, 0, 1))))
     code = F.round(F.col("x") * 32768).cast("long").cast("string")
-    by = samples.groupBy("recording").agg(F.count("*").alias("frames"), F.array_sort(F.collect_list(F.struct("n", code.alias("c")))).alias("s"))
-    return by.select("recording", F.sha2(F.concat_ws("|", F.lit(tag), F.lit(str(rate)), F.lit(str(layout)), F.col("frames").cast("string"), F.array_join(F.transform("s", lambda v: v["c"]), ",")), 256).alias("key"))
+    # each block's samples make one string, so no cell holds more than a block; a sample lies in two blocks at most
+    held = samples.join(ends, "recording").withColumn("start", F.explode(starts)).filter((F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + PART))
+    block = held.groupBy("recording", "frames", "start").agg(F.array_sort(F.collect_list(F.struct("n", code.alias("c")))).alias("s"))
+    block = block.select("recording", "frames", F.struct("start", F.sha2(F.array_join(F.transform("s", lambda v: v["c"]), ","), 256).alias("h")).alias("b"))
+    by = block.groupBy("recording", "frames").agg(F.array_sort(F.collect_list("b")).alias("b"))  # SPREAD + 1 entries
+    said = F.array_join(F.transform("b", lambda v: F.concat_ws(":", v["start"].cast("string"), v["h"])), ",")
+    return by.select("recording", F.sha2(F.concat_ws("|", F.lit(tag), F.lit(str(rate)), F.lit(str(layout)), F.col("frames").cast("string"), said), 256).alias("key"))
 
 
 def pack(q: DataFrame) -> DataFrame:

@@ -351,11 +351,20 @@ def _(spark, sf_dir):
     return back.groupBy("tile").agg(F.countDistinct("frame").alias("frames"), F.max("q").alias("loudest"), F.sum("q").alias("total"))
 
 
-@query("r18_store_keys", f"WITH {EVENT} SELECT recording, sha256('tiles:1|8000|1|' || count(*) || '|' || string_agg(CAST(CAST(round(x * 32768) AS BIGINT) AS VARCHAR), ',' ORDER BY n)) AS key FROM ev GROUP BY recording")
+@query("r18_store_keys", f"WITH {EVENT} SELECT recording, sha256('tiles:1|8000|1|' || count(*) || '|0:' || sha256(string_agg(CAST(CAST(round(x * 32768) AS BIGINT) AS VARCHAR), ',' ORDER BY n))) AS key FROM ev GROUP BY recording")
 def _(spark, sf_dir):
     return tiles.source_keys(model.event_signal(spark, sf_dir), 8000, 1)
 
 
+@query(
+    "r18_sampled_key",
+    f"WITH {LINE}, f AS (SELECT count(*) AS f FROM line), p AS (SELECT DISTINCT CASE WHEN f > 17408 THEN CAST(floor(k * (f - 1024) / 16) AS BIGINT) ELSE k * 1024 END AS s FROM f, range(17) t(k) WHERE f > 17408 OR k * 1024 < f), b AS (SELECT s, sha256(string_agg(CAST(CAST(round(l * 32768) AS BIGINT) AS VARCHAR), ',' ORDER BY n)) AS h FROM p JOIN line ON n >= s AND n < s + 1024 GROUP BY s) SELECT 0::BIGINT AS recording, sha256('tiles:1|8000|1|' || (SELECT f FROM f) || '|' || string_agg(s || ':' || h, ',' ORDER BY s)) AS key FROM b",
+)
+def _(spark, sf_dir):
+    """A recording of many blocks: its key comes from seventeen of them (all of them where it is short)."""
+    return tiles.source_keys(model.line_signal(spark, sf_dir).select(F.lit(0).cast("long").alias("recording"), "n", F.col("l").alias("x")), 8000, 1)
+
+
 @query("r18_store_check", f"WITH {VIEW} SELECT frame, CAST(sum(q) AS BIGINT) AS total FROM q WHERE frame % 50 <> 0 GROUP BY frame")
 def _(spark, sf_dir):
     """Every fiftieth entry is damaged in the store; reading throws those away and keeps the rest."""

@@ -46,6 +46,24 @@ SQL["f4_butterworth"] = cascade_sql(filters.butterworth("high_pass", RATE, 500.0
 SQL["f5_parametric_eq"] = cascade_sql([filters.design("peaking", RATE, 900.0, math.sqrt(0.5), 4.0)])
 
 
+def _bank_sql() -> str:
+    """Each band's cascade spelled out, and the mean of its squares."""
+    out = []
+    for b in filters.band_layout(RATE):
+        head = f"{b['centre']!r}::DOUBLE AS centre, {b['low']!r}::DOUBLE AS low, {b['high']!r}::DOUBLE AS high"
+        if b["sections"]:
+            own = cascade_sql(b["sections"])
+            own = own[: own.rindex("SELECT recording, 0::INT")] + f"SELECT recording, {db_sql(f'sqrt(avg(o{len(b["sections"]) - 1} * o{len(b["sections"]) - 1}))')} AS level FROM f GROUP BY recording"
+            out.append(f"SELECT recording, {head}, round(level, 5) AS level_db, NULL::VARCHAR AS reason FROM ({own})")
+        else:
+            out.append(f"SELECT DISTINCT user_id AS recording, {head}, NULL::DOUBLE AS level_db, '{b['reason']}' AS reason FROM events")
+    return f"SELECT recording, 0::INT AS channel, round(centre, 5) AS centre, round(low, 5) AS low, round(high, 5) AS high, level_db, reason FROM ({' UNION ALL '.join(f'({x})' for x in out)})"
+
+
+SQL["m10_band_levels"] = _bank_sql()
+QUERIES["m10_band_levels"] = lambda s, d: rounded(filters.filter_bank(_users(s, d), RATE), 5)
+
+
 def follow_sql(value: str, attack: float, release: float, source: str, keep: str = "") -> str:
     """A CTE ``f(recording, n, x, s[, ...])``: the one-pole follower of ``value`` over ``source``."""
     a, r = filters._coefficient(attack, RATE), filters._coefficient(release, RATE)
@@ -73,12 +91,21 @@ SQL["f9_expander"] = f"""WITH RECURSIVE {EV}, {_follower('d', 'abs(v.x)', 0.0, 0
 c AS MATERIALIZED (SELECT *, CASE WHEN abs(u) * 2 <= 6 THEN pow(u + 3, 2) / 12 WHEN u > 0 THEN u ELSE 0.0 END AS r FROM u), {_follower('f', 'v.r', 0.001, 0.1, 'c')}
 SELECT recording, 0::INT AS channel, n, round(x * pow(10, -s / 20), 6) + 0.0::DOUBLE AS x FROM f"""
 
-SQL["f10_gate"] = f"""WITH RECURSIVE {EV}, l AS MATERIALIZED (SELECT *, {LEVEL} AS l FROM ev), g AS (
-SELECT recording, n, x, CASE WHEN l > -50 THEN 400 ELSE 0 END AS k, l > -50 AS o FROM l WHERE n = 0
-UNION ALL SELECT l.recording, l.n, l.x, CASE WHEN l.l > -50 THEN 400 WHEN l.l < -56 AND g.o THEN g.k - 1 ELSE g.k END, CASE WHEN l.l > -50 THEN true WHEN l.l < -56 AND g.o THEN g.k - 1 > 0 ELSE g.o END FROM g JOIN l ON l.recording = g.recording AND l.n = g.n + 1),
-t AS MATERIALIZED (SELECT recording, n, x, CASE WHEN o THEN 80.0 ELSE 0.0 END AS t FROM g), {_follower('f', 'v.t', 0.001, 0.1, 't')}
+
+def _gate_sql(hold: int) -> str:
+    """The detected level, then for how long the gate stays open (-1: closed), then the glide of the gain."""
+    keep = "exp(-1 / 80.0::DOUBLE)"
+    left = lambda before: f"CASE WHEN lv > -50 THEN {hold} WHEN lv < -56 THEN greatest(-1, {before} - 1) ELSE {before} END"
+    level = lambda e: f"CASE WHEN {e} > 1e-10 THEN 20 * log10({e}) ELSE -200.0 END"
+    return f"""WITH RECURSIVE {EV}, g AS (SELECT recording, n, x, e, {left('-1')} AS k FROM (SELECT recording, n, x, abs(x) AS e, {level('abs(x)')} AS lv FROM ev WHERE n = 0)
+UNION ALL SELECT recording, n, x, e, {left('k')} FROM (SELECT *, {level('e')} AS lv FROM (SELECT ev.recording, ev.n, ev.x, greatest(abs(ev.x), (1 - {keep}) * abs(ev.x) + {keep} * g.e) AS e, g.k FROM g JOIN ev ON ev.recording = g.recording AND ev.n = g.n + 1))),
+t AS MATERIALIZED (SELECT recording, n, x, CASE WHEN k >= 0 THEN 80.0 ELSE 0.0 END AS t FROM g), {_follower('f', 'v.t', 0.001, 0.1, 't')}
 SELECT recording, 0::INT AS channel, n, round(x * pow(10, (-80 + s) / 20), 6) + 0.0::DOUBLE AS x FROM f"""
 
+
+SQL["f10_gate"] = _gate_sql(80)
+SQL["v_gate"] = _gate_sql(400)
+
 SQL["f11_limiter"] = f"""WITH RECURSIVE {EV}, w AS MATERIALIZED (SELECT *, max(greatest(0, {LEVEL} + 6)) OVER (PARTITION BY recording ORDER BY n ROWS BETWEEN CURRENT ROW AND 40 FOLLOWING) AS w FROM ev), {_follower('f', 'v.w', 0.001, 0.1, 'w')}
 SELECT recording, 0::INT AS channel, n, round(x * least(pow(10, -s / 20), pow(10, -0.3) / greatest(abs(x), 1e-30)), 6) + 0.0::DOUBLE AS x FROM f"""
 

@@ -163,7 +163,6 @@ def _(spark, sf_dir):
 
 
 SQL["v_compress"] = SQL["f8_compressor"]
-SQL["v_gate"] = SQL["f10_gate"]
 QUERIES["v_compress"] = lambda s, d: rounded(verbs.compress(_users(s, d), RATE).withColumn("channel", F.col("channel").cast("int")))
 QUERIES["v_gate"] = lambda s, d: rounded(verbs.gate(_users(s, d), RATE))
 
@@ -200,9 +199,26 @@ _more()
 SQL["m4_true_peak"] = f"""WITH {LINE}, {PHASES}, pd AS (SELECT channel, n, x FROM long), up AS (SELECT channel, k, n + j AS m, sum(x * h) AS y FROM pd, ph WHERE n + j <= (SELECT max(n) FROM long) GROUP BY ALL)
 SELECT 0::BIGINT AS recording, CAST(channel AS INT) AS channel, round(greatest(max(abs(y)), (SELECT max(abs(x)) FROM long l WHERE l.channel = up.channel)), 6) AS true_peak FROM up GROUP BY channel"""
 _BESSEL = lambda x: f"list_sum(list_transform(range(0, 40), lambda k: pow(({x}) / 2, 2 * k) / pow(gamma(k + 1), 2)))"
-SQL["r15_resample"] = f"""WITH {EVENT}, g AS (SELECT recording, unnest(range(0, CAST(ceil(c * 11025.0::DOUBLE / 8000 - 1e-9) AS BIGINT))) AS k FROM (SELECT recording, count(*) AS c FROM ev GROUP BY 1)),
-d AS (SELECT g.recording, k, x, n - k * (8000.0::DOUBLE / 11025) AS d FROM g JOIN ev ON ev.recording = g.recording AND abs(n - k * (8000.0::DOUBLE / 11025)) < 24)
-SELECT recording, 0::INT AS channel, k AS n, round(sum(x * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END * {_BESSEL('9 * sqrt(greatest(0, 1 - pow(d / 24, 2)))')} / {_BESSEL('9.0')}), 6) + 0.0::DOUBLE AS x FROM d GROUP BY recording, k"""
+_SINC = lambda x: f"(CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END)"
+
+
+def _resample_sql(signal: str, keys: str, to: float, half: int, steps: int, beta: float, cutoff: float) -> str:
+    """The kernel of a cut-off, scaled by its sum at so many steps a sample."""
+    value = lambda t: f"2 * {cutoff} * {_SINC(f'(2 * {cutoff} * {t})')} * {_BESSEL(f'{beta} * sqrt(greatest(0, 1 - pow({t} / {half}, 2)))')} / {_BESSEL(str(beta))}"
+    wide = max(1.0, 8000 / to)
+    return f"""sg AS (SELECT * FROM {signal}), ar AS (SELECT (2 * sum(v) - max(CASE WHEN i = 0 THEN v END)) / {steps} AS area FROM (SELECT i, {value(f'(i / {steps}.0::DOUBLE)')} AS v FROM range({half * steps + 1}) t(i))),
+g AS (SELECT {keys}, unnest(range(0, CAST(ceil(c * {to}::DOUBLE / 8000 - 1e-9) AS BIGINT))) AS k FROM (SELECT {keys}, count(*) AS c FROM sg GROUP BY ALL)),
+d AS (SELECT {', '.join(f'g.{k}' for k in keys.split(', '))}, k, x, (n - k * 8000.0::DOUBLE / {to}) / {wide} AS d FROM g JOIN sg ON {' AND '.join(f'sg.{k} = g.{k}' for k in keys.split(', '))} AND abs(n - k * 8000.0::DOUBLE / {to}) < {half * wide} - 1e-7),
+rs AS (SELECT {keys}, k AS n, sum(x * ({value('d')})) / {wide} / (SELECT area FROM ar) AS x FROM d GROUP BY {keys}, k)"""
+
+
+SQL["r15_resample"] = f"WITH {EVENT}, {_resample_sql('ev', 'recording', 11025.0, *filters.QUALITIES['best'])} SELECT recording, 0::INT AS channel, n, round(x, 6) + 0.0::DOUBLE AS x FROM rs"
+SQL["r15_resample_down"] = f"WITH {EVENT}, {_resample_sql('ev', 'recording', 5000.0, *filters.QUALITIES['fast'])} SELECT recording, 0::INT AS channel, n, round(x, 6) + 0.0::DOUBLE AS x FROM rs"
+QUERIES["r15_resample_down"] = lambda s, d: rounded(filters.resample(_users(s, d), RATE, 5000.0, "fast"))
+_DETECT = f"""tp AS (SELECT i, {_SINC('((i - 128) / 8.0::DOUBLE)')} * {_BESSEL('5.0 * sqrt(greatest(0, 1 - pow((i - 128) / 128.0, 2)))')} / {_BESSEL('5.0')} AS h FROM range(257) t(i)), ph AS (SELECT i % 8 AS k, i // 8 AS j, h / sum(h) OVER (PARTITION BY i % 8) AS h FROM tp),
+up AS (SELECT recording, n + j - 16 AS n, k, abs(sum(x * h)) AS y FROM ev, ph GROUP BY ALL), dt AS (SELECT recording, n, greatest(abs(any_value(x)), max(y)) AS level, any_value(x) AS x FROM ev JOIN up USING (recording, n) GROUP BY recording, n)"""
+SQL["m6_true_peak_detector"] = f"WITH {EVENT}, {_DETECT} SELECT recording, 0::INT AS channel, n, round(level, 6) AS x FROM dt"
+QUERIES["m6_true_peak_detector"] = lambda s, d: rounded(filters.detect_true_peak(_users(s, d), 8))
 _room = SQL["m19_room_acoustics"].replace(PULSE, EVENT).replace("n < 25 ", "n < 400 ").replace("n < 40 ", "n < 640 ").replace("n / 500.0", "n / 8000.0").replace("/ 500, 5)", "/ 8000, 6)")
 SQL["v_room"] = f"""SELECT recording, 0::INT AS channel, valid, edt, t20, t30, round(c50_db, 5) AS "c50Db", round(c80_db, 5) AS "c80Db", d50, centre_time AS "centreTimeSeconds", round(usable_range_db, 5) AS "usableRangeDb" FROM ({_room})"""
 QUERIES["v_room"] = lambda s, d: verbs.room(_users(s, d), RATE).select(

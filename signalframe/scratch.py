@@ -21,6 +21,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times: another tuple when the table is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times: another tuple when the table is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 class Scratch:
     """A folder of such tables; it goes when the session ends."""
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.filters import sinc_kernel
+
 
 def segment_peaks(blocks: DataFrame) -> DataFrame:
     """Peak and energy of each ``segment`` of ``blocks(recording, segment, samples)`` and, under a null segment, of the recording so far: a new segment loses no totals."""
@@ -18,18 +20,15 @@ def segment_peaks(blocks: DataFrame) -> DataFrame:
     return x.groupBy("recording", "segment").agg(F.max(F.abs("x")).alias("peak"), F.sum(F.col("x") * F.col("x")).alias("sq"), F.count("*").alias("frames"))
 
 
-def kernel(d: np.ndarray, half: int, beta: float) -> np.ndarray:
-    return np.where(np.abs(d) < half, np.sinc(d) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (d / half) ** 2))) / np.i0(beta), 0)
-
-
-def convert(blocks: DataFrame, from_rate: float, to_rate: float, half: int = 24, beta: float = 9.0) -> DataFrame:
+def convert(blocks: DataFrame, from_rate: float, to_rate: float, quality: str = "best") -> DataFrame:
     """``recording, channel, n, x`` at another rate from ``blocks(recording, channel, block_index, samples, last)``, however the stream is cut.
 
     Output k needs input up to k * from / to and half a kernel; what it still needs stays in the state, early blocks wait
     there for their turn, and the block marked ``last`` flushes the rest.  With equal rates samples pass as they are."""
+    half, kernel = sinc_kernel(quality)
     ratio = from_rate / to_rate
     stretch = max(1.0, ratio)
-    reach = int(half * stretch)
+    reach = int(half * stretch) + 1
 
     def produce(hist: np.ndarray, origin: int, k: int, ready: int, done: bool):
         """Outputs from k on whose input has come (all, if done)."""
@@ -37,11 +36,11 @@ def convert(blocks: DataFrame, from_rate: float, to_rate: float, half: int = 24,
         places = np.arange(k, upto)
         if from_rate == to_rate:
             return places, hist[places - origin] if len(places) else np.zeros(0)
-        p = places * ratio
+        p = places * from_rate / to_rate
         at = np.floor(p).astype(int)[:, None] + np.arange(-reach, reach + 1)
         ok = (at >= origin) & (at < ready)
         got = np.where(ok, hist[np.clip(at - origin, 0, max(len(hist) - 1, 0))], 0) if len(hist) else np.zeros(at.shape)
-        return places, (got * kernel((at - p[:, None]) / stretch, half, beta)).sum(1) / stretch
+        return places, (got * kernel((at - p[:, None]) / stretch)).sum(1) / stretch
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         nxt, k, origin, hist, waiting = state.get if state.exists else (0, 0, 0, [], [])

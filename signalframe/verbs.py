@@ -58,9 +58,8 @@ def bands(spark: SparkSession, samples: DataFrame, rate: float, octave: bool = F
     """``recording, centreHz, lowHz, highHz, levelDbfs`` of channel 0's first 120 seconds, off the average spectrum or through a filter bank."""
     s = edits.first_seconds(_channel(samples, 0), 120.0, rate)
     if filtered:
-        half = 10 ** (0.15 if octave else 0.05)
         bank = filters.filter_bank(s, rate, order, thirds=not octave)
-        return bank.select("recording", F.col("centre").alias("centreHz"), (F.col("centre") / half).alias("lowHz"), (F.col("centre") * half).alias("highHz"), (F.col("level_db") + 3.0103).alias("levelDbfs"))
+        return bank.select("recording", F.col("centre").alias("centreHz"), F.col("low").alias("lowHz"), F.col("high").alias("highHz"), (F.col("level_db") + 3.0103).alias("levelDbfs"), F.col("reason").alias("missingBecause"))
     spectrum = spectral.levels(spectral.spectra(s, size, size // 2), size)
     out = spectral.bands(spectrum, spark, rate, size, thirds=not octave)
     return out.select("recording", F.col("centre").alias("centreHz"), F.col("low").alias("lowHz"), F.col("high").alias("highHz"), F.col("level_db").alias("levelDbfs"))
@@ -69,18 +68,8 @@ def bands(spark: SparkSession, samples: DataFrame, rate: float, octave: bool = F
 def room(samples: DataFrame, rate: float, banded: bool = False, thirds: bool = False) -> DataFrame:
     """Each channel's acoustics; ``banded``: channel 0 by octave or third-octave."""
     if banded:
-        out = None
-        s = _channel(samples, 0).drop("channel")
-        step, places = (10, range(-16, 14)) if thirds else (10 / 3, range(-5, 5))
-        for k in places:
-            centre, half = 1000 * 10 ** (k / step), 10 ** (0.5 / step)
-            if centre * half >= rate / 2:
-                continue
-            sections = filters.butterworth("high_pass", rate, centre / half, 4) + filters.butterworth("low_pass", rate, centre * half, 4)
-            r = rooms.room(filters.apply_sections(s.withColumn("channel", F.lit(0)), sections), rate)
-            r = r.select("recording", F.lit(round(centre, 6)).alias("centreHz"), F.col("t20").alias("t20Seconds"), F.col("t30").alias("t30Seconds"), F.col("edt").alias("edtSeconds"))
-            out = r if out is None else out.unionByName(r)
-        return out
+        r = advanced.room_by_band(_channel(samples, 0).drop("channel"), rate, thirds)
+        return r.select("recording", F.col("centre").alias("centreHz"), F.col("t20").alias("t20Seconds"), F.col("t30").alias("t30Seconds"), F.col("edt").alias("edtSeconds"))
     keyed = samples.select((F.col("recording") * 64 + F.col("channel")).alias("recording"), "n", "x")
     r = rooms.room(keyed, rate)
     names = {"c50_db": "c50Db", "c80_db": "c80Db", "centre_time": "centreTimeSeconds", "usable_range_db": "usableRangeDb"}
@@ -185,11 +174,11 @@ def provenance(samples: DataFrame, rate: float, declared_bits: int = 24, size: i
     return j.select("recording", F.lit(float(rate)).alias("sampleRate"), F.lit(declared_bits).alias("declaredBits"), F.col("effective_bits").alias("effectiveBits"), ((F.col("effective_bits") > 0) & (F.col("effective_bits") < declared_bits)).alias("padded"), F.col("cutoff_hz").alias("cutoffHz"), F.col("drop_db").alias("cutoffDropDb"), F.col("steep").alias("steepCutoff"))
 
 
-def convert(samples: DataFrame, rate: float, to_rate: float | None = None, fmt: str = "24", dither: str = "none") -> DataFrame:
+def convert(samples: DataFrame, rate: float, to_rate: float | None = None, fmt: str = "24", dither: str = "none", quality: str = "best") -> DataFrame:
     """Another rate and depth; with the same rate and no dither samples pass as they are."""
     if fmt not in FORMATS or dither not in ("none", "tpdf", "shaped"):
         raise ValueError("formats are 16, 24 and float; dithers none, tpdf and shaped")
-    s = samples if to_rate in (None, rate) else filters.resample(samples, rate, to_rate)
+    s = samples if to_rate in (None, rate) else filters.resample(samples, rate, to_rate, quality)
     return s if dither == "none" or fmt == "float" else advanced.dither(s, int(fmt), dither == "shaped")
 
 
@@ -219,17 +208,23 @@ def deess(samples: DataFrame, rate: float, frequency: float = 5000.0, threshold:
 
 
 def dehum(samples: DataFrame, rate: float, frequency: float | None = None, partials: int = 8) -> DataFrame:
-    """At a given mains frequency, or for each recording at the one that the search finds (to 0.1 Hz, where it stands out threefold)."""
-    if frequency is not None:
-        return repair.dehum(samples, rate, frequency, partials)
-    found = repair.hum_search(samples, rate).filter("prominence >= 3").select("recording", "hz")
-    best = found.groupBy("recording").agg(F.min("hz").alias("hz"))
-    rows = best.select("hz").distinct().collect()  # at most 42 candidates
-    clean = samples.join(best, "recording", "left_anti").select("recording", F.col("channel").cast("int").alias("channel"), "n", "x")
-    for r in rows:
-        own = samples.join(best.filter(F.col("hz") == r["hz"]), "recording", "left_semi")
-        clean = clean.unionByName(repair.dehum(own, rate, r["hz"], partials))
-    return clean
+    """At a given mains frequency, or for each recording at the one that the search finds (to 0.01 Hz); only partials that are steady and stand out go."""
+    return repair.dehum_each(samples, rate, _hum(samples, rate, frequency, partials))
+
+
+def _hum(samples: DataFrame, rate: float, frequency: float | None, partials: int) -> DataFrame:
+    if frequency is not None and not 0 < frequency < rate / 2:
+        raise ValueError("a frequency below half the rate")
+    return Scratch(samples.sparkSession, "hum").keep(repair.find_hum(samples, rate, frequency, partials), "found")
+
+
+def dehum_report(samples: DataFrame, rate: float, frequency: float | None = None, partials: int = 8) -> DataFrame:
+    """``recording, found, frequencyHz, harmonics, removedDb, prominence``: what ``dehum`` does to each recording."""
+    found = _hum(samples, rate, frequency, partials)
+    energy = lambda df, name: df.groupBy("recording").agg(F.sum(F.col("x") * F.col("x")).alias(name))
+    j = found.join(energy(samples, "before"), "recording").join(energy(repair.dehum_each(samples, rate, found), "after"), "recording")
+    removed = F.when(F.col("found") & (F.col("before") > 0) & (F.col("after") > 0), 10 * F.log10(F.col("after") / F.col("before"))).otherwise(0.0)
+    return j.select("recording", "found", F.col("hz").alias("frequencyHz"), F.coalesce(F.size("parts"), F.lit(0)).alias("harmonics"), removed.alias("removedDb"), F.col("evidence").alias("prominence"))
 
 
 def declip(samples: DataFrame, rate: float, keep_level: bool = False) -> DataFrame:
