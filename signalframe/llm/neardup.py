@@ -33,6 +33,7 @@ PERCENT = 85
 K = 64
 BLOCK_BYTES = 1 << 20
 BLOCK_SETS = 1000
+STRIP = 128  # rows of a matrix of pairs that are worked on at once
 BITS = 1 << 25
 
 
@@ -153,12 +154,16 @@ def _block(table: pa.Table, percent: int, k: int):
                     join(i, j)
     else:
         shared = _overlaps(sets, n)
-        good = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-        if split:
-            good &= side[:, None] != side[None, :]
+        good = np.empty((n, n), bool)
+        for a in range(0, n, STRIP):  # in strips, so that no further matrix of all pairs is held
+            own = shared[a : a + STRIP].astype(np.int64)
+            good[a : a + STRIP] = 100 * own >= percent * (size[a : a + STRIP, None] + size[None, :] - own)
+            if split:
+                good[a : a + STRIP] &= side[a : a + STRIP, None] != side[None, :]
+        del shared
         np.fill_diagonal(good, True)
         while True:  # the smallest place that a set's links reach, until nothing changes
-            least = np.where(good, root[None, :], n).min(1)
+            least = np.concatenate([np.where(good[a : a + STRIP], root[None, :], n).min(1) for a in range(0, n, STRIP)])
             least = least[least]
             if np.array_equal(least, root):
                 break
@@ -166,8 +171,8 @@ def _block(table: pa.Table, percent: int, k: int):
     return node, np.array([find(i) for i in range(n)])
 
 
-def _overlaps(sets, n, wide: int = 2048):
-    """Exact sizes of all intersections: values that two sets share become columns of a 0/1 matrix, taken some at a time."""
+def _overlaps(sets, n, wide: int = 1024):
+    """Exact sizes of all intersections (whole numbers below 2**24): values that two sets share become columns of a 0/1 matrix, taken some at a time."""
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     by = grouped_order(values.astype(U64))
@@ -184,8 +189,9 @@ def _overlaps(sets, n, wide: int = 2048):
         lo, hi = np.searchsorted(column, [a, a + wide])
         m = np.zeros((n, wide), np.float32)
         m[owner[lo:hi], column[lo:hi] - a] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
+        for b in range(0, n, STRIP):
+            out[b : b + STRIP] += m[b : b + STRIP] @ m.T
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
