@@ -45,7 +45,7 @@ def test_stereo(spark, l, r, corr):
 
 def test_bits(spark):
     x = np.round(tone(300, 0.1) * 128) / 128
-    assert statistics.effective_bits(signal(spark, x)).first()[0] == 8
+    assert statistics.effective_bits(signal(spark, x)).first()["effective_bits"] == 8
     assert statistics.effective_bits(signal(spark, [0.0])).first()[0] == 0
 
 
