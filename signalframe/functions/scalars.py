@@ -20,9 +20,9 @@ def sinc(x: Column) -> Column:
 
 
 def bessel_i0(x: Column, terms: int = 40) -> Column:
-    """The modified Bessel function of order 0 by its series."""
-    step = lambda s, k: F.struct((s["sum"] + s["term"] * F.pow(x / (2 * k), 2)).alias("sum"), (s["term"] * F.pow(x / (2 * k), 2)).alias("term"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")), step, lambda s: s["sum"])
+    """The modified Bessel function of order 0 by the first ``terms`` terms of its series (up to k = terms - 1)."""
+    series = F.array(*(F.struct(F.lit(2.0 * k).alias("power"), F.lit(math.gamma(k + 1) ** 2).alias("under")) for k in range(terms)))
+    return F.aggregate(series, F.lit(0.0), lambda s, t: s + F.pow(x / 2, t["power"]) / t["under"])
 
 
 def kaiser(position: Column, beta: float) -> Column:
