@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import number
 from .timeline import delete_range, insert_silence, render, split_at
 
 MOST_GAIN = 1000.0
@@ -68,8 +69,8 @@ def move(clips: DataFrame, edits: DataFrame) -> DataFrame:
 def duplicate(clips: DataFrame, edits: DataFrame, next_id: int) -> DataFrame:
     """The clips and their copies at ``edits(clip_id, new_start)``; copies are numbered in the order of the clips that they copy."""
     made = edits.filter("new_start >= 0").join(clips, "clip_id")
-    rank = F.row_number().over(Window.orderBy("clip_id", "new_start")) - 1  # one edit's list
-    copies = made.withColumn("_id", (F.lit(next_id) + rank).cast("long")).withColumn("timeline_start", F.col("new_start")).drop("clip_id", "new_start").withColumnRenamed("_id", "clip_id")
+    made = number(made, ["clip_id", "new_start"], "_rank")  # in ranges: no task gets all copies
+    copies = made.withColumn("_id", (F.lit(next_id) + F.col("_rank")).cast("long")).drop("_rank").withColumn("timeline_start", F.col("new_start")).drop("clip_id", "new_start").withColumnRenamed("_id", "clip_id")
     return clips.unionByName(copies.select(*clips.columns))
 
 
