@@ -1,8 +1,13 @@
 """Tempo, sweeps, sessions and reports."""
 
+import datetime
+import math
+
+import duckdb
 import numpy as np
 import pytest
 
+from signalframe import queries
 from signalframe.operators import filters, measure
 from signalframe.plans import reports, session
 
@@ -90,3 +95,17 @@ def test_line_queries_never_cut_the_recording(spark, monkeypatch):
     monkeypatch.setattr(queries, "_line", long_signal)
     got = queries.QUERIES["m5_exact_true_peak"](spark, "").collect()
     assert {r["recording"] for r in got} == {0} and len(got) == 2
+
+
+def test_clarity_of_short_and_silent_recordings(spark, tmp_path):
+    """A recording that ends before the split has no late energy: its clarity is that of the SQL, and no recording is left out."""
+    values = {1: [300.0] * 60, 2: [300.0] * 30, 3: [300.0] * 10, 4: [250.0] * 45, 5: [250.0] * 30 + [300.0] * 5, 6: [250.0] * 45 + [300.0], 7: [None] * 3, 8: [300.0] * 30 + [None] * 20}
+    rows = [(100 * u + i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i), u, v) for u, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cell = lambda v: "nan" if v is not None and v != v else v
+    cols = ["recording", "c50_db", "c80_db", "d50", "centre_time"]
+    got = {r[0]: [cell(v) for v in r] for r in queries.QUERIES["a17_clarity"](spark, str(tmp_path)).select(*cols).collect()}
+    want = {r[0]: [cell(v) for v in r] for r in con.sql(f"SELECT {', '.join(cols)} FROM ({queries.SQL['a17_clarity']})").fetchall()}
+    assert got == want and got[2][2] == math.inf and got[6][1] == -math.inf
