@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,13 @@ PLACES = {"integrated": 3, "lra": 3, "max_short_term": 3, "max_momentary": 3, "t
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    cell = lambda c: F.format_string(f"%.{PLACES.get(c, 3)}f", F.col(c))
+    """Doubles as C's ``printf`` writes them, rounded by their exact value; ``seconds`` with halves of the shortest decimal up, as ``format_string`` does."""
+
+    @F.pandas_udf("string")
+    def written(v: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series(["%.*f" % (p, x) for x, p in zip(v, places)], dtype=object)
+
+    cell = lambda c: F.format_string(f"%.{PLACES[c]}f", F.col(c)) if c == "seconds" else written(F.col(c), F.lit(PLACES.get(c, 3)))
     return df.select(*(F.when(F.col(c).isNotNull(), cell(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from signalframe import queries
-from signalframe.operators import filters, measure
+from signalframe.operators import filters, measure, statistics
 from signalframe.plans import reports, session
 
 
@@ -109,3 +109,19 @@ def test_clarity_of_short_and_silent_recordings(spark, tmp_path):
     got = {r[0]: [cell(v) for v in r] for r in queries.QUERIES["a17_clarity"](spark, str(tmp_path)).select(*cols).collect()}
     want = {r[0]: [cell(v) for v in r] for r in con.sql(f"SELECT {', '.join(cols)} FROM ({queries.SQL['a17_clarity']})").fetchall()}
     assert got == want and got[2][2] == math.inf and got[6][1] == -math.inf
+
+
+def test_means_are_summed_in_order(spark):
+    """Ties in the last written digit hang on the last bit of the sum."""
+    x = np.array([1e16, 1.0, -1e16, 1.0, 0.1, 0.2, 0.3] * 3)
+    rows = spark.createDataFrame([(r, 0, n, float(x[n])) for n in reversed(range(len(x))) for r in (0, 1)], "recording long, channel int, n long, x double").repartition(3)
+    want = 0.0
+    for v in x.tolist():
+        want += v
+    assert want != x[::-1].cumsum()[-1]
+    assert [r["dc_offset"] for r in statistics.by_recording(rows).collect()] == [want / len(x)] * 2
+
+
+def test_ties_are_written_by_their_exact_value(spark):
+    df = spark.createDataFrame([(v, 0.0075) for v in (-0.7760725, 0.1234565, 0.0000005, 2.5)], "dcOffset double, seconds double")
+    assert [r["line"] for r in reports.csv_lines(df).collect()] == ["%.6f,0.008" % v for v in (-0.7760725, 0.1234565, 0.0000005, 2.5)]
