@@ -125,3 +125,22 @@ def test_means_are_summed_in_order(spark):
 def test_ties_are_written_by_their_exact_value(spark):
     df = spark.createDataFrame([(v, 0.0075) for v in (-0.7760725, 0.1234565, 0.0000005, 2.5)], "dcOffset double, seconds double")
     assert [r["line"] for r in reports.csv_lines(df).collect()] == ["%.6f,0.008" % v for v in (-0.7760725, 0.1234565, 0.0000005, 2.5)]
+
+
+def test_pitch_adds_differences_from_the_last(spark):
+    """A frame of steps of 0.1 whose confidence is a tie in the fifth decimal."""
+    lows = 0
+    for seed in range(400):
+        x = (np.random.default_rng(seed).integers(0, 11, 64) / 100 - 0.05) * 10
+        d = []
+        for k in range(1, 28):
+            total = 0.0
+            for i in reversed(range(37)):
+                total += (x[i] - x[i + k]) ** 2
+            d.append(total)
+        v = np.array(d) * np.arange(1, 28) / np.cumsum(d)
+        if (v < 0.15).any():
+            continue
+        lows += 1
+        assert measure.yin(x, 8000.0, 300.0, 2000.0)[1] == max(0.0, 1 - v.min())
+    assert lows > 300
