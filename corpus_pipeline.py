@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from signalframe.llm import decontaminate, neardup, pieces, pii, quality
-from signalframe.llm.kernels import Scratch, read
+from signalframe.llm.kernels import Scratch, read, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ ORACLE_SQL = None  # perplexity and Viterbi are beyond SQL; see tests/llm
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

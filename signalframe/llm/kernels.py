@@ -174,6 +174,21 @@ def lean(fn: Callable) -> Callable:
     return run
 
 
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """What runs inside hands texts to Python in Arrow batches of about ``most`` bytes in place of Spark's 64 MB: both the JVM and the worker hold a batch, for each core."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Freed memory goes back to the system (what the driver collected in blocks, too)."""
     pa.default_memory_pool().release_unused()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import (
-    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, give_back, lean, mix, per_doc, small, spans, table, windows, without_rows,
+    LOWER, NON_SPACE, U64, Scratch, SpanHash, chunks, distinct, give_back, lean, mix, per_doc, small, small_batches, spans, table, windows, without_rows,
 )
 
 ORDER = 6
@@ -95,6 +95,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 first, _, n = distinct(keys)
                 held.append((keys[first], grams[first], code[doc[first]], n))
                 size += len(first)
+                del grams, doc, keys, first, n  # merging takes as much again
                 if size > FLUSH:
                     held = [merged()]
                     size = len(held[0][0])
@@ -358,8 +359,9 @@ def bands(metrics: DataFrame, width: float = WIDTH) -> DataFrame:
 def quality_rules(docs: DataFrame, width: float = WIDTH, order: int = ORDER, block: int = BLOCK) -> DataFrame:
     """One row per document: its measures, ``log_ppl`` with its language's band, ``base_failed`` and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    model = fit(docs, order, block, scratch)
-    metrics = scratch.keep(measure(docs, model, order), "metrics")
+    with small_batches(docs.sparkSession):
+        model = fit(docs, order, block, scratch)
+        metrics = scratch.keep(measure(docs, model, order), "metrics")
     for x in model:
         x.destroy()
     return _judged(metrics, small(scratch.keep(bands(metrics, width), "bands")))

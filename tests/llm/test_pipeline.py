@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from signalframe.llm import langid, pieces, quality, queries
+from signalframe.llm import kernels, langid, pieces, quality, queries
 from tests.llm.test_vectors import ROWS
 from tests.llm.test_vectors import SCHEMA as VECTOR_COLUMNS
 from tests.llm.test_llm import LOWER, brute_windows, rows, shingles, words
@@ -330,3 +330,22 @@ def test_repeats_number_rows_alike_in_every_scan(spark, sf_dir):
 
 
 assert LOWER  # shared with the table of awkward rows
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """The quality stage's tasks hold a few MB of texts, not 64; what was set before is set again."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    largest = lambda batches: (b.select([0]) for b in batches if b.nbytes > 2 * kernels.BATCH_BYTES)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 1000).alias("text"), F.lit("en").alias("lang"))
+    keep = quality.Scratch.keep
+
+    def watched(self, df, name):
+        if name in ("counts", "metrics"):
+            seen.append(docs.mapInArrow(largest, "doc_id long").count())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(quality.Scratch, "keep", watched)
+    assert quality.quality_rules(docs).count() == 3000
+    assert seen == [0, 0] and docs.mapInArrow(largest, "doc_id long").count() > 0
+    assert spark.conf.get(key) == before
