@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe import queries
+from signalframe import model, queries
 from signalframe.functions import scalars
 from signalframe.operators import blocks, edits, filters, measure, repair
 
@@ -120,3 +120,12 @@ def test_a_session_is_no_longer_one_row(spark, monkeypatch):
     queries.QUERIES["v_render"](spark, "/root/testdata/sf0.01").count()
     assert seen["s"].count() == 15  # 15,000 clips
     assert seen["s"].select(F.max(F.length("json"))).first()[0] < 1_000_000
+
+
+def test_ranges_to_number_grow_in_count_not_in_size(spark, monkeypatch, tmp_path):
+    """A task that numbers rows sorts so many, however well a shuffle packs them."""
+    monkeypatch.setattr(model, "ROWS", 500)
+    spark.range(20000).select(((F.col("id") * 7919) % 20000).alias("o_orderkey"), F.lit(1).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    out = model.numbered(spark, str(tmp_path), "orders", ["o_orderkey"], ["o_custkey"], "rank")
+    assert out.filter("rank != o_orderkey").count() == 0 and out.count() == 20000
+    assert len(out.inputFiles()) > 30  # one for each range
