@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, U64, SpanHash, _powers, flat, grouped_order, map_chunks, mix, spans
+from .kernels import ALNUM, CHUNK_BYTES, LOWER, U64, SpanHash, _powers, flat, grouped_order, map_chunks, mix, spans
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -275,15 +275,15 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns, in one pass without a shuffle."""
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most: int = CHUNK_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns, in one pass without a shuffle; a task works on ``most`` bytes of text at once."""
     held = blocks_of(benchmark, block_bytes, window)
 
     def keep(batch, buf, offs, own):
         counts, n_hit, *_ = _match(buf, offs, own, window)
         return batch.filter(pa.array(~contaminated(n_hit, counts)))
 
-    return map_chunks(docs, keep, docs.schema, setup=_loaders(held))
+    return map_chunks(docs, keep, docs.schema, setup=_loaders(held), most=most)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -175,18 +175,27 @@ def lean(fn: Callable) -> Callable:
 
 
 BATCH_BYTES = 4 << 20
+BATCH_ROWS = 512  # that the Parquet reader decodes together
+
+
+def set_small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> dict[str, str]:
+    """Texts go to Python in Arrow batches of about ``most`` bytes from here on, in place of Spark's 64 MB, and are read in batches of few rows: the JVM holds both, and the worker the former, for each core.  Returns what was set."""
+    to = {"spark.sql.execution.arrow.maxBytesPerBatch": most, "spark.sql.parquet.columnarReaderBatchSize": BATCH_ROWS}
+    before = {k: spark.conf.get(k) for k in to}
+    for k, v in to.items():
+        spark.conf.set(k, str(v))
+    return before
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
-    """What runs inside hands texts to Python in Arrow batches of about ``most`` bytes in place of Spark's 64 MB: both the JVM and the worker hold a batch, for each core."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    """``set_small_batches`` for what runs inside."""
+    before = set_small_batches(spark, most)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def give_back() -> None:

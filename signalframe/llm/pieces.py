@@ -280,14 +280,14 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded
     return _with(df, [T.StructField(text, T.StringType())], run, lambda: held.value)
 
 
-def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Encode, decode and compare in one pass: ``doc_id, n_bytes, n_pieces, n_byte_pieces, ids, decoded_sha256, exact``."""
+def round_trip(docs: DataFrame, pieces: Pieces, most: int = CHUNK) -> DataFrame:
+    """Encode, decode and compare in one pass, at most ``most`` bytes of text at once: ``doc_id, n_bytes, n_pieces, n_byte_pieces, ids, decoded_sha256, exact``."""
     held = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
         own = held.value
         for batch in batches:
-            for part, buf, offs in chunks(batch, "text", CHUNK):
+            for part, buf, offs in chunks(batch, "text", most):
                 ids, at = own.encode(buf, offs)
                 by = np.concatenate([[0], np.cumsum(own.is_byte[ids])])[at]
                 out, ends = own.decode(ids, at)

@@ -26,9 +26,11 @@ from .kernels import (
 )
 
 ORDER = 6
-BLOCK = 2_000_000  # n-grams of a broadcast block
-HOLD = 12 << 20  # bytes of text that are scored at once where there are several blocks
+BLOCK = 1_000_000  # n-grams of a broadcast block
+CHUNK = 1 << 19  # bytes of text that are worked on together
+HOLD = 3 << 20  # bytes of text that are scored at once where there are several blocks
 FLUSH = 1_500_000
+OUT = 1 << 16  # rows of counts that are handed back at once
 WIDTH = 3.5
 BIN = 0.001
 SYMBOLS = table(b"#*$%&|<>")
@@ -52,16 +54,19 @@ def _grams(buf, offs, order):
     size = np.diff(offs) + 2
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(n, dtype=np.int32), size)
-    at = np.arange(len(doc)) - begin[doc]
+    at = np.arange(len(doc), dtype=np.int32)
+    at -= begin.astype(np.int32)[doc]
     text = np.ones(len(doc), bool)
     text[begin] = text[begin + size - 1] = False
     byte = np.full(len(doc), START, np.uint8)
     byte[begin + size - 1] = END
     byte[text] = np.maximum(LOWER[buf], END + 1)
-    wide = byte.astype(U64)
-    packed = wide.copy()
+    packed = byte.astype(U64)
     for back in range(1, order):
-        packed[back:] |= np.where(at[back:] >= back, wide[:-back], U64(0)) << U64(8 * back)
+        before = byte[:-back].astype(U64)
+        before <<= U64(8 * back)
+        before[at[back:] < back] = 0
+        packed[back:] |= before
     ok = at > 0
     return packed[ok], np.append(begin - np.arange(n), len(doc) - n), doc[ok]
 
@@ -69,42 +74,62 @@ def _grams(buf, offs, order):
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """How often each n-gram that ends at a byte of a text or its END occurs in each language, over all texts; a task adds up what it sees."""
 
+    bits = U64(8 * order)
+    room = 1 << (64 - 8 * order)  # languages whose numbers fit beside an n-gram
+
+    def counted(keys, n=None):
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at)
+
     def run(batches):
-        held, size = [], 0
+        held, size, names, index = [], 0, [], {}
 
-        def merged():
-            keys, grams, lang, n = (np.concatenate(x) for x in zip(*held))
-            first, cls, _ = distinct(keys)
-            return keys[first], grams[first], lang[first], np.bincount(cls, n, len(first)).astype(np.int64)
+        def merge():
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            by = np.argsort(keys, kind="stable")  # runs that are sorted
+            keys, n = keys[by], n[by]
+            del by
+            held.append(counted(keys, n))
+            return len(held[0][0])
 
         def out():
-            _, grams, lang, n = held[0]
-            return pa.RecordBatch.from_pydict({"lang": pa.array(np.array(names, object)[lang], pa.string()), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(n)})
+            langs = pa.array(names, pa.string())
+            for a in range(0, len(held[0][0]), OUT):
+                keys, n = (x[a : a + OUT] for x in held[0])
+                yield pa.RecordBatch.from_pydict({"lang": langs.take(pa.array((keys >> bits).astype(np.int64))), "gram": pa.array((keys & ((U64(1) << bits) - U64(1))).astype(np.int64)), "n": pa.array(n)})
+            held.clear()
 
-        names, index = [], {}
         for batch in batches:
-            for part, buf, offs in chunks(batch, "text"):
-                langs = _langs(part.column("lang"))
-                for x in langs:
-                    if x not in index:
-                        index[x] = len(names)
-                        names.append(x)
-                code = np.array([index[x] for x in langs], np.int32)
-                grams, _, doc = _grams(buf, offs, order)
-                keys = _key(grams, _salts(part)[doc])
-                first, _, n = distinct(keys)
-                held.append((keys[first], grams[first], code[doc[first]], n))
-                size += len(first)
-                del grams, doc, keys, first, n  # merging takes as much again
-                if size > FLUSH:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > FLUSH // 2:
-                        yield out()
-                        held, size = [], 0
+            for a in range(0, batch.num_rows, room):
+                for part, buf, offs in chunks(batch.slice(a, room), "text", CHUNK):
+                    langs = _langs(part.column("lang"))
+                    if len(set(langs) - set(index)) + len(names) > room:  # begin to number languages anew
+                        if held:
+                            merge()
+                            yield from out()
+                        size, names, index = 0, [], {}
+                    for x in langs:
+                        if x not in index:
+                            index[x] = len(names)
+                            names.append(x)
+                    keys, _, doc = _grams(buf, offs, order)
+                    keys |= (np.array([index[x] for x in langs], U64) << bits)[doc]
+                    del doc
+                    keys.sort()
+                    held.append(counted(keys))
+                    size += len(held[-1][0])
+                    del keys  # merging takes as much again
+                    if size > FLUSH:
+                        size = merge()
+                        if size > FLUSH // 2:
+                            yield from out()
+                            size = 0
         if held:
-            held = [merged()]
-            yield out()
+            merge()
+            yield from out()
 
     part = docs.select("text", "lang").mapInArrow(lean(run), "lang string, gram long, n long")
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -317,6 +342,7 @@ def measure(docs: DataFrame, model: list, order: int = ORDER, hold: int = HOLD)
 
     def score(held):
         for block in model:
+            keys = logs = None  # before the next block comes in
             keys, logs = load(block)
             for _, own, logp, *_ in held:
                 if len(keys):
@@ -329,12 +355,14 @@ def measure(docs: DataFrame, model: list, order: int = ORDER, hold: int = HOLD)
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for part, buf, offs in chunks(batch, "text"):
+            for part, buf, offs in chunks(batch, "text", CHUNK):
                 out, valid = _measure(part, buf, offs)
                 grams, at, doc = _grams(buf, offs, order)
                 keys = _key(grams, _salts(part)[doc])
+                del grams, doc
                 first, cls, _ = distinct(keys)
                 held.append((out, keys[first], np.full(len(first), -np.log(256), np.float32), cls.astype(np.int32), at, valid))
+                del keys, first, cls
                 size += len(buf)
                 if len(model) == 1 or size > hold:
                     yield from score(held)

@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,14 @@ def table():
 DOCS, BENCH, PAGES = table()
 
 
+@pytest.fixture(autouse=True)
+def settings(spark):
+    """Stages leave small batches set in the session; other tests start from Spark's own."""
+    yield
+    for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.unset(k)
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
@@ -349,3 +360,81 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert quality.quality_rules(docs).count() == 3000
     assert seen == [0, 0] and docs.mapInArrow(largest, "doc_id long").count() > 0
     assert spark.conf.get(key) == before
+
+
+class Caught:
+    """Takes the place of a table: keeps the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, fn, schema):
+        self.fn = fn
+        raise StopIteration
+
+
+def task(make):
+    caught = Caught()
+    with pytest.raises(StopIteration):
+        make(caught)
+    return caught.fn
+
+
+class Block:
+    def __init__(self, n, seed):
+        self._path, self.arrays = None, (np.sort(np.random.default_rng(seed).integers(0, 1 << 63, n).astype(np.uint64)), np.zeros(n, np.float32))
+
+    def load_from_path(self, path):
+        return tuple(x.copy() for x in self.arrays)
+
+
+@pytest.mark.parametrize("step, most", [("count", 120), ("measure", 120)])
+def test_quality_tasks_hold_little(step, most):
+    """A task's arrays over 8 MB of text, in MB (before: 244 in counting and 252 in measuring)."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 4000, np.uint8).tobytes().decode().replace("q", " ") for _ in range(2000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": texts[a : a + 500], "lang": ["en", "fr"] * 250}) for a in range(0, 2000, 500)]
+    blocks = [Block(quality.BLOCK // 2, i) for i in range(4)]
+    fn = task(quality.gram_counts if step == "count" else lambda docs: quality.measure(docs, blocks))
+    tracemalloc.start()
+    before, n, rows = tracemalloc.get_traced_memory()[0], 0, 0
+    for batch in fn(iter(batches)):
+        n += sum(batch.column("n").to_pylist()) if step == "count" else batch.num_rows
+        rows = max(rows, batch.num_rows)
+        del batch
+    peak = (tracemalloc.get_traced_memory()[1] - before) / 1e6
+    tracemalloc.stop()
+    assert n == (2000 * 4001 if step == "count" else 2000)
+    assert peak < most and rows <= 1 << 16, (peak, rows)
+
+
+def test_counts_of_many_languages():
+    """More languages than numbers fit beside an n-gram of 7 bytes."""
+    rows = [(f"text {i % 7}", f"l{i % 600}") for i in range(2000)]
+    batches = [pa.RecordBatch.from_pydict({"text": [r[0] for r in rows[a : a + 700]], "lang": [r[1] for r in rows[a : a + 700]]}) for a in range(0, 2000, 700)]
+    want, got = Counter(), Counter()
+    for text, lang in rows:
+        s = b"\1" + text.encode() + b"\2"
+        want.update((lang, int.from_bytes(s[max(0, i - 6) : i + 1], "big")) for i in range(1, len(s)))
+    for batch in task(lambda docs: quality.gram_counts(docs, 7))(iter(batches)):
+        for lang, gram, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "n"))):
+            got[lang, gram] += n
+    assert got == want
+
+
+def test_stages_leave_small_batches(spark, sf_dir, monkeypatch):
+    """A stage's table is planned when it is written, after the stage's function has ended."""
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for _, run in corpus_pipeline.STAGES[2:]:
+            for k, v in zip(keys, before):
+                spark.conf.set(k, v)
+            run(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+            assert [spark.conf.get(k) for k in keys] == [str(kernels.BATCH_BYTES), str(kernels.BATCH_ROWS)]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:4])
+    corpus_pipeline.run(spark, sf_dir)
+    assert [spark.conf.get(k) for k in keys] == before
