@@ -90,6 +90,16 @@ def test_beside_deals_out_a_large_side(spark, monkeypatch):
     assert got.count() == 600 and got.filter("v != recording * 10").count() == 0
 
 
+def test_a_dealt_side_is_not_broadcast(spark, monkeypatch):
+    """Its files are small, its 64 copies aren't: broadcast, they filled the driver."""
+    monkeypatch.setattr(blocks, "FEW", 1)
+    side = spark.range(300).select(F.col("id").alias("recording"), (F.col("id") * 10).alias("v"))
+    got = blocks.beside(_long(spark, 300, 4).withColumnRenamed("n", "block"), side, ["recording"])
+    assert "Broadcast" not in _plan(got) and got.count() == 1200
+    got = blocks.beside(_long(spark, 400, 4).withColumnRenamed("n", "block"), side, ["recording"], "left")
+    assert "Broadcast" not in _plan(got) and got.filter("v = recording * 10").count() == 1200 and got.filter("v IS NULL").count() == 400
+
+
 def test_tempo_beside_a_peak_of_the_correlation():
     """The prior may choose a lag on the slope of a peak: the parabola there led to lags below 0, and to an error."""
     r = np.random.default_rng(0)
