@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from signalframe import verbs
 from signalframe.operators import filters, repair
@@ -168,6 +169,32 @@ def test_a_lone_second_hum_doesnt_lower_the_first(spark):
     assert all(got[k]["hz"] == pytest.approx(50, abs=0.011) for k in (0, 1)) and got[1]["evidence"] == pytest.approx(got[0]["evidence"], rel=0.2)
 
 
+def test_hum_is_looked_for_in_all_of_a_recording(spark):
+    """Hum that is silent at the beginning, in the middle and at the end is found; hum that is only there, in less than four of ten groups, is none."""
+    span, n = 131_072, F.col("n")
+    frames = 10 * span - 5000
+    rows = spark.range(2 * frames).select((F.col("id") % 2).alias("recording"), F.lit(0).alias("channel"), F.floor(F.col("id") / 2).alias("n"))
+    middle = (frames - span) // 2
+    ends = (n < span) | n.between(middle, middle + span - 1) | (n >= frames - span)
+    hum = sum(0.1 / k * F.sin(2 * math.pi * 49.98 * k / RATE * n) for k in (1, 2, 3))
+    noise = 0.02 * (F.pmod(F.xxhash64("recording", "n"), F.lit(2001)) / 1000 - 1)
+    rows = rows.withColumn("x", F.when(ends == (F.col("recording") == 1), hum).otherwise(0.0) + noise)
+    got = {r["recording"]: r for r in repair.find_hum(rows, RATE).collect()}
+    assert got[0]["found"] and got[0]["hz"] == pytest.approx(49.98, abs=0.011) and len(got[0]["parts"]) == 3
+    assert not got[1]["found"]
+    given = {r["recording"]: r for r in repair.find_hum(rows, RATE, 49.98).collect()}
+    assert len(given[0]["parts"]) == 3 and not given[1]["found"] and given[1]["parts"] is None
+
+
+def test_groups_of_hum_cover_all_samples(spark):
+    span = repair.HumMeter.SPAN
+    for frames, begins in ((span, [0]), (3 * span, [0, span, 2 * span]), (2 * span + 9, [0, (span + 9) // 2, span + 9])):
+        rows = spark.range(frames).select(F.lit(7).cast("long").alias("recording"), F.lit(0).alias("channel"), F.col("id").alias("n"), F.col("id").cast("double").alias("x"))
+        ends = rows.groupBy("recording").agg(F.count("*").alias("frames"))
+        got = repair.hum_groups(rows, ends).select("start", F.size("xs").alias("size"), F.col("xs")[0].alias("first")).orderBy("start").collect()
+        assert [(r["start"], r["size"], r["first"]) for r in got] == [(b, span, b) for b in begins]
+
+
 def response(sections, hz):
     z = np.exp(-2j * np.pi * np.asarray(hz, float) / RATE)
     out = np.ones(len(z), complex)
